@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .secret_scan import KINDS, find_secrets
 from .token_count import count_tokens
 from .token_store import read_tokens, write_tokens
 from .workspace import Workspace
@@ -46,6 +49,30 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(spark, table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+
+    counts = [number(kind).alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(spark, docs, toxicity.toxic_grades(table(spark, sf_dir, "labels")))
+    return toxicity.score(spark, docs, model).select("doc_id", "severity", "grade", "toxic")
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(spark, table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
@@ -70,14 +97,25 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 FROM (SELECT *, first_value(doc_id) OVER (PARTITION BY t ORDER BY l DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
 """
 
+OP9_SQL = f"""
+WITH d AS (SELECT doc_id, unnest({_SHINGLES}) AS g FROM (SELECT doc_id, {_WORDS} AS w FROM documents)),
+b AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM (SELECT item_id, {_SHINGLES} AS s FROM (SELECT item_id, {_WORDS} AS w FROM benchmark)))
+SELECT doc_id, item_id, CAST(n AS BIGINT) AS n_item_shingles, count(*) AS n_shared
+FROM d JOIN b USING (g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75 * n
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_token_store": op5_token_store,
     "op6_packing": op6_packing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontaminate": op9_decontaminate,
     "op10_token_count": op10_token_count,
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op9_decontaminate": OP9_SQL,
 }
