@@ -75,6 +75,13 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(w).tobytes() for w in words_of(*utf8(batch.column(1)))], pa.binary())], schema=schema)
 
 
+def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int32()))])
+    for batch in batches:
+        sets = [np.unique(shingle_set(w).astype(np.uint32)).view(np.int32) for w in words_of(*utf8(batch.column(1)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], schema=schema)
+
+
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
@@ -123,8 +130,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     * In each bucket every class is first paired with the smallest id only.  Candidates that the corrected bit count
       doesn't exclude are compared by their full sets, then joined to components.  Buckets which hold a single
       component are done, however large; in the others, members outside of the bucket's main component are held
-      against all members of other components.  So no bucket emits all its pairs, and no link between different
-      components that share a bucket is lost.
+      against all members of other components, inside the join.  So no bucket emits its pairs, and no link between
+      different components that share a bucket is lost.
 
     Null or empty texts have an empty set and are linked with nothing.  Rows with a null id come out with a null
     component_id, kept.  Rows that repeat an id count as further texts of that document.  Other columns are not read.
@@ -151,13 +158,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     links = _confirmed(ws, "star", docs, likely(stars), percent)
     roots = ws.save(connected_components(ws, links, "star-cc"), "star-roots")
 
-    # Buckets that still hold several components.
+    # Buckets that still hold several components.  Their comparison is part of the join: a pair is looked at in the
+    # first bucket that it shares, by signatures, then by sets of 32-bit hashes, and comes out only if it links.
     now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
     mixed = now.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("bucket", "main")
-    open_ = ws.save(now.join(mixed, "bucket").join(signatures, "id").select("bucket", "id", "root", "main", "sig"), "open")
-    x, y = open_.where("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("r1"), F.col("sig").alias("s1")), open_.select(F.col("bucket").alias("k"), F.col("id").alias("b"), F.col("root").alias("r2"), F.col("main").alias("m2"), F.col("sig").alias("s2"))
-    on = (F.col("bucket") == F.col("k")) & (F.col("r1") != F.col("r2")) & ((F.col("r2") == F.col("m2")) | (F.col("a") > F.col("b"))) & (similarity("s1", "s2") >= percent / 100 - SLACK)
-    cross = x.join(y, on).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    open_ = ws.save(now.join(mixed, "bucket"), "open")
+    ids = ws.save(open_.select(F.col("id").alias("pid")).distinct(), "open-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
+    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s array<int>"), "open-sets")
+    full = open_.join(classes.select(F.col("rep").alias("id"), "sig", "bands"), "id").join(sets, "id")
+    x = full.where("root <> main").select("bucket", *(F.col(c).alias(f"{c}1") for c in ("id", "root", "sig", "bands", "s")))
+    y = full.select(F.col("bucket").alias("same"), *(F.col(c).alias(f"{c}2") for c in ("id", "root", "main", "sig", "bands", "s")))
+    first = F.coalesce(*(F.when(F.col("bands1")[i] == F.col("bands2")[i], F.col("bands1")[i]) for i in range(BANDS)))
+    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("id1") > F.col("id2")))
+    both = F.size(F.array_intersect("s1", "s2"))
+    near = 100 * both >= (percent - 1) * (F.size("s1") + F.size("s2") - both)  # sets of 32-bit hashes may differ by a collision
+    on = (F.col("bucket") == F.col("same")) & F.when(once, F.when(similarity("sig1", "sig2") >= percent / 100 - SLACK, F.when(first == F.col("bucket"), near))).eqNullSafe(F.lit(True))
+    cross = x.join(y, on).select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
     more = _confirmed(ws, "cross", docs, cross, percent)
     roots = ws.save(connected_components(ws, links.union(more), "all-cc"), "roots")
 
