@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from . import toxicity
 from .decontaminate import contained_items
 from .exact_dedup import exact_duplicates
+from .line_dedup import dedup_lines
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .secret_scan import KINDS, find_secrets
+from .sharding import ShardStore
 from .token_count import count_tokens
 from .token_store import read_tokens, write_tokens
 from .workspace import Workspace
@@ -33,10 +35,27 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clean = dedup_lines(spark, table(spark, sf_dir, "documents"))
+    return clean.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents in four arrivals, merged; read back from the latest manifest."""
+    store = ShardStore(spark, Workspace(spark, "shards").path)
+    docs = table(spark, sf_dir, "documents")
+    for arrival in range(4):
+        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == arrival))
+    store.compact()
+    store.expire()
+    text = F.coalesce("text", F.lit(""))
+    return store.located().select("doc_id", F.col("__shard").alias("shard"), F.col("__tier").alias("tier"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = Workspace(spark, "tokens").path
     write_tokens(spark, table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=2)
@@ -91,6 +110,21 @@ SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_i
 FROM s JOIN (SELECT id, min(c) AS component_id FROM reach GROUP BY id) c ON c.id = s.doc_id
 """
 
+OP2_SQL = f"""
+WITH lines AS (
+  SELECT doc_id, l, {_WORDS.replace("coalesce(text, '')", "line")} AS w, line
+  FROM (SELECT doc_id, unnest(range(len(a))) AS l, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents))),
+s AS (SELECT doc_id, l, {_SHINGLES} AS s FROM lines),
+x AS (SELECT doc_id, l, len(s) AS n, unnest(s) AS g FROM s),
+gone AS (
+  SELECT DISTINCT doc_id, l FROM (
+    SELECT a.doc_id, a.l FROM x a JOIN x b ON a.g = b.g AND (a.doc_id > b.doc_id OR a.doc_id = b.doc_id AND a.l > b.l)
+    GROUP BY a.doc_id, a.l, b.doc_id, b.l, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))))
+SELECT lines.doc_id, count(*) AS n_lines, count(gone.l) AS n_removed,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY lines.l) FILTER (WHERE gone.l IS NULL), '')) AS text_sha256
+FROM lines LEFT JOIN gone USING (doc_id, l) GROUP BY lines.doc_id
+"""
+
 OP3_SQL = r"""
 WITH n AS (SELECT doc_id, length(coalesce(text, '')) AS l, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t FROM documents)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256
@@ -106,7 +140,9 @@ FROM d JOIN b USING (g) GROUP BY doc_id, item_id, n HAVING 100 * count(*) >= 75
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_line_dedup": op2_line_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_sharding": op4_sharding,
     "op5_token_store": op5_token_store,
     "op6_packing": op6_packing,
     "op7_secret_scan": op7_secret_scan,
@@ -116,6 +152,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLES: dict[str, str] = {
     "op1_near_dedup": OP1_SQL,
+    "op2_line_dedup": OP2_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op9_decontaminate": OP9_SQL,
 }
