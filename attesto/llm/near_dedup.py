@@ -182,5 +182,5 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     of_class = classes.join(roots, F.col("rep") == F.col("id"), "left").select("set_key", F.col("n").alias("cn"), F.coalesce("root", "rep").alias("root"), "copies")
     # A class of one document is found by its id, so that only copies are joined by key.
     known = signed.join(of_class, (signed["set_key"] == of_class["set_key"]) & (signed["n"] == of_class["cn"]), "left")
-    component = F.coalesce("root", "id")
+    component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
     return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))

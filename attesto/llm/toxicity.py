@@ -15,33 +15,36 @@ from pyspark.sql import functions as F
 from .workspace import small_batches
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hashes of their ids.
-SAMPLE = 4000
-#: A model uses words that toxic texts have more often than chance allows: with FEATURES of them at most, and a
-#: probability of CHANCE that any word of the sample passes without cause.
+SAMPLE = 8000
+#: A model uses features that toxic texts have more often than chance allows: with FEATURES of them at most, and a
+#: number of CHANCE features of the sample, at most, expected to pass without cause.
 FEATURES, CHANCE = 2000, 0.01
-#: Where labels only tell toxic from clean, a toxic text with this many of the model's words counts as severe.
+#: Where labels only tell toxic from clean, a toxic text with this many of the model's features counts as severe.
 SEVERE_WORDS = 4
+BEGINNINGS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words(text: str) -> set[str]:
-    """The distinct words of a text, in lower case."""
-    return set(_WORD.findall(text.lower()))
+def features(text: str) -> set[str]:
+    """The distinct words of a text, in lower case, and the beginnings of longer ones: inflected or compounded forms
+    are many and rare, what they begin with isn't."""
+    words = set(_WORD.findall(text.lower()))
+    return words.union(*({f"{w[:k]}*" for w in words if len(w) > k} for k in BEGINNINGS))
 
 
 @dataclass(frozen=True)
 class Ordinal:
-    """P(grade >= k) = 1 / (1 + exp(cut[k-1] - sum of the weights of a text's words)); one weight for all cuts."""
+    """P(grade >= k) = 1 / (1 + exp(cut[k-1] - sum of the weights of a text's features)); one weight for all cuts."""
 
     weights: dict[str, float]
     cuts: tuple[float, ...]
 
     def score(self, text: str) -> list[float]:
-        z = sum(self.weights[w] for w in self.weights.keys() & words(text))
+        z = sum(self.weights[w] for w in self.weights.keys() & features(text))
         return [1 / (1 + np.exp(np.clip(c - z, -60, 60))) for c in self.cuts]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-4, steps: int = 3000) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 2e-5, steps: int = 5000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts that minimise the mean negative log-likelihood of the binary events grade >= k,
     plus l1 times the weights' absolute sum, by accelerated proximal gradient steps."""
     n, d = x.shape
@@ -69,9 +72,24 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-4,
     return w, cuts + centre @ w
 
 
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def distinct_features(counts: dict[str, tuple[int, int]]) -> list[str]:
+    """Of features with their numbers of texts and of toxic texts, those that say something of their own: not a
+    beginning whose toxic texts all have one longer feature, not a longer one of a beginning in toxic texts only."""
+    out = []
+    for f, (n, b) in counts.items():
+        stem = f.removesuffix("*")
+        longer = [g for g in counts if g != f and f.endswith("*") and g.startswith(stem)]
+        shorter = [f"{stem[:k]}*" for k in BEGINNINGS if len(stem) > k and f"{stem[:k]}*" in counts]
+        covered = any(counts[g][1] == b for g in longer)
+        implied = any(counts[g][0] == counts[g][1] > b for g in shorter)
+        if not covered and not implied:
+            out.append(f)
+    return sorted(out)
+
+
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(words(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "grade", "words"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "grade", "words"])
 
 
 def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
@@ -86,7 +104,7 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
     texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = texts.select("did").distinct().join(labelled, F.col("did") == F.col("id")).select("id", "grade").orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = texts.join(F.broadcast(ids), F.col("did") == F.col("id")).select("id", "grade", "text").dropDuplicates(["id"])
-    rows = chosen.mapInArrow(_words, "id long, grade int, words array<string>").persist()
+    rows = chosen.mapInArrow(_features, "id long, grade int, words array<string>").persist()
     try:
         sizes = {r["bad"]: r["n"] for r in rows.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
         bad, good = sizes.get(True, 0), sizes.get(False, 0)
@@ -99,7 +117,7 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
         kl = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
         seen = per.where("n > 1").count()
         telling = per.where(p > share).withColumn("evidence", F.col("n") * kl).where(F.col("evidence") >= math.log(max(seen, 1) / CHANCE)).orderBy(F.desc("evidence"), "word").limit(FEATURES)
-        vocabulary = sorted(r["word"] for r in telling.select("word").collect())
+        vocabulary = distinct_features({r["word"]: (r["n"], r["b"]) for r in telling.select("word", "n", "b").collect()})
         number = {w: i for i, w in enumerate(vocabulary)}
         known = rows.select("id", "grade", F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")).alias("words")).orderBy("id").collect()
     finally:
