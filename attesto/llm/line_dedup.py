@@ -92,17 +92,20 @@ _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.bi
 
 
 def _blob(records: np.ndarray) -> bytes:
-    """Column after column: it compresses better."""
-    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in records.dtype.names)
+    """The number of records, then column after column, compressed; documents as differences."""
+    columns = [np.diff(records[name], prepend=records[name].dtype.type(0)) if name == "doc" else records[name] for name in records.dtype.names]
+    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    return len(records).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
 def _records(blobs: list, kind: np.dtype) -> np.ndarray:
     parts = []
     for blob in blobs:
-        out, at = np.empty(len(blob) // kind.itemsize, dtype=kind), 0
+        out, at = np.empty(int.from_bytes(blob[:8], "little"), dtype=kind), 0
+        raw = pa.decompress(blob[8:], len(out) * kind.itemsize, codec="zstd", asbytes=True)
         for name in kind.names:
-            column = np.frombuffer(blob, dtype=kind[name], count=len(out), offset=at)
-            out[name] = column
+            column = np.frombuffer(raw, dtype=kind[name], count=len(out), offset=at)
+            out[name] = np.cumsum(column) if name == "doc" else column
             at += column.nbytes
         parts.append(out)
     return np.concatenate(parts)
@@ -233,16 +236,24 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
 
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of the lines named beside each text."""
     schema = pa.schema([("d", pa.int64()), ("l", pa.int64()), ("s", pa.binary())])
     for batch in batches:
         data, offsets = utf8(batch.column(1))
         if offsets[-1] == offsets[0]:
             continue
         bounds, doc, number = line_bounds(data, offsets)
+        wanted = batch.column(2)
+        size = np.diff(wanted.offsets.to_numpy())
+        asked = np.repeat(np.arange(len(size)), size) << 40 | wanted.flatten().to_numpy(zero_copy_only=False)
+        need = np.isin(doc << 40 | number, asked)
         part = list(line_shingles(data, bounds))
-        if not part:
+        if not part or not need.any():
             continue
         h, line = np.concatenate([x[0] for x in part]), np.concatenate([x[1] for x in part])
+        h, line = h[need[line]], line[need[line]]
+        if not len(h):
+            continue
         order = np.lexsort((h, line))
         h, line = h[order], line[order]
         cuts = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
@@ -267,11 +278,11 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _verified(ws: Workspace, name: str, texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines (d, l) of those of the pairs that are similar, by their whole sets."""
     pairs = ws.save(pairs, f"{name}-pairs")
-    ids = ws.save(pairs.select(F.explode(F.array("d1", "d2")).alias("pid")).distinct(), f"{name}-ids")
-    few = ids.count() <= BROADCAST_IDS
-    needed = pairs.select(F.explode(F.array(F.struct(F.col("d1").alias("d"), F.col("l1").alias("l")), F.struct(F.col("d2").alias("d"), F.col("l2").alias("l")))).alias("x")).select("x.*").distinct()
-    sets = texts.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi").mapInArrow(_line_sets, "d long, l long, s binary")
-    sets = ws.save(sets.join(needed, ["d", "l"], "left_semi"), f"{name}-sets")
+    ends = F.explode(F.array(F.struct(F.col("d1").alias("d"), F.col("l1").alias("l")), F.struct(F.col("d2").alias("d"), F.col("l2").alias("l"))))
+    needed = ws.save(pairs.select(ends.alias("x")).groupBy(F.col("x.d").alias("pid")).agg(F.collect_set("x.l").alias("lines")), f"{name}-needed")
+    few = needed.agg(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0))).first()[0] <= BROADCAST_IDS
+    asked = texts.join(F.broadcast(needed) if few else needed, F.col("id") == F.col("pid")).select("id", "text", "lines")
+    sets = ws.save(asked.mapInArrow(_line_sets, "d long, l long, s binary"), f"{name}-sets")
     a, b = sets.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("s").alias("s1")), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("s").alias("s2"))
     full = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"]).select(F.col("d1").alias("d"), F.col("l1").alias("l"), "s1", "s2")
     return ws.save(full.mapInArrow(lambda it: _similar(it, percent), "d long, l long").distinct(), f"{name}-lines")
