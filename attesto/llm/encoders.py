@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -16,8 +17,8 @@ import numpy as np
 #: Letters of Latin-1 and Latin Extended-A without those that normal forms or lower-casing change in length.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 _SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}«»¿¡–—‘’“”]*")
-#: Pre-tokens remembered in a worker process; beyond it, they are forgotten and encoded anew.
-MEMORY = 200_000
+#: Pre-tokens remembered in a worker process (about 150 MB).
+MEMORY = 700_000
 
 #: Byte-level tokenizers show each byte as a printable character: itself where it has one, else the next from U+0100.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -45,6 +46,7 @@ class TokenIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         with open(path, encoding="utf-8") as f:
@@ -64,10 +66,15 @@ class TokenIds(dict):
         self.special = [x["content"] for x in spec.get("added_tokens", [])]
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMORY:
+        out = self.old.get(word)
+        if out is None:
+            plain = word.isascii() and word.isprintable()
+            shown = word.replace(" ", _BYTES[32]) if plain else word.encode().decode("latin-1").translate(_BYTES)
+            out = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= MEMORY // 2:  # the older half makes room
+            self.old = dict(self)
             self.clear()
-        shown = word.encode().decode("latin-1").translate(_BYTES)
-        self[word] = out = np.array([x.id for x in self.model.tokenize(shown)], dtype="<u4").tobytes()
+        self[word] = out
         return out
 
     def _whole(self, text: str) -> bytes:
