@@ -29,49 +29,74 @@ STRIDE = 1024
 def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules of a sequence whose ids are below ``first``; rule i is the pair that first + i stands for.
 
-    Each round counts all adjacent pairs, takes those at least a quarter as frequent as the most frequent one, and
+    Each round counts adjacent pairs, takes those at least a quarter as frequent as the most frequent one, and
     replaces their occurrences; of two that overlap, the more frequent pair wins, then the left one.  Rounds go on
-    until no pair occurs LEAST_PAIRS times, or symbols would reach ``limit`` (65,536, or 2**31 for large vocabularies).
+    until no pair occurs LEAST_PAIRS times, or symbols would reach ``limit``.  A place whose pair is rarer is left
+    alone from then on, unless a replacement beside it makes a new pair there.
     """
-    wide = limit > 1 << 16
-    s, rules, shift = ids.astype(np.uint64 if wide else np.uint32), [], np.uint64(32) if wide else np.uint32(16)
-    while len(s) > 1:
-        key = (s[:-1] << shift) | s[1:]
-        ordered = np.sort(key)
-        at = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(np.append(at, len(ordered)))
-        top, room = int(count.max()), limit - first - len(rules)
-        if top < LEAST_PAIRS or room <= 0:
+    s, rules = ids.astype(np.int64), []
+    active = np.arange(max(len(s) - 1, 0))
+    bits = max(len(s), 1).bit_length()
+    width = (63 - bits) // 2
+    if limit > 1 << width:
+        raise ValueError("the sequence is too long for its vocabulary")
+    while len(active):
+        k = np.sort((s[active] << (width + bits)) | (s[active + 1] << bits) | active)
+        pair = k >> bits
+        at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+        count = np.diff(np.append(at, len(k)))
+        room = limit - first - len(rules)
+        often = count >= LEAST_PAIRS
+        if not often.any() or room <= 0:
             break
-        chosen = np.flatnonzero(count >= max(LEAST_PAIRS, top // 4))
-        if len(chosen) > room:
-            chosen = np.sort(chosen[np.argsort(-count[chosen], kind="stable")[:room]])
-        keys, often = ordered[at[chosen]], count[chosen]
-        left = np.zeros(limit if not wide else int(s.max()) + 1, dtype=bool)
-        left[(keys >> shift).astype(np.int64)] = True
-        where = np.flatnonzero(left[s[:-1]])
-        which = np.searchsorted(keys, key[where])
-        which[which == len(keys)] = 0
-        hit = keys[which] == key[where]
-        where, which = where[hit], which[hit]
-        rank = -often[which]
-        # Of neighbours that overlap: the smaller rank, then the left one.
-        touch = np.zeros(len(where), dtype=bool)
-        touch[1:] = where[1:] == where[:-1] + 1
+        least = max(LEAST_PAIRS, int(count.max()) // 4)
+        chosen = count >= least
+        if int(chosen.sum()) > room:
+            chosen = np.zeros(len(count), dtype=bool)
+            chosen[np.argsort(-count, kind="stable")[:room]] = True
+        place = k & ((1 << bits) - 1)
+        alive = np.zeros(len(s), dtype=bool)
+        alive[place[np.repeat(often, count)]] = True
+        group = np.full(len(s), -1, dtype=np.int64)
+        group[place[np.repeat(chosen, count)]] = np.repeat(np.flatnonzero(chosen), count[chosen])
+        where = np.flatnonzero(group >= 0)
+        which = group[where]
+        # In a run of one pair (a a a a), every other place.
+        along = np.zeros(len(where), dtype=bool)
+        along[1:] = (where[1:] == where[:-1] + 1) & (which[1:] == which[:-1])
+        if along.any():
+            start = np.maximum.accumulate(np.where(along, 0, np.arange(len(where))))
+            even = (np.arange(len(where)) - start) % 2 == 0
+            where, which = where[even], which[even]
+        # Of neighbours that overlap: the more frequent pair, then the left one.
+        rank = -count[which]
+        touch = where[1:] == where[:-1] + 1
         keep = np.ones(len(where), dtype=bool)
-        keep[1:] &= ~touch[1:] | (rank[1:] < rank[:-1])
-        keep[:-1] &= ~touch[1:] | (rank[:-1] <= rank[1:])
-        used = np.bincount(which[keep], minlength=len(keys))
-        good = used >= LEAST_PAIRS // 2
-        if not good.any():
+        keep[1:] &= ~touch | (rank[1:] < rank[:-1])
+        keep[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+        where, which = where[keep], which[keep]
+        used = np.bincount(which, minlength=len(count))
+        good = used > 1  # a pair that overlaps left at most once waits; its places stay in the count
+        where, which = where[good[which]], which[good[which]]
+        if not len(where):
             break
-        name = np.cumsum(good) - 1 + first + len(rules)
-        keep &= good[which]
-        new = keys[good]
-        mask = keys.dtype.type((1 << int(shift)) - 1)
-        rules.extend(zip((new >> shift).tolist(), (new & mask).tolist()))
-        s[where[keep]] = name[which[keep]].astype(s.dtype)
-        s = np.delete(s, where[keep] + 1)
+        named = np.flatnonzero(good)
+        name = np.zeros(len(count), dtype=np.int64)
+        name[named] = first + len(rules) + np.arange(len(named))
+        mask = (1 << width) - 1
+        rules.extend(zip((pair[at[named]] >> width).tolist(), (pair[at[named]] & mask).tolist()))
+        s[where] = name[which]
+        # What a replacement touches counts anew: the pair that ends in it, and the one that starts there.
+        alive[where] = True
+        alive[np.maximum(where - 1, 0)] = True
+        stay = np.ones(len(s), dtype=bool)
+        stay[where + 1] = False
+        before = np.maximum(where - 1, 0)
+        gone = before[~stay[before]]  # the place before was taken by the replacement two to the left
+        alive[gone - 1] = True
+        s, alive = s[stay], alive[stay]
+        alive[-1] = False
+        active = np.flatnonzero(alive)
     return s, np.array(rules, dtype=np.uint32).reshape(-1, 2)
 
 
@@ -157,7 +182,7 @@ class Shard:
 def pack_shard(doc_ids: list, ids: np.ndarray, starts: np.ndarray, vocabulary: int) -> bytes:
     """The bytes of one shard."""
     narrow = vocabulary < 1 << 16
-    symbols, rules = compress(ids, vocabulary, 1 << 16 if narrow else 1 << 31)
+    symbols, rules = compress(ids, vocabulary, 1 << 16 if narrow else min(1 << 31, 1 << ((63 - max(len(ids), 1).bit_length()) // 2)))
     n = lengths(rules, vocabulary)
     s = symbols.astype(np.int64) - vocabulary
     size = np.where(s < 0, 1, n[np.maximum(s, 0)] if len(n) else 1)
@@ -222,7 +247,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     small_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "id", "text").sortWithinPartitions("id", "text")
+    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
     dealt.mapInArrow(lambda it: _write(it, tokenizer, end_id), "part int, shard int, n_docs long, n_ids long, blob binary").write.mode("overwrite").parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards").select("part", "shard", "n_ids")
     # Sums by part first: only one row of each part meets in the last window.
