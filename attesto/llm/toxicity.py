@@ -44,46 +44,70 @@ class Ordinal:
         return [1 / (1 + np.exp(np.clip(c - z, -60, 60))) for c in self.cuts]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 2e-5, steps: int = 5000) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6, steps: int = 20000) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts that minimise the mean negative log-likelihood of the binary events grade >= k,
-    plus l1 times the weights' absolute sum, by accelerated proximal gradient steps."""
-    n, d = x.shape
+    plus l1 times the weights' absolute sum, by accelerated proximal gradient steps over distinct rows."""
+    rows, counts = np.unique(np.column_stack([x, grade.astype(x.dtype)]), axis=0, return_counts=True)
+    x, grade, share = rows[:, :-1], rows[:, -1].astype(int), counts / counts.sum()
+    d = x.shape[1]
     y = grade[:, None] > np.arange(grades - 1)[None, :]
-    rate = (y.sum(axis=0) + 0.5) / (n + 1)
+    rate = (share @ y * len(counts) + 0.5) / (len(counts) + 1)
     cuts, w = np.log((1 - rate) / rate), np.zeros(d)
-    centre = x.mean(axis=0)
+    centre = share @ x
     u = (x - centre).astype(np.float32)
     # The largest curvature: a quarter of the design's largest squared singular value, by power iteration.
     v = np.ones(d) / np.sqrt(max(d, 1))
     for _ in range(20):
-        v = u.T @ (u @ v)
+        v = u.T @ (share * (u @ v))
         v /= np.linalg.norm(v) + 1e-12
-    step = 1 / (0.25 * (grades - 1) * float(np.linalg.norm(u @ v) ** 2) / n + 0.3)
+    step = 1 / (0.25 * (grades - 1) * float(share @ (u @ v) ** 2) + 0.3)
     a, b, t = w.copy(), cuts.copy(), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(b[None, :] - (u @ a)[:, None], -60, 60)))
-        r = (p - y) / n
+        r = (p - y) * share[:, None]
         new_w = a - step * (u.T @ r.sum(axis=1))
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
         new_c = np.sort(b + step * r.sum(axis=0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
         a, b, t = new_w + (t - 1) / t2 * (new_w - w), new_c + (t - 1) / t2 * (new_c - cuts), t2
+        moved = max(np.abs(new_w - w).max(initial=0), np.abs(new_c - cuts).max())
         w, cuts = new_w, new_c
+        if moved < 1e-6:
+            break
     return w, cuts + centre @ w
 
 
-def distinct_features(counts: dict[str, tuple[int, int]]) -> list[str]:
-    """Of features with their numbers of texts and of toxic texts, those that say something of their own: not a
-    beginning whose toxic texts all have one longer feature, not a longer one of a beginning in toxic texts only."""
-    out = []
-    for f, (n, b) in counts.items():
-        stem = f.removesuffix("*")
-        longer = [g for g in counts if g != f and f.endswith("*") and g.startswith(stem)]
-        shorter = [f"{stem[:k]}*" for k in BEGINNINGS if len(stem) > k and f"{stem[:k]}*" in counts]
-        covered = any(counts[g][1] == b for g in longer)
-        implied = any(counts[g][0] == counts[g][1] > b for g in shorter)
-        if not covered and not implied:
-            out.append(f)
+def evidence(b: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
+    """The exponent of a bound: b or more of n texts are toxic with a probability of exp(-evidence) at most, for a
+    feature that says nothing."""
+    p = b / np.maximum(n, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        kl = p * np.log(p / share) + np.where(p < 1, (1 - p) * np.log((1 - p) / (1 - share)), 0)
+    return np.where(p > share, n * kl, 0)
+
+
+#: A toxic text supports further features until it has this many of the selected ones.
+COVER = 3
+
+
+def select_features(x: np.ndarray, bad: np.ndarray, names: list[str], least: float) -> list[int]:
+    """Columns of x that each say something of their own: the one with the most evidence (the longest name on ties), then
+    again among the toxic texts with fewer than COVER selected ones, until none has the least evidence.  Of features
+    that begin alike, as a word and its beginning, one is taken."""
+    clean, cover, out = x[~bad].sum(axis=0, dtype=np.int64), np.zeros(len(x), dtype=int), []
+    stems, free = [n.removesuffix("*") for n in names], np.ones(len(names), dtype=bool)
+    while free.any():
+        open_ = bad & (cover < COVER)
+        if not open_.any():
+            break
+        b = x[open_].sum(axis=0, dtype=np.int64)
+        e = np.where(free, evidence(b, b + clean, open_.sum() / (open_.sum() + (~bad).sum())), 0)
+        best = max(range(len(e)), key=lambda i: (round(float(e[i]), 6), len(names[i])))
+        if e[best] < least:
+            break
+        out.append(best)
+        cover += x[:, best] > 0
+        free &= [not (s.startswith(stems[best]) or stems[best].startswith(s)) for s in stems]
     return sorted(out)
 
 
@@ -116,8 +140,9 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
         share, p = bad / (bad + good), F.col("b") / F.col("n")
         kl = p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0)
         seen = per.where("n > 1").count()
-        telling = per.where(p > share).withColumn("evidence", F.col("n") * kl).where(F.col("evidence") >= math.log(max(seen, 1) / CHANCE)).orderBy(F.desc("evidence"), "word").limit(FEATURES)
-        vocabulary = distinct_features({r["word"]: (r["n"], r["b"]) for r in telling.select("word", "n", "b").collect()})
+        least = math.log(max(seen, 1) / CHANCE)
+        telling = per.where(p > share).withColumn("evidence", F.col("n") * kl).where(F.col("evidence") >= least).orderBy(F.desc("evidence"), "word").limit(FEATURES)
+        vocabulary = sorted(r["word"] for r in telling.select("word").collect())
         number = {w: i for i, w in enumerate(vocabulary)}
         known = rows.select("id", "grade", F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")).alias("words")).orderBy("id").collect()
     finally:
@@ -125,6 +150,8 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
     x, y = np.zeros((len(known), len(vocabulary)), dtype=np.float32), np.array([r["grade"] for r in known])
     for i, r in enumerate(known):
         x[i, [number[w] for w in r["words"]]] = 1
+    chosen = select_features(x, y > 0, vocabulary, least)
+    x, vocabulary = x[:, chosen], [vocabulary[i] for i in chosen]
     if top == 2:
         y[(y == 1) & (x.sum(axis=1) >= SEVERE_WORDS)] = 2
         top = int(y.max()) + 1
