@@ -19,12 +19,12 @@ def equidistant(df: DataFrame, size: int, order: str, *by: str) -> DataFrame:
     return x.where((F.col("__n") <= size) | F.array_contains(spots, F.col("__r"))).drop("__r", "__n")
 
 
-def centroid_relevance(df: DataFrame, key: str, vector: str, *by: str) -> DataFrame:
+def centroid_relevance(df: DataFrame, vector: str, *by: str) -> DataFrame:
     """Adds relevance: the cosine of each vector with the mean of its group.  The mean is made by dimension, partly in
     each task, so groups of any size pass."""
-    x = df.select(*by, key, F.posexplode(vector).alias("i", "x")).withColumn("x", F.col("x").cast("double"))
-    mean = x.groupBy(*by, "i").agg(F.avg("x").alias("m"))
-    centre = mean.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("__centre"))
+    x = df.select(*by, F.posexplode(vector).alias("__i", "__x"))
+    mean = x.groupBy(*by, "__i").agg(F.avg(F.col("__x").cast("double")).alias("__m"))
+    centre = mean.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("__i", "__m"))), lambda s: s["__m"]).alias("__centre"))
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     v, c = F.col(vector), F.col("__centre")
     return df.join(centre, list(by)).withColumn("relevance", F.try_divide(dot(v, c), F.sqrt(dot(v, v) * dot(c, c)))).drop("__centre")

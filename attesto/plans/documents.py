@@ -58,7 +58,9 @@ _KIND = r"""CASE WHEN regexp_matches(x, '^\s*(#{1,6})\s+(.+?)\s*$') THEN 'headin
  WHEN bars >= 2 OR (bars = 1 AND coalesce(contains(nx, '|'), false)) OR contains(x, chr(9)) THEN 'table'
  WHEN regexp_matches(x, '^(?:[-•–]|[а-яa-z]\))\s') THEN 'list' ELSE 'paragraph' END"""
 _LINES = f"""l AS (SELECT doc_id AS id, unnest(range(len(a))) AS seq, unnest(a) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
-n AS (SELECT *, trim(line) AS x, lead(line) OVER (PARTITION BY id ORDER BY seq) AS nx FROM l), k AS (SELECT id, seq, line, x, {_KIND} AS kind FROM (SELECT *, length(x) - length(replace(x, '|', '')) AS bars FROM n) WHERE x <> '')"""
+n AS (SELECT *, trim(line) AS x, lead(line) OVER (PARTITION BY id ORDER BY seq) AS nx FROM l), k0 AS (SELECT id, seq, line, x, CASE WHEN x <> '' THEN {_KIND} END AS kind, x <> '' AND (contains(line, '|') OR contains(line, chr(9))) AS cells FROM (SELECT *, length(x) - length(replace(x, '|', '')) AS bars FROM n)),
+k1 AS (SELECT *, sum(CASE WHEN cells THEN 0 ELSE 1 END) OVER (PARTITION BY id ORDER BY seq) AS run FROM k0), k2 AS (SELECT *, min(CASE WHEN cells AND kind = 'table' THEN seq END) OVER (PARTITION BY id, run) AS start FROM k1),
+k AS (SELECT id, seq, line, x, CASE WHEN cells AND seq >= start THEN 'table' ELSE kind END AS kind FROM k2 WHERE x <> '')"""
 
 
 @query(f"WITH {_LINES} SELECT id AS doc_id, kind, count(*) AS lines FROM k GROUP BY ALL")
@@ -259,7 +261,7 @@ def equidistant_pool(spark, sf):
 SELECT vec_id, label, round(sum(x * m) / sqrt(sum(x * x) * sum(m * m)), 6) AS relevance FROM x JOIN m USING (label, i) GROUP BY ALL""")
 def mmr_centroid_relevance(spark, sf):
     """Cosine of each vector with its label's mean."""
-    x = M.centroid_relevance(table(spark, sf, "embeddings"), "vec_id", "embedding", "label")
+    x = M.centroid_relevance(table(spark, sf, "embeddings"), "embedding", "label")
     return x.select("vec_id", "label", F.round("relevance", 6).alias("relevance"))
 
 
@@ -267,7 +269,7 @@ def mmr_centroid_relevance(spark, sf):
 def mmr_summary(spark, sf):
     """Twelve relevant and different vectors of each label, from an equidistant pool of a hundred."""
     e = table(spark, sf, "embeddings")
-    pool = M.equidistant(M.centroid_relevance(e, "vec_id", "embedding", "label"), 100, "vec_id", "label")
+    pool = M.equidistant(M.centroid_relevance(e, "embedding", "label"), 100, "vec_id", "label")
     return M.mmr_by_group(pool, "vec_id", "embedding", "label")
 
 
