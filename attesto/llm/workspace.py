@@ -10,12 +10,12 @@ import atexit
 import contextlib
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Ids up to this many are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 _opened: list[tuple[SparkSession, str]] = []
@@ -82,20 +82,6 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
 
 def small_batches(spark: SparkSession, records: int = 512) -> None:
     """Hand Python workers few texts at a time: the default of 10,000 long texts doesn't fit an executor's memory."""
-    _ship(spark)
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
-
-
-def _ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once for an application: they may not have it on their path."""
-    context = spark.sparkContext
-    if getattr(context, "_attesto_sent", False):
-        return
-    top = Path(__file__).resolve().parent.parent
-    name = Path(tempfile.mkdtemp(prefix="attesto-code-")) / "attesto_code.zip"
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
-        for p in sorted(top.rglob("*.py")):
-            z.write(p, p.relative_to(top.parent))
-    context.addPyFile(str(name))
-    context._attesto_sent = True
