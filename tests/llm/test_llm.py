@@ -423,3 +423,33 @@ def test_queries_equal_their_sql(spark, sf, name):
     columns = [d[0] for d in db.description]
     assert sorted(columns) == sorted(got.columns)
     assert Counter(map(tuple, got.select(*columns).collect())) == Counter(want)
+
+
+def test_empty_tables_and_nulls(spark, tmp_path):
+    """The pipeline over no rows, and over rows of nulls."""
+    labels, bench = spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string")
+    for name, docs in (("none", frame(spark)), ("nulls", frame(spark, None, None, "", ids=[None, None, 3]))):
+        folder = f"{tmp_path}/{name}"
+        docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        bench.write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted((r.doc_id is None, r.length) for r in got) == ([] if name == "none" else [(False, 1), (True, 1), (True, 1)])
+
+
+def test_long_texts(spark):
+    """Texts of a megabyte, one word of it without a break, keep their whole results."""
+    words = " ".join(f"w{i % 977}x{i}" for i in range(90_000))
+    texts = [words, words + " tail", "y" * 1_200_000, words.replace(" ", "\n", 1)]
+    docs = frame(spark, *texts)
+    near = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark, docs).collect()}
+    assert near == {0: (89_996, 0), 1: (89_997, 0), 2: (1, 2), 3: (89_996, 0)}
+    assert {r.doc_id: r.keep_id for r in exact_duplicates(spark, docs).collect()} == {0: 0, 1: 1, 2: 2, 3: 0}
+    assert {(r.doc_id, r.line) for r in repeated_lines(spark, docs).collect()} == {(1, 0), (3, 1)}
+    name = Q.tokenizer("byte_bpe_50k.json")
+    got = {}
+    for p in pack_documents(spark, docs.where("doc_id <> 2"), name).collect():
+        got[p.doc_id] = got.get(p.doc_id, 0) + p.length
+    ids = TokenIds(name)
+    assert got == {i: len(ids._whole(texts[i])) // 4 + 1 for i in (0, 1, 3)}
+    assert {r.doc_id: r.n_bytes for r in count_tokens(spark, docs.where("doc_id <> 2"), Q.tokenizer("piece_bpe_32k.model")).collect()} == {i: len(texts[i]) for i in (0, 1, 3)}
