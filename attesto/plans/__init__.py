@@ -1,6 +1,6 @@
 """Named queries over the test tables with their SQL."""
 
-from . import documents, evaluation, experiments, retrieval  # noqa: F401
+from . import analyses, documents, evaluation, experiments, retrieval  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
