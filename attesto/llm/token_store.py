@@ -30,7 +30,7 @@ def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndar
     """Symbols and rules of a sequence whose ids are below ``first``; rule i is the pair that first + i stands for.
 
     Each round counts adjacent pairs, takes those at least a quarter as frequent as the most frequent one, and
-    replaces their occurrences; of two that overlap, the more frequent pair wins, then the left one.  Rounds go on
+    replaces their occurrences; of two that overlap, the more frequent pair wins, in rows of equals every other one.  Rounds go on
     until no pair occurs LEAST_PAIRS times, or symbols would reach ``limit``.  A place whose pair is rarer is left
     alone from then on, unless a replacement beside it makes a new pair there.
     """
@@ -57,23 +57,19 @@ def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndar
         place = k & ((1 << bits) - 1)
         alive = np.zeros(len(s), dtype=bool)
         alive[place[np.repeat(often, count)]] = True
-        group = np.full(len(s), -1, dtype=np.int64)
-        group[place[np.repeat(chosen, count)]] = np.repeat(np.flatnonzero(chosen), count[chosen])
-        where = np.flatnonzero(group >= 0)
-        which = group[where]
-        # In a run of one pair (a a a a), every other place.
+        both = np.sort((place[np.repeat(chosen, count)] << bits) | np.repeat(np.flatnonzero(chosen), count[chosen]))
+        where, which = both >> bits, both & ((1 << bits) - 1)
+        # Overlapping neighbours: in a row of equally frequent pairs every other place, else the more frequent pair.
+        rank = count[which]
         along = np.zeros(len(where), dtype=bool)
-        along[1:] = (where[1:] == where[:-1] + 1) & (which[1:] == which[:-1])
-        if along.any():
-            start = np.maximum.accumulate(np.where(along, 0, np.arange(len(where))))
-            even = (np.arange(len(where)) - start) % 2 == 0
-            where, which = where[even], which[even]
-        # Of neighbours that overlap: the more frequent pair, then the left one.
-        rank = -count[which]
+        along[1:] = (where[1:] == where[:-1] + 1) & (rank[1:] == rank[:-1])
+        start = np.maximum.accumulate(np.where(along, 0, np.arange(len(where))))
+        even = (np.arange(len(where)) - start) % 2 == 0
+        where, which, rank = where[even], which[even], rank[even]
         touch = where[1:] == where[:-1] + 1
         keep = np.ones(len(where), dtype=bool)
-        keep[1:] &= ~touch | (rank[1:] < rank[:-1])
-        keep[:-1] &= ~touch | (rank[:-1] <= rank[1:])
+        keep[1:] &= ~touch | (rank[1:] > rank[:-1])
+        keep[:-1] &= ~touch | (rank[:-1] >= rank[1:])
         where, which = where[keep], which[keep]
         used = np.bincount(which, minlength=len(count))
         good = used > 1  # a pair that overlaps left at most once waits; its places stay in the count
