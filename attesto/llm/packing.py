@@ -117,8 +117,8 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 512]), _SCHEMA)], schema=_SCHEMA)
 
     for batch in batches:
-        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = encode(text.as_py()) + end
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            ids = encode(text) + end
             docs.append((name, ids))
             held += len(ids) // 4
             if held >= BLOCK_IDS:
