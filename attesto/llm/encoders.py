@@ -17,8 +17,8 @@ import numpy as np
 #: Letters of Latin-1 and Latin Extended-A without those that normal forms or lower-casing change in length.
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ňŊ-ž"
 _SAFE = re.compile(rf"[\t\n\r\x20-\x7e{LETTERS}«»¿¡–—‘’“”]*")
-#: Pre-tokens remembered in a worker process (about 150 MB).
-MEMORY = 700_000
+#: Pre-tokens remembered in a worker process (about 90 MB).
+MEMORY = 400_000
 
 #: Byte-level tokenizers show each byte as a printable character: itself where it has one, else the next from U+0100.
 _SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -30,7 +30,12 @@ def safe(text: str) -> bool:
 
 
 def _python_pattern(pattern: str) -> str:
-    """The same pattern for ``re``, over the safe repertoire."""
+    """The same pattern for ``re``, over the safe repertoire.  Letters and digits come first: most pre-tokens are such, and
+    no contraction starts like them."""
+    short = "'s|'t|'re|'ve|'m|'ll|'d|"
+    if pattern.startswith(short):
+        letters, digits, rest = pattern.removeprefix(short).split("|", 2)
+        pattern = f"{letters}|{digits}|{short}{rest}"
     inside = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\t\n\r {LETTERS}0-9]")
     single = inside.replace(r"[\p{L}]", r"\p{L}").replace(r"[\p{N}]", r"\p{N}")
     return single.replace(r"\p{L}", rf"[{LETTERS}]").replace(r"\p{N}", "[0-9]")
@@ -42,11 +47,12 @@ class TokenIds(dict):
     #: The pattern that byte-level tokenizers use where their file names none; a fixed value of the format.
     BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, memory: int = MEMORY) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         self.old: dict[str, bytes] = {}
+        self.half = memory // 2
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
         with open(path, encoding="utf-8") as f:
@@ -71,7 +77,7 @@ class TokenIds(dict):
             plain = word.isascii() and word.isprintable()
             shown = word.replace(" ", _BYTES[32]) if plain else word.encode().decode("latin-1").translate(_BYTES)
             out = array("I", [x.id for x in self.model.tokenize(shown)]).tobytes()
-        if len(self) >= MEMORY // 2:  # the older half makes room
+        if len(self) >= self.half:  # the older half makes room
             self.old = dict(self)
             self.clear()
         self[word] = out
@@ -132,8 +138,8 @@ class PieceCounts(dict):
 
 
 @lru_cache(maxsize=4)
-def token_ids(path: str) -> TokenIds:
-    return TokenIds(path)
+def token_ids(path: str, memory: int = MEMORY) -> TokenIds:
+    return TokenIds(path, memory)
 
 
 @lru_cache(maxsize=4)

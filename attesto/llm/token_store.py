@@ -20,6 +20,8 @@ from .workspace import small_batches
 MAGIC = b"RPAIR01\n"
 _HEAD = struct.Struct("<8s6Q")
 SHARD_IDS = 1 << 18
+#: Pre-tokens that a writing worker remembers (about 260 MB); it holds nothing else of size.
+MEMORY = 1_200_000
 #: A pair becomes a nonterminal while it occurs this often.
 LEAST_PAIRS = 8
 #: Symbols between stored positions, for access at random.
@@ -191,7 +193,7 @@ def pack_shard(doc_ids: list, ids: np.ndarray, starts: np.ndarray, vocabulary: i
 def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
-    encode, part, shard = token_ids(tokenizer), TaskContext.get().partitionId(), 0
+    encode, part, shard = token_ids(tokenizer, MEMORY), TaskContext.get().partitionId(), 0
     vocabulary = max(encode.library.get_vocab_size(with_added_tokens=True), end_id + 1)
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()), ("blob", pa.binary())])
