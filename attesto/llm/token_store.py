@@ -43,10 +43,18 @@ def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndar
     if limit > 1 << width:
         raise ValueError("the sequence is too long for its vocabulary")
     while len(active):
-        k = np.sort((s[active] << (width + bits)) | (s[active + 1] << bits) | active)
+        whole = len(active) == len(s) - 1
+        k = s[:-1].copy() if whole else s[active]
+        k <<= width
+        k |= s[1:] if whole else s[active + 1]
+        k <<= bits
+        k |= active
+        k.sort()
         pair = k >> bits
-        at = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
-        count = np.diff(np.append(at, len(k)))
+        new = np.ones(len(pair), dtype=bool)
+        np.not_equal(pair[1:], pair[:-1], out=new[1:])
+        at = np.flatnonzero(new)
+        count = np.diff(at, append=len(k))
         room = limit - first - len(rules)
         often = count >= LEAST_PAIRS
         if not often.any() or room <= 0:
@@ -56,11 +64,14 @@ def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndar
         if int(chosen.sum()) > room:
             chosen = np.zeros(len(count), dtype=bool)
             chosen[np.argsort(-count, kind="stable")[:room]] = True
-        place = k & ((1 << bits) - 1)
+        mask = (1 << bits) - 1
         alive = np.zeros(len(s), dtype=bool)
-        alive[place[np.repeat(often, count)]] = True
-        both = np.sort((place[np.repeat(chosen, count)] << bits) | np.repeat(np.flatnonzero(chosen), count[chosen]))
-        where, which = both >> bits, both & ((1 << bits) - 1)
+        alive[k[np.repeat(often, count)] & mask] = True
+        both = k[np.repeat(chosen, count)] & mask
+        both <<= bits
+        both |= np.repeat(np.flatnonzero(chosen), count[chosen])
+        both.sort()
+        where, which = both >> bits, both & mask
         # Overlapping neighbours: in a row of equally frequent pairs every other place, else the more frequent pair.
         rank = count[which]
         along = np.zeros(len(where), dtype=bool)
@@ -81,8 +92,8 @@ def compress(ids: np.ndarray, first: int, limit: int = 1 << 16) -> tuple[np.ndar
         named = np.flatnonzero(good)
         name = np.zeros(len(count), dtype=np.int64)
         name[named] = first + len(rules) + np.arange(len(named))
-        mask = (1 << width) - 1
-        rules.extend(zip((pair[at[named]] >> width).tolist(), (pair[at[named]] & mask).tolist()))
+        named_pairs = pair[at[named]]
+        rules.extend(zip((named_pairs >> width).tolist(), (named_pairs & ((1 << width) - 1)).tolist()))
         s[where] = name[which]
         # What a replacement touches counts anew: the pair that ends in it, and the one that starts there.
         alive[where] = True
@@ -208,8 +219,8 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> It
         return out
 
     for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            x = encode.encode(text.as_py()) + end
+        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            x = encode.encode(text) + end
             if held and held + len(x) // 4 > SHARD_IDS:
                 yield flush()
             docs.append(doc)
