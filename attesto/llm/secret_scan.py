@@ -26,7 +26,8 @@ _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/]{60,76}\r?\n)*[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Full lines and a last one of any length, or 16 characters in one line.
+_BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:((?:[A-Za-z0-9+/]{60,76}\r?\n)+)[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2})")
 #: A layer that unpacks to more bytes isn't opened: a bound on what one text can make a worker hold.
 MOST_BYTES = 1 << 24
 
@@ -138,14 +139,26 @@ def _opened(layer: Layer) -> Iterator[Layer]:
         yield new
     if ("\\" in text or "&#" in text) and (new := _replaced(layer, _UNICODE, _unicode, "unicode")):
         yield new
-    for m in _BASE64.finditer(text):
-        data, via = _bytes(m[0]), (*layer.via, "base64")
-        while data and (inner := unpack(data)):
-            via, data = (*via, inner[0]), inner[1]
-            if len(via) > 1000:
-                break
-        if data and (inside := _text(data)) is not None:
-            yield Layer(inside, layer.place(m.start(), m.end()), via)
+    at = 0
+    while m := _BASE64.search(text, at):
+        at = m.end()
+        if new := _encoded(layer, m.start(), at):
+            yield new
+        elif m[1]:  # the last line may be another text below the block
+            at = m.start() + len(m[1].rstrip("\r\n"))
+            if new := _encoded(layer, m.start(), at):
+                yield new
+
+
+def _encoded(layer: Layer, start: int, end: int) -> Layer | None:
+    """The layer that the base64 run holds, if it can be read."""
+    data, via = _bytes(layer.text[start:end]), (*layer.via, "base64")
+    while data and (inner := unpack(data)):
+        via, data = (*via, inner[0]), inner[1]
+        if len(via) > 1000:
+            break
+    inside = _text(data) if data else None
+    return None if inside is None else Layer(inside, layer.place(start, end), via)
 
 
 def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
