@@ -9,8 +9,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from array import array
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -161,6 +163,10 @@ def _encoded(layer: Layer, start: int, end: int) -> Layer | None:
     return None if inside is None else Layer(inside, layer.place(start, end), via)
 
 
+def _digest(data) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
     """All secrets as (kind, start, end, base, layers), places in code points of ``text``.
 
@@ -176,7 +182,7 @@ def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
         for kind, start, end in find(layer.text):
             found.setdefault((kind, *layer.place(start, end)), (not layer.via, ">".join(layer.via)))
         for inner in _opened(layer):
-            key = (hashlib.blake2b(inner.text.encode(), digest_size=16).digest(), inner.at if isinstance(inner.at, tuple) else None)
+            key = (_digest(inner.text.encode()), inner.at if isinstance(inner.at, tuple) else _digest(array("q", chain.from_iterable(inner.at))))
             if key not in seen:
                 seen.add(key)
                 todo.append(inner)

@@ -323,6 +323,13 @@ def test_text_below_a_whole_base64_block():
     assert ("assign", 0, len(block), False, "base64") in spans
 
 
+@pytest.mark.parametrize("inner, layers", [("%70assword=hunter2hunter2", "base64>url"), ("\\u0070assword=hunter2hunter2", "base64>unicode")])
+def test_a_nested_blob_at_several_places(inner, layers):
+    blob = base64.b64encode(inner.encode()).decode()
+    want = [("assign", i * (len(blob) + 3), i * (len(blob) + 3) + len(blob), False, layers) for i in range(3)]
+    assert secret_scan.scan(" , ".join([blob] * 3)) == want
+
+
 def test_base_secrets_by_brute_force():
     r = random.Random(8)
     bits = ["password", "Token", "api_key", "APIKEY", "=", ": ", '"', "'", "AKIA", "ABCDEF0123", "0123456789abcdef", "zz", " ", "\n", "é", "/+-._"]
