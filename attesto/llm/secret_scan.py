@@ -5,13 +5,15 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
+import string
 import zlib
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import pyarrow as pa
@@ -30,8 +32,14 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
 #: Full lines and a last one of any length, or 16 characters in one line.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:((?:[A-Za-z0-9+/]{60,76}\r?\n)+)[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2})")
-#: A layer that unpacks to more bytes isn't opened: a bound on what one text can make a worker hold.
-MOST_BYTES = 1 << 24
+_CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: Characters of secrets, escapes and base64 runs.
+_INSIDE = string.ascii_letters + string.digits + "+/_.=-\"' :%\\{}&#;\r\n"
+#: A layer that unpacks to more bytes is unpacked and scanned in pieces of about PIECE characters: a bound on what one
+#: text can make a worker hold.
+MOST_BYTES, PIECE = 1 << 24, 1 << 20
+#: Bytes read at once; of Zstandard fewer, as a few bytes may stand for 128 KiB.
+SLICE, ZSTD_SLICE = 1 << 16, 256
 
 
 def find(text: str) -> list[tuple[str, int, int]]:
@@ -47,10 +55,11 @@ def find(text: str) -> list[tuple[str, int, int]]:
 
 
 class Layer:
-    """A decoded text; ``at`` has the place in the original of each of its characters, or one place for all."""
+    """A decoded text; ``at`` has the place in the original of each of its characters, or one place for all.  A ``piece``
+    is one of many, to be dealt with before the next is made."""
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None, via: tuple[str, ...]) -> None:
-        self.text, self.at, self.via = text, at, via
+    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None, via: tuple[str, ...], piece: bool = False) -> None:
+        self.text, self.at, self.via, self.piece = text, at, via, piece
 
     def place(self, start: int, end: int) -> tuple[int, int]:
         if self.at is None:
@@ -100,39 +109,184 @@ def _bytes(encoded: str) -> bytes | None:
         return None
 
 
-def unpack(data: bytes) -> tuple[str, bytes] | None:
-    """What gzip, zlib, bzip2, xz or Zstandard bytes hold, if it is at most MOST_BYTES."""
-    try:
-        if data[:2] == b"\x1f\x8b" or len(data) > 1 and data[0] == 0x78 and (data[0] * 256 + data[1]) % 31 == 0:
-            kind, tool = ("gzip", zlib.decompressobj(47)) if data[0] == 0x1F else ("zlib", zlib.decompressobj())
-            out = tool.decompress(data, MOST_BYTES)
-            return None if tool.unconsumed_tail or not tool.eof else (kind, out)
-        for magic, kind, make in ((b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", "xz", lzma.LZMADecompressor)):
-            if data.startswith(magic):
-                tool = make()
-                out = tool.decompress(data, MOST_BYTES)
-                return (kind, out) if tool.eof else None
-        if data.startswith(b"\x28\xb5\x2f\xfd"):
-            import zstandard
-
-            with zstandard.ZstdDecompressor().stream_reader(data) as stream:
-                out = stream.read(MOST_BYTES)
-                return None if stream.read(1) else ("zstd", out)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-        return None
-    except Exception as error:  # the optional library's own error
-        if type(error).__name__ != "ZstdError":
-            raise
+class _Inflate:
+    """zlib with the interface of the other decompressors."""
+
+    def __init__(self) -> None:
+        self.tool, self.needs_input = zlib.decompressobj(47), True
+
+    eof = property(lambda self: self.tool.eof)
+    unused_data = property(lambda self: self.tool.unused_data)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        out = self.tool.decompress(self.tool.unconsumed_tail + data, most)
+        self.needs_input = not self.tool.unconsumed_tail and len(out) < most
+        return out
+
+
+class _Zstd:
+    """Zstandard likewise; of a frame that is cut off, what came is kept."""
+
+    def __init__(self) -> None:
+        import zstandard
+
+        self.tool, self.data, self.needs_input = zstandard.ZstdDecompressor().decompressobj(), b"", True
+
+    eof = property(lambda self: self.tool.eof)
+    unused_data = property(lambda self: self.tool.unused_data + self.data)
+
+    def decompress(self, data: bytes, most: int) -> bytes:
+        data = self.data + data
+        data, self.data = data[:ZSTD_SLICE], data[ZSTD_SLICE:]
+        out = self.tool.decompress(data)
+        self.needs_input = not self.data
+        return out
+
+
+def _tool(head: bytes):
+    """(name, decompressor) of the format that bytes begin with, or None."""
+    if head[:2] == b"\x1f\x8b":
+        return "gzip", _Inflate
+    if len(head) > 1 and head[0] == 0x78 and (head[0] * 256 + head[1]) % 31 == 0:
+        return "zlib", _Inflate
+    for magic, kind, make in ((b"BZh", "bzip2", bz2.BZ2Decompressor), (b"\xfd7zXZ\x00", "xz", lzma.LZMADecompressor), (b"\x28\xb5\x2f\xfd", "zstd", _Zstd)):
+        if head.startswith(magic):
+            return kind, make
     return None
 
 
+class Source:
+    """Bytes that can be read again and again in slices: held, or unpacked anew where they are many."""
+
+    def __init__(self, data: bytes | None, again: Callable[[], Iterator[bytes]] | None = None) -> None:
+        self.data, self.again = data, again
+
+    def __call__(self) -> Iterator[bytes]:
+        return self.again() if self.again else (self.data[i : i + SLICE] for i in range(0, len(self.data), SLICE))
+
+    def after(self, n: int) -> Source:
+        if self.data is not None:
+            return Source(self.data[n:])
+
+        def rest() -> Iterator[bytes]:
+            left = n
+            for x in self():
+                if len(x) > left:
+                    yield x[left:]
+                left = max(left - len(x), 0)
+
+        return Source(None, rest)
+
+
+class _Feed:
+    """The slices of a source, some of which may be given back; ``at`` counts the bytes taken."""
+
+    def __init__(self, source: Source) -> None:
+        self.slices, self.data, self.at = source(), b"", 0
+
+    def head(self) -> bytes:
+        while len(self.data) < 6 and (more := next(self.slices, b"")):
+            self.data += more
+        return self.data[:6]
+
+    def take(self) -> bytes:
+        out, self.data = self.data or next(self.slices, b""), b""
+        self.at += len(out)
+        return out
+
+    def back(self, data: bytes) -> None:
+        self.data, self.at = data + self.data, self.at - len(data)
+
+    def skip_zeros(self) -> None:
+        """Members may be padded."""
+        while self.head()[:1] == b"\0":
+            self.back(self.take().lstrip(b"\0"))
+
+
+def _member(feed: _Feed, make) -> Iterator[bytes]:
+    tool = make()
+    while not tool.eof:
+        data = feed.take() if tool.needs_input else b""
+        if tool.needs_input and not data:
+            if make is _Zstd:
+                return
+            raise EOFError
+        if out := tool.decompress(data, SLICE):
+            yield out
+    feed.back(tool.unused_data)
+
+
+def _members(source: Source, n: int) -> Iterator[bytes]:
+    feed = _Feed(source)
+    for _ in range(n):
+        yield from _member(feed, _tool(feed.head())[1])
+        feed.skip_zeros()
+
+
+def unpack(source: Source) -> tuple[str, Source, Source | None] | None:
+    """What the gzip, zlib, bzip2, xz or Zstandard members hold that a source begins with, one after the other, and what
+    follows the last whole one.  More than MOST_BYTES are not held, but unpacked again for each reader."""
+    feed, name, good, used, size, kept = _Feed(source), "", 0, 0, 0, []
+    while tool := _tool(feed.head()):
+        n, mine = 0, []
+        try:
+            for out in _member(feed, tool[1]):
+                n += len(out)
+                if size + n <= MOST_BYTES:
+                    mine.append(out)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
+            break
+        except Exception as error:  # the optional library's own error
+            if type(error).__name__ != "ZstdError":
+                raise
+            break
+        feed.skip_zeros()
+        name, good, used, size = name or tool[0], good + 1, feed.at, size + n
+        kept = [b"".join([*kept, *mine])] if size <= MOST_BYTES else []
+    if not good:
+        return None
+    rest = source.after(used)
+    inner = Source(b"".join(kept)) if size <= MOST_BYTES else Source(None, lambda: _members(source, good))
+    return name, inner, rest if next(rest(), b"") else None
+
+
 def _text(data: bytes) -> str | None:
     """Bytes that can be read: UTF-8 without control characters other than white space."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    return text if text and not re.search(r"[\x00-\x08\x0e-\x1f\x7f]", text) else None
+    return text if text and not _CONTROL.search(text) else None
+
+
+def _pieces(source: Source) -> Iterator[str]:
+    """The text of a long source in pieces of about PIECE characters.  They end with a character that is in no secret, escape
+    or base64 run, nor will be when others are decoded, so nothing stands in two pieces; without such a character, a piece
+    grows."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    for data in source():
+        text = decoder.decode(data)
+        if size + len(text) >= PIECE and (cut := len(text.rstrip(_INSIDE))):
+            yield "".join([*held, text[:cut]])
+            held, size, text = [], 0, text[cut:]
+        held.append(text)
+        size += len(text)
+    held.append(decoder.decode(b"", True))
+    yield "".join(held)
+
+
+def _readable(source: Source) -> bool:
+    decoder, some = codecs.getincrementaldecoder("utf-8")(), False
+    try:
+        for data in source():
+            text = decoder.decode(data)
+            some = some or bool(text)
+            if _CONTROL.search(text):
+                return False
+        decoder.decode(b"", True)
+    except UnicodeDecodeError:
+        return False
+    return some
 
 
 def _opened(layer: Layer) -> Iterator[Layer]:
@@ -144,23 +298,31 @@ def _opened(layer: Layer) -> Iterator[Layer]:
     at = 0
     while m := _BASE64.search(text, at):
         at = m.end()
-        if new := _encoded(layer, m.start(), at):
-            yield new
-        elif m[1]:  # the last line may be another text below the block
-            at = m.start() + len(m[1].rstrip("\r\n"))
-            if new := _encoded(layer, m.start(), at):
-                yield new
-
-
-def _encoded(layer: Layer, start: int, end: int) -> Layer | None:
-    """The layer that the base64 run holds, if it can be read."""
-    data, via = _bytes(layer.text[start:end]), (*layer.via, "base64")
-    while data and (inner := unpack(data)):
-        via, data = (*via, inner[0]), inner[1]
-        if len(via) > 1000:
-            break
-    inside = _text(data) if data else None
-    return None if inside is None else Layer(inside, layer.place(start, end), via)
+        found, whole = _encoded(layer, m.start(), at)
+        if m[1] and not whole:  # the last line may be another text below the block
+            end = m.start() + len(m[1].rstrip("\r\n"))
+            less, whole = _encoded(layer, m.start(), end)
+            if whole or not found:
+                found, at = less, end
+        for source, via, place in found:
+            for inside in (source.data.decode(),) if source.data is not None else _pieces(source):
+                yield Layer(inside, place, via, source.data is None)
+
+
+def _encoded(layer: Layer, start: int, end: int) -> tuple[list, bool]:
+    """The readable sources that the base64 run holds, with their ways and place, and whether all of it can be read."""
+    data, place, found, whole = _bytes(layer.text[start:end]), layer.place(start, end), [], True
+    todo = deque([(Source(data), (*layer.via, "base64"))] if data else [])
+    while todo:
+        source, via = todo.popleft()
+        if len(via) <= 1000 and (inner := unpack(source)):
+            todo.append((inner[1], (*via, inner[0])))
+            todo.extend([(inner[2], via)] if inner[2] else [])
+        elif _text(source.data) is not None if source.data is not None else _readable(source):
+            found.append((source, via, place))
+        else:
+            whole = False
+    return found, whole and bool(found)
 
 
 def _digest(data) -> bytes:
@@ -176,7 +338,12 @@ def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
     it was decoded from; of those found on several ways, the first stays.
     """
     found: dict[tuple[str, int, int], tuple[bool, str]] = {}
-    todo, seen = deque([Layer(text, None, ())]), set()
+    _work(Layer(text, None, ()), found, set())
+    return [(*k, *v) for k, v in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
+
+
+def _work(layer: Layer, found: dict, seen: set) -> None:
+    todo = deque([layer])
     while todo:
         layer = todo.popleft()
         for kind, start, end in find(layer.text):
@@ -185,8 +352,10 @@ def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
             key = (_digest(inner.text.encode()), inner.at if isinstance(inner.at, tuple) else _digest(array("q", chain.from_iterable(inner.at))))
             if key not in seen:
                 seen.add(key)
-                todo.append(inner)
-    return [(*k, *v) for k, v in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
+                if inner.piece:
+                    _work(inner, found, seen)
+                else:
+                    todo.append(inner)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_()), ("layers", pa.string())])
