@@ -320,7 +320,18 @@ def near_duplicate_questions(spark, sf):
 SELECT a.doc_id, arg_min(b.doc_id, (b.r - a.r + a.n) % a.n) AS partner FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
 def transplant_partner(spark, sf):
     """For every tenth document, the next one of another source in its language, around the end."""
-    d = table(spark, sf, "documents").where("doc_id % 10 = 0").select("doc_id", "lang", "source")
+    return _partners(table(spark, sf, "documents").where("doc_id % 10 = 0"))
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
+SELECT a.doc_id, arg_min(b.doc_id, (b.r - a.r + a.n) % a.n) AS partner FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
+def transplant_partners(spark, sf):
+    """For every document, the next one of another source in its language among all, around the end."""
+    return _partners(table(spark, sf, "documents"))
+
+
+def _partners(d):
+    d = d.select("doc_id", "lang", "source")
     # The next row of another source: the first row after the run of the document's own source, in the doubled ring.
     ring = d.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
     w = Window.partitionBy("lang").orderBy("lap", "doc_id")

@@ -103,9 +103,22 @@ q AS (SELECT doc_id, doc_id AS quote_id, substr({NORMAL.format("text")}, greates
 SELECT quote_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM (SELECT quote_id, first, last, min(last - first) OVER (PARTITION BY quote_id) AS m FROM q JOIN r USING (doc_id) WHERE contains(t, trim(q))) WHERE last - first = m""")
 def quote_binding(spark, sf):
     """The lines, or the shortest runs of them, that hold a passage from the middle of each tenth document."""
+    return _bound(table(spark, sf, "documents").where("doc_id % 10 = 0"))
+
+
+@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS o, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
+n AS (SELECT doc_id, o, {NORMAL.format("t")} AS t FROM l), r AS (SELECT doc_id, o AS first, o AS last, t FROM n UNION ALL SELECT a.doc_id, a.o, b.o, a.t || ' ' || b.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1
+ UNION ALL SELECT a.doc_id, a.o, c.o, a.t || ' ' || b.t || ' ' || c.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1 JOIN n c ON a.doc_id = c.doc_id AND c.o = a.o + 2),
+q AS (SELECT doc_id, doc_id AS quote_id, substr({NORMAL.format("text")}, greatest(length({NORMAL.format("text")}) // 2 - 30, 1), 60) AS q FROM documents)
+SELECT quote_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM (SELECT quote_id, first, last, min(last - first) OVER (PARTITION BY quote_id) AS m FROM q JOIN r USING (doc_id) WHERE contains(t, trim(q))) WHERE last - first = m""")
+def quote_bindings(spark, sf):
+    """The same for every document."""
+    return _bound(table(spark, sf, "documents"))
+
+
+def _bound(d):
     from ..functions import text as T
 
-    d = table(spark, sf, "documents").where("doc_id % 10 = 0")
     chunks = P.lines(d, "doc_id", "text").select(F.col("id").alias("document_id"), F.col("seq").alias("ordinal"), F.col("line").alias("text"))
     t = T.normalize("text")
     quote = F.substring(t, F.greatest(F.floor(F.length(t) / 2).cast("int") - 30, F.lit(1)), F.lit(60))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from attesto import plans
 from attesto.operators import experiments as X
 
 
@@ -83,3 +84,14 @@ def test_replacement_needs_a_partner(spark):
     other = spark.createDataFrame([(1, True), (3, True)], "id int, ok boolean")
     got = {r.id: r.ok for r in X.replaced(base, other, "id", F.col("refused"), ["ok"]).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_transplants_and_quotes_of_all_documents(spark, tmp_path):
+    docs = [(i, f"first line of {i}\nthe passage number {i} stands in the middle of it\nlast line", "de" if i % 5 == 3 else "en", "abc"[i * i % 7 % 3]) for i in range(1, 40)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for k, (i, _, lang, source) in enumerate(docs):
+        ring = docs[k + 1 :] + docs[:k]
+        want[i] = next(x[0] for x in ring if x[2] == lang and x[3] != source)
+    assert {r.doc_id: r.partner for r in plans.QUERIES["transplant_partners"](spark, str(tmp_path)).collect()} == want
+    assert {r.quote_id for r in plans.QUERIES["quote_bindings"](spark, str(tmp_path)).collect()} == set(want)
