@@ -98,6 +98,16 @@ def page_repeated_blocks(spark, sf):
     return P.repeated_blocks(x, "source", "doc_id", "b")
 
 
+@query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, unnest(regexp_split_to_array(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>')) AS b FROM pages),
+p AS (SELECT source, page_id, lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS block FROM h), t AS (SELECT source, count(DISTINCT page_id) AS pages FROM p GROUP BY source), n AS (SELECT source, block, count(DISTINCT page_id) AS n FROM p GROUP BY ALL)
+SELECT source, block, n FROM n JOIN t USING (source) WHERE block <> '' AND n >= greatest(2, (pages + 1) // 2)""")
+def site_repeated_blocks(spark, sf):
+    """Texts between tags that most pages of one host have."""
+    html = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
+    x = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("source"), "page_id", F.explode(F.split(html, "<[^>]+>", -1)).alias("b"))
+    return P.repeated_blocks(x, "source", "page_id", "b")
+
+
 @query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS s FROM documents)
 SELECT doc_id, CAST(len(list_filter(list_distinct(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || ' ' || s[i + 1]))), lambda w: w <> array_to_string(s, ' '))) AS INT) AS windows FROM s""")
 def line_windows(spark, sf):
@@ -108,8 +118,8 @@ def line_windows(spark, sf):
 
 @query()
 def sentence_windows(spark, sf):
-    """Windows of one and two sentences of benchmark passages."""
-    return table(spark, sf, "benchmark").select("item_id", F.posexplode(T.sentence_windows(T.sentences("text"))).alias("w", "text"))
+    """Windows of one and two sentences of documents."""
+    return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentence_windows(T.sentences("text"))).alias("w", "text"))
 
 
 @query()
@@ -316,6 +326,28 @@ def near_duplicate_questions(spark, sf):
     return p.where(j >= 0.08).select("a", "b", F.round(j, 6).alias("jaccard"))
 
 
+@query()
+def near_duplicate_docs(spark, sf):
+    """Pairs of documents with a word-set similarity of 0.8 or more."""
+    return _alike(table(spark, sf, "documents"))
+
+
+def _alike(docs):
+    """Similar sets share one of their first n - ceil(4 n / 5) + 1 words, rare ones first, and have similar sizes."""
+    w = F.array_distinct(F.regexp_extract_all(F.replace(T.fold("text"), F.lit("ё"), F.lit("е")), F.lit(T.WORD), F.lit(0)))
+    sets = docs.select("doc_id", w.alias("words"))
+    x = sets.select("doc_id", F.size("words").alias("n"), F.explode("words").alias("w"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "w"))
+    x = x.join(x.groupBy("w").agg(F.count("*").alias("df")), "w").withColumn("at", order)
+    x = x.where(F.col("at") <= F.col("n") - F.floor((4 * F.col("n") + 4) / 5) + 1)
+    sizes = 5 * F.least("x.n", "y.n") >= 4 * F.greatest("x.n", "y.n")
+    p = x.alias("x").join(x.alias("y"), (F.col("x.w") == F.col("y.w")) & (F.col("x.doc_id") < F.col("y.doc_id")) & sizes)
+    p = p.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    p = p.join(sets.select(F.col("doc_id").alias("a"), F.col("words").alias("u")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("words").alias("v")), "b")
+    p = p.withColumn("c", F.size(F.array_intersect("u", "v"))).withColumn("all", F.size("u") + F.size("v") - F.col("c"))
+    return p.where("5 * c >= 4 * all").select("a", "b", F.round(F.col("c") / F.col("all"), 6).alias("jaccard"))
+
+
 @query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents WHERE doc_id % 10 = 0)
 SELECT a.doc_id, arg_min(b.doc_id, (b.r - a.r + a.n) % a.n) AS partner FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
 def transplant_partner(spark, sf):

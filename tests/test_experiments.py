@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -95,3 +97,25 @@ def test_transplants_and_quotes_of_all_documents(spark, tmp_path):
         want[i] = next(x[0] for x in ring if x[2] == lang and x[3] != source)
     assert {r.doc_id: r.partner for r in plans.QUERIES["transplant_partners"](spark, str(tmp_path)).collect()} == want
     assert {r.quote_id for r in plans.QUERIES["quote_bindings"](spark, str(tmp_path)).collect()} == set(want)
+
+
+def test_near_duplicate_docs_by_brute_force(spark, tmp_path):
+    r = random.Random(3)
+    base = [[f"w{r.randint(0, 60)}" for _ in range(r.randint(1, 30))] for _ in range(12)]
+    texts = [" ".join(w if r.random() > 0.06 else f"x{r.randint(0, 9)}" for w in base[i % 12]) for i in range(120)] + ["", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: set(t.split()) for i, t in enumerate(texts) if t}
+    want = {(a, b, round(len(x & y) / len(x | y), 6)) for a, x in sets.items() for b, y in sets.items() if a < b and 5 * len(x & y) >= 4 * len(x | y)}
+    got = [tuple(x) for x in plans.QUERIES["near_duplicate_docs"](spark, str(tmp_path)).collect()]
+    assert len(want) > 50 and len(got) == len(want) and set(got) == want
+
+
+def test_sentence_windows_of_documents(spark, tmp_path):
+    spark.createDataFrame([(7, "One is here. Two is here.")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id for r in plans.QUERIES["sentence_windows"](spark, str(tmp_path)).collect()} == {7}
+
+
+def test_blocks_of_sites(spark, tmp_path):
+    pages = [(i, f"http://a.org/{i}", f"<p>Menu</p><script>var x;</script><p>text {i}</p>") for i in range(3)] + [(9, "http://b.org", "<p>Menu</p>")]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in plans.QUERIES["site_repeated_blocks"](spark, str(tmp_path)).collect()] == [("a.org", "menu", 3)]
