@@ -393,8 +393,8 @@ def unlabelled_documents(spark, sf):
 
 @query("SELECT conv_id, turn, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS latin, CASE WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' END AS script, coalesce(length(text) > 4000, false) AS too_long, regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:не|нет|not|no|never)(?:[^\\p{L}\\p{N}_]|$)') AS negated FROM conversations WHERE NOT regexp_matches(lower(text), '[а-яё]')")
 def turn_features(spark, sf):
-    """Script, length and negation of turns in Latin letters."""
-    t = table(spark, sf, "conversations").where(~F.lower("text").rlike("[а-яё]"))
+    """Script, length and negation of turns, also of those with Cyrillic letters that the SQL leaves out."""
+    t = table(spark, sf, "conversations")
     return t.select("conv_id", "turn", F.length(F.regexp_replace(F.lower("text"), "[^a-z]", "")).cast("long").alias("latin"), T.text_script("text").alias("script"), F.coalesce(T.question_problem("text") == "too_long", F.lit(False)).alias("too_long"), T.has_negation("text").alias("negated"))
 
 

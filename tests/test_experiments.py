@@ -119,3 +119,12 @@ def test_blocks_of_sites(spark, tmp_path):
     pages = [(i, f"http://a.org/{i}", f"<p>Menu</p><script>var x;</script><p>text {i}</p>") for i in range(3)] + [(9, "http://b.org", "<p>Menu</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert [tuple(r) for r in plans.QUERIES["site_repeated_blocks"](spark, str(tmp_path)).collect()] == [("a.org", "menu", 3)]
+
+
+def test_titles_and_turns_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(1, "# One title\r\ntext\r\n"), (2, "Two\ntext")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in plans.QUERIES["document_titles"](spark, str(tmp_path)).collect()} == {(1, "One title"), (2, "Two")}
+    turns = [(1, 0, "Это не так"), (1, 1, "да, yes sir"), (1, 2, "not so")]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r.turn: (r.latin, r.script, r.negated) for r in plans.QUERIES["turn_features"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, "ru", True), 1: (6, "en", False), 2: (5, "en", True)}
