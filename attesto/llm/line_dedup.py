@@ -86,7 +86,7 @@ def _added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Ite
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["part", "counts"])
 
 
-_TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("set", "<u4")])
+_TOKEN = np.dtype([("token", "<u8"), ("doc", "<i8"), ("line", "<u4"), ("n", "<u4"), ("at", "<u4"), ("set", "<u8")])
 _CLASS = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("line", "<u4")])
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
@@ -144,7 +144,7 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         tokens = np.zeros(len(at), dtype=_TOKEN)
         tokens["token"], tokens["at"] = h[np.repeat(first, length) + at], at
-        for field, column in (("doc", classes["doc"]), ("line", classes["line"]), ("n", n), ("set", (classes["k1"] >> _U(32)).astype(np.uint32))):
+        for field, column in (("doc", classes["doc"]), ("line", classes["line"]), ("n", n), ("set", classes["k1"])):
             tokens[field] = np.repeat(column, length)
         rows = [(0, 2, _blob(s[~earliest]))] if not earliest.all() else []
         for kind, records, key in ((0, tokens, tokens["token"]), (1, s[earliest], s["k1"][earliest])):

@@ -22,7 +22,7 @@ import zstandard
 
 import corpus_pipeline
 from attesto.llm import queries as Q
-from attesto.llm import secret_scan, toxicity
+from attesto.llm import line_dedup, secret_scan, toxicity
 from attesto.llm.components import connected_components
 from attesto.llm.decontaminate import contained_items
 from attesto.llm.encoders import PieceCounts, TokenIds
@@ -31,7 +31,7 @@ from attesto.llm.line_dedup import dedup_lines, repeated_lines
 from attesto.llm.near_dedup import near_duplicates
 from attesto.llm.packing import pack, pack_documents
 from attesto.llm.sharding import Conflict, ShardStore, plan
-from attesto.llm.shingles import shingle_set, utf8, words_of
+from attesto.llm.shingles import mix, shingle_set, utf8, words_of
 from attesto.llm.token_count import count_tokens
 from attesto.llm.token_store import Shard, pack_shard, read_tokens, write_tokens
 from attesto.llm.workspace import Workspace
@@ -157,6 +157,16 @@ def test_line_dedup(spark):
     assert [r.text for r in dedup_lines(spark, frame(spark, "a b", "a b", ids=[None, None])).collect()] == ["a b", "a b"]
 
 
+def test_lines_of_a_group_are_told_apart_by_whole_keys(monkeypatch):
+    # Keys whose upper 32 bits are nearly always the same: different lines of one size must stay candidates.
+    monkeypatch.setattr(line_dedup, "mix", lambda x: mix(x) & np.uint64(2**32 - 1))
+    same = " ".join(f"word{k}" for k in range(23))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(12), pa.int64()), pa.array([f"{same} own{d}" for d in range(12)])], names=["id", "text"])
+    dealt = list(line_dedup._deal(iter([batch]), np.zeros(line_dedup.COUNTERS, np.int64), 8, 75))
+    found = [r for b in line_dedup._matches(iter(dealt), 75) for r in b.to_pylist()]
+    assert {r["d1"] for r in found if r["kind"] == 0} == set(range(1, 12))
+
+
 def test_exact_duplicates(spark):
     long = prose(5, 3000)
     texts = corpus() + [long, long.replace(" ", "\n"), long + " ", long[:-1] + "q", "a b", "ab"]
