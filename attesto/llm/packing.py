@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .encoders import token_ids
-from .workspace import small_batches
+from .workspace import slices
 
 #: Context lengths, longest first.
 TIERS = (1024, 512, 256, 128)
@@ -116,7 +117,7 @@ def _pack(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> Ite
         for i in range(0, len(rows), 512):
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows[i : i + 512]), _SCHEMA)], schema=_SCHEMA)
 
-    for batch in batches:
+    for batch in slices(batches):
         for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = encode(text) + end
             docs.append((name, ids))
@@ -136,7 +137,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id:
     are those of the task's partition (times 2**40) plus a count.  Null and empty texts are ``end_id`` alone.
     Rows that repeat an id, or have none, are packed as documents of their own.  Other columns are not read.
     """
-    small_batches(spark)
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packed = rows.mapInArrow(lambda it: _pack(it, tokenizer, end_id), "id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, context int, step_group long")
     return packed.withColumnRenamed("id", id_col)

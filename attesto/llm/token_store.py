@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shipping import ship
 from .encoders import token_ids
 from .shingles import utf8
-from .workspace import small_batches
+from .workspace import slices
 
 #: A shard's file: magic, then as unsigned 64-bit integers the numbers of documents, ids, rules and symbols, the
 #: first nonterminal and the bytes of a symbol; then the arrays in the order of ``Shard``.
@@ -218,7 +219,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> It
         shard, ids, docs, held = shard + 1, [], [], 0
         return out
 
-    for batch in batches:
+    for batch in slices(batches):
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             x = encode.encode(text) + end
             if held and held + len(x) // 4 > SHARD_IDS:
@@ -232,7 +233,7 @@ def _write(batches: Iterator[pa.RecordBatch], tokenizer: str, end_id: int) -> It
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         for first, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
             shard = Shard(blob.as_buffer())
             ids, at = shard.all(), shard.starts.astype(np.int64)
@@ -253,7 +254,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     the number of ids before each shard.  Null texts are empty: their only id is ``end_id``.  A document longer than
     a shard is a shard of its own.
     """
-    small_batches(spark)
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")

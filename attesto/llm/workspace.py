@@ -1,4 +1,4 @@
-"""Where intermediate tables live, and joins whose broadcast side is size-checked.
+"""Where intermediate tables live, joins whose broadcast side is bounded, and batches of bounded size.
 
 Executors share no local folders, so intermediates go below ``spark.checkpoint.dir`` as Parquet: Spark's commit
 protocol makes a retried task harmless, and a lost executor takes no intermediate result with it.
@@ -7,24 +7,30 @@ protocol makes a retried task harmless, and a lost executor takes no intermediat
 from __future__ import annotations
 
 import atexit
-import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..shipping import ship
-
 #: Ids up to this many are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
+#: A group is hot if it has more rows than this share of what a task gets on average.
+HOT_SHARE = 0.1
+#: Rows and bytes that a Python worker handles at once.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 _opened: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests on one machine), a temporary one is made and set."""
+    """The cluster's shared folder.  Where none is set, a temporary one is made and set if driver and executors are one
+    process (as in tests); on a cluster that is an error, as executors wouldn't see each other's files."""
     where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="attesto-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -32,7 +38,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 class Workspace:
     """A folder of one run below the shared one.  Its tables are read lazily by what the run returns, so they are
-    removed when the application ends or by :func:`clean`."""
+    removed when the session stops or the application ends, or by :func:`clean`."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
@@ -42,10 +48,15 @@ class Workspace:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a reader of what was written: its lineage ends here."""
         df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
+        return self.read(name, df.schema)
+
+    def read(self, name: str, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
-    def drop(self, name: str) -> None:
-        remove(self.spark, f"{self.path}/{name}")
+    def drop(self, *names: str) -> None:
+        """Remove tables that nothing reads any more."""
+        for name in names:
+            remove(self.spark, f"{self.path}/{name}")
 
 
 def hadoop_fs(spark: SparkSession, path: str):
@@ -61,10 +72,11 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def clean() -> None:
-    """Remove the intermediate tables of all runs of this process; results not yet written then become unreadable."""
+    """Remove the intermediate tables of all runs of this process; results not yet written then become unreadable.  What
+    belongs to a session that has stopped can't be reached any more and is left to the owner of the folder."""
     while _opened:
         spark, path = _opened.pop()
-        with contextlib.suppress(Exception):  # the session may have been stopped
+        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
             remove(spark, path)
 
 
@@ -80,8 +92,36 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, docs[key].eqNullSafe(ids["__id"]), how)
 
 
-def small_batches(spark: SparkSession, records: int = 512) -> None:
-    """Hand Python workers few texts at a time: the default of 10,000 long texts doesn't fit an executor's memory."""
-    ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20)
+def fair_share(spark: SparkSession, rows: int) -> float:
+    """The rows of a group that make it hot: ``HOT_SHARE`` of what each of the shuffle's tasks gets on average."""
+    return HOT_SHARE * rows / int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner, left or left_semi) with one row per group, no task getting a hot group.
+
+    ``size`` is the column of ``groups`` that counts a group's rows; both tables are materialised.  Groups of more
+    rows than :func:`fair_share` are joined by broadcast: there are fewer of them than 1 / HOT_SHARE for each
+    partition of the shuffle, whatever the data.  The rows of all others are shuffled.
+    """
+    hot = F.col(size) > fair_share(rows.sparkSession, rows.count())
+    large = groups.where(hot)
+    if large.isEmpty():
+        return rows.join(groups, on, how)
+    some = rows.join(F.broadcast(large), on, "left_semi" if how == "left_semi" else "inner")
+    rest = rows.join(F.broadcast(large.select(*on)), on, "left_anti").join(groups.where(~hot), on, how)
+    return some.unionByName(rest)
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of few texts each: Spark's batches hold up to 10,000 rows or 64 MB, which a worker would
+    hold several times over as Python objects.  The session's settings stay as they are."""
+    for batch in batches:
+        at = 0
+        while at < batch.num_rows:
+            part = batch.slice(at, SLICE_ROWS)
+            while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+                part = part.slice(0, part.num_rows // 2)
+            yield part
+            at += part.num_rows
+
