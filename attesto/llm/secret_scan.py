@@ -12,15 +12,16 @@ import re
 import string
 import zlib
 from array import array
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from ..shipping import ship
+from .workspace import slices
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -28,10 +29,21 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
-_URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+_CONT = "%[89ABab][0-9A-Fa-f]"
+#: Escapes of whole UTF-8 characters: of a run with other bytes, the valid stretches are decoded.
+_URL = re.compile(
+    rf"(?:%[0-7][0-9A-Fa-f]|%(?:[Cc][2-9A-Fa-f]|[Dd][0-9A-Fa-f]){_CONT}"
+    rf"|%[Ee](?:0%[ABab][0-9A-Fa-f]|[1-9A-CEFa-cef]{_CONT}|[Dd]%[89][0-9A-Fa-f]){_CONT}"
+    rf"|%[Ff](?:0%[9ABab][0-9A-Fa-f]|[1-3]{_CONT}|4%8[0-9A-Fa-f]){_CONT}{_CONT})+"
+)
+_UNICODE = re.compile(
+    r"\\u([Dd][89ABab][0-9A-Fa-f]{2})\\u([Dd][C-Fc-f][0-9A-Fa-f]{2})"
+    r"|\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#[xX]([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});"
+)
 #: Full lines and a last one of any length, or 16 characters in one line.
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:((?:[A-Za-z0-9+/]{60,76}\r?\n)+)[A-Za-z0-9+/_-]+={0,2}|[A-Za-z0-9+/_-]{16,}={0,2})")
+#: What a run that can't be read whole is tried as: its stretches between / + - and _.
+_STRETCH = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 #: Characters of secrets, escapes and base64 runs.
 _INSIDE = string.ascii_letters + string.digits + "+/_.=-\"' :%\\{}&#;\r\n"
@@ -54,48 +66,84 @@ def find(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-class Layer:
-    """A decoded text; ``at`` has the place in the original of each of its characters, or one place for all.  A ``piece``
-    is one of many, to be dealt with before the next is made."""
+class Places:
+    """Where the characters of a layer stand in the original, as runs: run i begins at character first[i] and stands at
+    start[i] to end[i], its characters one by one (single[i]) or each of them at the whole of it."""
+
+    def __init__(self) -> None:
+        self.first, self.start, self.end, self.single = array("q"), array("q"), array("q"), bytearray()
+
+    @classmethod
+    def of(cls, start: int, end: int, single: bool) -> Places:
+        out = cls()
+        out.add(0, start, end, single)
+        return out
+
+    def add(self, first: int, start: int, end: int, single: bool) -> None:
+        self.first.append(first)
+        self.start.append(start)
+        self.end.append(end)
+        self.single.append(single)
+
+    def place(self, a: int, b: int) -> tuple[int, int]:
+        """Where the characters a to b stand."""
+        i, j = bisect_right(self.first, a) - 1, bisect_right(self.first, b - 1) - 1
+        start = self.start[i] + a - self.first[i] if self.single[i] else self.start[i]
+        return start, self.start[j] + b - self.first[j] if self.single[j] else self.end[j]
+
+    def copy(self, a: int, b: int, out: Places, at: int) -> None:
+        """Add the runs of the characters a to b to ``out``, from its character ``at`` on."""
+        i = bisect_right(self.first, a) - 1
+        while a < b:
+            stop = min(b, self.first[i + 1]) if i + 1 < len(self.first) else b
+            shift = a - self.first[i]
+            if self.single[i]:
+                out.add(at, self.start[i] + shift, self.start[i] + shift + stop - a, True)
+            else:
+                out.add(at, self.start[i], self.end[i], False)
+            at, a, i = at + stop - a, stop, i + 1
+
+    def digest(self) -> bytes:
+        return _digest(b"".join((self.first.tobytes(), self.start.tobytes(), self.end.tobytes(), self.single)))
+
 
-    def __init__(self, text: str, at: list[tuple[int, int]] | tuple[int, int] | None, via: tuple[str, ...], piece: bool = False) -> None:
-        self.text, self.at, self.via, self.piece = text, at, via, piece
+class Layer:
+    """A decoded text with its places.  A ``piece`` is one of many, to be dealt with before the next is made."""
 
-    def place(self, start: int, end: int) -> tuple[int, int]:
-        if self.at is None:
-            return start, end
-        if isinstance(self.at, tuple):
-            return self.at
-        return self.at[start][0], self.at[end - 1][1]
+    def __init__(self, text: str, places: Places, via: tuple[str, ...], piece: bool = False) -> None:
+        self.text, self.places, self.via, self.piece = text, places, via, piece
 
 
-def _replaced(layer: Layer, pattern: re.Pattern, decode, via: str) -> Layer | None:
+def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], str | None], via: str) -> Layer | None:
     """The layer with the matches decoded where they stand, or None if nothing changes."""
-    parts, places, last, changed = [], [], 0, False
+    parts, places, last, size = [], Places(), 0, 0
+
+    def keep(stop: int) -> None:
+        nonlocal last, size
+        layer.places.copy(last, stop, places, size)
+        parts.append(layer.text[last:stop])
+        last, size = stop, size + stop - last
+
     for m in pattern.finditer(layer.text):
-        new = decode(m)
-        if new is None:
-            continue
-        changed = True
-        parts += [layer.text[last : m.start()], new]
-        places += [layer.place(i, i + 1) for i in range(last, m.start())] + [layer.place(m.start(), m.end())] * len(new)
-        last = m.end()
-    if not changed:
+        if (new := decode(m)) is not None:
+            keep(m.start())
+            places.add(size, *layer.places.place(m.start(), m.end()), False)
+            parts.append(new)
+            last, size = m.end(), size + len(new)
+    if not parts:
         return None
-    places += [layer.place(i, i + 1) for i in range(last, len(layer.text))]
-    return Layer("".join([*parts, layer.text[last:]]), places, (*layer.via, via))
+    keep(len(layer.text))
+    return Layer("".join(parts), places, (*layer.via, via))
 
 
-def _url(m: re.Match) -> str | None:
-    try:
-        return bytes.fromhex(m[0].replace("%", "")).decode()
-    except UnicodeDecodeError:
-        return None
+def _url(m: re.Match) -> str:
+    return bytes.fromhex(m[0].replace("%", "")).decode()
 
 
 def _unicode(m: re.Match) -> str | None:
-    digits = next(x for x in m.groups()[:5] if x) if not m[6] else None
-    n = int(m[6]) if m[6] else int(digits, 16)
+    if m[1]:
+        return chr(0x10000 + ((int(m[1], 16) - 0xD800) << 10) + int(m[2], 16) - 0xDC00)
+    n = int(m[8]) if m[8] else int(next(x for x in m.groups()[2:7] if x), 16)
     return chr(n) if 0 < n < 0x110000 and not 0xD800 <= n < 0xE000 else None
 
 
@@ -164,6 +212,12 @@ class Source:
     def __call__(self) -> Iterator[bytes]:
         return self.again() if self.again else (self.data[i : i + SLICE] for i in range(0, len(self.data), SLICE))
 
+    def digest(self) -> bytes:
+        out = hashlib.blake2b(digest_size=16)
+        for x in self():
+            out.update(x)
+        return out.digest()
+
     def after(self, n: int) -> Source:
         if self.data is not None:
             return Source(self.data[n:])
@@ -304,21 +358,31 @@ def _opened(layer: Layer) -> Iterator[Layer]:
             less, whole = _encoded(layer, m.start(), end)
             if whole or not found:
                 found, at = less, end
+        if not found and not m[1]:
+            for part in _STRETCH.finditer(text, m.start(), at):
+                if part.span() != m.span():
+                    found += _encoded(layer, *part.span())[0]
         for source, via, place in found:
             for inside in (source.data.decode(),) if source.data is not None else _pieces(source):
-                yield Layer(inside, place, via, source.data is None)
+                yield Layer(inside, Places.of(*place, False), via, source.data is None)
 
 
 def _encoded(layer: Layer, start: int, end: int) -> tuple[list, bool]:
-    """The readable sources that the base64 run holds, with their ways and place, and whether all of it can be read."""
-    data, place, found, whole = _bytes(layer.text[start:end]), layer.place(start, end), [], True
-    todo = deque([(Source(data), (*layer.via, "base64"))] if data else [])
+    """The readable sources that the base64 run holds, with their ways and place, and whether all of it can be read.
+    Compressed bytes that were opened before on the way aren't opened again, so those that unpack to themselves end."""
+    data, place, found, whole = _bytes(layer.text[start:end]), layer.places.place(start, end), [], True
+    todo, seen = deque([(Source(data), (*layer.via, "base64"))] if data else []), set()
     while todo:
         source, via = todo.popleft()
-        if len(via) <= 1000 and (inner := unpack(source)):
-            todo.append((inner[1], (*via, inner[0])))
-            todo.extend([(inner[2], via)] if inner[2] else [])
-        elif _text(source.data) is not None if source.data is not None else _readable(source):
+        if _tool(next(source(), b"")[:6]):
+            if (key := source.digest()) in seen:
+                continue
+            seen.add(key)
+            if inner := unpack(source):
+                todo.append((inner[1], (*via, inner[0])))
+                todo.extend([(inner[2], via)] if inner[2] else [])
+                continue
+        if _text(source.data) is not None if source.data is not None else _readable(source):
             found.append((source, via, place))
         else:
             whole = False
@@ -334,11 +398,11 @@ def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
 
     A worklist opens each layer's URL and Unicode escapes (where they stand) and base64 runs, with what compressed
     bytes inside hold, and scans what comes out, until nothing new comes out.  A layer whose text and place were
-    seen before isn't opened again, so cycles end.  A secret of an inner layer has the place of the characters that
+    seen before isn't opened again, so cycles end; nothing else ends the search, neither depth nor size.  A secret of an inner layer has the place of the characters that
     it was decoded from; of those found on several ways, the first stays.
     """
     found: dict[tuple[str, int, int], tuple[bool, str]] = {}
-    _work(Layer(text, None, ()), found, set())
+    _work(Layer(text, Places.of(0, len(text), True), ()), found, set())
     return [(*k, *v) for k, v in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
 
 
@@ -347,9 +411,9 @@ def _work(layer: Layer, found: dict, seen: set) -> None:
     while todo:
         layer = todo.popleft()
         for kind, start, end in find(layer.text):
-            found.setdefault((kind, *layer.place(start, end)), (not layer.via, ">".join(layer.via)))
+            found.setdefault((kind, *layer.places.place(start, end)), (not layer.via, ">".join(layer.via)))
         for inner in _opened(layer):
-            key = (_digest(inner.text.encode()), inner.at if isinstance(inner.at, tuple) else _digest(array("q", chain.from_iterable(inner.at))))
+            key = (_digest(inner.text.encode()), inner.places.digest())
             if key not in seen:
                 seen.add(key)
                 if inner.piece:
@@ -363,7 +427,7 @@ _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int6
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [f.name for f in _SPAN]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [[dict(zip(names, x)) for x in scan(text)] for text in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(_SPAN))], names=["id", "spans"])
 
@@ -375,6 +439,6 @@ def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", t
     and empty texts have no spans; rows that repeat an id are scanned each.  Rows stay where they are read.  Other
     columns are not read.
     """
-    small_batches(spark)
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     return rows.mapInArrow(_scan, "id long, spans array<struct<kind:string,start:long,end:long,base:boolean,layers:string>>").withColumnRenamed("id", id_col)
