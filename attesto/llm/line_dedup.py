@@ -6,11 +6,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from .shingles import _SHINGLE, STEP, WORDS, _hash, _long_words, mix, shingle_set, utf8
-from .workspace import BROADCAST_IDS, Workspace, small_batches
+from .workspace import BROADCAST_IDS, Workspace, slices
 
 _U = np.uint64
 #: Counters of the rarity table: 1 MB, whatever the number of lines.  Tokens that share a counter share its count;
@@ -19,6 +21,9 @@ COUNTERS = 1 << 17
 #: Groups of one token up to this size give all their pairs; larger ones first pair each member with the LEADERS
 #: earliest, and then only members that found no match with the others.
 GROUP, LEADERS = 32, 8
+#: A bucket gets about so many shingles of the corpus, or fewer; a token whose counter lies more than HOT_TOKEN above the
+#: mean is dealt to as many blocks as bring each below that, so what a task holds doesn't grow with the corpus or a token.
+BUCKET_SHINGLES, HOT_TOKEN = 1 << 24, 1 << 22
 #: Shingles gathered by a task before it hands them on.
 CHUNK = 1 << 20
 
@@ -69,7 +74,7 @@ def line_shingles(data: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.nda
 
 def _rarity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts = np.zeros(COUNTERS, dtype=np.int64)
-    for batch in batches:
+    for batch in slices(batches):
         data, offsets = utf8(batch.column(1))
         if offsets[-1] > offsets[0]:
             for h, _ in line_shingles(data, line_bounds(data, offsets)[0]):
@@ -111,11 +116,11 @@ def _records(blobs: list, kind: np.dtype) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Blobs of prefix tokens (kind 0) and of classes (1) by bucket, and of lines that an earlier line of the same
-    chunk equals (2)."""
+def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, percent: int, hot: int = HOT_TOKEN) -> Iterator[pa.RecordBatch]:
+    """Blobs of prefix tokens (kind 0; 3 for blocks of hot ones) and of classes (1) by bucket, and of lines that an
+    earlier line of the same chunk equals (2)."""
     held: list[tuple] = []
-    total = 0
+    total, mean = 0, int(rarity.mean())
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held, total
@@ -147,7 +152,12 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         for field, column in (("doc", classes["doc"]), ("line", classes["line"]), ("n", n), ("set", classes["k1"])):
             tokens[field] = np.repeat(column, length)
         rows = [(0, 2, _blob(s[~earliest]))] if not earliest.all() else []
-        for kind, records, key in ((0, tokens, tokens["token"]), (1, s[earliest], s["k1"][earliest])):
+        above = np.maximum(rarity[(tokens["token"] & _U(COUNTERS - 1)).astype(np.int64)] - mean, 1)
+        blocks = (-(-above // hot)).astype(_U)
+        split = blocks > 1
+        block = mix(tokens["doc"].astype(_U) * _U(_SHINGLE) + tokens["line"]) % blocks
+        parts = ((0, tokens[~split], tokens["token"][~split]), (3, tokens[split], mix(tokens["token"] + block)[split]), (1, s[earliest], s["k1"][earliest]))
+        for kind, records, key in parts:
             bucket = ((key >> _U(33)) % _U(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
@@ -155,7 +165,7 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t.type) for i, t in enumerate(_BLOBS)], schema=_BLOBS)
 
     base = 0
-    for batch in batches:
+    for batch in slices(batches):
         data, offsets = utf8(batch.column(1))
         if offsets[-1] == offsets[0]:
             continue
@@ -179,7 +189,7 @@ _FOUND_SQL = "kind int, token long, d1 long, l1 long, n1 long, p1 long, d2 long,
 
 def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each bucket: lines that equal an earlier one (kind 2), candidates of a line and an earlier one (0), and
-    the members of large groups (4)."""
+    the members of large groups and of blocks (4)."""
     blobs: dict[tuple[int, int], list] = {}
     for batch in batches:
         for bucket, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
@@ -203,11 +213,12 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             yield from rows(2, None, s["doc"][1:][later], s["line"][1:][later])
         else:
             s = _records(parts, _TOKEN)
-            s = s[np.argsort(s["token"], kind="stable")]
-            twice = np.zeros(len(s), dtype=bool)
-            twice[1:] = s["token"][1:] == s["token"][:-1]
-            twice[:-1] |= twice[1:]
-            s = s[twice]
+            if kind == 0:
+                s = s[np.argsort(s["token"], kind="stable")]
+                twice = np.zeros(len(s), dtype=bool)
+                twice[1:] = s["token"][1:] == s["token"][:-1]
+                twice[:-1] |= twice[1:]
+                s = s[twice]
             s = s[np.lexsort((s["line"], s["doc"], s["n"], s["set"], s["token"]))]
             one = np.ones(len(s), dtype=bool)  # the earliest of lines with the same set
             one[1:] = (s["token"][1:] != s["token"][:-1]) | (s["set"][1:] != s["set"][:-1]) | (s["n"][1:] != s["n"][:-1])
@@ -230,7 +241,7 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             if seen:
                 pairs = np.unique(np.concatenate(seen), axis=0)
                 yield from rows(0, None, pairs[:, 0], pairs[:, 1], None, None, pairs[:, 2], pairs[:, 3])
-            hot = s[group > GROUP]
+            hot = s[group > GROUP] if kind == 0 else s
             if len(hot):
                 yield from rows(4, hot["token"].view(np.int64), hot["doc"], hot["line"], hot["n"], hot["at"])
 
@@ -238,13 +249,13 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sets of the lines named beside each text."""
     schema = pa.schema([("d", pa.int64()), ("l", pa.int64()), ("s", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         data, offsets = utf8(batch.column(1))
         if offsets[-1] == offsets[0]:
             continue
         bounds, doc, number = line_bounds(data, offsets)
         wanted = batch.column(2)
-        size = np.diff(wanted.offsets.to_numpy())
+        size = pc.list_value_length(wanted).to_numpy(zero_copy_only=False)
         asked = np.repeat(np.arange(len(size)), size) << 40 | wanted.flatten().to_numpy(zero_copy_only=False)
         need = np.isin(doc << 40 | number, asked)
         part = list(line_shingles(data, bounds))
@@ -266,7 +277,7 @@ def _line_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             p, q = np.frombuffer(x, _U), np.frombuffer(y, _U)
@@ -275,20 +286,24 @@ def _similar(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
+def _few(lists: DataFrame, column: str) -> bool:
+    """Whether a table of lists is small enough to be broadcast: by all its entries, not by its rows."""
+    return lists.agg(F.coalesce(F.sum(F.size(column) + 1), F.lit(0))).first()[0] <= BROADCAST_IDS
+
+
 def _verified(ws: Workspace, name: str, texts: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The later lines (d, l) of those of the pairs that are similar, by their whole sets."""
     pairs = ws.save(pairs, f"{name}-pairs")
     ends = F.explode(F.array(F.struct(F.col("d1").alias("d"), F.col("l1").alias("l")), F.struct(F.col("d2").alias("d"), F.col("l2").alias("l"))))
     needed = ws.save(pairs.select(ends.alias("x")).groupBy(F.col("x.d").alias("pid")).agg(F.collect_set("x.l").alias("lines")), f"{name}-needed")
-    few = needed.agg(F.coalesce(F.sum(F.size("lines") + 1), F.lit(0))).first()[0] <= BROADCAST_IDS
-    asked = texts.join(F.broadcast(needed) if few else needed, F.col("id") == F.col("pid")).select("id", "text", "lines")
+    asked = texts.join(F.broadcast(needed) if _few(needed, "lines") else needed, F.col("id") == F.col("pid")).select("id", "text", "lines")
     sets = ws.save(asked.mapInArrow(_line_sets, "d long, l long, s binary"), f"{name}-sets")
     a, b = sets.select(F.col("d").alias("d1"), F.col("l").alias("l1"), F.col("s").alias("s1")), sets.select(F.col("d").alias("d2"), F.col("l").alias("l2"), F.col("s").alias("s2"))
     full = pairs.join(a, ["d1", "l1"]).join(b, ["d2", "l2"]).select(F.col("d1").alias("d"), F.col("l1").alias("l"), "s1", "s2")
     return ws.save(full.mapInArrow(lambda it: _similar(it, percent), "d long, l long").distinct(), f"{name}-lines")
 
 
-def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT_TOKEN) -> DataFrame:
     """Rows (``id_col``, line): the lines, counted from 0 in their text, that come after a line (by id, then line) whose
     set of five-word shingles is the same or has a Jaccard similarity of ``percent`` of 100 or more with theirs.
 
@@ -296,25 +311,28 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_c
     of each, so copies of a common line don't travel.  Classes that are similar share a token among the first
     n - ceil(percent * n / 100) + 1; those are dealt by token, in blocks.  Candidates pass the length and positional
     filters and are verified on whole sets.  In groups of one token beyond GROUP classes, each is held against the
-    earliest LEADERS first; those without a match are then held against all earlier ones.
+    earliest LEADERS first; those without a match are then held against all earlier ones.  A token that occurs more
+    than ``hot`` times is dealt to blocks of lines, each with leaders of its own; what no line of the block removes is
+    held against the earlier lines of all blocks, in a join that Spark can split.
     Lines without words are never removed.  Rows with a null id take no part.  Rows that repeat an id are one
     document to the order, so equal lines of them, at the same place, stay.
     """
     ws = Workspace(spark, "line-dedup")
-    small_batches(spark)
+    ship(spark)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("id is not null")
     counts = texts.mapInArrow(_rarity, "part int, counts binary").groupBy("part").applyInArrow(_added, "part int, counts binary")
     rarity = np.concatenate([np.frombuffer(r["counts"], np.int64) for r in counts.orderBy("part").collect()] or [np.zeros(COUNTERS, np.int64)])
     shared = spark.sparkContext.broadcast(np.minimum(rarity, 2**31 - 1).astype(np.int32))  # COUNTERS numbers
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = texts.mapInArrow(lambda it: _deal(it, shared.value, buckets, percent), "bucket int, kind int, blob binary")
+    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rarity.sum()) // BUCKET_SHINGLES))
+    dealt = texts.mapInArrow(lambda it: _deal(it, shared.value, buckets, percent, hot), "bucket int, kind int, blob binary")
     found = ws.save(dealt.repartition(buckets, "bucket").mapInArrow(lambda it: _matches(it, percent), _FOUND_SQL), "found")
     equal = found.where("kind = 2").select(F.col("d1").alias("d"), F.col("l1").alias("l"))
     pairs = found.where("kind = 0").select("d1", "l1", "d2", "l2").distinct()
     near = _verified(ws, "near", texts, pairs, percent)
 
     members = found.where("kind = 4").select("token", "d1", "l1", "n1", "p1")
-    alone = members.join(near, (F.col("d1") == F.col("d")) & (F.col("l1") == F.col("l")), "left_anti")
+    # Lines that are known to go needn't be held against more.
+    alone = members.join(near.union(equal), (F.col("d1") == F.col("d")) & (F.col("l1") == F.col("l")), "left_anti")
     other = members.select(F.col("token").alias("same"), F.col("d1").alias("d2"), F.col("l1").alias("l2"), F.col("n1").alias("n2"), F.col("p1").alias("p2"))
     later = (F.col("d1") > F.col("d2")) | ((F.col("d1") == F.col("d2")) & (F.col("l1") > F.col("l2")))
     close = 100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")
@@ -333,7 +351,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col:
     gone = repeated_lines(spark, docs, percent, id_col, text_col)
     gone = ws.save(gone.groupBy(F.col(id_col).alias("gid")).agg(F.collect_set("line").alias("gone")), "gone")
     rows = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
-    few = gone.count() <= BROADCAST_IDS // 8
-    joined = rows.join(F.broadcast(gone) if few else gone, F.col("id") == F.col("gid"), "left")
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i.cast("long"))))
-    return joined.select(F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size(kept)).cast("long").alias("n_removed"), F.array_join(kept, "\n").alias("text"))
+    joined = rows.join(F.broadcast(gone) if _few(gone, "gone") else gone, F.col("id") == F.col("gid"), "left")
+    # What stands between two removed lines is one slice, so the work is linear in a text's lines.
+    bounds = F.concat(F.array(F.lit(-1)), F.transform(F.array_sort("gone"), lambda x: x.cast("int")), F.array(F.size("lines")))
+    between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", bounds[k] + 2, bounds[k + 1] - bounds[k] - 1))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.flatten(between))
+    x = joined.select("id", "lines", kept.alias("kept"))
+    return x.select(
+        F.col("id").alias(id_col), F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size("kept")).cast("long").alias("n_removed"), F.array_join("kept", "\n").alias("text"),
+    )
