@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
+from ..shipping import ship
 from .components import connected_components
 from .shingles import mix, shingle_set, utf8, words_of
-from .workspace import BROADCAST_IDS, Workspace, small_batches
+from .workspace import BROADCAST_IDS, Workspace, fair_share, join_groups, slices
 
 HASHES, ROWS, BITS = 128, 4, 2
 BANDS = HASHES // ROWS
@@ -22,7 +22,12 @@ _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 #: Candidates whose estimate is below threshold - SLACK are not compared.  0.23 is five standard deviations of the
 #: estimate at a similarity of 0.75, so a true pair is lost with a probability below 1e-6.
 SLACK = 0.23
-_SIGNED = T.StructType([T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType()))])
+#: Members of a bucket that are compared in one task: outsiders, and those they are held against.
+X_BLOCK, Y_BLOCK = 256, 1 << 16
+_SIGNED = T.StructType([
+    T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType())),
+])
 
 
 def minima(shingles: np.ndarray) -> np.ndarray:
@@ -52,7 +57,7 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import hashlib
 
     schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.list_(pa.int64()))])
-    for batch in batches:
+    for batch in slices(batches):
         n, keys, bands, sigs = [], [], [], []
         for words in words_of(*utf8(batch.column(1))):
             s = shingle_set(words)
@@ -71,19 +76,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
-    for batch in batches:
+    for batch in slices(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingle_set(w).tobytes() for w in words_of(*utf8(batch.column(1)))], pa.binary())], schema=schema)
 
 
 def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int32()))])
-    for batch in batches:
+    for batch in slices(batches):
         sets = [np.unique(shingle_set(w).astype(np.uint32)).view(np.int32) for w in words_of(*utf8(batch.column(1)))]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], schema=schema)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keep = []
         for x, y in zip(batch.column(2), batch.column(3)):
             p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
@@ -104,6 +109,21 @@ def similarity(a: str, b: str) -> Column:
     return ((1 - wrong / HASHES) - chance) / (1 - chance)
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str) -> DataFrame:
+    """The pairs with the set of one of their ends.  An end of very many pairs, as the centre of a large group is, has
+    its set copied to several tasks, which share its pairs."""
+    fair = fair_share(pairs.sparkSession, pairs.count())
+    hot = pairs.groupBy(end).agg(F.count("*").alias("n")).where(F.col("n") > fair).select(end, F.ceil(F.col("n") / max(fair, 1)).alias("parts"))
+    sets = sets.select(F.col("id").alias(end), F.col("s").alias(name))
+    if hot.isEmpty():
+        return pairs.join(sets, end)
+    hot = F.broadcast(hot)  # each has its share of the pairs, so there are few
+    part = F.pmod(F.xxhash64("a", "b"), F.coalesce("parts", F.lit(1).cast("long")))
+    left = pairs.join(hot, end, "left").withColumn("part", part).drop("parts")
+    right = sets.join(hot, end, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    return left.join(right, [end, "part"]).drop("part")
+
+
 def _confirmed(ws: Workspace, name: str, docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets reach the similarity.  Only texts that take part are read
     again; their ids are broadcast if counted to be few."""
@@ -112,12 +132,67 @@ def _confirmed(ws: Workspace, name: str, docs: DataFrame, pairs: DataFrame, perc
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
     sets = ws.save(texts.mapInArrow(_sets, "id long, s binary"), f"{name}-sets")
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), "a").join(sets.select(F.col("id").alias("b"), F.col("s").alias("s2")), "b").select("a", "b", "s1", "s2")
+    both = _with_sets(_with_sets(pairs, sets, "a", "s1"), sets, "b", "s2").select("a", "b", "s1", "s2")
     out = ws.save(both.mapInArrow(lambda it: _verify(it, percent), "a long, b long"), f"{name}-links")
-    ws.drop(f"{name}-sets")
+    ws.drop(f"{name}-pairs", f"{name}-ids", f"{name}-sets")
     return out
 
 
+def _in_blocks(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the comparison inside buckets with the blocks (xb, yb) that they meet in: of a bucket, each task
+    holds a block of one side against a block of the other, however large the bucket is."""
+    sizes = x.groupBy("bucket").agg(F.ceil(F.count("*") / X_BLOCK).alias("kx")).join(y.groupBy("bucket").agg(F.ceil(F.count("*") / Y_BLOCK).alias("ky")), "bucket")
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
+    own = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(k))
+    x = x.join(sizes, "bucket").withColumn("xb", own("kx")).withColumn("yb", every("ky")).drop("kx", "ky")
+    y = y.join(sizes, "bucket").withColumn("yb", own("ky")).withColumn("xb", every("kx")).drop("kx", "ky")
+    return x, y
+
+
+def _across(ws: Workspace, docs: DataFrame, classes: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) between different components inside buckets; None if every bucket holds one component.
+
+    A bucket's members outside its main component are held against all its members of other components.  Signatures
+    alone tell first which members have a likely partner at all; only these get their sets.  Sets are compared inside
+    the join, in the first bucket that two members share, so pairs come out only if they link.
+    """
+    now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
+    parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("bucket", "main")
+    signatures = classes.select(F.col("rep").alias("id"), "sig")
+    open_ = ws.save(now.join(mixed, "bucket").join(signatures, "id"), "open")
+    if open_.isEmpty():
+        return None
+    meet = (F.col("bucket1") == F.col("bucket2")) & (F.col("xb1") == F.col("xb2")) & (F.col("yb1") == F.col("yb2"))
+    other = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("id1") > F.col("id2")))
+    alike = similarity("sig1", "sig2") >= percent / 100 - SLACK
+    named = lambda df, k: df.select(*(F.col(c).alias(f"{c}{k}") for c in df.columns))
+
+    def found(df: DataFrame, k: int) -> DataFrame:
+        return df.select(*(F.col(f"{c}{k}").alias(c) for c in open_.columns)).distinct()
+
+    x, y = _in_blocks(open_.where("root <> main"), open_)
+    one = meet & F.when(other, alike).eqNullSafe(F.lit(True))
+    x = ws.save(found(named(x, 1).join(named(y, 2), one, "left_semi"), 1), "outside")
+    if x.isEmpty():
+        return None
+    bx, by = _in_blocks(x, open_)
+    y = ws.save(found(named(by, 2).join(named(bx, 1), one, "left_semi"), 2), "inside")
+    ids = ws.save(x.select(F.col("id").alias("pid")).union(y.select("id")).distinct(), "open-ids")
+    few = ids.count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
+    more = classes.select(F.col("rep").alias("id"), F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands"))
+    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s array<int>").join(more, "id"), "open-sets")
+    x, y = _in_blocks(x, y)
+    # Half a band's key: two that differ agree in it with a probability of 2e-10.
+    first = F.coalesce(*(F.when(F.col("bands1")[i] == F.col("bands2")[i], F.col("bands1")[i]) for i in range(BANDS)))
+    both = F.size(F.array_intersect("s1", "s2"))
+    near = 100 * both >= (percent - 1) * (F.size("s1") + F.size("s2") - both)  # sets of 32-bit hashes may differ by a collision
+    whole = meet & F.when(other, F.when(alike, F.when(first == F.shiftright("bucket1", 32).cast("int"), near))).eqNullSafe(F.lit(True))
+    pairs = named(x.join(sets, "id"), 1).join(named(y.join(sets, "id"), 2), whole)
+    return _confirmed(ws, "cross", docs, pairs.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct(), percent)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id, kept.
 
@@ -130,24 +205,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     * In each bucket every class is first paired with the smallest id only.  Candidates that the corrected bit count
       doesn't exclude are compared by their full sets, then joined to components.  Buckets which hold a single
       component are done, however large; in the others, members outside of the bucket's main component are held
-      against all members of other components, inside the join.  So no bucket emits its pairs, and no link between
-      different components that share a bucket is lost.
+      against all members of other components, block by block, inside the join.  So no bucket emits its pairs or
+      meets in one task, and no link between different components that share a bucket is lost.
 
     Null or empty texts have an empty set and are linked with nothing.  Rows with a null id come out with a null
     component_id, kept.  Rows that repeat an id count as further texts of that document.  Other columns are not read.
     """
     ws = Workspace(spark, "near-dedup")
-    small_batches(spark)
+    ship(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     signed = ws.save(docs.mapInArrow(_sign, _SIGNED), "signed")
     some = signed.where("set_key is not null and id is not null")
     # Of a class, any signature will do: they are the same.
-    classes = ws.save(some.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "classes")
+    classes = some.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
+    classes = ws.save(classes, "classes")
 
-    bucket = Window.partitionBy("bucket")
-    members = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
-    members = members.withColumn("centre", F.min("id").over(bucket)).withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size")
-    members = ws.save(members, "members")
+    banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    heads = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = ws.save(banded.join(heads, "bucket"), "members")
     signatures = classes.select(F.col("rep").alias("id"), "sig")
 
     def likely(pairs: DataFrame) -> DataFrame:
@@ -157,30 +232,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     stars = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = _confirmed(ws, "star", docs, likely(stars), percent)
     roots = ws.save(connected_components(ws, links, "star-cc"), "star-roots")
-
-    # Buckets that still hold several components.  Their comparison is part of the join: a pair is looked at in the
-    # first bucket that it shares, by signatures, then by sets of 32-bit hashes, and comes out only if it links.
-    now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    mixed = now.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("bucket", "main")
-    open_ = ws.save(now.join(mixed, "bucket"), "open")
-    ids = ws.save(open_.select(F.col("id").alias("pid")).distinct(), "open-ids")
-    few = ids.count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
-    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s array<int>"), "open-sets")
-    full = open_.join(classes.select(F.col("rep").alias("id"), "sig", "bands"), "id").join(sets, "id")
-    x = full.where("root <> main").select("bucket", *(F.col(c).alias(f"{c}1") for c in ("id", "root", "sig", "bands", "s")))
-    y = full.select(F.col("bucket").alias("same"), *(F.col(c).alias(f"{c}2") for c in ("id", "root", "main", "sig", "bands", "s")))
-    first = F.coalesce(*(F.when(F.col("bands1")[i] == F.col("bands2")[i], F.col("bands1")[i]) for i in range(BANDS)))
-    once = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("id1") > F.col("id2")))
-    both = F.size(F.array_intersect("s1", "s2"))
-    near = 100 * both >= (percent - 1) * (F.size("s1") + F.size("s2") - both)  # sets of 32-bit hashes may differ by a collision
-    on = (F.col("bucket") == F.col("same")) & F.when(once, F.when(similarity("sig1", "sig2") >= percent / 100 - SLACK, F.when(first == F.col("bucket"), near))).eqNullSafe(F.lit(True))
-    cross = x.join(y, on).select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
-    more = _confirmed(ws, "cross", docs, cross, percent)
-    roots = ws.save(connected_components(ws, links.union(more), "all-cc"), "roots")
-
-    of_class = classes.join(roots, F.col("rep") == F.col("id"), "left").select("set_key", F.col("n").alias("cn"), F.coalesce("root", "rep").alias("root"), "copies")
-    # A class of one document is found by its id, so that only copies are joined by key.
-    known = signed.join(of_class, (signed["set_key"] == of_class["set_key"]) & (signed["n"] == of_class["cn"]), "left")
+    if (more := _across(ws, docs, classes, members, roots, percent)) is not None:
+        roots = ws.save(connected_components(ws, links.union(more), "all-cc"), "roots")
+
+    of_class = classes.join(roots, F.col("rep") == F.col("id"), "left").select("set_key", "n", F.coalesce("root", "rep").alias("root"), "copies")
+    of_class = ws.save(of_class, "class-roots")
+    # Texts without a set meet no class; the classes of very many copies are joined by broadcast.
+    rows = signed.select("id", "n", "set_key")
+    known = join_groups(rows.where("set_key is not null"), of_class, ["set_key", "n"], "copies", "left").select("id", "n", "root")
+    known = known.unionByName(rows.where("set_key is null").select("id", "n", F.lit(None).cast("long").alias("root")))
     component = F.when(F.col("id").isNotNull(), F.coalesce("root", "id"))
-    return known.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("id").isNull() | (F.col("id") == component)).alias("kept"))
+    return known.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
+        (F.col("id").isNull() | (F.col("id") == component)).alias("kept"),
+    )
