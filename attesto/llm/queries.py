@@ -48,8 +48,7 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents in four arrivals, merged; read back from the latest manifest."""
     store = ShardStore(spark, Workspace(spark, "shards").path)
     docs = table(spark, sf_dir, "documents")
-    for arrival in range(4):
-        store.append(docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(4)) == arrival))
+    store.append_each(docs, F.pmod(F.xxhash64("doc_id"), F.lit(4)))
     store.compact()
     store.expire()
     text = F.coalesce("text", F.lit(""))
