@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,15 +13,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import small_batches
+from ..shipping import ship
+from .workspace import slices
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
 #: A model uses features that toxic texts have more often than chance allows: with FEATURES of them at most, and a
 #: number of CHANCE features of the sample, at most, expected to pass without cause.
 FEATURES, CHANCE = 2000, 0.01
-#: Where labels only tell toxic from clean, a toxic text with this many of the model's features counts as severe.
-SEVERE_WORDS = 4
+#: Where labels only tell toxic from clean, a toxic text in which so many words are toxic ones counts as severe.
+SEVERE_WORDS = 8
 BEGINNINGS = (3, 4, 5)
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -112,23 +114,53 @@ def select_features(x: np.ndarray, bad: np.ndarray, names: list[str], least: flo
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([sorted(features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))], names=["id", "grade", "words"])
+    for batch in slices(batches):
+        words = pa.array([sorted(features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), words], names=["id", "grade", "text", "words"])
+
+
+def dose(text: str, lexicon: frozenset[str]) -> int:
+    """How many of the text's words, each occurrence counted, are in the lexicon themselves or by a beginning."""
+    counts = Counter(_WORD.findall(text.lower()))
+    return sum(n for w, n in counts.items() if w in lexicon or any(len(w) > k and f"{w[:k]}*" in lexicon for k in BEGINNINGS))
+
+
+def _doses(batches: Iterator[pa.RecordBatch], lexicons: tuple[frozenset[str], ...]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        found = [dose(t, lexicons[1 - h]) for t, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], names=["id", "dose"])
+
+
+def _severe(rows: DataFrame, x: np.ndarray, bad: np.ndarray, half: np.ndarray, vocabulary: list[str], least: float) -> list[int]:
+    """The ids of the severe among toxic texts.  Each half of the sample is measured by the telling words of the other
+    half, so a text's grade comes from labels of other texts and from how often their words occur in it, not from
+    what the model sees of it."""
+    lexicons = []
+    for h in (0, 1):
+        part = x[half == h]
+        n, b, share = part.sum(axis=0), part[bad[half == h]].sum(axis=0), bad[half == h].mean() if len(part) else 0.0
+        strong = evidence(b, n, share) >= least if 0 < share < 1 else np.zeros(len(n), dtype=bool)
+        lexicons.append(frozenset(w for w, good in zip(vocabulary, strong) if good))
+    doses = rows.where("grade > 0").select("id", "text", "half").mapInArrow(lambda it: _doses(it, tuple(lexicons)), "id long, dose long")
+    return [r["id"] for r in doses.where(F.col("dose") >= SEVERE_WORDS).select("id").collect()]
 
 
 def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
     """A model from ``grades`` (``id_col``, grade 0, 1, ...), fitted on at most ``sample`` labelled documents.
 
-    Only telling words come to the driver, as numbers, with the ids and grades of the sample.  Labels of two grades
-    are split: toxic texts with SEVERE_WORDS or more telling words get grade 2.  Null grades and ids are left out.
+    Only telling words come to the driver, as numbers, with the ids and grades of the sample.  Where labels have two
+    grades, toxic texts with SEVERE_WORDS or more occurrences of toxic words get grade 2 (see ``_severe``).  Null
+    grades and ids are left out; of the grades of one id the highest counts, of its texts the first in order.
     Without a toxic or a clean label, or a telling word, the model has no weights and gives all texts the same grade.
     """
-    small_batches(spark)
-    labelled = grades.select(F.col(id_col).cast("long").alias("id"), F.col("grade").cast("int").alias("grade")).where("id is not null and grade >= 0").groupBy("id").agg(F.max("grade").alias("grade"))
+    ship(spark)
+    labelled = grades.select(F.col(id_col).cast("long").alias("id"), F.col("grade").cast("int").alias("grade"))
+    labelled = labelled.where("id is not null and grade >= 0").groupBy("id").agg(F.max("grade").alias("grade"))
     texts = docs.select(F.col(id_col).cast("long").alias("did"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ids = texts.select("did").distinct().join(labelled, F.col("did") == F.col("id")).select("id", "grade").orderBy(F.xxhash64("id"), "id").limit(sample)
-    chosen = texts.join(F.broadcast(ids), F.col("did") == F.col("id")).select("id", "grade", "text").dropDuplicates(["id"])
-    rows = chosen.mapInArrow(_features, "id long, grade int, words array<string>").persist()
+    chosen = texts.join(F.broadcast(ids), F.col("did") == F.col("id")).groupBy("id", "grade").agg(F.min("text").alias("text"))
+    rows = chosen.mapInArrow(_features, "id long, grade int, text string, words array<string>")
+    rows = rows.withColumn("half", F.pmod(F.xxhash64("id"), F.lit(2)).cast("int")).persist()
     try:
         sizes = {r["bad"]: r["n"] for r in rows.groupBy((F.col("grade") > 0).alias("bad")).agg(F.count("*").alias("n")).collect()}
         bad, good = sizes.get(True, 0), sizes.get(False, 0)
@@ -144,23 +176,25 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
         telling = per.where(p > share).withColumn("evidence", F.col("n") * kl).where(F.col("evidence") >= least).orderBy(F.desc("evidence"), "word").limit(FEATURES)
         vocabulary = sorted(r["word"] for r in telling.select("word").collect())
         number = {w: i for i, w in enumerate(vocabulary)}
-        known = rows.select("id", "grade", F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>")).alias("words")).orderBy("id").collect()
+        told = F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
+        known = rows.select("id", "grade", "half", told.alias("words")).orderBy("id").collect()
+        x, y = np.zeros((len(known), len(vocabulary)), dtype=np.float32), np.array([r["grade"] for r in known])
+        for i, r in enumerate(known):
+            x[i, [number[w] for w in r["words"]]] = 1
+        if top == 2 and vocabulary:
+            severe = _severe(rows, x, y > 0, np.array([r["half"] for r in known]), vocabulary, least)
+            y[np.isin([r["id"] for r in known], severe)] = 2
+            top = int(y.max()) + 1
     finally:
         rows.unpersist()
-    x, y = np.zeros((len(known), len(vocabulary)), dtype=np.float32), np.array([r["grade"] for r in known])
-    for i, r in enumerate(known):
-        x[i, [number[w] for w in r["words"]]] = 1
     chosen = select_features(x, y > 0, vocabulary, least)
     x, vocabulary = x[:, chosen], [vocabulary[i] for i in chosen]
-    if top == 2:
-        y[(y == 1) & (x.sum(axis=1) >= SEVERE_WORDS)] = 2
-        top = int(y.max()) + 1
     w, cuts = fit_ordinal(x, y, top)
     return Ordinal({v: float(k) for v, k in zip(vocabulary, w) if k}, tuple(map(float, cuts)))
 
 
 def _score(batches: Iterator[pa.RecordBatch], model: Ordinal) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         p = [model.score(t) for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.list_(pa.float64()))], names=["id", "p"])
 
@@ -171,7 +205,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Ordinal, id_col: str = "d
 
     Null and empty texts have no words.  Rows that repeat an id are scored each.  Other columns are not read.
     """
-    small_batches(spark)
+    ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     p = rows.mapInArrow(lambda it: _score(it, model), "id long, p array<double>")
     grade = F.size(F.filter("p", lambda x: x >= 0.5))
