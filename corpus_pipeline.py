@@ -1,7 +1,8 @@
 """From documents to packed training sequences in five stages, each over all that the one before it kept.
 
-Stages that drop documents do so by id: doc_id is the key of documents.  Rows without an id can't be named in a
-decision and stay; rows that repeat an id are one document to these stages, and exact deduplication leaves one.
+Stages decide row by row.  Where doc_id tells all rows apart, it is the key of a decision; where ids are missing or
+repeat, each stage gives its rows a key of its own, in the order of ids, and takes it off again.  So rows without an id
+can be dropped like others, and rows that share an id are judged each by its own text.
 """
 
 from __future__ import annotations
@@ -18,40 +19,58 @@ from attesto.llm.queries import tokenizer
 from attesto.llm.workspace import Workspace, with_ids
 
 
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """``docs`` without those whose ids are in the first column of ``dropped``."""
-    spark = docs.sparkSession
-    ids = Workspace(spark, name).save(dropped.select("doc_id").where("doc_id is not null").distinct(), "dropped")
-    return with_ids(docs, ids, "left_anti")
+def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The documents and the column that tells their rows apart: doc_id, or a number in the order of ids (null last),
+    then of hashes of texts; rows that are alike in both get different numbers."""
+    ids = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("known")).first()
+    if ids["rows"] == ids["known"] and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs, "doc_id"
+    key, hash_ = "row_key", F.xxhash64("text")
+    while key in docs.columns:
+        key = f"_{key}"
+    order = [F.col("doc_id").asc_nulls_last(), hash_.asc()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return Workspace(spark, name).save(dealt.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
+def _without(docs: DataFrame, key: str, dropped: DataFrame, name: str) -> DataFrame:
+    """``docs`` without the rows whose keys are in ``dropped``, and without a key that was made for them."""
+    ids = Workspace(docs.sparkSession, name).save(dropped.select(key).distinct(), "dropped")
+    left = with_ids(docs, ids, "left_anti", key)
+    return left if key == "doc_id" else left.drop(key)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose grade, by a model of the labelled ones, is 0."""
+    """Documents whose grade, by a model of the labelled ones, is 0.  Empty texts have grade 0; texts of any length are
+    judged whole."""
     model = toxicity.fit(spark, docs, toxicity.toxic_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    return _without(docs, toxicity.score(spark, docs, model).where("toxic"), "toxic")
+    rows, key = _keyed(spark, docs, "toxic-rows")
+    return _without(rows, key, toxicity.score(spark, rows, model, id_col=key).where("toxic"), "toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal without white space."""
-    found = Workspace(spark, "copies").save(exact_duplicates(spark, docs).select("doc_id", "kept"), "decisions")
-    left = _without(docs, found.where("not kept"), "copies")
-    if not found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        left = left.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(left.where("doc_id is null"))
-    return left
+    """One document of each group of texts that are equal without white space; of empty texts, one."""
+    rows, key = _keyed(spark, docs, "copies-rows")
+    return _without(rows, key, exact_duplicates(spark, rows, id_col=key).where("not kept"), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return _without(docs, near_duplicates(spark, docs).where("not kept"), "near-copies")
+    """One document of each component of near copies; empty texts are near copies of nothing."""
+    rows, key = _keyed(spark, docs, "near-rows")
+    return _without(rows, key, near_duplicates(spark, rows, id_col=key).where("not kept"), "near-copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that contain no test item of the benchmark."""
-    return _without(docs, contained_items(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "contaminated")
+    """Documents that contain no test item of the benchmark; empty texts and items contain, and are contained in, none."""
+    rows, key = _keyed(spark, docs, "contaminated-rows")
+    found = contained_items(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
+    return _without(rows, key, found, "contaminated")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of packed sequences, with a checksum of their ids."""
+    """The pieces of packed sequences, with a checksum of their ids.  An empty text is its end mark; a long one fills
+    several sequences."""
     packed = pack_documents(spark, docs, tokenizer("byte_bpe_50k.json"), end_id=0)
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "context", "step_group")
 
@@ -69,11 +88,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the table documents; what each returns is written and read again for the next."""
+    """All stages over the table documents; what each returns is written and read again for the next, which then is the
+    only reader of it."""
     ws = Workspace(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = ws.save(docs, f"stage-{k}")
+            if k:
+                ws.drop(f"stage-{k - 1}")
     return docs
