@@ -22,8 +22,11 @@ _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 #: Candidates whose estimate is below threshold - SLACK are not compared.  0.23 is five standard deviations of the
 #: estimate at a similarity of 0.75, so a true pair is lost with a probability below 1e-6.
 SLACK = 0.23
-#: Members of a bucket that are compared in one task: outsiders, and those they are held against.
-X_BLOCK, Y_BLOCK = 256, 1 << 16
+#: Rows and shingles of a block of a bucket's outsiders, and of those they are held against: what is compared in one go.
+X_ROWS, Y_ROWS, LEAST_ROWS = 1 << 12, 1 << 14, 1 << 8
+X_SHINGLES, Y_SHINGLES = 1 << 20, 1 << 22
+#: Pairs and shared shingles that a worker counts at a time.
+CELLS = 1 << 22
 _SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType())),
@@ -81,10 +84,90 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _small_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("id", pa.int64()), ("s", pa.list_(pa.int32()))])
+    schema = pa.schema([("id", pa.int64()), ("s", pa.binary())])
     for batch in slices(batches):
-        sets = [np.unique(shingle_set(w).astype(np.uint32)).view(np.int32) for w in words_of(*utf8(batch.column(1)))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int32()))], schema=schema)
+        sets = [np.unique(shingle_set(w).astype(np.uint32)).tobytes() for w in words_of(*utf8(batch.column(1)))]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], schema=schema)
+
+
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray], x_block: np.ndarray, y_block: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(numbers in x, numbers in y, shared shingles) of all pairs of sets of one block that share any.  Blocks ascend on
+    both sides.  Shingles of all blocks are looked up at once, as numbers with their block in the upper half."""
+    i = 0
+    first, last = np.searchsorted(y_block, x_block, side="left"), np.searchsorted(y_block, x_block, side="right")
+    while i < len(x):
+        # Sets of x whose pairs are counted together: of several blocks, or some of one.
+        cells = np.cumsum(last[i:] - first[i:])
+        j = i + max(1, int(np.searchsorted(cells, CELLS, side="right")))
+        offset = np.concatenate((np.zeros(1, np.int64), cells[: j - i]))
+        a, b = int(first[i]), int(last[j - 1])
+        if b > a:
+            own = np.concatenate([x[k].astype(_U) | _U(int(x_block[k]) << 32) for k in range(i, j)])
+            who = np.repeat(np.arange(j - i), [len(x[k]) for k in range(i, j)])
+            order = np.argsort(own, kind="stable")
+            own, who = own[order], who[order]
+            counts = np.zeros(int(offset[-1]), dtype=np.int32)
+            k = a
+            while k < b:
+                size = np.cumsum([len(s) for s in y[k : min(b, k + Y_ROWS)]])
+                stop = k + max(1, int(np.searchsorted(size, CELLS // 4, side="right")))
+                theirs = np.concatenate([y[n].astype(_U) | _U(int(y_block[n]) << 32) for n in range(k, stop)])
+                place = np.repeat(np.arange(k, stop), [len(y[n]) for n in range(k, stop)])
+                low, high = np.searchsorted(own, theirs, side="left"), np.searchsorted(own, theirs, side="right")
+                met = np.flatnonzero(high > low)
+                low, times, place = low[met], (high - low)[met], place[met]
+                ends = np.cumsum(times)
+                at = 0
+                while at < len(times):
+                    to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + CELLS, side="right")))
+                    t = times[at:to]
+                    within = np.arange(int(t.sum())) - np.repeat(np.cumsum(t) - t, t)
+                    mine = who[np.repeat(low[at:to], t) + within]
+                    cell = offset[mine] + np.repeat(place[at:to], t) - first[i + mine]
+                    counts += np.bincount(cell, minlength=len(counts)).astype(np.int32)
+                    at = to
+                k = stop
+            found = np.flatnonzero(counts)
+            mine = np.searchsorted(offset, found, side="right") - 1
+            yield i + mine, found - offset[mine] + first[i + mine], counts[found]
+        i = j
+
+
+def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) inside blocks; rows of a block follow one another."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    held: list[pa.RecordBatch] = []
+
+    def links(table: pa.Table) -> pa.RecordBatch:
+        cols = {c: table.column(c).to_numpy() for c in ("bucket", "xb", "yb", "id", "root", "main", "as_x", "as_y")}
+        sets = [np.frombuffer(v.as_buffer(), np.uint32) for v in table.column("s")]
+        key = np.stack([cols["bucket"], cols["xb"], cols["yb"]])
+        block = np.cumsum(np.concatenate(([0], (key[:, 1:] != key[:, :-1]).any(axis=0))))
+        x, y = np.flatnonzero(cols["as_x"]), np.flatnonzero(cols["as_y"])
+        out = []
+        for p, q, both in shared_counts([sets[k] for k in x], [sets[k] for k in y], block[x], block[y]):
+            p, q = x[p], y[q]
+            size = np.array([len(v) for v in sets])
+            # Sets of 32-bit hashes may differ from the full ones by a collision.
+            good = 100 * both.astype(np.int64) >= (percent - 1) * (size[p] + size[q] - both)
+            good &= (cols["root"][p] != cols["root"][q]) & ((cols["root"][q] == cols["main"][q]) | (cols["id"][p] > cols["id"][q]))
+            out.append(np.stack([np.maximum(cols["id"][p], cols["id"][q]), np.minimum(cols["id"][p], cols["id"][q])])[:, good])
+        pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], schema=schema)
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) < 4 * Y_SHINGLES:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        last = [table.column(c)[-1].as_py() for c in ("bucket", "xb", "yb")]
+        key = np.stack([table.column(c).to_numpy() for c in ("bucket", "xb", "yb")])
+        cut = int(np.argmax((key == np.array(last)[:, None]).all(axis=0)))  # the last block may go on
+        if cut:
+            yield links(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield links(pa.Table.from_batches(held).combine_chunks())
 
 
 def _verify(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -138,59 +221,43 @@ def _confirmed(ws: Workspace, name: str, docs: DataFrame, pairs: DataFrame, perc
     return out
 
 
-def _in_blocks(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both sides of the comparison inside buckets with the blocks (xb, yb) that they meet in: of a bucket, each task
-    holds a block of one side against a block of the other, however large the bucket is."""
-    sizes = x.groupBy("bucket").agg(F.ceil(F.count("*") / X_BLOCK).alias("kx")).join(y.groupBy("bucket").agg(F.ceil(F.count("*") / Y_BLOCK).alias("ky")), "bucket")
-    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.col(k) - 1))
-    own = lambda k: F.pmod(F.xxhash64("id", F.lit(k)), F.col(k))
-    x = x.join(sizes, "bucket").withColumn("xb", own("kx")).withColumn("yb", every("ky")).drop("kx", "ky")
-    y = y.join(sizes, "bucket").withColumn("yb", own("ky")).withColumn("xb", every("kx")).drop("kx", "ky")
-    return x, y
-
-
-def _across(ws: Workspace, docs: DataFrame, classes: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
+def _across(ws: Workspace, docs: DataFrame, members: DataFrame, roots: DataFrame, percent: int) -> DataFrame | None:
     """Links (a, b) between different components inside buckets; None if every bucket holds one component.
 
-    A bucket's members outside its main component are held against all its members of other components.  Signatures
-    alone tell first which members have a likely partner at all; only these get their sets.  Sets are compared inside
-    the join, in the first bucket that two members share, so pairs come out only if they link.
+    A bucket's members outside its main component are held against all its members of other components.  Both sides are
+    dealt to blocks of bounded size, each pair of blocks meets in one place, and only links come out: neither a bucket
+    nor its pairs are ever together.
     """
-    now = members.join(roots, "id", "left").select("bucket", "id", F.coalesce("root", "id").alias("root"))
-    parts = now.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    mixed = parts.groupBy("bucket").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("n", "root")).alias("main")).where("roots > 1").select("bucket", "main")
-    signatures = classes.select(F.col("rep").alias("id"), "sig")
-    open_ = ws.save(now.join(mixed, "bucket").join(signatures, "id"), "open")
-    if open_.isEmpty():
-        return None
-    meet = (F.col("bucket1") == F.col("bucket2")) & (F.col("xb1") == F.col("xb2")) & (F.col("yb1") == F.col("yb2"))
-    other = (F.col("root1") != F.col("root2")) & ((F.col("root2") == F.col("main2")) | (F.col("id1") > F.col("id2")))
-    alike = similarity("sig1", "sig2") >= percent / 100 - SLACK
-    named = lambda df, k: df.select(*(F.col(c).alias(f"{c}{k}") for c in df.columns))
-
-    def found(df: DataFrame, k: int) -> DataFrame:
-        return df.select(*(F.col(f"{c}{k}").alias(c) for c in open_.columns)).distinct()
-
-    x, y = _in_blocks(open_.where("root <> main"), open_)
-    one = meet & F.when(other, alike).eqNullSafe(F.lit(True))
-    x = ws.save(found(named(x, 1).join(named(y, 2), one, "left_semi"), 1), "outside")
-    if x.isEmpty():
+    now = members.join(roots, "id", "left").select("bucket", "id", "n", F.coalesce("root", "id").alias("root"))
+    parts = now.groupBy("bucket", "root").agg(F.count("*").alias("rows"), F.sum("n").alias("shingles"))
+    mixed = parts.groupBy("bucket").agg(
+        F.count("*").alias("roots"), F.max(F.struct("rows", "root", "shingles")).alias("main"), F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")
+    )
+    mixed = ws.save(mixed.where("roots > 1"), "mixed")
+    if not (total := mixed.agg(F.sum("rows")).first()[0]):
         return None
-    bx, by = _in_blocks(x, open_)
-    y = ws.save(found(named(by, 2).join(named(bx, 1), one, "left_semi"), 2), "inside")
-    ids = ws.save(x.select(F.col("id").alias("pid")).union(y.select("id")).distinct(), "open-ids")
+    n = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    fair = max(LEAST_ROWS, total // n)  # so that no block has more rows than a task gets anyway
+    blocks = lambda rows, shingles, r, s: F.ceil(F.greatest(rows / min(r, fair), shingles / s)).alias
+    out, all_ = (F.col("rows") - F.col("main.rows"), F.col("shingles") - F.col("main.shingles")), (F.col("rows"), F.col("shingles"))
+    mixed = mixed.select("bucket", F.col("main.root").alias("main"), blocks(*out, X_ROWS, X_SHINGLES)("kx"), blocks(*all_, Y_ROWS, Y_SHINGLES)("ky"))
+    open_ = ws.save(now.join(mixed, "bucket"), "open")
+    ids = ws.save(open_.select(F.col("id").alias("pid")).distinct(), "open-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
-    more = classes.select(F.col("rep").alias("id"), F.transform("bands", lambda b: F.shiftright(b, 32).cast("int")).alias("bands"))
-    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s array<int>").join(more, "id"), "open-sets")
-    x, y = _in_blocks(x, y)
-    # Half a band's key: two that differ agree in it with a probability of 2e-10.
-    first = F.coalesce(*(F.when(F.col("bands1")[i] == F.col("bands2")[i], F.col("bands1")[i]) for i in range(BANDS)))
-    both = F.size(F.array_intersect("s1", "s2"))
-    near = 100 * both >= (percent - 1) * (F.size("s1") + F.size("s2") - both)  # sets of 32-bit hashes may differ by a collision
-    whole = meet & F.when(other, F.when(alike, F.when(first == F.shiftright("bucket1", 32).cast("int"), near))).eqNullSafe(F.lit(True))
-    pairs = named(x.join(sets, "id"), 1).join(named(y.join(sets, "id"), 2), whole)
-    return _confirmed(ws, "cross", docs, pairs.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct(), percent)
+    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s binary").dropDuplicates(["id"]), "open-sets")
+
+    # Each row stands in one block of either side; there it meets every block of the other.
+    outside = F.col("root") != F.col("main")
+    xb, yb = F.pmod(F.xxhash64("id", F.lit(1)), F.col("kx")), F.pmod(F.xxhash64("id", F.lit(2)), F.col("ky"))
+    zero = F.lit(0).cast("long")
+    cell = lambda i, j, x, y: F.struct(i.alias("xb"), j.alias("yb"), x.alias("as_x"), y.alias("as_y"))
+    held = F.transform(F.sequence(zero, F.col("kx") - 1), lambda i: cell(i, yb, outside & (i == xb), F.lit(True)))
+    more = F.transform(F.filter(F.sequence(zero, F.col("ky") - 1), lambda j: outside & (j != yb)), lambda j: cell(xb, j, F.lit(True), F.lit(False)))
+    rows = open_.join(sets, "id").select("bucket", "id", "root", "main", "s", F.explode(F.concat(held, more)).alias("c")).select("bucket", "c.*", "id", "root", "main", "s")
+    keys = ["bucket", "xb", "yb"]
+    links = rows.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(lambda it: _compare(it, percent), "a long, b long")
+    return _confirmed(ws, "cross", docs, links.distinct(), percent)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
@@ -220,7 +287,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     classes = some.groupBy("set_key", "n").agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"), F.first("sig").alias("sig"))
     classes = ws.save(classes, "classes")
 
-    banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"))
+    banded = classes.select(F.explode("bands").alias("bucket"), F.col("rep").alias("id"), "n")
     heads = banded.groupBy("bucket").agg(F.min("id").alias("centre"), F.count("*").alias("size")).where("size > 1").drop("size")
     members = ws.save(banded.join(heads, "bucket"), "members")
     signatures = classes.select(F.col("rep").alias("id"), "sig")
@@ -232,7 +299,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     stars = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = _confirmed(ws, "star", docs, likely(stars), percent)
     roots = ws.save(connected_components(ws, links, "star-cc"), "star-roots")
-    if (more := _across(ws, docs, classes, members, roots, percent)) is not None:
+    if (more := _across(ws, docs, members, roots, percent)) is not None:
         roots = ws.save(connected_components(ws, links.union(more), "all-cc"), "roots")
 
     of_class = classes.join(roots, F.col("rep") == F.col("id"), "left").select("set_key", "n", F.coalesce("root", "rep").alias("root"), "copies")

@@ -23,7 +23,7 @@ import zstandard
 import corpus_pipeline
 from pyspark.sql import functions as F
 from attesto.llm import queries as Q
-from attesto.llm import decontaminate, encoders, line_dedup, secret_scan, toxicity
+from attesto.llm import decontaminate, encoders, line_dedup, near_dedup, secret_scan, toxicity
 from attesto.llm.components import connected_components
 from attesto.llm.decontaminate import contained_items
 from attesto.llm.encoders import PieceCounts, TokenIds
@@ -129,6 +129,31 @@ def test_near_duplicates(spark):
     assert all(got[i].n_shingles == len(shingled(t)) and got[i].kept == (got[i].component_id == i) for i, t in enumerate(texts))
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    for name, value in (("X_ROWS", 2), ("Y_ROWS", 3)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r, base = random.Random(5), prose(11, 80).split()
+    texts = []
+    for _ in range(150):  # one large bucket of texts around the limit
+        w = list(base)
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"e{r.randint(0, 9)}"
+        texts.append(" ".join(w))
+    assert [x.component_id for x in near_duplicates(spark, frame(spark, *texts)).orderBy("doc_id").collect()] == components(texts)
+
+
+@pytest.mark.parametrize("cells", [5, 50, 1 << 22])
+def test_counts_of_shared_shingles(monkeypatch, cells):
+    monkeypatch.setattr(near_dedup, "CELLS", cells)
+    r = np.random.default_rng(cells)
+    for _ in range(60):
+        xb, yb = np.sort(r.integers(0, 4, r.integers(0, 12))), np.sort(r.integers(0, 4, r.integers(0, 15)))
+        x, y = ([np.unique(r.integers(0, 12, r.integers(1, 9))).astype(np.uint32) for _ in blocks] for blocks in (xb, yb))
+        got = [(int(a), int(b), int(n)) for p, q, c in near_dedup.shared_counts(x, y, xb, yb) for a, b, n in zip(p, q, c)]
+        both = {(i, j): len(np.intersect1d(s, t)) for i, s in enumerate(x) for j, t in enumerate(y) if xb[i] == yb[j]}
+        assert sorted(got) == sorted((i, j, n) for (i, j), n in both.items() if n)
+
+
 def test_near_duplicates_odd_tables(spark):
     assert near_duplicates(spark, frame(spark)).collect() == []
     got = near_duplicates(spark, frame(spark, "a b c d e f", "a b c d e f", "a b c d e f", ids=[None, 5, 5])).collect()
