@@ -1,86 +1,23 @@
-"""Where intermediate tables live, joins whose broadcast side is bounded, and batches of bounded size.
-
-Executors share no local folders, so intermediates go below ``spark.checkpoint.dir`` as Parquet: Spark's commit
-protocol makes a retried task harmless, and a lost executor takes no intermediate result with it.
-"""
+"""Joins whose broadcast side is bounded, batches of bounded size, and the folder of intermediate tables."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import Workspace, clean, hadoop_fs, remove
+
+__all__ = ["BROADCAST_IDS", "Workspace", "clean", "fair_share", "hadoop_fs", "join_groups", "remove", "slices", "with_ids"]
+
 #: Ids up to this many are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: A group is hot if it has more rows than this share of what a task gets on average.
 HOT_SHARE = 0.1
 #: Rows and bytes that a Python worker handles at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
-_opened: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder.  Where none is set, a temporary one is made and set if driver and executors are one
-    process (as in tests); on a cluster that is an error, as executors wouldn't see each other's files."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="attesto-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-class Workspace:
-    """A folder of one run below the shared one.  Its tables are read lazily by what the run returns, so they are
-    removed when the session stops or the application ends, or by :func:`clean`."""
-
-    def __init__(self, spark: SparkSession, name: str) -> None:
-        self.spark = spark
-        self.path = f"{shared_dir(spark)}/attesto/{name}-{uuid.uuid4().hex}"
-        _opened.append((spark, self.path))
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a reader of what was written: its lineage ends here."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        return self.read(name, df.schema)
-
-    def read(self, name: str, schema) -> DataFrame:
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, *names: str) -> None:
-        """Remove tables that nothing reads any more."""
-        for name in names:
-            remove(self.spark, f"{self.path}/{name}")
-
-
-def hadoop_fs(spark: SparkSession, path: str):
-    """The Hadoop file system and path object of ``path`` (driver only, for metadata)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    fs, p = hadoop_fs(spark, path)
-    fs.delete(p, True)
-
-
-def clean() -> None:
-    """Remove the intermediate tables of all runs of this process; results not yet written then become unreadable.  What
-    belongs to a session that has stopped can't be reached any more and is left to the owner of the folder."""
-    while _opened:
-        spark, path = _opened.pop()
-        if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
-            remove(spark, path)
-
-
-atexit.register(clean)
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
