@@ -1,12 +1,19 @@
-"""Text functions as Column expressions; all run inside the JVM."""
+"""Text functions as Column expressions.  All run inside the JVM but those at the end, which need Unicode normal forms,
+entities or hashes that the JVM side lacks; they are Arrow UDFs, and an option wherever a JVM form serves."""
 
 from __future__ import annotations
 
+import hashlib
+import html
+import unicodedata
+import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .. import config
 from ..config import CONTENT_STOP_WORDS, HEADER, STOP_WORDS
 
 WORD = r"[\p{L}\p{N}]+"
@@ -29,9 +36,11 @@ def squeeze(x: str | Column) -> Column:
     return F.trim(F.regexp_replace(_c(x), r"\s+", " "))
 
 
-def tokenize(x: str | Column) -> Column:
-    """Words and numbers, folded, without stop words; repetitions stay."""
-    words = F.regexp_extract_all(F.replace(fold(x), F.lit("ё"), F.lit("е")), F.lit(WORD), F.lit(0))
+def tokenize(x: str | Column, exact: bool = False) -> Column:
+    """Words and numbers, folded, without stop words; repetitions stay.  ``exact`` folds by NFKC and full case folding, which
+    differs on compatibility characters only."""
+    folded = compatible(_c(x)) if exact else fold(x)
+    words = F.regexp_extract_all(F.replace(folded, F.lit("ё"), F.lit("е")), F.lit(WORD), F.lit(0))
     return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
@@ -40,9 +49,9 @@ def token_count(x: str | Column) -> Column:
     return F.regexp_count(_c(x), F.lit(TOKEN))
 
 
-def clean_text(x: str | Column) -> Column:
-    """Without replacement and control characters other than line feeds and tabs."""
-    text = F.replace(_c(x), F.lit("�"), F.lit(" "))
+def clean_text(x: str | Column, exact: bool = False) -> Column:
+    """Without replacement and control characters other than line feeds and tabs; ``exact``: in normal form C."""
+    text = F.replace(composed(_c(x)) if exact else _c(x), F.lit("�"), F.lit(" "))
     return F.btrim(F.regexp_replace(text, r"[\p{Cc}\p{Cf}&&[^\n\t]]", ""), F.lit(" \n\t"))
 
 
@@ -76,13 +85,61 @@ def html_title(x: str | Column) -> Column:
     return F.nullif(F.substring(F.split_part(title, F.lit(" | "), F.lit(1)), 1, 160), F.lit(""))
 
 
-def clean_premise(x: str | Column) -> Column:
-    """A source's text without the chunk header and inline markup, squeezed."""
-    tags = "a|abbr|b|blockquote|br|code|dd|div|dl|dt|em|h[1-6]|hr|i|img|kbd|li|ol|p|pre|q|s|samp|section|small|span|strong|sub|sup|table|tbody|td|th|thead|tr|tt|u|ul|var|nav|header|footer|main|article|aside|figure|figcaption|caption"
-    text = F.regexp_replace(F.regexp_replace(_c(x), HEADER, ""), rf"(?i)</?(?:{tags})\b[^<>]*>", " ")
+def without_markup(x: str | Column) -> Column:
+    return F.regexp_replace(_c(x), rf"(?i)</?(?:{'|'.join(config.HTML_TAGS)})\b[^<>]*>", " ")
+
+
+def without_entities(x: str | Column, exact: bool = False) -> Column:
+    """Entities as characters: the usual ones, or (``exact``) all of HTML."""
+    if exact:
+        return unescaped(_c(x))
+    text = _c(x)
     for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(char))
-    return squeeze(text)
+    return text
+
+
+def clean_premise(x: str | Column, exact: bool = False, unwrap: bool = False) -> Column:
+    """A source's text without the chunk header and inline markup, squeezed; ``unwrap``: boxed notes as running text."""
+    body = F.regexp_replace(_c(x), HEADER, "")
+    return squeeze(without_entities(without_markup(unwrap_single_column(body) if unwrap else body), exact))
+
+
+def unwrap_single_column(x: str | Column) -> Column:
+    """Tables of one column (two lines or more, one of them a rule) as running text: their cells joined, without
+    emphasis.  One pass over the lines; a block is held until a line ends it."""
+    row, rule = r"^\s*\|[^|\n]*\|\s*$", r"^\s*\|\s*:?-{3,}:?\s*\|\s*$"
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<string>").alias("held"))
+
+    def closed(s: Column) -> Column:
+        boxed = (F.size(s["held"]) >= 2) & F.exists(s["held"], lambda h: h.rlike(rule))
+        cells = F.transform(F.filter(s["held"], lambda h: ~h.rlike(rule)), lambda h: F.trim(F.regexp_replace(h, r"^\s*\||\|\s*$", "")))
+        joined = F.regexp_replace(F.array_join(F.filter(cells, lambda c: c != ""), " "), r"(\*{1,2})([^*\n]+)\1", "$2")
+        return F.when(boxed, F.concat(s["out"], F.array(joined))).otherwise(F.concat(s["out"], s["held"]))
+
+    def step(s: Column, line: Column) -> Column:
+        more = F.struct(s["out"].alias("out"), F.concat(s["held"], F.array(line)).alias("held"))
+        end = F.struct(F.concat(closed(s), F.array(line)).alias("out"), F.array().cast("array<string>").alias("held"))
+        return F.when(line.rlike(row), more).otherwise(end)
+
+    lines = F.aggregate(F.split(_c(x), "\n", -1), start, step, closed)
+    return F.when(_c(x).rlike(r"(?m)" + rule), F.array_join(lines, "\n")).otherwise(_c(x))
+
+
+def premise_header(title: str | Column, path: str | Column) -> Column:
+    """``Title. Section.``; a section's name counts if it has three letters and letters make up half of it."""
+    name = F.trim(F.coalesce(F.try_element_at(_c(path), F.lit(-1)), F.lit("")))
+    letters = F.regexp_count(name, F.lit(r"\p{L}"))
+    clear = (letters >= 3) & (2 * letters >= F.length(F.replace(name, F.lit(" "))))
+    parts = [F.nullif(F.rtrim(F.trim(p), F.lit(".")), F.lit("")) for p in (F.coalesce(_c(title), F.lit("")), F.when(clear, name))]
+    joined = F.concat_ws(". ", *parts)
+    return F.when(joined != "", F.concat(joined, F.lit("."))).otherwise("")
+
+
+def with_context(text: str | Column, context: str | Column) -> Column:
+    """The text after its context, unless it begins with it already."""
+    c = F.coalesce(_c(context), F.lit(""))
+    return F.when((c == "") | F.startswith(_c(text), c), _c(text)).otherwise(F.concat(c, F.lit("\n"), _c(text)))
 
 
 def heading_only(text: str | Column, path: str | Column) -> Column:
@@ -114,16 +171,6 @@ def content_overlap(claim: str | Column, source: str | Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(words, there)).cast("double"), F.size(words)), F.lit(0.0))
 
 
-_DESIGNATOR = (
-    r"(?i)\b(?:NIST\s+)?(?:RFC|SP|PEP|FIPS|ISO|IEC|IETF|PostgreSQL|Python|CPython|СП)\s*-?\s*\d+(?:[-.][0-9A-Za-z]+)*"
-    r"(?:\s*,?\s*(?:Rev\.?|Revision|редакци[\p{L}\p{N}_]*)\s*\d+)?|\b(?:Rev|Revision|Version|Ver)\.?\s*\d+\b|\b(?:редакци|верси)[\p{L}\p{N}_]*\s+\d+\b"
-)
-_ANCHOR = (
-    r"(?<![\p{L}\p{N}_-])(?:0x[0-9a-fA-F]+|0b[01]+|\d+(?:[ ,.  ]\d+)*|--[A-Za-z][\p{L}\p{N}_-]*"
-    r"|[A-Za-z][\p{L}\p{N}_]*(?:[_=/+][\p{L}\p{N}_.+-]*)+|[A-Za-z]+-\d+[A-Za-z]?|[A-Za-z]+\d[\p{L}\p{N}_]*|[a-z]+[A-Z][\p{L}\p{N}_]*)(?![\p{L}\p{N}_])"
-)
-
-
 def ungroup(x: str | Column) -> Column:
     """Numbers without group separators.  A separator goes if it stands after a first group and before three digits,
     with only groups between."""
@@ -131,59 +178,83 @@ def ungroup(x: str | Column) -> Column:
     return reduce(lambda t, _: F.regexp_replace(t, step, "$1"), range(6), _c(x))
 
 
-def claim_anchors(x: str | Column) -> Column:
-    """Numbers, literals and identifiers that a source must hold, sorted; designators of documents are left out."""
-    text = F.regexp_replace(without_citations(x), _DESIGNATOR, " ")
-    found = F.transform(F.regexp_extract_all(text, F.lit(_ANCHOR), F.lit(0)), lambda a: F.rtrim(fold(ungroup(a)), F.lit(".,")))
-    return F.array_sort(F.array_distinct(F.filter(found, lambda a: a != "")))
+def claim_anchors(x: str | Column, enhancements: bool = False) -> Column:
+    """Numbers, literals and identifiers that a source must hold, sorted; designators of documents are left out.
+    ``enhancements``: a control with the number of its enhancement is one identifier."""
+    text = F.regexp_replace(without_citations(x), config.DESIGNATOR, " ")
+    found = F.array().cast("array<string>")
+    if enhancements:
+        found = F.transform(F.regexp_extract_all(text, F.lit(config.ANCHOR_ENHANCEMENT), F.lit(0)), lambda a: fold(F.replace(a, F.lit(" "))))
+        text = F.regexp_replace(text, config.ANCHOR_ENHANCEMENT, " ")
+    plain = F.transform(F.regexp_extract_all(text, F.lit(config.ANCHOR), F.lit(0)), lambda a: F.rtrim(fold(ungroup(a)), F.lit(".,")))
+    return F.array_sort(F.array_distinct(F.filter(F.concat(found, plain), lambda a: a != "")))
 
 
 def is_identifier(a: Column) -> Column:
     return a.rlike(r"\p{L}") & a.rlike(r"\p{N}") & ~a.rlike(r"^(?:0x[0-9a-f]+|0b[01]+)$") & ~a.startswith("--") & ~a.rlike("[_=/+]")
 
 
-def anchors_present(anchors: str | Column, text: str | Column) -> Column:
-    """Numbers must stand alone in the text, other anchors occur in it."""
+def anchors_found(anchors: str | Column, text: str | Column) -> Column:
+    """The anchors that stand in the text: numbers alone, others anywhere."""
     hay = fold(ungroup(text))
 
     def there(a: Column) -> Column:
         alone = F.rlike(hay, F.concat(F.lit(r"(?<![\p{L}\p{N}_.])"), F.replace(a, F.lit("."), F.lit("\\.")), F.lit(r"(?![\p{L}\p{N}_])")))
         return F.when(a.rlike(r"^[0-9.]*[0-9][0-9.]*$"), alone).otherwise(F.contains(hay, a))
 
-    return F.forall(_c(anchors), there)
+    return F.filter(_c(anchors), there)
+
+
+def anchors_present(anchors: str | Column, text: str | Column) -> Column:
+    """Whether all anchors stand in the text."""
+    return F.size(anchors_found(anchors, text)) == F.size(_c(anchors))
+
+
+def code_span(claim: str | Column, premise: str | Column, least: int = 12) -> Column:
+    """Whether a literal of the claim (ASCII, an operator, two words) stands in the premise, blanks at operators aside.
+    What follows a label with a colon is tried by itself, too."""
+    tight, operator = ("[" + "".join(f"\\{c}" for c in chars) + "]" for chars in (config.CODE_TIGHT, config.CODE_OPERATORS))
+
+    def quoted(x: str | Column) -> Column:
+        marks = config.QUOTE_MARKS
+        kept = [m for m in marks if marks[m]]
+        return F.translate(_c(x), "".join(kept) + "".join(m for m in marks if not marks[m]), "".join(marks[m] for m in kept))
+
+    def canonical(x: Column) -> Column:
+        return F.regexp_replace(x, rf"\s*({tight})\s*", "$1")
+
+    hay = canonical(squeeze(quoted(premise)))
+    runs = F.transform(F.regexp_extract_all(quoted(claim), F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0)), lambda r: F.split(squeeze(r), r"(?<=:)\s"))
+    ends = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda k: F.array_join(F.slice(r, k, F.size(r)), " "))))
+    literals = F.filter(F.transform(ends, lambda e: F.btrim(e, F.lit(" .,;:"))), lambda e: (F.length(e) >= least) & e.rlike(operator) & F.contains(e, F.lit(" ")))
+    return F.exists(literals, lambda e: F.contains(hay, canonical(e)))
 
 
 def is_absence(x: str | Column) -> Column:
     """A statement that sources lack information."""
-    return _c(x).rlike(
-        r"(?iu)(?:не\s+(?:содерж|приводит|предоставля)[\p{L}]*\s+(?:[\p{L}\p{N}_]+\s+){0,3}?(?:информаци|сведени|данных|указани)"
-        r"|(?:отсутству[\p{L}]*|нет)\s+(?:[\p{L}\p{N}_]+\s+){0,2}?(?:сведени|информаци|данн|упоминани|указани)|не\s+(?:упомина|рассматрива|освеща)"
-        r"|no\s+(?:specific\s+|direct\s+)?(?:information|details|mention)|does\s+not\s+(?:contain|provide|include)\s+(?:any\s+)?(?:specific\s+)?(?:information|details|data)"
-        r"|(?:is|are)\s+not\s+(?:mentioned|covered|discussed)|does\s+not\s+(?:mention|discuss))"
-    )
+    return _c(x).rlike(config.ABSENCE)
 
 
 def is_verdict(x: str | Column) -> Column:
     """A bare verdict that only introduces the next claim."""
     words = F.regexp_count(F.regexp_replace(_c(x), ANY_CITATION, ""), F.lit(r"[\p{L}\p{N}_]+"))
-    return F.trim(_c(x)).rlike(r"(?iu)^(?:нет|неверно|это\s+не\s+так|no|incorrect|false)(?![\p{L}\p{N}_])") & (words <= 3)
+    return F.trim(_c(x)).rlike(config.VERDICT) & (words <= 3)
 
 
 def has_negation(x: str | Column) -> Column:
-    return _c(x).rlike(r"(?iu)(?<![\p{L}\p{N}_])(?:не|нет|not|no|never)(?![\p{L}\p{N}_])")
+    return _c(x).rlike(config.NEGATION)
 
 
 def strip_verdict(x: str | Column, least: int = 4) -> Column:
     """Without a leading "No," if that many words follow."""
-    rest = F.regexp_replace(_c(x), r"(?iu)^\s*(?:нет|неверно|это\s+не\s+так|no|incorrect)\s*[,:;—–-]\s*", "")
+    rest = F.regexp_replace(_c(x), config.VERDICT_PREFIX, "")
     cut = (rest != _c(x)) & (F.regexp_count(rest, F.lit(r"[\p{L}\p{N}_]+")) >= least)
     return F.when(cut, F.concat(F.upper(F.substring(rest, 1, 1)), F.substring(rest, 2, 1 << 30))).otherwise(_c(x))
 
 
 def normalize_keywords(x: str | Column) -> Column:
     """Requirement keywords of standards in lower case."""
-    words = ("MUST NOT", "MUST", "SHALL NOT", "SHALL", "SHOULD NOT", "SHOULD", "NOT RECOMMENDED", "RECOMMENDED", "REQUIRED", "MAY", "OPTIONAL")
-    return reduce(lambda t, w: F.regexp_replace(t, rf"\b{w}\b", w.lower()), words, _c(x))
+    return reduce(lambda t, w: F.regexp_replace(t, rf"\b{w}\b", w.lower()), config.KEYWORDS, _c(x))
 
 
 def text_script(x: str | Column) -> Column:
@@ -193,9 +264,9 @@ def text_script(x: str | Column) -> Column:
     return F.when(ru + en > 0, F.when(ru >= en, "ru").otherwise("en"))
 
 
-def question_problem(x: str | Column, most: int = 4000) -> Column:
-    """Why a question is rejected, or null."""
-    text = F.trim(_c(x))
+def question_problem(x: str | Column, most: int = 4000, exact: bool = False) -> Column:
+    """Why a question is rejected, or null; ``exact`` looks at its compatibility form."""
+    text = F.trim(compatible(_c(x), fold=False) if exact else _c(x))
     return (
         F.when(text.isNull() | (text == ""), "empty")
         .when(F.length(text) > most, "too_long")
@@ -263,3 +334,129 @@ def number_swap(x: str | Column) -> Column:
     n = F.nullif(F.regexp_extract(body, pattern, 2), F.lit("")).cast("long")
     new = F.when(n.between(1000, 2100), n + 3).otherwise(n + 1)
     return F.when(n.isNotNull(), F.concat(F.regexp_extract(_c(x), pattern, 1), new.cast("string"), F.regexp_extract(_c(x), pattern, 3)))
+
+
+def evidence_windows(sentences_: Column) -> Column:
+    """Sentences, with the one before where a sentence begins by referring back, and with the one after where that does;
+    distinct, in order."""
+    n = F.size(sentences_)
+    back = F.transform(sentences_, lambda s: s.rlike(config.ANAPHORA))
+    one = lambda i: F.array_join(F.slice(sentences_, F.when((i > 1) & back[i - 1], i - 1).otherwise(i), F.when((i > 1) & back[i - 1], 2).otherwise(1) + F.when((i < n) & F.coalesce(F.get(back, i), F.lit(False)), 1).otherwise(0)), " ")
+    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one))).otherwise(F.array().cast("array<string>"))
+
+
+def safe_filename(x: str | Column, most: int = 100) -> Column:
+    """A name without folders, control characters and what file systems reserve; null if nothing is left."""
+    name = F.regexp_extract(F.replace(_c(x), F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
+    kept = F.btrim(F.regexp_replace(F.regexp_replace(name, r"[\p{Cc}<>:\"|?*]", "_"), r"\s+", " "), F.lit(" ."))
+    return F.nullif(F.substring(kept, 1, most), F.lit(""))
+
+
+def sentence_at(x: str | Column, offset: str | Column) -> Column:
+    """The sentence that holds the character at an offset (from 0); null beyond the text."""
+    parts = F.regexp_extract_all(_c(x), F.lit(r"(?s).+?(?:[.!?。！？]+(?:\s+|$)|$)"), F.lit(0))
+    ends = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.length(F.array_join(F.slice(parts, 1, k), "")))
+    k = F.array_position(F.transform(ends, lambda e: e > _c(offset)), True)
+    return F.when((k > 0) & (_c(offset) >= 0), F.trim(F.try_element_at(parts, k.cast("int"))))
+
+
+def ru_stem(x: str | Column) -> Column:
+    """A lower-case Russian word without its longest ending that leaves three letters; other words as they are."""
+    w = _c(x)
+    cut = lambda e: F.when(F.endswith(w, F.lit(e)) & (F.length(w) >= len(e) + 3), F.left(w, F.length(w) - len(e)))
+    return F.when(w.rlike("^[а-яё]+$"), F.coalesce(*map(cut, sorted(config.RU_ENDINGS, key=len, reverse=True)), w)).otherwise(w)
+
+
+def word_pattern(x: str | Column) -> Column:
+    """A pattern for a word of an answer in other forms: numbers stand alone, number words also as digits and in any case,
+    others by the beginning that inflection leaves."""
+    w = _c(x)
+    n = F.length(w)
+    keep = F.when(n >= 5, F.greatest(F.lit(4), F.ceil(n * 3 / 5).cast("int"))).otherwise(F.greatest(F.lit(3), n - 1))
+    begins = lambda p: F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), p, F.lit(r"[\p{L}\p{N}_]*"))
+    out = begins(F.left(w, F.least(keep, F.length(ru_stem(w)))))
+    for digit, forms in config.NUMERALS.items():
+        alone = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(forms.split())})(?![\p{{L}}\p{{N}}_])|(?<!\p{{N}}){digit}(?!\p{{N}})"
+        out = F.when(w.isin(*forms.split()), F.concat(F.lit("(?:"), begins(F.left(w, 4)), F.lit(f"|{alone})"))).otherwise(out)
+    return F.when(w.rlike(r"\p{N}"), F.concat(F.lit(r"(?<!\p{N})"), w, F.lit(r"(?!\p{N})"))).otherwise(out)
+
+
+def answer_pattern(x: str | Column) -> Column:
+    """A pattern that a text matches if it has the words of an answer in any order and form: its numbers and its longest
+    other words, four in all; short words count only if there are no others."""
+    words = F.regexp_extract_all(normalize(F.regexp_replace(_c(x), r"\[[^\]]*\]", " ")), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    telling = F.filter(words, lambda w: (F.length(w) > 3) | w.rlike(r"\p{N}"))
+    some = F.when(F.size(telling) > 0, telling).otherwise(words)
+    numbers = F.filter(some, lambda w: w.rlike(r"\p{N}"))
+    others = F.filter(some, lambda w: ~w.rlike(r"\p{N}"))
+    ranked = F.transform(F.array_sort(F.transform(others, lambda w, i: F.struct((-F.length(w)).alias("n"), i.alias("i"), w.alias("w")))), lambda s: s["w"])
+    chosen = F.array_distinct(F.concat(numbers, F.slice(ranked, 1, F.greatest(F.lit(0), 4 - F.size(numbers)))))
+    return F.concat(F.lit("(?s)"), F.array_join(F.transform(chosen, lambda w: F.concat(F.lit("(?=.*"), word_pattern(w), F.lit(")"))), ""))
+
+
+def sub_questions(x: str | Column) -> Column:
+    """The parts of a question that asks several things: split before a coordinated question word; one part otherwise."""
+    asks = r"what|which|who|whom|whose|when|where|why|how|что|кто|где|когда|почему|зачем|сколько|какой|какая|какое|какие|каков|как"
+    parts = F.split(_c(x), rf"(?iu)(?:[,;]\s*|\s+)(?:and|и|а также)\s+(?=(?:in|at|to|for|by|в|на|к|с|по|для)?\s*(?:{asks})(?![\p{{L}}]))|(?<=\?)\s+(?=\S)")
+    return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
+
+
+def asks_several(x: str | Column) -> Column:
+    return F.size(sub_questions(x)) > 1
+
+
+def same_question(a: str | Column, b: str | Column) -> Column:
+    """Whether two questions are the same words in the same order."""
+    words = lambda c: F.regexp_extract_all(fold(c), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    return words(a) == words(b)
+
+
+def display_text(x: str | Column) -> Column:
+    """Without control and format characters other than line feeds and tabs."""
+    return F.regexp_replace(_c(x), r"[\p{Cc}\p{Cf}&&[^\n\t]]", "")
+
+
+def chunk_body(x: str | Column) -> Column:
+    """A chunk's text without its header."""
+    return F.trim(F.regexp_replace(_c(x), HEADER, ""))
+
+
+def distinct_values(a: str | Column, b: str | Column) -> Column:
+    """Whether neither of two values holds the other."""
+    x, y = normalize(a), normalize(b)
+    return (x != "") & (y != "") & ~F.contains(x, y) & ~F.contains(y, x)
+
+
+# Arrow UDFs.
+
+
+def _each(kind: str, f) -> object:
+    def run(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: None if v is None else f(v))
+
+    return F.pandas_udf(run, kind)
+
+
+def compatible(x: Column, fold: bool = True) -> Column:
+    """Compatibility form (NFKC), with full case folding."""
+    return _each("string", lambda v: unicodedata.normalize("NFKC", v).casefold() if fold else unicodedata.normalize("NFKC", v))(x)
+
+
+def composed(x: Column) -> Column:
+    """Normal form C."""
+    return _each("string", lambda v: unicodedata.normalize("NFC", v))(x)
+
+
+def unescaped(x: Column) -> Column:
+    """All entities of HTML as characters."""
+    return _each("string", html.unescape)(x)
+
+
+def blake2b_slot(x: str | Column, slots: int) -> Column:
+    """The slot of a term: its 64-bit BLAKE2b as a big-endian number, modulo the slots."""
+    return _each("long", lambda v: int.from_bytes(hashlib.blake2b(v.encode(), digest_size=8).digest(), "big") % slots)(_c(x))
+
+
+def url_uuid(x: str | Column) -> Column:
+    """The version 5 UUID of a name in the URL namespace."""
+    return _each("string", lambda v: str(uuid.uuid5(uuid.NAMESPACE_URL, v)))(_c(x))
