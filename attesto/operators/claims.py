@@ -1,8 +1,14 @@
-"""Answers into claims, claims against their sources, and what is published."""
+"""Answers into claims, claims against their sources, and what is published.
+
+A claim carries its row along: sources, windows and scores are joined to it and summed up again, so each step is one
+pass and no table is joined with itself.  What a claim and a source share is worked out once for the pair; windows carry
+their own text only.
+"""
 
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -10,48 +16,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from pyspark.sql.window import Window
 
+from .. import config
 from ..config import JUDGE_FEATURES, JUDGE_INTERCEPT, JUDGE_WEIGHTS, Judge, Rules
 from ..functions import stats as S
 from ..functions import text as T
+from . import tables as B
+
 
-# Abbreviations that don't end a sentence: fixed values, for the older and the newer splitting.
-_ABBREVIATIONS_OLD = r"\b(?:пп?|рис|табл|стр|см|им|г)\.|\bт\.\s*[ед]\."
-_ALWAYS = r"пп?|рис|табл|стр|см|им|г|ст|гл|разд|прил|др|пр|т\.\s*[едпкч]|e\.\s*g|i\.\s*e|cf|vs|al|approx|resp|incl|esp|dr|mr|mrs|ms|prof|jr|sr|inc|ltd|corp"
-_BEFORE_NUMBER = r"rev|no|nos|sec|sect|secs|fig|figs|vol|ch|pt|pts|art|par|para|p|v|ver|eq|ex|tab"
-_ABBREVIATIONS = rf"\b(?:{_ALWAYS})\.|\b(?:{_BEFORE_NUMBER})\.(?=\s*(?:\d|[IVX]+\b))|\betc\.(?=\s*[a-zа-яё0-9,;)])|\.{{3,}}|…"
-_INITIAL = r"(?<!\w)[A-ZА-ЯЁ]\.(?=[ \t]*[A-ZА-ЯЁ])"
+def _marks(protected: str, stops: str, tail: str, run: str) -> re.Pattern:
+    """What the scan of an answer finds: stretches that end no sentence, and ends: a stop with more marks and the citations
+    after it, before a blank, a bracket or the end of the text; a line's end ends a sentence anywhere."""
+    return re.compile(rf"(?i)(?P<inside>{protected}|(?<=\d)\.(?=\d))|(?P<end>(?>[{stops}]{run}(?:{tail})*)(?=\s|\[|\Z)|(?>\n{run}(?:{tail})*))")
 
-_OLD = (re.compile(_ABBREVIATIONS_OLD, re.I), None, re.compile(r"[.!?;\n。！？]"), re.compile(r"(?:\s*\[S[^\]\n]*\])+"))
-_NEW = (re.compile(_ABBREVIATIONS, re.I), re.compile(_INITIAL), re.compile(r"[.!?\n。！？]"), re.compile(r"(?:\s*,?\s*\[S[^\]\n]*\])+"))
-_MARKS = frozenset(".!?。！？")
+
+_OLD = _marks(config.ABBREVIATIONS_OLD, r".!?;。！？", r"\s*\[S[^\]\n]*\]", r"[.!?。！？]*")
+_NEW = _marks(f"{config.ABBREVIATIONS}|(?-i:{config.INITIAL})", r".!?。！？", r"\s*,?\s*\[S[^\]\n]*\]", r"(?:(?!\.{3})[.!?。！？])*")
+_LABEL, _BULLET, _FENCE = re.compile(r"(?i)^\s*(?:ответ|answer)\s*:\s*"), re.compile(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+"), re.compile(r"(?m)^\s*```[^\n]*$")
 
 
 def segment(text: str, old: bool = False) -> list[str]:
     """Sentences of an answer, each with the citations that follow it.  Decimals, abbreviations and (new) initials and
     ellipses don't end one; the old way also splits at semicolons."""
-    abbreviation, initial, stop, tail = _OLD if old else _NEW
-    text = re.sub(r"(?i)^\s*(?:ответ|answer)\s*:\s*", "", text.strip())
-    text = re.sub(r"(?m)^\s*```[^\n]*$", "", re.sub(r"(?m)^\s*(?:[-*•]|\d+[.)])\s+", "", text))
-    safe = {i for m in abbreviation.finditer(text) for i in range(*m.span()) if not old or text[i] == "."}
-    if initial:
-        safe |= {m.end() - 1 for m in initial.finditer(text)}
-    cuts, at = [0], 0
-    while m := stop.search(text, at):
-        i = m.start()
-        decimal = text[i] == "." and text[i - 1 : i].isdigit() and text[i + 1 : i + 2].isdigit()
-        end = i + 1
-        if i not in safe and not decimal:
-            while end < len(text) and text[end] in _MARKS and (old or end not in safe):
-                end += 1
-            if cited := tail.match(text, end):
-                end = cited.end()
-            if text[i] == "\n" or end == len(text) or text[end].isspace() or text[end] == "[":
-                cuts.append(end)
-                at = end
-                continue
-        at = i + 1
-    pieces = (text[a:b].strip() for a, b in zip(cuts, [*cuts[1:], len(text)]))
-    return [p for p in pieces if p]
+    body = _FENCE.sub("", _BULLET.sub("", _LABEL.sub("", text.strip())))
+    ends = [m.end() for m in (_OLD if old else _NEW).finditer(body) if m.lastgroup == "end"]
+    return [piece for a, b in pairwise([0, *ends, len(body)]) if (piece := body[a:b].strip())]
 
 
 @F.pandas_udf(t.ArrayType(t.StringType()))
@@ -60,11 +48,13 @@ def segmented(texts: pd.Series) -> pd.Series:
 
 
 def claims(answers: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, paragraph, ix, claim, own, malformed): the claims of answers in order, with the sources they cite."""
+    """(key, paragraph, ix, claim, own, malformed): the claims of answers in order, with the sources they cite; malformed is a
+    claim with a citation that names no source."""
     blocks = answers.select(key, F.posexplode(F.filter(F.split(F.coalesce(text, F.lit("")), r"\n+"), lambda b: F.trim(b) != "")).alias("paragraph", "block"))
     x = blocks.select(key, "paragraph", F.posexplode(segmented("block")).alias("at", "claim"))
     ix = F.row_number().over(Window.partitionBy(key).orderBy("paragraph", "at")) - 1
-    return x.select(key, "paragraph", ix.alias("ix"), "claim", T.own_citations("claim").alias("own"), F.col("claim").rlike(T.ANY_CITATION).alias("malformed")).withColumn("malformed", F.col("malformed") & (F.size("own") == 0))
+    marks = F.regexp_extract_all("claim", F.lit(T.ANY_CITATION), F.lit(0))
+    return x.select(key, "paragraph", ix.alias("ix"), "claim", T.own_citations("claim").alias("own"), F.exists(marks, lambda m: ~m.rlike(f"^{T.CITATION}$")).alias("malformed"))
 
 
 def inherit(c: DataFrame, key: str) -> DataFrame:
@@ -80,7 +70,12 @@ def inherit(c: DataFrame, key: str) -> DataFrame:
 
 
 def kind(claim: str | Column) -> Column:
-    return F.when(T.is_verdict(claim), "verdict").when(T.is_absence(claim), "absence").otherwise("fact")
+    return F.when(T.is_absence(claim), "absence").when(T.is_verdict(claim), "verdict").otherwise("fact")
+
+
+def hypothesis(claim: str | Column) -> Column:
+    """What of a claim is held against its sources: no citations, no verdict before a statement."""
+    return T.strip_verdict(F.trim(F.regexp_replace(F.col(claim) if isinstance(claim, str) else claim, T.ANY_CITATION, "")))
 
 
 def heuristic_nli(premise: Column, hypothesis: Column) -> Column:
@@ -90,56 +85,177 @@ def heuristic_nli(premise: Column, hypothesis: Column) -> Column:
     return F.struct(e.alias("e"), (1 - e).alias("n"), F.lit(0.0).alias("c"))
 
 
-def evidence(cited: DataFrame, contexts: DataFrame, key: str, nli=heuristic_nli) -> DataFrame:
-    """(key, ix, source_id, w, e, n, c, overlap, anchored): each claim against each cited source and its sentence windows;
-    w is 0 for the whole source.  ``contexts`` has (key, source_id, text)."""
-    hypothesis = F.trim(F.regexp_replace("claim", T.ANY_CITATION, ""))
-    pairs = cited.select(key, "ix", hypothesis.alias("h"), F.explode("source_ids").alias("source_id")).join(contexts.select(key, "source_id", T.clean_premise("text").alias("premise")), [key, "source_id"])
-    texts = F.concat(F.array("premise"), T.sentence_windows(T.sentences("premise")))
-    x = pairs.select(key, "ix", "source_id", "h", "premise", F.posexplode(texts).alias("w", "t"))
-    p = nli(F.col("t"), F.col("h"))
-    anchors = T.claim_anchors("h")
-    return x.select(key, "ix", "source_id", "w", p["e"].alias("e"), p["n"].alias("n"), p["c"].alias("c"), T.content_overlap("h", "premise").alias("overlap"), T.anchors_present(anchors, "premise").alias("anchored"), (F.size(anchors) > 0).alias("has_anchors"))
+def labelled_nli(scores: Column, labels: dict[int, str]) -> Column:
+    """A model's class probabilities (an array) as (e, n, c), by the names of its classes, never by their order; a model of two
+    classes knows no contradiction."""
+    at = {name.strip().lower(): i for i, name in labels.items()}
+    if len(at) != len(labels) or sorted(labels) != list(range(len(labels))):
+        raise ValueError("each class needs a name and a place of its own")
+    if set(at) == {"entailment", "neutral", "contradiction"}:
+        return F.struct(scores[at["entailment"]].alias("e"), scores[at["neutral"]].alias("n"), scores[at["contradiction"]].alias("c"))
+    if set(at) == {"entailment", "not_entailment"}:
+        e = scores[at["entailment"]]
+        return F.struct(e.alias("e"), (1 - e).alias("n"), F.lit(0.0).alias("c"))
+    raise ValueError(f"classes can't be told apart: {labels}")
 
 
-def by_source(windows: DataFrame, *keys: str) -> DataFrame:
-    """What the windows of a source say together: the largest entailment, the contradiction beside it, the largest
-    contradiction, and the whole text's own scores."""
-    whole = F.col("w") == 0
-    return windows.groupBy(*keys).agg(
-        F.max("e").alias("e_max"), F.max_by("c", F.struct("e", -F.col("w"))).alias("c_at_e"), F.max("c").alias("c_max"),
-        F.max(F.when(whole, F.col("e"))).alias("full_e"), F.max(F.when(whole, F.col("c"))).alias("full_c"),
-        F.max("overlap").alias("overlap"), F.bool_or("anchored").alias("anchored"), F.bool_or("has_anchors").alias("has_anchors"),
+def prepared(contexts: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """(key, source_id, document_id, premise, header, extra, anchor_text, texts) of sources (key, source_id, text, and if there
+    are, title, section_path, document_id): what every claim that cites a source is held against.
+
+    ``texts`` are the windows as (w, text, shown): the premise itself (w = 0), runs of one and two sentences and table rows,
+    and with a title each again below ``Title. Section.``.  ``anchor_text`` also has the headings and the bit patterns
+    of table rows.
+    """
+    have = set(contexts.columns)
+    opt = lambda c, kind: F.col(c) if c in have else F.lit(None).cast(kind)
+    x = contexts.select(
+        key, "source_id", "text", opt("document_id", "string").alias("document_id"), opt("title", "string").alias("title"),
+        F.coalesce(opt("section_path", "array<string>"), F.array().cast("array<string>")).alias("section_path"),
+        T.clean_premise("text").alias("premise"),
+    ).withColumn("source", F.struct(key, "source_id"))
+    empty = F.array().cast("array<string>")
+    if rules.table_rows:
+        rows = B.markdown_tables(x.where(F.contains("text", F.lit("|"))), "source", "text")
+        lines = B.row_claims(rows).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "part", "text"))), lambda s: s["text"]).alias("rows"))
+        bits = rows.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list(B.bit_runs("cells")))).alias("bits"))
+        x = x.join(lines, F.col("source") == lines["id"], "left").drop("id").join(bits, F.col("source") == bits["id"], "left").drop("id")
+    else:
+        x = x.withColumns({"rows": F.lit(None).cast("array<string>"), "bits": F.lit(None).cast("array<string>")})
+    windows = F.array_distinct(F.concat(T.sentence_windows(T.sentences("premise")), F.coalesce("rows", empty)))
+    x = x.withColumn("windows", windows).withColumn("header", T.premise_header("title", "section_path") if rules.titles else F.lit(""))
+    own = lambda texts: F.transform(texts, lambda w: F.struct(w.alias("text"), w.alias("shown")))
+    framed = F.transform(F.concat("windows", F.array("premise")), lambda w: F.struct(w.alias("text"), F.concat_ws(" ", "header", w).alias("shown")))
+    texts = F.concat(own(F.array("premise")), own(F.col("windows")), F.when(F.col("header") != "", framed).otherwise(F.array().cast("array<struct<text:string,shown:string>>")))
+    anchors = F.concat_ws(" ", "section_path", "premise", F.coalesce("bits", empty))
+    return x.select(key, "source_id", "document_id", "premise", "header", anchors.alias("anchor_text"), texts.alias("texts"))
+
+
+def paired(cited: DataFrame, sources: DataFrame, key: str, rules: Rules) -> DataFrame:
+    """Rows (key, ix, source_id, claim's row, h, anchors, found, overlap, code_span, texts) of claims and ``prepared`` sources that
+    they cite; one without a source for a claim that cites none that is known.  Everything here is worked out once for
+    a claim and a source."""
+    x = cited.select(key, "ix", F.struct(*cited.columns).alias("claim_row"), hypothesis("claim").alias("h"), F.explode_outer(F.when(F.col("kind") == "fact", F.col("source_ids"))).alias("source_id"))
+    x = x.withColumn("anchors", T.claim_anchors("h")).join(sources, [key, "source_id"], "left")
+    known = F.col("premise").isNotNull()
+    return x.select(
+        key, "ix", "source_id", "claim_row", "h", "anchors", "texts", known.alias("known"), "document_id",
+        F.when(known, T.anchors_found("anchors", "anchor_text")).alias("found"),
+        F.when(known, T.content_overlap("h", "premise")).alias("overlap"),
+        F.when(known, T.code_span("h", "premise", rules.code_span_chars)).alias("code_span"),
+    )
+
+
+def scored(pairs: DataFrame, key: str, nli=heuristic_nli, second=None) -> DataFrame:
+    """The pairs with each window's w, scores a and b (e, n, c; null where a model can't score) and whether it has all anchors of
+    the claim."""
+    x = pairs.select("*", F.posexplode_outer("texts").alias("w", "t")).drop("texts")
+    text, h = T.normalize_keywords(F.col("t.shown")), T.normalize_keywords("h")
+    none = F.lit(None).cast("struct<e:double,n:double,c:double>")
+    a, b = nli(text, h), second(text, h) if second else none
+    return x.select(
+        *(c for c in x.columns if c != "t"), F.when(F.col("t").isNotNull(), a).alias("a"), F.when(F.col("t").isNotNull(), b).alias("b"),
+        ((F.size("anchors") > 0) & T.anchors_present("anchors", F.col("t.text"))).alias("in_window"),
+    )
+
+
+def by_source(windows: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """What the windows of a source say together.  e, c and support are those of the first way of support that holds: a window
+    by itself, a window with all anchors of the claim, a literal of the claim in the source; without one they are the
+    whole text's.  The rest are features of the judge."""
+    a, b, w = F.col("a"), F.col("b"), F.col("w")
+    part, whole = w > 0, w == 0
+    best = lambda when: F.max(F.when(when, F.struct(a["e"].alias("e"), (-w).alias("w"), a["c"].alias("c"))))
+    alone = part & (a["e"] >= rules.window_entailment) & (a["c"] < rules.window_contradiction)
+    anchored = part & F.col("in_window") & (a["e"] >= rules.anchor_entailment) & (a["c"] < rules.anchor_contradiction)
+    low = lambda p: F.least(F.greatest(p, F.lit(1e-4)), F.lit(1 - 1e-4))
+    first = lambda c: F.first(c, ignorenulls=True).alias(c)
+    g = windows.groupBy(key, "ix", "source_id").agg(
+        *(first(c) for c in ("claim_row", "h", "anchors", "known", "document_id", "found", "overlap", "code_span")),
+        best(alone).alias("window"), best(anchored).alias("anchor_window"), F.max(F.when(whole, a)).alias("full"), F.max(F.when(whole, b)).alias("full_b"),
+        F.max(F.when(a.isNotNull(), F.struct((a["e"] - a["c"]).alias("d"), (-w).alias("w"), a["e"].alias("e"), a["c"].alias("c")))).alias("literal"),
+        F.max(F.struct(a["e"].alias("e"), (-w).alias("w"), a["c"].alias("c"))).alias("top"), F.max(a["c"]).alias("a_c"),
+        F.max(b["e"]).alias("b_e"), F.max(b["c"]).alias("b_c"), F.max((a["e"] + b["e"]) / 2).alias("ab_e"),
     )
+    literal = F.col("code_span") & (F.col("literal.c") < rules.code_span_contradiction)
+    support = F.when(F.col("window").isNotNull(), "window").when(F.col("anchor_window").isNotNull(), "anchor_window").when(literal, "code_span")
+    chosen = lambda c: F.coalesce(F.col(f"window.{c}"), F.col(f"anchor_window.{c}"), F.when(literal, F.col(f"literal.{c}")), F.col(f"full.{c}"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    has = F.size("anchors") > 0
+    features = {
+        "a_e_max": S.logit(zero(F.col("top.e"))), "a_c_at_a": zero(F.col("top.c")), "a_c_max": zero(F.col("a_c")), "b_e_max": S.logit(zero(F.col("b_e"))),
+        "b_c_max": zero(F.col("b_c")), "ab_e_max": S.logit(zero(F.col("ab_e"))), "a_full_e": S.logit(zero(F.col("full.e"))), "a_full_c": zero(F.col("full.c")),
+        "b_full_e": S.logit(zero(F.col("full_b.e"))), "overlap": F.col("overlap"), "code_span": F.col("code_span"),
+        "anchors_ok": ~has | (F.size("found") == F.size("anchors")), "has_anchors": has,
+    }
+    return g.select(
+        key, "ix", "source_id", "claim_row", "h", "anchors", "known", "document_id", "found", support.alias("support"), chosen("e").alias("e"), chosen("c").alias("c"),
+        low(zero(F.col("top.e"))).alias("a_e"), low(zero(F.col("b_e"))).alias("b_e"),
+        F.struct(*(features[f].cast("double").alias(f) for f in JUDGE_FEATURES)).alias("features"),
+    )
+
+
+def evidence(cited: DataFrame, contexts: DataFrame, key: str, nli=heuristic_nli, second=None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """``by_source`` of claims (``inherit`` with kind) and sources."""
+    return by_source(scored(paired(cited, prepared(contexts, key, rules), key, rules), key, nli, second), key, rules)
+
+
+def supports(e: Column, c: Column, supported: Column, rules: Rules) -> Column:
+    """Whether a source supports a claim: by a way of support, or by the whole text without contradiction."""
+    return supported | ((c < rules.contradiction) & ((e > rules.entailment) | (e >= rules.strong)))
 
 
-def support_route(e: Column, c: Column, anchored: Column, has_anchors: Column, code_span: Column) -> Column:
-    """How a window supports a claim: by itself, with all anchors of the claim, or by a literal span; null if it doesn't."""
-    return F.when((e >= 0.8) & (c < 0.05), "window").when((e >= 0.4) & (c < 0.2) & anchored & has_anchors, "anchor_window").when(code_span & (c < 0.5), "code_span")
+def _decided(rules: Rules) -> dict[str, Column]:
+    """What the sources (e, c, anchored, supported) of a claim say together, as aggregates."""
+    e, c, supported = F.col("e"), F.col("c"), F.col("supported")
+    yes = F.coalesce(supports(e, c, supported, rules), F.lit(False))
+    plain = F.coalesce((e > rules.entailment) & (c < rules.contradiction), F.lit(False))
+    return {
+        "anchored": F.bool_or("anchored"), "any": F.bool_or(yes), "veto": F.bool_or(~yes & (c >= rules.veto)),
+        "against": F.coalesce(F.bool_or(~supported & (c >= rules.contradiction)), F.lit(False)),
+        "all": F.bool_and(supported | plain), "strong_one": F.bool_or(supported | F.coalesce(e >= rules.strong, F.lit(False))), "e": F.max("e"), "c": F.max("c"),
+    }
+
+
+def _support_first() -> Column:
+    against = F.when(F.col("against"), "contradiction").otherwise("unverified")
+    return F.when(~F.col("anchored"), against).when(F.col("any"), F.when(F.coalesce("veto", F.lit(False)), "contradiction").otherwise("verified")).otherwise(against)
+
+
+def _strict() -> Column:
+    return F.when(F.col("against"), "contradiction").when(F.col("anchored") & (F.col("all") | F.col("strong_one")), "verified").otherwise("unverified")
 
 
 def decide_support_first(sources: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     """Status of each claim from (e, c, anchored, supported) of its sources: one supporting source verifies it unless
     another contradicts outright; without support, any contradiction counts; a missing anchor never verifies."""
-    supports = F.col("supported") | ((F.col("c") < rules.contradiction) & ((F.col("e") > rules.entailment) | (F.col("e") >= rules.strong)))
-    g = sources.withColumn("__s", supports).groupBy(*keys).agg(
-        F.bool_or("anchored").alias("anchored"), F.bool_or("__s").alias("any"),
-        F.bool_or(~F.col("__s") & (F.col("c") >= rules.veto)).alias("veto"),
-        F.bool_or(~F.col("supported") & (F.col("c") >= rules.contradiction)).alias("against"),
-        F.max("e").alias("e"), F.max("c").alias("c"),
-    )
-    status = F.when(~F.col("anchored"), F.when(F.col("against"), "contradiction").otherwise("unverified")).when(F.col("any"), F.when(F.col("veto"), "contradiction").otherwise("verified")).when(F.col("against"), "contradiction").otherwise("unverified")
-    return g.select(*keys, status.alias("status"), "e", "c")
+    g = sources.groupBy(*keys).agg(*(c.alias(n) for n, c in _decided(rules).items()))
+    return g.select(*keys, _support_first().alias("status"), "e", "c")
 
 
 def decide_strict(sources: DataFrame, rules: Rules, *keys: str) -> DataFrame:
     """The stricter rule: any contradiction decides; else all sources must support, or one strongly."""
-    plain = (F.col("e") > rules.entailment) & (F.col("c") < rules.contradiction)
-    g = sources.groupBy(*keys).agg(
-        F.bool_or("anchored").alias("anchored"), F.bool_or(~F.col("supported") & (F.col("c") >= rules.contradiction)).alias("against"),
-        F.bool_and(F.col("supported") | plain).alias("all"), F.bool_or(F.col("supported") | (F.col("e") >= rules.strong)).alias("strong"),
+    g = sources.groupBy(*keys).agg(*(c.alias(n) for n, c in _decided(rules).items()))
+    return g.select(*keys, _strict().alias("status"))
+
+
+def single_source_status(e: Column, c: Column, rules: Rules) -> Column:
+    """The rule for one source: contradiction first, then entailment above the threshold, or strong."""
+    return F.when(c >= rules.contradiction, "contradiction").when((e > rules.entailment) | (e >= rules.strong), "verified").otherwise("unverified")
+
+
+def alternative_verifiers(windows: DataFrame, key: str, thresholds: tuple[float, ...] = (0.05, 0.5)) -> DataFrame:
+    """(key, ix, verifier, accepted): other ways to accept a claim by the whole texts of its sources: one source entails it
+    without contradiction, a second model's entailment reaches a threshold anywhere, and the same with all anchors."""
+    whole = F.col("w") == 0
+    g = windows.groupBy(key, "ix").agg(
+        F.bool_or(whole & (F.col("a.e") > 0.4) & (F.col("a.c") < 0.2)).alias("single"), F.max("b.e").alias("b"),
+        F.flatten(F.collect_set("found")).alias("found"), F.first("anchors").alias("anchors"),
     )
-    return g.select(*keys, F.when(F.col("against"), "contradiction").when(F.col("anchored") & (F.col("all") | F.col("strong")), "verified").otherwise("unverified").alias("status"))
+    there = F.size(F.array_except("anchors", "found")) == 0
+    ways = {"single": F.coalesce("single", F.lit(False))} | {f"second_{t}": F.coalesce(F.col("b") >= t, F.lit(False)) for t in thresholds}
+    ways |= {f"{name}_anchored": way & there for name, way in list(ways.items())}
+    return g.select(key, "ix", F.explode(F.array(*(F.struct(F.lit(n).alias("verifier"), w.alias("accepted")) for n, w in ways.items()))).alias("x")).select(key, "ix", "x.*")
 
 
 def judge(features: dict[str, Column]) -> Column:
@@ -147,19 +263,32 @@ def judge(features: dict[str, Column]) -> Column:
     return S.sigmoid(sum((w * features[name].cast("double") for name, w in zip(JUDGE_FEATURES, JUDGE_WEIGHTS)), F.lit(JUDGE_INTERCEPT)))
 
 
+def _graded(config: Judge) -> tuple[dict[str, Column], Column]:
+    """What the sources (score, a_e, b_e, a_c_max, b_c_max, anchored of the claim) say together, and the grade by it."""
+    worst, denies = F.greatest("a_c_max", "b_c_max"), F.col("b_e") < 0.5
+    ok = F.col("anchored") & (F.col("score") >= config.threshold)
+    sums = {
+        "any": F.bool_or(ok), "veto": F.bool_or(~ok & denies & (worst >= config.veto)), "against": F.bool_or(denies & (worst >= config.contradiction)),
+        "score": F.max("score"), "gap": F.max_by(F.abs(F.col("a_e") - F.col("b_e")), F.struct("score", -F.col("a_e"))),
+    }
+    grade = (
+        F.when(F.col("any") & F.col("veto"), "contradicted").when(F.col("any"), "supported").when(F.col("against"), "contradicted")
+        .when(F.col("gap") >= config.disagreement, "ambiguous").when(F.col("score") >= config.partial, "partially_supported").otherwise("insufficient_evidence")
+    )
+    return sums, grade
+
+
 def judge_grades(sources: DataFrame, config: Judge, *keys: str) -> DataFrame:
     """Grade and status of each claim from (score, a_e, b_e, a_c_max, b_c_max, anchored) of its sources: vetoed, supported,
     contradicted, ambiguous, partly supported, or without enough evidence, in this order."""
-    worst, denies = F.greatest("a_c_max", "b_c_max"), F.col("b_e") < 0.5
-    x = sources.withColumn("__anchored", F.bool_or("anchored").over(Window.partitionBy(*keys))).withColumn("__ok", F.col("__anchored") & (F.col("score") >= config.threshold))
-    g = x.groupBy(*keys).agg(
-        F.bool_or("__ok").alias("any"), F.bool_or(~F.col("__ok") & denies & (worst >= config.veto)).alias("veto"),
-        F.bool_or(denies & (worst >= config.contradiction)).alias("against"), F.max("score").alias("score"),
-        F.max_by(F.abs(F.col("a_e") - F.col("b_e")), F.struct("score", -F.col("a_e"))).alias("gap"),
-    )
-    grade = F.when(F.col("any") & F.col("veto"), "contradicted").when(F.col("any"), "supported").when(F.col("against"), "contradicted").when(F.col("gap") >= config.disagreement, "ambiguous").when(F.col("score") >= config.partial, "partially_supported").otherwise("insufficient_evidence")
-    status = F.when(grade == "supported", "verified").when(grade == "contradicted", "contradiction").otherwise("unverified")
-    return g.select(*keys, grade.alias("grade"), status.alias("status"), "score")
+    sums, grade = _graded(config)
+    x = sources.withColumn("anchored", F.bool_or("anchored").over(Window.partitionBy(*keys)))
+    g = x.groupBy(*keys).agg(*(c.alias(n) for n, c in sums.items()))
+    return g.select(*keys, grade.alias("grade"), _status_of(grade).alias("status"), "score")
+
+
+def _status_of(grade: Column) -> Column:
+    return F.when(grade == "supported", "verified").when(grade == "contradicted", "contradiction").otherwise("unverified")
 
 
 def ensemble(a: Column, b: Column, how: str) -> Column:
@@ -173,17 +302,101 @@ def ensemble(a: Column, b: Column, how: str) -> Column:
     return F.when(both, joint).when(F.lit(how == "first_veto"), a)
 
 
+def in_document(sources: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
+    """(key, ix): claims whose missing anchors are identifiers (a control with its enhancement being one) that stand in other
+    sources of the answer from the documents that the claim cites."""
+    p = prepared(contexts, key)
+    wide = sources.where("known").withColumn("named", T.claim_anchors("h", enhancements=True))
+    own = wide.join(p.select(key, "source_id", F.col("anchor_text").alias("own")), [key, "source_id"])
+    own = own.withColumn("there", T.anchors_found("named", "own")).groupBy(key, "ix").agg(F.first("named").alias("named"), F.flatten(F.collect_list("there")).alias("there"), F.collect_set("document_id").alias("documents"), F.collect_set("source_id").alias("cited"))
+    own = own.withColumn("missing", F.array_except("named", "there")).where((F.size("missing") > 0) & F.forall("missing", T.is_identifier))
+    other = p.where("document_id is not null").select(key, F.col("source_id").alias("other"), F.col("document_id").alias("of"), F.col("anchor_text").alias("text"))
+    near = own.withColumn("of", F.explode("documents")).join(other, [key, "of"]).where(~F.array_contains("cited", F.col("other")))
+    got = near.groupBy(key, "ix").agg(F.first("missing").alias("missing"), F.flatten(F.collect_list(T.anchors_found("missing", "text"))).alias("got"))
+    return got.where(F.size(F.array_except("missing", "got")) == 0).select(key, "ix")
+
+
+def verify(answers: DataFrame, contexts: DataFrame, key: str, text: str, rules: Rules = Rules(), nli=heuristic_nli, second=None, judged: Judge | None = None) -> DataFrame:  # noqa: B008
+    """Claims of answers with kind, source_ids, inherited, status, reason, grade, score and co_verified.
+
+    By rules, or (``decision="judge"``) by the logistic judge on both models' scores.  A claim is held against the sources
+    that it cites; all its anchors must stand in them together, or (``anchor_scope="document"``) identifiers in other
+    sources of the same documents.
+    """
+    c = inherit(claims(answers, key, text), key).withColumn("kind", kind("claim"))
+    sources = evidence(c, contexts, key, nli, second, rules).withColumn("supported", F.col("support").isNotNull())
+    sources = sources.withColumn("score", judge({f: F.col(f"features.{f}") for f in JUDGE_FEATURES}))
+    held = F.size(F.array_except("anchors", F.coalesce(F.flatten(F.collect_list("found").over(Window.partitionBy(key, "ix"))), F.array().cast("array<string>")))) == 0
+    x = sources.withColumn("anchored", held)
+    if rules.anchor_scope == "document":
+        wider = in_document(sources, contexts, key).withColumn("wider", F.lit(True))
+        x = x.join(wider, [key, "ix"], "left").withColumn("anchored", F.col("anchored") | F.coalesce("wider", F.lit(False))).drop("wider")
+    sums, grade = _graded(judged or Judge())
+    x = x.withColumns({"a_c_max": F.col("features.a_c_max"), "b_c_max": F.col("features.b_c_max")})
+    first = {n: F.first(n) for n in ("claim_row", "h")} | {"known": F.count_if("known"), "cited": F.count("source_id")}
+    g = x.groupBy(key, "ix").agg(*(v.alias(n) for n, v in (first | {f"__{n}": s for n, s in sums.items()} | _decided(rules)).items()))
+    if rules.decision == "judge":
+        g = g.withColumns({n: F.col(f"__{n}") for n in sums})
+        status = _status_of(grade)
+    else:
+        status = _strict() if rules.aggregation == "strict" else _support_first()
+        grade = F.when(status == "verified", "supported").when(status == "contradiction", "contradicted").otherwise("insufficient_evidence")
+    row = F.col("claim_row")
+    reason = (
+        F.when(row["kind"] == "absence", "absence_statement").when(row["kind"] == "verdict", "verdict_marker").when(~F.col("h").rlike(r"[\p{L}\p{N}_]"), "empty_claim")
+        .when(row["malformed"], "invalid_citation").when(F.size(row["source_ids"]) == 0, "missing_citation").when(F.col("known") < F.col("cited"), "unknown_citation")
+    )
+    checked = reason.isNull()
+    out = g.select(
+        key, "ix", "claim_row", "h", F.when(checked, status).otherwise("unverified").alias("status"), F.when(checked, grade).otherwise("insufficient_evidence").alias("grade"),
+        F.when(checked, F.col("__score")).alias("score"),
+        F.when(~checked, reason).when(status == "verified", None).when(~F.col("anchored"), "anchor_not_in_source").otherwise("cited_support_not_established").alias("reason"),
+    )
+    out = co_verify(out, contexts, key, rules)
+    return out.select(*(F.col(f"claim_row.{n}").alias(n) for n in c.columns), "status", "reason", "grade", F.round("score", 6).alias("score"), "co_verified")
+
+
 def co_verify(checked: DataFrame, contexts: DataFrame, key: str, rules: Rules) -> DataFrame:
     """Verifies facts left unverified for want of support if sources that verified another fact of the answer hold all
     their anchors and enough of their words.  Claims verified here don't vouch for others."""
-    vouching = checked.where("kind = 'fact' and status = 'verified'").select(key, F.explode("source_ids").alias("source_id")).distinct()
-    texts = vouching.join(contexts, [key, "source_id"]).select(key, "source_id", T.clean_premise("text").alias("premise"))
-    open_ = checked.where("kind = 'fact' and status = 'unverified' and reason = 'cited_support_not_established'")
-    joint = open_.select(key, "ix", "claim", F.posexplode("source_ids").alias("p", "source_id")).join(texts, [key, "source_id"]).groupBy(key, "ix", "claim").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "premise"))), lambda s: s["premise"]), " ").alias("premise"))
-    h = F.trim(F.regexp_replace("claim", T.ANY_CITATION, ""))
-    won = joint.where(T.anchors_present(T.claim_anchors(h), "premise") & (T.content_overlap(h, "premise") >= rules.co_verification_overlap)).select(key, "ix", F.lit(True).alias("co_verified"))
-    out = checked.join(won, [key, "ix"], "left").withColumn("co_verified", F.coalesce("co_verified", F.lit(False)))
-    return out.withColumn("status", F.when(F.col("co_verified"), "verified").otherwise(F.col("status"))).withColumn("reason", F.when(~F.col("co_verified"), F.col("reason")))
+    row = F.col("claim_row")
+    vouching = F.when((row["kind"] == "fact") & (F.col("status") == "verified"), row["source_ids"])
+    shared = F.array_intersect(row["source_ids"], F.flatten(F.collect_list(vouching).over(Window.partitionBy(key))))
+    open_ = F.when((row["kind"] == "fact") & (F.col("reason") == "cited_support_not_established"), shared)
+    x = checked.withColumn("shared", open_).select("*", F.posexplode_outer("shared").alias("p", "source_id")).drop("shared")
+    texts = prepared(contexts, key, rules).select(key, "source_id", "premise", "anchor_text")
+    kept = [c for c in checked.columns if c not in (key, "ix")]
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("p", c)))), lambda s: s[c]), " ")
+    g = x.join(texts, [key, "source_id"], "left").groupBy(key, "ix").agg(*(F.first(c).alias(c) for c in kept), joined("premise").alias("premise"), joined("anchor_text").alias("anchor_text"))
+    won = (F.col("premise") != "") & T.anchors_present(T.claim_anchors("h"), "anchor_text") & (T.content_overlap("h", "premise") >= rules.co_verification_overlap)
+    g = g.withColumn("co_verified", F.coalesce(won, F.lit(False)))
+    return g.withColumns({
+        "status": F.when(F.col("co_verified"), "verified").otherwise(F.col("status")), "reason": F.when(~F.col("co_verified"), F.col("reason")),
+        "grade": F.when(F.col("co_verified"), "supported").otherwise(F.col("grade")),
+    }).drop("premise", "anchor_text")
+
+
+def checked_contexts(answers: DataFrame, contexts: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """(key, source_id, problem) of sources of answers that can't be relied on: numbers that don't count from S1, a chunk that
+    the index doesn't have, or a text that isn't the chunk's.  ``contexts`` has (key, source_id, chunk_id, text), ``chunks``
+    (chunk_id, text)."""
+    w = Window.partitionBy(key).orderBy(F.regexp_extract("source_id", r"(\d+)$", 1).cast("int"))
+    x = contexts.join(answers.select(key).distinct(), key).withColumn("place", F.concat(F.lit("S"), F.row_number().over(w)))
+    x = x.join(chunks.select("chunk_id", F.col("text").alias("stored")), "chunk_id", "left")
+    problem = F.when(F.col("place") != F.col("source_id"), "number").when(F.col("stored").isNull(), "unknown_chunk").when(F.col("stored") != F.col("text"), "changed_text")
+    return x.select(key, "source_id", problem.alias("problem")).where("problem is not null")
+
+
+def dossier(checked: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
+    """(key, ix, anchors, missing, missing_everywhere): the anchors of claims (``verify``) that their cited sources lack, and
+    those that no source of the answer has."""
+    texts = prepared(contexts, key).select(key, "source_id", "anchor_text")
+    x = checked.where("kind = 'fact'").select(key, "ix", "source_ids", T.claim_anchors(hypothesis("claim")).alias("anchors")).join(texts, key, "left")
+    found = T.anchors_found("anchors", F.coalesce("anchor_text", F.lit("")))
+    none = F.array().cast("array<string>")
+    cited = F.when(F.array_contains("source_ids", F.col("source_id")), found).otherwise(none)
+    g = x.groupBy(key, "ix").agg(F.first("anchors").alias("anchors"), F.flatten(F.collect_list(cited)).alias("cited"), F.flatten(F.collect_list(found)).alias("all"))
+    return g.select(key, "ix", "anchors", F.array_except("anchors", "cited").alias("missing"), F.array_except(F.array_except("anchors", "cited"), "all").alias("missing_everywhere"))
 
 
 def publish(checked: DataFrame, key: str, finish: str | None = None, guard: bool = True) -> DataFrame:
@@ -218,21 +431,3 @@ def refusal_reason(refused: Column, finish: Column, raw: Column, canonical: str)
     """Why an answer is withheld, first reason first; null where it is published."""
     why = F.when(finish == "context_budget", "context_budget_exceeded").when(F.trim(raw) == "", "empty_generation").when(~finish.isin("stop", "eos_token"), "generation_incomplete").when(F.trim(raw) == canonical, "llm_refusal").otherwise("nli_verification_failed")
     return F.when(refused, why)
-
-
-def verify(answers: DataFrame, contexts: DataFrame, key: str, text: str, rules: Rules = Rules(), nli=heuristic_nli) -> DataFrame:  # noqa: B008
-    """Claims of answers with kind, source_ids, inherited, status and reason: segmentation to co-verification."""
-    c = inherit(claims(answers, key, text), key).withColumn("kind", kind("claim")).persist()
-    windows = evidence(c.where("kind = 'fact'"), contexts, key, nli)
-    s = by_source(windows, key, "ix", "source_id")
-    route = support_route(F.col("e_max"), F.col("c_at_e"), F.col("anchored"), F.col("has_anchors"), F.lit(False))
-    decided = decide_support_first(s.select(key, "ix", F.col("full_e").alias("e"), F.col("full_c").alias("c"), "anchored", route.isNotNull().alias("supported")), rules, key, "ix")
-    anchored = s.groupBy(key, "ix").agg(F.bool_or("anchored").alias("anchored"))
-    out = c.join(decided.select(key, "ix", "status"), [key, "ix"], "left").join(anchored, [key, "ix"], "left")
-    known = F.col("anchored").isNotNull()
-    reason = (
-        F.when(F.col("kind") == "absence", "absence_statement").when(F.col("kind") == "verdict", "verdict_marker").when(F.col("malformed"), "invalid_citation").when(F.size("source_ids") == 0, "missing_citation")
-        .when(~known, "unknown_citation").when(F.col("status") == "verified", None).when(~F.col("anchored"), "anchor_not_in_source").otherwise("cited_support_not_established")
-    )
-    checked = out.withColumn("status", F.coalesce("status", F.lit("unverified"))).withColumn("reason", reason).drop("anchored")
-    return co_verify(checked, contexts, key, rules)
