@@ -10,6 +10,27 @@ from pyspark.sql.window import Window
 
 from ..functions import stats as S
 
+#: Rows up to this many are put in order in one task; more are dealt to ranges first.
+ORDERED_ROWS = 100_000
+
+
+def below(df: DataFrame, order: str, columns: list[str], *by: str, most: int = ORDERED_ROWS) -> DataFrame:
+    """Adds ``below_c`` for each column c: its sum over the rows of smaller ``order`` (a number that no two rows of a group
+    share), by groups.  Beyond ``most`` rows the values are cut into ranges at quantiles: each range is summed by
+    itself, and what stands below it comes from the ranges' totals, of which there are few."""
+    n = df.count()
+    before = lambda w: [F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"below_{c}") for c in columns]
+    if n <= most:
+        return df.select("*", *before(Window.partitionBy(*by).orderBy(order)))
+    cuts = sorted(set(df.approxQuantile(order, [i / (n // most + 1) for i in range(1, n // most + 1)], 0.001)))
+    x = df.withColumn("__r", F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(order))))
+    totals = x.groupBy(*by, "__r").agg(*(F.sum(c).alias(f"__{c}") for c in columns))
+    w = Window.partitionBy(*by).orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*by, "__r", *(F.coalesce(F.sum(f"__{c}").over(w), F.lit(0)).alias(f"__{c}") for c in columns))
+    inside = x.select("*", *before(Window.partitionBy(*by, "__r").orderBy(order)))
+    joined = inside.join(offsets, [*by, "__r"])
+    return joined.select(*df.columns, *((F.col(f"below_{c}") + F.col(f"__{c}")).alias(f"below_{c}") for c in columns))
+
 
 def rates(df: DataFrame, hit: Column, *by: str, digits: int = 6) -> DataFrame:
     """k, n, rate and the Wilson interval of a condition; rows where it is null are left out."""
@@ -48,10 +69,11 @@ def nearest_rank(df: DataFrame, value: str, *by: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """The element at n // 2 of the ascending values."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).withColumn("r", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    return ranked.where(F.col("r") == F.floor(F.col("n") / 2)).select(*by, F.col(value).alias("upper_median"))
+    """The element at n // 2 of the ascending values, from counts of distinct values."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    x = below(counts, value, ["c"], *by).join(counts.groupBy(*by).agg(F.sum("c").alias("n")), list(by))
+    middle = F.floor(F.col("n") / 2)
+    return x.where((F.col("below_c") <= middle) & (middle < F.col("below_c") + F.col("c"))).select(*by, F.col(value).alias("upper_median"))
 
 
 def confusion(df: DataFrame, gold: str, said: str, labels: list) -> DataFrame:
@@ -82,17 +104,22 @@ def calibration(df: DataFrame, p: str, hit: Column, bins: int = 10, digits: int
     ece = x.groupBy("bin").agg(F.count("*").alias("c"), F.abs(F.avg("p") - F.avg("y")).alias("gap")).agg(F.sum(F.col("c") * F.col("gap")).alias("gaps"))
     # Mean ranks from counts of distinct scores, so that rows never meet in one window.
     scores = x.groupBy("p").agg(F.count("*").alias("c"), F.sum("y").alias("pos"))
-    scores = scores.withColumn("before", F.coalesce(F.sum("c").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranks = scores.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("c") + 1) / 2)).alias("ranks"))
+    ranks = below(scores, "p", ["c"]).agg(F.sum(F.col("pos") * (F.col("below_c") + (F.col("c") + 1) / 2)).alias("ranks"))
     one = basic.join(F.broadcast(ece)).join(F.broadcast(ranks))
     auc = F.try_divide(F.col("ranks") - F.col("ones") * (F.col("ones") + 1) / 2, F.col("ones") * (F.col("n") - F.col("ones")))
     return one.select("n", F.round("brier", digits).alias("brier"), F.round("log_loss", digits).alias("log_loss"), F.round(F.col("gaps") / F.col("n"), digits).alias("ece"), F.round(auc, digits).alias("auc"))
 
 
 def split_halves(df: DataFrame, key: str, *by: str) -> DataFrame:
-    """dev and test by turns, in the order of the ids' SHA-1 within each stratum."""
-    r = F.row_number().over(Window.partitionBy(*by).orderBy(F.sha1(F.col(key).cast("string")), key))
-    return df.withColumn("split", F.when(r % 2 == 1, "dev").otherwise("test"))
+    """dev and test by turns, in the order of the ids' SHA-1 within each stratum.  The first digits of the hash make ranges of
+    equal size; places are counted within a range, after the rows of the ranges before it."""
+    h, part = f"__h_{key}", f"__part_{key}"
+    x = df.withColumn(h, F.sha1(F.col(key).cast("string"))).withColumn(part, F.substring(h, 1, 3))
+    sizes = x.groupBy(*by, part).agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*by, part, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    place = F.row_number().over(Window.partitionBy(*by, part).orderBy(h, key)) + F.col("__before")
+    return x.join(offsets, [*by, part]).withColumn("split", F.when(place % 2 == 1, "dev").otherwise("test")).drop(h, part, "__before")
 
 
 def islands(df: DataFrame, hit: Column, order: list[str], *by: str) -> DataFrame:
@@ -101,3 +128,88 @@ def islands(df: DataFrame, hit: Column, order: list[str], *by: str) -> DataFrame
     run = df.withColumn("__hit", hit).withColumn("__group", F.row_number().over(w) - F.sum(F.when(hit, 1).otherwise(0)).over(w))
     kept = run.where("__hit")
     return kept.groupBy(*by, "__group").agg(F.min(order[0]).alias("first"), F.max(order[0]).alias("last"), F.count("*").alias("length")).drop("__group")
+
+
+def macro_report(df: DataFrame, gold: str, said: str, labels: list, digits: int = 6) -> DataFrame:
+    """One row: n, accuracy, and the mean F1 of the labels that occur."""
+    per = confusion(df, gold, said, labels)
+    macro = per.agg(F.sum("support").alias("n"), F.sum("hits").alias("hits"), F.avg(F.when(F.col("support") > 0, F.col("f1"))).alias("macro_f1"))
+    return macro.select("n", F.round(S.rate(F.col("hits"), F.col("n")), digits).alias("accuracy"), F.round("macro_f1", digits).alias("macro_f1"))
+
+
+#: Status that a gold label asks for: fixed values.
+EXPECTED_STATUS = {"entailment": "verified", "neutral": "unverified", "contradiction": "contradiction"}
+
+
+def decision_shares(label: Column, status: Column, digits: int = 6) -> list[Column]:
+    """Aggregates of verdicts (status) on pairs with a gold label: what is caught of the bad ones, what of the good ones is
+    rejected, and how often the status is the expected one.  Shares of nothing are null."""
+    ok = status == "verified"
+    expected = F.coalesce(*(F.when(label == g, F.lit(s)) for g, s in EXPECTED_STATUS.items()))
+    share = lambda hit, of, name: F.round(F.try_divide(F.count_if(hit & of).cast("double"), F.count_if(of)), digits).alias(name)
+    return [
+        F.count("*").alias("n"), share(~ok, label != "entailment", "catch_rate"), share(~ok, label == "contradiction", "contradiction_catch_rate"),
+        share(~ok, label == "neutral", "neutral_catch_rate"), share(status == "contradiction", label == "contradiction", "named_contradiction"),
+        share(~ok, label == "entailment", "false_rejection"), share(status == expected, F.lit(True), "agreement"),
+    ]
+
+
+def status_matrix(df: DataFrame, label: str, status: str) -> DataFrame:
+    """(label, status, n) for every pair, zeros included."""
+    statuses = ["verified", "unverified", "contradiction"]
+    grid = [F.struct(F.lit(g).alias("label"), F.lit(s).alias("status"), F.count_if((F.col(label) == g) & (F.col(status) == s)).alias("n")) for g in EXPECTED_STATUS for s in statuses]
+    return df.agg(F.array(*grid).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+
+
+def two_axis_sweep(df: DataFrame, e: str, c: str, label: str, es: list[float], cs: list[float], strong: float | None = None, digits: int = 6) -> DataFrame:
+    """(entailment, contradiction, catch_rate, false_rejection) of the rule for one source over a grid of two thresholds;
+    pairs without a score are left out."""
+    grid = F.array(*(F.struct(F.lit(float(x)).alias("entailment"), F.lit(float(y)).alias("contradiction")) for x in es for y in cs))
+    x = df.where(F.col(e).isNotNull()).withColumn("g", F.explode(grid)).select("g.*", F.col(e).alias("e"), F.col(c).alias("c"), F.col(label).alias("label"))
+    yes = (F.col("e") > F.col("entailment")) | (F.lit(strong is not None) & (F.col("e") >= F.lit(strong if strong is not None else 0.0)))
+    status = F.when(F.col("c") >= F.col("contradiction"), "contradiction").when(yes, "verified").otherwise("unverified")
+    shares = {a: s for s, a in zip(decision_shares(F.col("label"), F.col("status"), digits), ("n", "catch_rate", "x1", "x2", "x3", "false_rejection", "x4"))}
+    g = x.withColumn("status", status).groupBy("entailment", "contradiction")
+    return g.agg(shares["catch_rate"].alias("catch_rate"), shares["false_rejection"].alias("false_rejection"))
+
+
+def defined_means(df: DataFrame, columns: list[str], *by: str, digits: int = 6) -> DataFrame:
+    """(by, metric, mean, defined, undefined): means over the rows where a metric is defined, and how many those are."""
+    stats = [F.struct(F.lit(c).alias("metric"), F.round(F.avg(c), digits).alias("mean"), F.count(c).alias("defined"), (F.count("*") - F.count(c)).alias("undefined")) for c in columns]
+    return df.groupBy(*by).agg(F.array(*stats).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
+
+
+def bootstrap_difference(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: str = "b", digits: int = 6) -> DataFrame:
+    """One row: difference of two runs' shares in percentage points, and the 2.5th and 97.5th percentile of it over resamples.
+
+    A row's weight in a round is a Poisson draw by the hash of its key and the round, so rounds are sums that tasks
+    make of their rows, the same whenever they are run, and no row travels.
+    """
+    steps, p, total = [], 0.36787944117144233, 0.36787944117144233  # P(0), P(1), ... of Poisson(1)
+    for k in range(1, 9):
+        steps.append(total)
+        p /= k
+        total += p
+    per = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
+    d = df.select(key, (F.col(x).cast("int") - F.col(y).cast("int")).alias("d"))
+    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("round")), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    weight = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    r = d.withColumn("round", per).withColumn("u", u).withColumn("w", weight).groupBy("round").agg(F.try_divide(100.0 * F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("points"))
+    low, high = F.percentile("points", 0.025), F.percentile("points", 0.975)
+    one = d.agg(F.round(100.0 * F.avg("d"), digits).alias("points"))
+    return one.crossJoin(F.broadcast(r.agg(F.round(low, digits).alias("low"), F.round(high, digits).alias("high"))))
+
+
+def fitted_curve(df: DataFrame, score: str, label: str, how: str):
+    """Adds calibrated: the probability of the label by the score's logit, with one factor (temperature) or a factor and a
+    constant (platt)."""
+    if how not in ("temperature", "platt"):
+        raise ValueError("how is 'temperature' or 'platt'")
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    x = df.withColumn("__z", S.logit(F.col(score))).withColumn("__y", F.col(label).cast("double"))
+    x = VectorAssembler(inputCols=["__z"], outputCol="__f").transform(x)
+    model = LogisticRegression(featuresCol="__f", labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__c", fitIntercept=how == "platt", standardization=False).fit(x)
+    return model.transform(x).withColumn("calibrated", vector_to_array("__p")[1]).drop("__z", "__y", "__f", "__p", "__r", "__c")

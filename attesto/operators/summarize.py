@@ -1,7 +1,9 @@
-"""Selection of passages that are relevant and differ, and removal of what repeats."""
+"""Selection of passages that are relevant and differ, removal of what repeats, and summaries of summaries."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..storage import Workspace
 
 
 def equidistant(df: DataFrame, size: int, order: str, *by: str) -> DataFrame:
@@ -83,3 +86,82 @@ def paragraphs(df: DataFrame, order: str, by: str, most: int = 3) -> DataFrame:
     w = Window.partitionBy(by)
     i, n = F.row_number().over(w.orderBy(order)) - 1, F.count("*").over(w)
     return df.withColumn("paragraph", F.floor(i * F.least(F.lit(most), n) / n).cast("int"))
+
+
+def distinct_by_group(df: DataFrame, key: str, vector: str, by: str, order: str, threshold: float = 0.85) -> DataFrame:
+    """(by, key): rows of each group, in order, that are no more similar than the threshold to a kept one.  Groups are pools
+    that ``equidistant`` has bounded."""
+
+    def pick(table: pa.Table) -> pa.Table:
+        table = table.sort_by(order)
+        kept = distinct_by_similarity(np.array(table.column(vector).to_pylist(), dtype=np.float64), threshold)
+        return pa.table({by: table.column(by).take(kept), key: table.column(key).take(kept)})
+
+    kinds = dict(df.dtypes)
+    columns = list(dict.fromkeys([by, key, vector, order]))
+    return df.select(*columns).groupBy(by).applyInArrow(pick, f"{by} {kinds[by]}, {key} {kinds[key]}")
+
+
+def batches_of(items: DataFrame, by: str, order: str, size: str, budget: int) -> DataFrame:
+    """Adds batch: items of a group in order, as many together as the budget holds; an item that is larger is an error.  The fold
+    runs over a group's sizes, a number each."""
+    g = items.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("n")))).alias("s"))
+    start = F.struct(F.lit(0).alias("b"), F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("all"))
+
+    def step(a: Column, x: Column) -> Column:
+        fits = (a["used"] + x["n"] <= budget) | (a["used"] == 0)
+        b = F.when(fits, a["b"]).otherwise(a["b"] + 1)
+        return F.struct(b.alias("b"), F.when(fits, a["used"] + x["n"]).otherwise(x["n"]).alias("used"), F.concat(a["all"], F.array(b)).alias("all"))
+
+    flat = g.select(by, F.posexplode(F.arrays_zip("s", F.aggregate("s", start, step, lambda a: a["all"]).alias("b"))).alias("i", "z"))
+    too_large = F.when(F.col("z.s.n") > budget, F.raise_error(F.lit("an item exceeds the budget"))).otherwise(F.col("z.b"))
+    return items.join(flat.select(by, F.col("z.s.o").alias(order), too_large.alias("batch")), [by, order])
+
+
+def map_reduce(items: DataFrame, by: str, order: str, text: str, size: Callable[[Column], Column], write: Callable[[Column], Column], budget: int, calls: int = 16) -> DataFrame:
+    """(by, text): one text for each group, made by ``write`` (a caller's model) from joined texts: batches that the budget
+    holds, then batches of what came out, until one is left.  Each round is one pass over all groups that aren't done; a
+    group that would need more than ``calls`` is an error, not a part of its texts."""
+    left = items.select(by, F.col(order).cast("long").alias("o"), F.col(text).alias("t"), F.lit(0).alias("calls"))
+    done = None
+    while True:
+        x = batches_of(left.withColumn("n", size(F.col("t"))), by, "o", "n", budget)
+        made = x.groupBy(by, "batch").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda s: s["t"]), "\n").alias("t"), F.max("calls").alias("before"))
+        n = made.groupBy(by).agg(F.count("*").alias("batches"))
+        y = made.join(n, by).withColumn("calls", F.col("before") + F.col("batches"))
+        y = y.withColumn("calls", F.when(F.col("calls") > calls, F.raise_error(F.lit("the calls of a summary are used up"))).otherwise(F.col("calls")))
+        y = y.select(by, F.col("batch").cast("long").alias("o"), write(F.col("t")).alias("t"), "calls", "batches")
+        y = Workspace(items.sparkSession, "summary").save(y, "round")
+        ready = y.where("batches = 1").select(by, F.col("t").alias("text"))
+        done = ready if done is None else done.unionByName(ready)
+        left = y.where("batches > 1").select(by, "o", "t", "calls")
+        if left.isEmpty():
+            return done
+
+
+def summary_claims(claims: DataFrame, windows: DataFrame, by: str, order: str, threshold: float = 0.85, contradiction: float = 0.3) -> DataFrame:
+    """(by, order, source_id, similarity, status): claims of a summary (vector, source_ids) held against windows of sources
+    (source_id, w, vector, c: the contradiction of a claim that is held against it, by ``nli`` of the caller).
+
+    A claim's premise is its most similar window among the sources that it cites, or among all if it cites none, the
+    earliest on ties.  Contradicted claims come first out, then those that repeat an accepted one; a claim is one of at
+    most a page, so the fold over a summary's claims is short.
+    """
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    cosine = lambda a, b: F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
+    w = windows.select(by, F.col("source_id"), "w", F.col("vector").alias("wv"), "c")
+    x = claims.join(w, by).where((F.size("source_ids") == 0) | F.array_contains("source_ids", F.col("source_id")))
+    best = x.groupBy(by, order).agg(F.max(F.struct(F.round(cosine("vector", "wv"), 9).alias("s"), (-F.col("w")).alias("w"), "source_id", "c")).alias("b"), F.first("vector").alias("vector"))
+    best = best.withColumn("ok", F.coalesce(F.col("b.c") <= contradiction, F.lit(False)))
+    g = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "vector", "ok", "b"))).alias("s"))
+    kind = dict(claims.dtypes)["vector"]
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.array().cast("array<struct<near:double,status:string>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        near = F.coalesce(F.array_max(F.transform(a["kept"], lambda v: cosine(v, x["vector"]))), F.lit(0.0))
+        status = F.when(~x["ok"], "contradiction").when(near > threshold, "duplicate").otherwise("accepted")
+        kept = F.when(status == "accepted", F.concat(a["kept"], F.array(x["vector"]))).otherwise(a["kept"])
+        return F.struct(kept.alias("kept"), F.concat(a["out"], F.array(F.struct(near.alias("near"), status.alias("status")))).alias("out"))
+
+    z = g.select(by, F.explode(F.arrays_zip("s", F.aggregate("s", start, step, lambda a: a["out"]).alias("r"))).alias("z"))
+    return z.select(by, F.col("z.s.o").alias(order), F.col("z.s.b.source_id").alias("source_id"), F.round("z.r.near", 6).alias("similarity"), F.col("z.r.status").alias("status"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import Retrieval
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import experiments as X
@@ -14,15 +13,15 @@ from ..operators import retrieval as R
 from ..operators import summarize as M
 from .experiments import _LOG, _log
 from .registry import query, table
-from .retrieval import _GOLD, BM25_SQL, HYBRID_SQL, _index
+from .retrieval import _GOLD, BM25_SQL, HYBRID_SQL, _hybrid, _index
 
 
-@query(r"""SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug, NOT regexp_matches(rtrim(text), '[.!?。！？:;»"”)\]]$') AS cut_off,
+@query(r"""SELECT doc_id, trim(regexp_replace(lower(split_part(text, chr(10), 1)), '[^\p{L}\p{N}]+', '-', 'g'), '-') AS slug, NOT regexp_matches(rtrim(text), '[.!?。！？:;»"”)\]]$') AS cut_off,
   substr(sha1(concat_ws(chr(31), CAST(doc_id AS VARCHAR), text)), 1, 16) AS stable_id, source || ' > ' || lang || ', стр. ' || CAST(doc_id AS VARCHAR) AS citation FROM documents""")
 def chunk_flags(spark, sf):
-    """Slug, open end, stable id and citation of documents."""
+    """Slug of the first line, open end, stable id and citation of documents."""
     d = table(spark, sf, "documents")
-    return d.select("doc_id", T.slug(F.substring("text", 1, 40)).alias("slug"), T.ends_inside_sentence("text").alias("cut_off"), T.stable_id("doc_id", "text").alias("stable_id"), T.citation(F.array("source", "lang"), "doc_id", "doc_id").alias("citation"))
+    return d.select("doc_id", T.slug(F.split_part("text", F.lit("\n"), F.lit(1))).alias("slug"), T.ends_inside_sentence("text").alias("cut_off"), T.stable_id("doc_id", "text").alias("stable_id"), T.citation(F.array("source", "lang"), "doc_id", "doc_id").alias("citation"))
 
 
 @query("""WITH l AS (SELECT conv_id, turn, text, lead(text) OVER w AS nx, lag(text) OVER w AS pv FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
@@ -49,7 +48,7 @@ SELECT alpha, threshold, count(*) FILTER (rank <= 1) AS hit_1, count(*) FILTER (
 def alpha_threshold_sweep(spark, sf):
     """Ranking quality on a grid of mixing weights and gates."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    h = R.hybrid(docs, bench, "doc_id", "item_id", "text", Retrieval(), _index(spark, sf)).select("query", "id", "rrf", "rerank")
+    h = _hybrid(spark, sf).select("query", "id", "rrf", "rerank")
     grid = F.array(*(F.struct(F.lit(a).alias("alpha"), F.lit(t).alias("threshold")) for a in (0.0, 0.25, 0.5, 0.75, 1.0) for t in (0.4, 0.6, 0.8)))
     x = h.withColumn("g", F.explode(grid)).select("g.*", "query", "id", "rrf", "rerank").where("rerank >= threshold")
     x = x.withColumn("v", F.round(F.col("alpha") * F.col("rrf") / (2.0 / 61) + (1 - F.col("alpha")) * F.col("rerank"), 6))
@@ -85,8 +84,10 @@ SELECT coalesce(d.query, s.query) AS item_id, count(*) FILTER (s.id IS NULL) AS
 def ranking_changes(spark, sf):
     """How the first five of two rankings differ."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    d = R.hashed_search(R.hashed_vectors(docs, "doc_id", "text"), R.hashed_vectors(bench, "item_id", "text"), 5).select("query", "id", F.lit(True).alias("d"))
-    s = R.bm25(_index(spark, sf), R.query_terms(bench, "item_id", "text"), 5).select("query", "id", F.lit(True).alias("s"))
+    index = _index(spark, sf)
+    dense = R.hashed_search(R.hashed_vectors(docs, "doc_id", "text", stored=index.postings, how="sha1"), R.hashed_vectors(bench, "item_id", "text", how="sha1"), 5)
+    d = dense.select("query", "id", F.lit(True).alias("d"))
+    s = R.bm25(index, R.query_terms(bench, "item_id", "text"), 5).select("query", "id", F.lit(True).alias("s"))
     j = d.join(s, ["query", "id"], "full")
     return j.groupBy(F.col("query").alias("item_id")).agg(F.count_if(F.col("s").isNull()).alias("only_dense"), F.count_if(F.col("d").isNull()).alias("only_sparse"), F.count_if(F.col("d") & F.col("s")).alias("both"))
 
@@ -118,12 +119,12 @@ def best_threshold(spark, sf):
     return g.join(F.broadcast(most), F.col("invented") <= F.col("most")).orderBy(F.desc("correct"), F.desc("threshold")).limit(1).select("threshold", "correct", "invented")
 
 
-@query(r"""WITH n AS (SELECT doc_id, text, regexp_replace(text, '(?is)^(.*?)\b(is|are|was|were|can|must|may|should|shall|will)\b', '\1\2 not') AS put FROM documents WHERE lang = 'en' AND NOT regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:не|not)\s'))
-SELECT doc_id, sha256(put) AS sha FROM n WHERE put <> text""")
+@query(r"""WITH n AS (SELECT doc_id, text, regexp_replace(text, '(?is)^((?:.*?[^\p{L}\p{N}_])??)(?:не|not)\s+', '\1') AS gone,
+  regexp_replace(text, '(?is)^((?:.*?[^\p{L}\p{N}_])??)(is|are|was|were|can|must|may|should|shall|will)([^\p{L}\p{N}_]|$)', '\1\2 not\3') AS put FROM documents)
+SELECT doc_id, sha256(CASE WHEN gone <> text THEN gone ELSE put END) AS sha FROM n WHERE gone <> text OR put <> text""")
 def stress_negation(spark, sf):
-    """English documents without a negation, with one put in."""
-    d = table(spark, sf, "documents").where("lang = 'en'").where(~F.col("text").rlike(r"(?iu)(?<![\p{L}\p{N}_])(?:не|not)\s"))
-    return d.select("doc_id", F.sha2(X.negate("text"), 256).alias("sha")).where("sha is not null")
+    """Documents with their first negation taken out, or one put in."""
+    return table(spark, sf, "documents").select("doc_id", F.sha2(X.negate("text"), 256).alias("sha")).where("sha is not null")
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),

@@ -11,7 +11,10 @@ from ..operators import claims as C
 from ..operators import evaluate as E
 from ..operators import parse as P
 from ..operators import retrieval as R
+from ..operators import runs as N
 from ..operators import summarize as M
+from ..operators import tables as B
+from ..storage import Workspace
 from ..streaming import ingest as I
 from .registry import query, table
 from .retrieval import NORMAL
@@ -40,7 +43,13 @@ def html_title(spark, sf):
 
 @query()
 def html_markdown(spark, sf):
-    """Pages as Markdown-like text, by an HTML parser."""
+    """Pages as Markdown: headings of one line, tables with their spans filled in."""
+    return P.html_documents(table(spark, sf, "pages"), "page_id", "html", tables=True)
+
+
+@query()
+def html_text(spark, sf):
+    """Pages as text, cells after bars."""
     return P.html_documents(table(spark, sf, "pages"), "page_id", "html")
 
 
@@ -79,29 +88,20 @@ r AS (SELECT * FROM c WHERE NOT list_bool_and(list_transform(cells, lambda c: re
 @query(f"WITH {_TABLES} SELECT id AS doc_id, CAST(tab AS BIGINT) AS \"table\", seq, list_concat(cells, list_resize([]::VARCHAR[], w - len(cells), '')) AS cells FROM (SELECT *, max(len(cells)) OVER (PARTITION BY id, tab) AS w FROM r)")
 def pipe_table_rows(spark, sf):
     """Rows of tables written with bars, padded to their table's width."""
-    x = P.padded(P.tables(table(spark, sf, "documents"), "doc_id", "text"))
+    x = B.padded(B.tables(table(spark, sf, "documents"), "doc_id", "text"))
     return x.select(F.col("id").alias("doc_id"), F.col("table").cast("long").alias("table"), F.col("seq").cast("long").alias("seq"), "cells")
 
 
 @query()
 def table_row_claims(spark, sf):
     """Body rows of tables read with their headers."""
-    return P.table_claims(P.tables(table(spark, sf, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
-
-
-@query(r"""WITH p AS (SELECT substr(text, 1, 20) AS source, doc_id, lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS block FROM (SELECT text, doc_id, unnest(string_split(text, chr(10))) AS b FROM documents)),
-t AS (SELECT source, count(DISTINCT doc_id) AS pages FROM p GROUP BY source), n AS (SELECT source, block, count(DISTINCT doc_id) AS n FROM p GROUP BY ALL)
-SELECT source, block, n FROM n JOIN t USING (source) WHERE block <> '' AND n >= greatest(2, (pages + 1) // 2)""")
-def page_repeated_blocks(spark, sf):
-    """Lines that most documents with one beginning have."""
-    x = table(spark, sf, "documents").select(F.substring("text", 1, 20).alias("source"), "doc_id", F.explode(F.split("text", "\n", -1)).alias("b"))
-    return P.repeated_blocks(x, "source", "doc_id", "b")
+    return B.table_claims(B.tables(table(spark, sf, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
 
 
 @query(r"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS source, unnest(regexp_split_to_array(regexp_replace(html, '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '<[^>]+>')) AS b FROM pages),
 p AS (SELECT source, page_id, lower(trim(regexp_replace(b, '\s+', ' ', 'g'))) AS block FROM h), t AS (SELECT source, count(DISTINCT page_id) AS pages FROM p GROUP BY source), n AS (SELECT source, block, count(DISTINCT page_id) AS n FROM p GROUP BY ALL)
 SELECT source, block, n FROM n JOIN t USING (source) WHERE block <> '' AND n >= greatest(2, (pages + 1) // 2)""")
-def site_repeated_blocks(spark, sf):
+def page_repeated_blocks(spark, sf):
     """Texts between tags that most pages of one host have."""
     html = F.regexp_replace("html", r"(?is)<(script|style)[^>]*>.*?</(script|style)>", " ")
     x = table(spark, sf, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1).alias("source"), "page_id", F.explode(F.split(html, "<[^>]+>", -1)).alias("b"))
@@ -149,20 +149,23 @@ def claim_segments(spark, sf):
 
 def _answers(spark, sf):
     """Benchmark passages as answers that cite, in their first block, documents which hold them."""
-    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    docs, bench, ws = table(spark, sf, "documents"), table(spark, sf, "benchmark"), Workspace(spark, "answers")
     held = R.containing(docs, bench, "doc_id", "item_id", "text")
     named = held.withColumn("source_id", F.concat(F.lit("S"), F.row_number().over(Window.partitionBy("quote").orderBy("id"))))
+    named = ws.save(named, "named")
     contexts = named.join(docs.select(F.col("doc_id").alias("id"), "text"), "id").select(F.col("quote").alias("item_id"), "source_id", "text")
     cited = named.groupBy(F.col("quote").alias("item_id")).agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("["), "source_id", F.lit("]")))), "").alias("marks"))
-    return bench.join(cited, "item_id", "left").select("item_id", F.concat_ws(" ", "text", "marks").alias("answer")), contexts
+    answers = bench.join(cited, "item_id", "left").select("item_id", F.concat_ws(" ", "text", "marks").alias("answer"))
+    return answers, ws.save(contexts, "contexts")
 
 
 @query()
 def claim_evidence(spark, sf):
     """Every claim of an answer against the windows of its sources."""
     answers, contexts = _answers(spark, sf)
-    c = C.inherit(C.claims(answers, "item_id", "answer"), "item_id")
-    return C.by_source(C.evidence(c, contexts, "item_id"), "item_id", "ix", "source_id").select("item_id", "ix", "source_id", "e_max", "full_e", F.round("overlap", 6).alias("overlap"), "anchored")
+    c = C.inherit(C.claims(answers, "item_id", "answer"), "item_id").withColumn("kind", C.kind("claim"))
+    x = C.evidence(c, contexts, "item_id").where("known")
+    return x.select("item_id", "ix", "source_id", "support", "e", "c", F.round("features.overlap", 6).alias("overlap"), F.size("anchors").alias("anchors"), F.size("found").alias("found"))
 
 
 @query()
@@ -348,30 +351,11 @@ def _alike(docs):
     return p.where("5 * c >= 4 * all").select("a", "b", F.round(F.col("c") / F.col("all"), 6).alias("jaccard"))
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents WHERE doc_id % 10 = 0)
-SELECT a.doc_id, arg_min(b.doc_id, (b.r - a.r + a.n) % a.n) AS partner FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
-def transplant_partner(spark, sf):
-    """For every tenth document, the next one of another source in its language, around the end."""
-    return _partners(table(spark, sf, "documents").where("doc_id % 10 = 0"))
-
-
 @query("""WITH d AS (SELECT doc_id, lang, source, row_number() OVER (ORDER BY doc_id) - 1 AS r, count(*) OVER () AS n FROM documents)
 SELECT a.doc_id, arg_min(b.doc_id, (b.r - a.r + a.n) % a.n) AS partner FROM d a JOIN d b ON a.lang = b.lang AND a.source <> b.source GROUP BY a.doc_id""")
-def transplant_partners(spark, sf):
-    """For every document, the next one of another source in its language among all, around the end."""
-    return _partners(table(spark, sf, "documents"))
-
-
-def _partners(d):
-    d = d.select("doc_id", "lang", "source")
-    # The next row of another source: the first row after the run of the document's own source, in the doubled ring.
-    ring = d.withColumn("lap", F.explode(F.array(F.lit(0), F.lit(1))))
-    w = Window.partitionBy("lang").orderBy("lap", "doc_id")
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
-    x = ring.withColumn("run", F.sum(F.when(F.col("source") != F.lag("source").over(w), 1).otherwise(0)).over(w))
-    nxt = Window.partitionBy("lang").orderBy("run").rangeBetween(1, 1)
-    x = x.withColumn("partner", F.min_by("doc_id", F.struct("lap", "doc_id")).over(nxt))
-    return x.where("lap = 0 and partner is not null").select("doc_id", "partner")
+def transplant_partner(spark, sf):
+    """For every document, the next one of another source in its language, around the end."""
+    return N.next_of_other(table(spark, sf, "documents"), "doc_id", "source", "lang").withColumnRenamed("other", "partner")
 
 
 @query("""WITH a AS (SELECT doc_id, quality FROM labels WHERE doc_id % 2 = 0), b AS (SELECT doc_id, toxic FROM labels WHERE doc_id % 3 = 0)
@@ -391,9 +375,11 @@ def unlabelled_documents(spark, sf):
     return table(spark, sf, "documents").select("doc_id").join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti")
 
 
-@query("SELECT conv_id, turn, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS latin, CASE WHEN regexp_matches(lower(text), '[a-z]') THEN 'en' END AS script, coalesce(length(text) > 4000, false) AS too_long, regexp_matches(text, '(?i)(?:^|[^\\p{L}\\p{N}_])(?:не|нет|not|no|never)(?:[^\\p{L}\\p{N}_]|$)') AS negated FROM conversations WHERE NOT regexp_matches(lower(text), '[а-яё]')")
+@query(r"""WITH c AS (SELECT *, length(regexp_replace(lower(text), '[^a-z]', '', 'g')) AS latin, length(regexp_replace(lower(text), '[^а-яё]', '', 'g')) AS cyrillic FROM conversations)
+SELECT conv_id, turn, latin, CASE WHEN latin + cyrillic > 0 THEN CASE WHEN cyrillic >= latin THEN 'ru' ELSE 'en' END END AS script, coalesce(length(text) > 4000, false) AS too_long,
+  regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])(?:не|нет|not|no|never)(?:[^\p{L}\p{N}_]|$)') AS negated FROM c""")
 def turn_features(spark, sf):
-    """Script, length and negation of turns, also of those with Cyrillic letters that the SQL leaves out."""
+    """Script, length and negation of turns."""
     t = table(spark, sf, "conversations")
     return t.select("conv_id", "turn", F.length(F.regexp_replace(F.lower("text"), "[^a-z]", "")).cast("long").alias("latin"), T.text_script("text").alias("script"), F.coalesce(T.question_problem("text") == "too_long", F.lit(False)).alias("too_long"), T.has_negation("text").alias("negated"))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
 from ..operators import experiments as X
 from ..operators import parse as P
 from .evaluation import _RULES, _rules
@@ -96,29 +97,14 @@ def answer_proxies(spark, sf):
     return c.join(nxt, ["conv_id", "turn"]).select("conv_id", "turn", F.round(p["faithfulness"], 6).alias("faithfulness"), F.round(p["answer_relevancy"], 6).alias("answer_relevancy"))
 
 
-@query(f"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS o, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id % 10 = 0)),
-n AS (SELECT doc_id, o, {NORMAL.format("t")} AS t FROM l), r AS (SELECT doc_id, o AS first, o AS last, t FROM n UNION ALL SELECT a.doc_id, a.o, b.o, a.t || ' ' || b.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1
- UNION ALL SELECT a.doc_id, a.o, c.o, a.t || ' ' || b.t || ' ' || c.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1 JOIN n c ON a.doc_id = c.doc_id AND c.o = a.o + 2),
-q AS (SELECT doc_id, doc_id AS quote_id, substr({NORMAL.format("text")}, greatest(length({NORMAL.format("text")}) // 2 - 30, 1), 60) AS q FROM documents WHERE doc_id % 10 = 0)
-SELECT quote_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM (SELECT quote_id, first, last, min(last - first) OVER (PARTITION BY quote_id) AS m FROM q JOIN r USING (doc_id) WHERE contains(t, trim(q))) WHERE last - first = m""")
-def quote_binding(spark, sf):
-    """The lines, or the shortest runs of them, that hold a passage from the middle of each tenth document."""
-    return _bound(table(spark, sf, "documents").where("doc_id % 10 = 0"))
-
-
 @query(f"""WITH l AS (SELECT doc_id, unnest(range(len(a))) AS o, unnest(a) AS t FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents)),
 n AS (SELECT doc_id, o, {NORMAL.format("t")} AS t FROM l), r AS (SELECT doc_id, o AS first, o AS last, t FROM n UNION ALL SELECT a.doc_id, a.o, b.o, a.t || ' ' || b.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1
  UNION ALL SELECT a.doc_id, a.o, c.o, a.t || ' ' || b.t || ' ' || c.t FROM n a JOIN n b ON a.doc_id = b.doc_id AND b.o = a.o + 1 JOIN n c ON a.doc_id = c.doc_id AND c.o = a.o + 2),
 q AS (SELECT doc_id, doc_id AS quote_id, substr({NORMAL.format("text")}, greatest(length({NORMAL.format("text")}) // 2 - 30, 1), 60) AS q FROM documents)
 SELECT quote_id, CAST(first AS INT) AS first, CAST(last AS INT) AS last FROM (SELECT quote_id, first, last, min(last - first) OVER (PARTITION BY quote_id) AS m FROM q JOIN r USING (doc_id) WHERE contains(t, trim(q))) WHERE last - first = m""")
-def quote_bindings(spark, sf):
-    """The same for every document."""
-    return _bound(table(spark, sf, "documents"))
-
-
-def _bound(d):
-    from ..functions import text as T
-
+def quote_binding(spark, sf):
+    """The lines, or the shortest runs of them, that hold a passage from the middle of each document."""
+    d = table(spark, sf, "documents")
     chunks = P.lines(d, "doc_id", "text").select(F.col("id").alias("document_id"), F.col("seq").alias("ordinal"), F.col("line").alias("text"))
     t = T.normalize("text")
     quote = F.substring(t, F.greatest(F.floor(F.length(t) / 2).cast("int") - 30, F.lit(1)), F.lit(60))
@@ -140,9 +126,12 @@ def sentence_chunks(spark, sf):
     return X.sentence_chunks(table(spark, sf, "documents"), "doc_id", "text").select("doc", "ordinal", "tokens", "error", F.sha2("text", 256).alias("sha"))
 
 
-@query(r"SELECT doc_id, substr(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(ltrim(trim(x), '#'))), lambda x: len(regexp_extract_all(x, '\p{L}')) >= 3)[1], 1, 160) AS title FROM documents WHERE NOT contains(text, chr(13))")
+@query(r"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array(text, '\r?\n'), lambda x: trim(ltrim(trim(x), '#'))), lambda x: x <> '') AS l FROM documents),
+t AS (SELECT *, nullif(substr(split_part(trim(regexp_replace(regexp_extract(text, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g')), ' | ', 1), 1, 160), '') AS html,
+  nullif(regexp_extract(text, 'Request for Comments:\s*(\d+)', 1), '') AS rfc, coalesce(list_position(list_transform(l, lambda x: lower(x)), 'abstract'), 0) AS spot FROM l)
+SELECT doc_id, substr(coalesce(html, CASE WHEN rfc IS NOT NULL THEN 'RFC ' || rfc || CASE WHEN spot > 1 THEN ': ' || l[spot - 1] ELSE '' END END, list_filter(l, lambda x: len(regexp_extract_all(x, '\p{L}')) >= 3)[1]), 1, 160) AS title FROM t""")
 def document_titles(spark, sf):
-    """Titles by the first line with three letters, also of the documents with carriage returns that the SQL leaves out."""
+    """Titles of documents."""
     return table(spark, sf, "documents").select("doc_id", X.title("text").alias("title"))
 
 

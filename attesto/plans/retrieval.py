@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..config import STOP_WORDS, Retrieval
 from ..operators import retrieval as R
+from ..storage import Workspace
 from .registry import query, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
@@ -51,15 +52,22 @@ ranked AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY que
 """
 
 
-@query(f"WITH {INDEX_SQL} SELECT term, df, round(idf, 6) AS idf FROM terms")
+@query(f"""WITH tok AS (SELECT doc_id AS id, unnest({TOKENS.format("text")}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+f AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM f, n), a AS (SELECT avg(idf0) AS m FROM r)
+SELECT term, df, round(CASE WHEN idf0 < 0 THEN 0.25 * m ELSE idf0 END, 6) AS idf FROM r, a""")
 def postings_stats(spark, sf):
     """Document frequency and idf of every term."""
-    return R.build_index(table(spark, sf, "documents"), "doc_id", "text").terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    return _index(spark, sf).terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 def _index(spark, sf):
-    docs = table(spark, sf, "documents")
-    return R.build_index(docs, "doc_id", "text", stored=R.postings(docs, "doc_id", "text").persist())
+    return R.write_index(table(spark, sf, "documents"), "doc_id", "text", Workspace(spark, "index"))
+
+
+def _hybrid(spark, sf, index=None):
+    """The search with hashes that SQL has, too."""
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    return R.hybrid(docs, bench, "doc_id", "item_id", "text", Retrieval(), index or _index(spark, sf), how="sha1")
 
 
 @query(f"WITH {BM25_SQL} SELECT query AS item_id, id AS doc_id, score, rank FROM sparse")
@@ -104,14 +112,14 @@ def label_knn_vote(spark, sf):
 @query(f"WITH {HYBRID_SQL} SELECT query AS item_id, id AS doc_id, rrf, sources FROM cand")
 def hybrid_rrf(spark, sf):
     """Fused candidates of the lexical and the hashed-vector ranking."""
-    h = R.hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", "text", Retrieval(), _index(spark, sf))
+    h = _hybrid(spark, sf)
     return h.select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rrf", "sources")
 
 
 @query(f"WITH {HYBRID_SQL} SELECT query AS item_id, id AS doc_id, rrf, rerank, final, rank FROM ranked WHERE rank <= 5")
 def hybrid_search(spark, sf):
     """The five best documents of each question: fusion, reranking, gate."""
-    h = R.hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", "text", Retrieval(), _index(spark, sf))
+    h = _hybrid(spark, sf)
     return h.where("rank <= 5").select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rrf", "rerank", "final", "rank")
 
 
@@ -119,7 +127,7 @@ def hybrid_search(spark, sf):
 SELECT query AS item_id, count(*) AS candidates, CAST(sum(CASE WHEN rerank >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS chunk_scope, CAST(sum(CASE WHEN open THEN 1 ELSE 0 END) AS BIGINT) AS top_scope, max(rerank) AS best FROM g GROUP BY query""")
 def lexical_rerank_gate(spark, sf):
     """How many candidates each scope of the gate lets through at 0.7."""
-    h = R.hybrid(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "item_id", "text", Retrieval(), _index(spark, sf))
+    h = _hybrid(spark, sf)
     g = R.gate(h.withColumnRenamed("eligible", "e0"), Retrieval(rerank_threshold=0.7)).withColumnRenamed("eligible", "chunk")
     g = R.gate(g, Retrieval(rerank_threshold=0.7, gate_scope="top"))
     return g.groupBy(F.col("query").alias("item_id")).agg(F.count("*").alias("candidates"), F.count_if("chunk").alias("chunk_scope"), F.count_if("eligible").alias("top_scope"), F.max("rerank").alias("best"))
@@ -159,17 +167,17 @@ FROM (SELECT unnest(['dense','sparse','rrf','rerank','final']) AS variant) v CRO
 def retrieval_ablation(spark, sf):
     """Five rankings of the same search beside each other."""
     docs, bench, c, index = table(spark, sf, "documents"), table(spark, sf, "benchmark"), Retrieval(), _index(spark, sf)
-    terms = R.query_terms(bench, "item_id", "text")
-    h = R.hybrid(docs, bench, "doc_id", "item_id", "text", c, index).withColumnRenamed("rank", "r").persist()
+    terms, ws = R.query_terms(bench, "item_id", "text"), Workspace(spark, "ablation")
+    h = ws.save(_hybrid(spark, sf, index).withColumnRenamed("rank", "r"), "hybrid")
     unscaled = h.withColumn("mixed", c.rerank_alpha * F.col("rrf") / ((c.dense_weight + c.sparse_weight) / (c.rrf_k + 1)) + (1 - c.rerank_alpha) * F.col("rerank"))
     lists = {
-        "dense": R.hashed_search(R.hashed_vectors(docs, "doc_id", "text"), R.hashed_vectors(bench, "item_id", "text")),
+        "dense": R.hashed_search(R.hashed_vectors(docs, "doc_id", "text", stored=index.postings, how="sha1"), R.hashed_vectors(bench, "item_id", "text", how="sha1")),
         "sparse": R.bm25(index, terms),
         "rrf": R.top(h, "rrf", 60),
         "rerank": R.top(unscaled, "mixed", 60),
         "final": h.where("r is not null").withColumnRenamed("r", "rank"),
     }
-    gold = R.containing(docs, bench, "doc_id", "item_id", "text").withColumnRenamed("quote", "query").persist()
+    gold = ws.save(R.containing(docs, bench, "doc_id", "item_id", "text").withColumnRenamed("quote", "query"), "gold")
     out = None
     for name, ranked in lists.items():
         best = ranked.join(gold, ["query", "id"]).groupBy("query").agg(F.min("rank").alias("rank"))
@@ -186,7 +194,7 @@ SELECT threshold, count(*) FILTER (answerable AND best < threshold) AS answerabl
 def gate_threshold_sweep(spark, sf):
     """What each gate threshold rejects, among questions with and without an answer in the corpus."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
-    h = R.hybrid(docs, bench, "doc_id", "item_id", "text", Retrieval(), _index(spark, sf))
+    h = _hybrid(spark, sf)
     gold = R.containing(docs, bench, "doc_id", "item_id", "text").select(F.col("quote").alias("item_id")).distinct().withColumn("answerable", F.lit(True))
     best = h.groupBy(F.col("query").alias("item_id")).agg(F.max("rerank").alias("best"))
     q = bench.select("item_id").join(best, "item_id", "left").join(gold, "item_id", "left").select(F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("answerable", F.lit(False)).alias("answerable"))

@@ -50,10 +50,22 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_i
 
 def index_status(chunks: DataFrame) -> DataFrame:
     """(document_id, chunks, complete) of stored chunks (document_id, ordinal, expected): complete if all agree on the
-    number and the ordinals are 0 to it."""
+    number and the ordinals are 0 to it, and if a stored hash (``content_hash``, if there is such a column) is the id."""
     g = chunks.groupBy("document_id").agg(F.count("*").alias("chunks"), F.countDistinct("ordinal").alias("d"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.min("expected").alias("e1"), F.max("expected").alias("e2"))
     whole = (F.col("e1") == F.col("e2")) & (F.col("chunks") == F.col("e1")) & (F.col("d") == F.col("chunks")) & (F.col("a") == 0) & (F.col("b") == F.col("chunks") - 1)
-    return g.select("document_id", "chunks", F.coalesce(whole, F.col("e1").isNull() & F.col("e2").isNull()).alias("complete"))
+    complete = F.coalesce(whole, F.col("e1").isNull() & F.col("e2").isNull())
+    if "content_hash" in chunks.columns:
+        hashes = chunks.groupBy("document_id").agg(F.bool_and(F.coalesce(F.col("content_hash") == F.col("document_id"), F.lit(True))).alias("own"))
+        g = g.join(hashes, "document_id")
+        complete = complete & F.col("own")
+    return g.select("document_id", "chunks", complete.alias("complete"))
+
+
+def index_totals(chunks: DataFrame) -> DataFrame:
+    """One row: documents stored whole and their chunks, documents stored in part, and all stored chunks."""
+    s = index_status(chunks)
+    done = F.col("complete")
+    return s.agg(F.count_if(done).alias("documents"), F.coalesce(F.sum(F.when(done, F.col("chunks"))), F.lit(0)).alias("chunks"), F.count_if(~done).alias("incomplete"), F.coalesce(F.sum("chunks"), F.lit(0)).alias("stored"))
 
 
 def merge_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
@@ -61,6 +73,12 @@ def merge_chunks(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("document_id").distinct(), "document_id", "left_anti").unionByName(new)
 
 
+def commit_report(ledger_rows: DataFrame) -> DataFrame:
+    """(batch, added, duplicates, last): what each micro-batch committed; after a failure, what is done is the batches that are
+    here."""
+    return ledger_rows.groupBy("batch").agg(F.count_if(F.col("status") == "added").alias("added"), F.count_if(F.col("status") == "duplicate").alias("duplicates"), F.max("doc_id").alias("last")).orderBy("batch")
+
+
 def windowed(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Count, peak and mean of values by event type in each window; windows close when the watermark passes them."""
     g = events.withWatermark("ts", late).groupBy(F.window("ts", every).alias("w"), "event_type")

@@ -21,6 +21,7 @@ from attesto.operators import evaluate as E
 from attesto.operators import parse as P
 from attesto.operators import retrieval as R
 from attesto.operators import summarize as M
+from attesto.operators import tables as B
 from attesto.sources import files
 from attesto.streaming import ingest
 
@@ -177,9 +178,9 @@ def test_tables_and_chunks(spark):
     long = "слово " * 1000
     parts = list(P.chunk(P.parse(long), "d"))
     assert len(parts) > 1 and not any(c["oversized"] for c in parts) and [c["ordinal"] for c in parts] == list(range(len(parts)))
-    x = P.tables(spark.createDataFrame([(1, "A | B\n--- | ---\n1 | 2\n3 |\n\ntext")], "id int, text string"), "id", "text")
-    assert [r.text for r in P.table_claims(x).collect()] == ["A: 1; B: 2."]
-    assert one(spark, P.bit_runs(F.array(*map(F.lit, ["x", "0", "1", "1", "1", "8", "1", "", "1", "0"])))) == ["0111", "10"]
+    x = B.tables(spark.createDataFrame([(1, "A | B\n--- | ---\n1 | 2\n3 |\n\ntext")], "id int, text string"), "id", "text")
+    assert [r.text for r in B.table_claims(x).collect()] == ["A: 1; B: 2."]
+    assert one(spark, B.bit_runs(F.array(*map(F.lit, ["x", "0", "1", "1", "1", "8", "1", "", "1", "0"])))) == ["0111", "10"]
 
 
 def test_section_path(spark):

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attesto import plans
+from attesto.functions import text as T
 from attesto.operators import experiments as X
 
 
@@ -30,11 +31,11 @@ def test_score_answers(spark):
     }
 
 
-def test_code_spans():
-    rule = 'Retry-After = HTTP-date / delay-seconds'
-    assert X.code_span(f"The header is Retry-After: {rule}", "text Retry-After=HTTP-date/delay-seconds end")
-    assert not X.code_span("plain prose that is long enough here", "plain prose that is long enough here")
-    assert not X.code_span("a = b", "a = b")
+def test_code_spans(spark):
+    found = lambda a, b: spark.createDataFrame([(a, b)], "a string, b string").select(T.code_span("a", "b").alias("x")).first()["x"]
+    assert found("The rule reads list-item: list-item = name / quoted-name", "see list-item=name/quoted-name there")
+    assert not found("plain prose that is long enough here", "plain prose that is long enough here")
+    assert not found("a = b", "a = b") and not found("list-item = name / other", "see list-item=name/quoted-name there")
 
 
 def test_negate(spark):
@@ -95,8 +96,8 @@ def test_transplants_and_quotes_of_all_documents(spark, tmp_path):
     for k, (i, _, lang, source) in enumerate(docs):
         ring = docs[k + 1 :] + docs[:k]
         want[i] = next(x[0] for x in ring if x[2] == lang and x[3] != source)
-    assert {r.doc_id: r.partner for r in plans.QUERIES["transplant_partners"](spark, str(tmp_path)).collect()} == want
-    assert {r.quote_id for r in plans.QUERIES["quote_bindings"](spark, str(tmp_path)).collect()} == set(want)
+    assert {r.doc_id: r.partner for r in plans.QUERIES["transplant_partner"](spark, str(tmp_path)).collect()} == want
+    assert {r.quote_id for r in plans.QUERIES["quote_binding"](spark, str(tmp_path)).collect()} == set(want)
 
 
 def test_near_duplicate_docs_by_brute_force(spark, tmp_path):
@@ -118,7 +119,7 @@ def test_sentence_windows_of_documents(spark, tmp_path):
 def test_blocks_of_sites(spark, tmp_path):
     pages = [(i, f"http://a.org/{i}", f"<p>Menu</p><script>var x;</script><p>text {i}</p>") for i in range(3)] + [(9, "http://b.org", "<p>Menu</p>")]
     spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    assert [tuple(r) for r in plans.QUERIES["site_repeated_blocks"](spark, str(tmp_path)).collect()] == [("a.org", "menu", 3)]
+    assert [tuple(r) for r in plans.QUERIES["page_repeated_blocks"](spark, str(tmp_path)).collect()] == [("a.org", "menu", 3)]
 
 
 def test_titles_and_turns_of_all_rows(spark, tmp_path):
