@@ -303,8 +303,9 @@ def sentence_windows(s: Column, most: int = 2) -> Column:
         n = F.size(s) - (size - 1)
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(s, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
-    whole = F.array_join(s, " ")
-    return F.filter(F.array_distinct(F.concat(*(of(k) for k in range(1, most + 1)))), lambda w: w != whole)
+    # The whole is put together once, not for each window.
+    all_ = F.array_distinct(F.concat(*(of(k) for k in range(1, most + 1))))
+    return F.flatten(F.transform(F.array(F.array_join(s, " ")), lambda whole: F.filter(all_, lambda w: w != whole)))
 
 
 def table_cells(row: str | Column) -> Column:
@@ -402,7 +403,8 @@ def sub_questions(x: str | Column) -> Column:
 
 
 def asks_several(x: str | Column) -> Column:
-    return F.size(sub_questions(x)) > 1
+    """Whether the form of a question says that it has several parts."""
+    return _c(x).rlike(config.SEVERAL_PARTS)
 
 
 def same_question(a: str | Column, b: str | Column) -> Column:

@@ -179,6 +179,12 @@ def defined_means(df: DataFrame, columns: list[str], *by: str, digits: int = 6)
     return df.groupBy(*by).agg(F.array(*stats).alias("x")).select(*by, F.explode("x").alias("x")).select(*by, "x.*")
 
 
+def peaks(df: DataFrame, metrics: list[str], *by: str, digits: int = 6) -> DataFrame:
+    """(metric, by, peak, mean) of metrics that stand in columns."""
+    pairs = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")
+    return df.select(*by, pairs).groupBy("x.metric", *by).agg(F.max("x.v").alias("peak"), F.round(F.avg("x.v"), digits).alias("mean"))
+
+
 def bootstrap_difference(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: str = "b", digits: int = 6) -> DataFrame:
     """One row: difference of two runs' shares in percentage points, and the 2.5th and 97.5th percentile of it over resamples.
 

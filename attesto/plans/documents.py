@@ -17,7 +17,7 @@ from ..operators import tables as B
 from ..storage import Workspace
 from ..streaming import ingest as I
 from .registry import query, table
-from .retrieval import NORMAL
+from .retrieval import _GOLD, NORMAL
 
 _TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
@@ -41,25 +41,25 @@ def html_title(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.html_title("html").alias("title"))
 
 
-@query()
+_HTML = """replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g'), '(?is)<nav[^>]*>.*?</nav>', '', 'g'), '(?is)<header[^>]*>.*?</header>', '', 'g'), '(?is)<footer[^>]*>.*?</footer>', '', 'g'),
+  '(?s)<!--.*?-->|<![^>]*>', '', 'g'), '(?i)<h1[^>]*>', chr(10) || chr(10) || '# ', 'g'), '(?i)</h1>|</?(?:p|div|li)(?:[ ][^>]*)?>|<br[^>]*>', chr(10) || chr(10), 'g'), '<[^>]+>', '', 'g'),
+  '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&')"""
+_PAGE = f"SELECT CAST(page_id AS VARCHAR) AS page_id, trim(regexp_replace(regexp_replace({_HTML}, '[ \\t]+', ' ', 'g'), '\\n\\s*\\n', chr(10) || chr(10), 'g'), ' ' || chr(10)) || chr(10) AS text FROM pages"
+
+
+@query(f"SELECT page_id, regexp_replace(text, '(# [^\\n]*[^\\n ]) +(\\n|$)', '\\1\\2', 'g') AS text FROM ({_PAGE})")
 def html_markdown(spark, sf):
     """Pages as Markdown: headings of one line, tables with their spans filled in."""
     return P.html_documents(table(spark, sf, "pages"), "page_id", "html", tables=True)
 
 
-@query()
+@query(_PAGE)
 def html_text(spark, sf):
     """Pages as text, cells after bars."""
     return P.html_documents(table(spark, sf, "pages"), "page_id", "html")
 
 
-@query()
-def page_sections(spark, sf):
-    """Lines of pages with the headings that are open there."""
-    x = P.classified(P.html_documents(table(spark, sf, "pages"), "page_id", "html"), "page_id", "text")
-    return P.with_section_path(x).select(F.col("id").alias("page_id"), "seq", "kind", "section_path")
-
-
 _KIND = r"""CASE WHEN regexp_matches(x, '^\s*(#{1,6})\s+(.+?)\s*$') THEN 'heading'
  WHEN regexp_matches(x, '(?i)^\s*(?:\[\^?\d+\]|\d+\)|\*+|Примечание(?:\s*[-—:]|$)|NOTE(?:\s*[-—:]|$))') THEN 'footnote'
  WHEN regexp_matches(x, '^(?:(Продолжение|Окончание)\s+)?[Тт]аблиц[аы]\s+([\p{L}\p{N}_.\-]+)') OR regexp_matches(x, '^(?:Table|TABLE)\s+([A-Z]?\d+(?:[.\-]\d+)*)\s*[:.]\s+(\S.*)$') THEN 'caption'
@@ -72,6 +72,22 @@ k1 AS (SELECT *, sum(CASE WHEN cells THEN 0 ELSE 1 END) OVER (PARTITION BY id OR
 k AS (SELECT id, seq, line, x, CASE WHEN cells AND seq >= start THEN 'table' ELSE kind END AS kind FROM k2 WHERE x <> '')"""
 
 
+_PATHS = r"""h AS (SELECT *, CASE WHEN kind = 'heading' THEN coalesce(nullif(length(regexp_extract(x, '^\s*(#{1,6})\s+(.+?)\s*$', 1)), 0), 1 + length(number) - length(replace(number, '.', ''))) END AS level,
+  CASE WHEN kind = 'heading' THEN coalesce(nullif(regexp_extract(x, '^\s*(#{1,6})\s+(.+?)\s*$', 2), ''), number || ' ' || regexp_extract(x, '^\s*(\d+(?:\.\d+)*\.?|[A-ZА-Я]\.)\s+(.+?)\s*$', 2)) END AS title
+  FROM (SELECT *, rtrim(regexp_extract(x, '^\s*(\d+(?:\.\d+)*\.?|[A-ZА-Я]\.)\s+(.+?)\s*$', 1), '.') AS number FROM k)), o AS (SELECT *, """ + ", ".join(
+    f"max(CASE WHEN level = {k} THEN seq END) OVER w AS s{k}, last_value(CASE WHEN level = {k} THEN title END IGNORE NULLS) OVER w AS t{k}" for k in range(1, 10)
+) + " FROM h WINDOW w AS (PARTITION BY id ORDER BY seq)), p AS (SELECT *, list_filter([" + ", ".join(
+    f"CASE WHEN s{k} > greatest(-1, {', '.join(f'coalesce(s{j}, -1)' for j in range(1, k)) or '-1'}) THEN t{k} END" for k in range(1, 10)
+) + "], lambda t: t IS NOT NULL) AS section_path FROM o)"
+
+
+@query("WITH pg AS (" + _PAGE + "), " + _LINES.replace("SELECT doc_id AS id, unnest", "SELECT page_id AS id, unnest").replace("SELECT doc_id, string_split(text, chr(10)) AS a FROM documents", "SELECT page_id, string_split(text, chr(10)) AS a FROM pg") + f", {_PATHS} SELECT id AS page_id, seq, kind, section_path FROM p")
+def page_sections(spark, sf):
+    """Lines of pages with the headings that are open there."""
+    x = P.classified(P.html_documents(table(spark, sf, "pages"), "page_id", "html"), "page_id", "text")
+    return P.with_section_path(x).select(F.col("id").alias("page_id"), "seq", "kind", "section_path")
+
+
 @query(f"WITH {_LINES} SELECT id AS doc_id, kind, count(*) AS lines FROM k GROUP BY ALL")
 def line_kinds(spark, sf):
     """How many lines of each kind documents have."""
@@ -92,7 +108,12 @@ def pipe_table_rows(spark, sf):
     return x.select(F.col("id").alias("doc_id"), F.col("table").cast("long").alias("table"), F.col("seq").cast("long").alias("seq"), "cells")
 
 
-@query()
+@query(f"""WITH {_TABLES}, y AS (SELECT *, first_value(cells) OVER w AS h, row_number() OVER w AS r FROM r WINDOW w AS (PARTITION BY id, tab ORDER BY seq)),
+u AS (SELECT *, len(h) AS n FROM y WHERE r > 1 AND len(h) >= 2 AND len(h) = len(cells) AND NOT list_contains(h, '')),
+g AS (SELECT *, coalesce(list_max(list_filter(range(2, n // 2 + 1), lambda k: n % k = 0 AND list_bool_and(list_transform(range(0, n), lambda i: h[i + 1] = h[i % (n // k) + 1])))), 1) AS k FROM u),
+e AS (SELECT *, unnest(range(0, k)) AS part FROM g),
+q AS (SELECT *, list_filter(list_transform(range(1, n // k + 1), lambda i: CASE WHEN cells[part * (n // k) + i] <> '' THEN h[i] || ': ' || cells[part * (n // k) + i] END), lambda t: t IS NOT NULL) AS p FROM e)
+SELECT id AS doc_id, CAST(tab AS BIGINT) AS "table", seq, rtrim(array_to_string(p, '; '), '.') || '.' AS text FROM q WHERE len(p) >= 2""")
 def table_row_claims(spark, sf):
     """Body rows of tables read with their headers."""
     return B.table_claims(B.tables(table(spark, sf, "documents"), "doc_id", "text")).withColumnRenamed("id", "doc_id")
@@ -116,7 +137,10 @@ def line_windows(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(T.sentence_windows(s)).alias("windows"))
 
 
-@query()
+@query(r"""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?。！？])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM documents),
+l AS (SELECT doc_id, array_to_string(s, ' ') AS whole, list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda i: s[i] || ' ' || s[i + 1])) AS l FROM s),
+u AS (SELECT doc_id, whole, unnest(range(len(l))) AS i, unnest(l) AS text FROM l), d AS (SELECT doc_id, text, min(i) AS i FROM u WHERE text <> whole GROUP BY ALL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS w, text FROM d""")
 def sentence_windows(spark, sf):
     """Windows of one and two sentences of documents."""
     return table(spark, sf, "documents").select("doc_id", F.posexplode(T.sentence_windows(T.sentences("text"))).alias("w", "text"))
@@ -140,7 +164,27 @@ def structure_stats(spark, sf):
     return x.groupBy("bucket").agg(F.count("*").alias("documents"), F.sum(F.coalesce("lines", F.lit(0))).alias("lines"), F.count_if(F.col("t") > 0).alias("with_tables"), F.median("n_chars").alias("median_chars"))
 
 
-@query()
+_ALWAYS = "пп?|рис|табл|стр|см|им|г|ст|гл|разд|прил|др|пр|т\\.\\s*[едпкч]|e\\.\\s*g|i\\.\\s*e|cf|vs|al|approx|resp|incl|esp|dr|mr|mrs|ms|prof|jr|sr|inc|ltd|corp"
+_BEFORE = "rev|no|nos|sec|sect|secs|fig|figs|vol|ch|pt|pts|art|par|para|p|v|ver|eq|ex|tab"
+
+
+def _claims_sql(source: str, key: str, text: str) -> str:
+    """Tables b (blocks of answers) and c (their claims): full stops that end nothing are hidden, then each end is marked."""
+    steps = (
+        ("'(?i)\\b(" + _ALWAYS + ")\\.'", "'\\1' || chr(1)"), ("'(?i)\\b(" + _BEFORE + ")\\.(\\s*(?:\\d|[IVX]+\\b))'", "'\\1' || chr(1) || '\\2'"),
+        ("'(?i)\\b(etc)\\.(\\s*[a-zа-яё0-9,;)])'", "'\\1' || chr(1) || '\\2'"), ("'(\\d)\\.(\\d)'", "'\\1' || chr(1) || '\\2'"), ("'\\.\\.\\.'", "chr(1) || chr(1) || chr(1)"),
+        ("'(^|[^\\p{L}\\p{N}_])([A-ZА-ЯЁ])\\.([ \\t]*[A-ZА-ЯЁ])'", "'\\1\\2' || chr(1) || '\\3'"),
+        ("'([.!?。！？]+(?:\\s*,?\\s*\\[S[^\\]\\n]*\\])*)(\\s|\\[|$)'", "'\\1' || chr(2) || '\\2'"),
+    )
+    x = "regexp_replace(regexp_replace(trim(block), '(?i)^\\s*(?:ответ|answer)\\s*:\\s*', ''), '^\\s*(?:[-*•]|\\d+[.)])\\s+', '')"
+    for pattern, to in steps:
+        x = f"regexp_replace({x}, {pattern}, {to}, 'g')"
+    return f"""b AS (SELECT {key} AS k, unnest(range(len(l))) AS paragraph, unnest(l) AS block FROM (SELECT {key}, list_filter(regexp_split_to_array({text}, '\\n+'), lambda x: trim(x) <> '') AS l FROM {source})),
+m AS (SELECT k, paragraph, list_filter(list_transform(string_split({x}, chr(2)), lambda t: trim(replace(t, chr(1), '.'))), lambda t: t <> '') AS l FROM b),
+c AS (SELECT k, paragraph, row_number() OVER (PARTITION BY k ORDER BY paragraph, i) - 1 AS ix, claim FROM (SELECT k, paragraph, unnest(range(len(l))) AS i, unnest(l) AS claim FROM m))"""
+
+
+@query("WITH a AS (SELECT conv_id || '-' || turn AS answer, text FROM conversations WHERE role = 'assistant'), " + _claims_sql("a", "answer", "text") + " SELECT k AS answer, CAST(paragraph AS INT) AS paragraph, CAST(ix AS INT) AS ix, claim FROM c")
 def claim_segments(spark, sf):
     """Claims of assistant turns."""
     a = table(spark, sf, "conversations").where("role = 'assistant'").select(F.concat_ws("-", "conv_id", "turn").alias("answer"), "text")
@@ -159,26 +203,50 @@ def _answers(spark, sf):
     return answers, ws.save(contexts, "contexts")
 
 
-@query()
+_STOP = ", ".join(f"'{w}'" for w in CONTENT_STOP_WORDS)
+_CONTENT = r"list_distinct(list_filter(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), lambda w: (length(w) >= 3 OR regexp_matches(w, '\p{{N}}')) AND w NOT IN (" + _STOP + ")))"
+
+
+_PLAIN = "array_to_string(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+'), ' ')"
+_SENT = "list_filter(string_split(regexp_replace({0}, '([.!?。！？])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')"
+_EVIDENCE = f"""{_GOLD}, n AS (SELECT item_id, doc_id, 'S' || row_number() OVER (PARTITION BY item_id ORDER BY doc_id) AS source_id FROM gold),
+marks AS (SELECT item_id, array_to_string(list_sort(list('[' || source_id || ']')), '') AS marks FROM n GROUP BY item_id),
+answers AS (SELECT item_id, concat_ws(' ', text, marks) AS answer FROM benchmark LEFT JOIN marks USING (item_id)),
+{_claims_sql("answers", "item_id", "answer")}, o AS (SELECT *, regexp_extract_all(claim, '\\[(S[1-9][0-9]*)\\]', 1) AS own FROM c),
+f AS (SELECT *, CASE WHEN len(own) > 0 THEN own END AS cited FROM o),
+i AS (SELECT *, coalesce(cited, first_value(cited IGNORE NULLS) OVER pa, last_value(cited IGNORE NULLS) OVER pb, last_value(cited IGNORE NULLS) OVER wb, first_value(cited IGNORE NULLS) OVER wa, []) AS source_ids,
+  trim(regexp_replace(claim, '\\[S[^\\]\\n]*\\]', '', 'g')) AS h FROM f
+  WINDOW pa AS (PARTITION BY k, paragraph ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), pb AS (PARTITION BY k, paragraph ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  wb AS (PARTITION BY k ORDER BY ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), wa AS (PARTITION BY k ORDER BY ix ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
+src AS (SELECT item_id, source_id, premise, {_SENT.format("premise")} AS s FROM (SELECT n.item_id, source_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS premise FROM n JOIN documents d USING (doc_id))),
+pairs AS (SELECT k AS item_id, ix, claim, h, x.source_id, premise, s, {_PLAIN.format("h")} AS hp, {_CONTENT.format("h")} AS words, list_distinct(regexp_extract_all(replace(lower(premise), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) AS there
+  FROM (SELECT *, unnest(source_ids) AS source_id FROM i) x JOIN src ON src.item_id = x.k AND src.source_id = x.source_id),
+ev AS (SELECT item_id, ix, source_id, contains({_PLAIN.format("premise")}, hp) AS whole,
+  len(list_filter(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda j: s[j] || ' ' || s[j + 1])), lambda w: w <> array_to_string(s, ' ') AND contains({_PLAIN.format("w")}, hp))) > 0 AS part,
+  coalesce(len(list_intersect(words, there)) / nullif(len(words), 0), 0) AS overlap FROM pairs)"""
+
+
+@query(f"WITH {_EVIDENCE} SELECT item_id, CAST(ix AS INT) AS ix, source_id, CASE WHEN part THEN 'window' END AS support, CASE WHEN part OR whole THEN 1.0 ELSE 0.0 END::DOUBLE AS e, 0.0::DOUBLE AS c, round(overlap, 6) AS overlap FROM ev")
 def claim_evidence(spark, sf):
     """Every claim of an answer against the windows of its sources."""
     answers, contexts = _answers(spark, sf)
     c = C.inherit(C.claims(answers, "item_id", "answer"), "item_id").withColumn("kind", C.kind("claim"))
     x = C.evidence(c, contexts, "item_id").where("known")
-    return x.select("item_id", "ix", "source_id", "support", "e", "c", F.round("features.overlap", 6).alias("overlap"), F.size("anchors").alias("anchors"), F.size("found").alias("found"))
+    return x.select("item_id", "ix", "source_id", "support", "e", "c", F.round("features.overlap", 6).alias("overlap"))
 
 
-@query()
+@query(f"""WITH {_EVIDENCE}, st AS (SELECT item_id, ix, bool_or(part OR whole) AS good FROM ev GROUP BY ALL),
+v AS (SELECT k AS item_id, i.ix, claim, source_ids, len(own) = 0 AND len(source_ids) > 0 AS inherited, coalesce(good, false) AS good, regexp_matches(claim, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])(?:не|нет|not|no|never)(?:[^\\p{{L}}\\p{{N}}_]|$)') AS neg FROM i LEFT JOIN st ON st.item_id = k AND st.ix = i.ix),
+g AS (SELECT item_id, count(*) AS facts, count(*) FILTER (good) AS accepted, coalesce(bool_or(ix = 0 AND neg), false) AS n0, coalesce(bool_or(ix = 1 AND NOT good), false) AS n1,
+  coalesce(string_agg(CASE WHEN inherited THEN claim || ' [' || array_to_string(source_ids, '][') || ']' ELSE claim END, chr(10) ORDER BY ix) FILTER (good), '') AS text FROM v GROUP BY item_id),
+r AS (SELECT *, accepted = 0 OR (facts - accepted) / facts > 0.5 OR (n0 AND n1 AND facts > 1) AS refused FROM g)
+SELECT item_id, facts, accepted, facts - accepted AS blocked, (facts - accepted) / facts AS rate, refused, CASE WHEN NOT refused THEN text END AS text FROM r""")
 def verified_answers(spark, sf):
     """Answers after verification: what is published and what is refused."""
     answers, contexts = _answers(spark, sf)
     return C.publish(C.verify(answers, contexts, "item_id", "answer"), "item_id")
 
 
-_STOP = ", ".join(f"'{w}'" for w in CONTENT_STOP_WORDS)
-_CONTENT = r"list_distinct(list_filter(regexp_extract_all(replace(lower({0}), 'ß', 'ss'), '[\p{{L}}\p{{N}}_]+'), lambda w: (length(w) >= 3 OR regexp_matches(w, '\p{{N}}')) AND w NOT IN (" + _STOP + ")))"
-
-
 @query(f"""WITH b AS (SELECT item_id, {_CONTENT.format("text")} AS w FROM benchmark), d AS (SELECT doc_id, list_distinct(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\\p{{L}}\\p{{N}}_]+')) AS v FROM documents WHERE doc_id % 50 = 0)
 SELECT doc_id, item_id, round(coalesce(len(list_intersect(w, v)) / nullif(len(w), 0), 0), 6) AS overlap FROM d JOIN b ON list_has_any(w, v)""")
 def anchor_overlap(spark, sf):

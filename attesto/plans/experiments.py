@@ -66,13 +66,14 @@ _ENS = "s AS (SELECT label AS query, vec_id AS id, CAST(embedding[1] AS DOUBLE)
 
 @query(f"""WITH {_ENS}, k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, id) AS ra, row_number() OVER (PARTITION BY query ORDER BY b DESC, id) AS rb FROM s),
 l AS (SELECT 'first' AS strategy, query, id, a AS v FROM k UNION ALL SELECT 'second', query, id, b FROM k UNION ALL SELECT 'mean', query, id, (a + b) / 2 FROM k UNION ALL SELECT 'max', query, id, greatest(a, b) FROM k
+ UNION ALL SELECT 'by_script', query, id, CASE WHEN query % 3 = 0 THEN a ELSE b END FROM k
  UNION ALL SELECT 'rank_fusion', query, id, 1.0::DOUBLE / (60 + ra) + 1.0::DOUBLE / (60 + rb) FROM k UNION ALL SELECT 'no_rerank', query, id, r FROM k)
 SELECT * FROM (SELECT strategy, query, id, row_number() OVER (PARTITION BY strategy, query ORDER BY v DESC, id) AS rank FROM l) WHERE rank <= 3""")
 def rerank_ensembles(spark, sf):
-    """The three best candidates by six ways to combine two rerankers."""
+    """The three best candidates by seven ways to combine two rerankers."""
     e = lambda i: F.col("embedding")[i].cast("double")
     s = table(spark, sf, "embeddings").select(F.col("label").alias("query"), F.col("vec_id").alias("id"), e(0).alias("a"), e(1).alias("b"), e(2).alias("r"))
-    return X.rerank_ensembles(s, "a", "b", "r").where("rank <= 3")
+    return X.rerank_ensembles(s, "a", "b", "r", script=F.when(F.col("query") % 3 == 0, "ru").otherwise("en")).where("rank <= 3")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, role, turn % 2 = 0 AS supported FROM conversations), r AS (SELECT DISTINCT conv_id, role FROM conversations WHERE turn <= 2)
