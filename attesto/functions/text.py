@@ -378,7 +378,7 @@ def word_pattern(x: str | Column) -> Column:
     out = begins(F.left(w, F.least(keep, F.length(ru_stem(w)))))
     for digit, forms in config.NUMERALS.items():
         alone = rf"(?<![\p{{L}}\p{{N}}_])(?:{'|'.join(forms.split())})(?![\p{{L}}\p{{N}}_])|(?<!\p{{N}}){digit}(?!\p{{N}})"
-        out = F.when(w.isin(*forms.split()), F.concat(F.lit("(?:"), begins(F.left(w, 4)), F.lit(f"|{alone})"))).otherwise(out)
+        out = F.when(w.isin(*forms.split()), F.concat(F.lit("(?:"), begins(F.left(w, F.lit(4))), F.lit(f"|{alone})"))).otherwise(out)
     return F.when(w.rlike(r"\p{N}"), F.concat(F.lit(r"(?<!\p{N})"), w, F.lit(r"(?!\p{N})"))).otherwise(out)
 
 

@@ -374,7 +374,7 @@ def containing(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str, tex
         return d.mapInArrow(lambda it, b=block: _find(it, b), schema)
 
     last = None
-    for name, q in quotes.select(F.col(quote_key), T.normalize(text).alias("q")).where("q <> ''").toLocalIterator():
+    for name, q in quotes.select(F.col(quote_key).alias("quote"), T.normalize(text).alias("words")).where("words <> ''").toLocalIterator():
         if block and size + len(q) > QUOTE_BLOCK:
             ws = ws or Workspace(spark, "containing")
             run(block).write.parquet(f"{ws.path}/found/block={found}")
