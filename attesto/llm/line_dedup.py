@@ -116,11 +116,28 @@ def _records(blobs: list, kind: np.dtype) -> np.ndarray:
     return np.concatenate(parts)
 
 
+def by_rarity(h: np.ndarray, line: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The order of tokens by line, then from the rarest counter on, then by hash.  What fits of the three into one number
+    is sorted; tokens of a line that it doesn't tell apart are rare, and then all three are."""
+    place = rank[(h & _U(COUNTERS - 1)).astype(np.int64)]
+    bits = COUNTERS.bit_length() - 1
+    left = 64 - bits - int(line.max(initial=0)).bit_length()
+    if left >= 16:
+        key = ((line.astype(_U) << _U(bits)) | place.astype(_U)) << _U(left) | h >> _U(64 - left)
+        order = np.argsort(key)
+        same = key[order[1:]] == key[order[:-1]]
+        if (h[order[1:]] == h[order[:-1]])[same].all():
+            return order
+    return np.lexsort((h, place, line))
+
+
 def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, percent: int, hot: int = HOT_TOKEN) -> Iterator[pa.RecordBatch]:
     """Blobs of prefix tokens (kind 0; 3 for blocks of hot ones) and of classes (1) by bucket, and of lines that an
     earlier line of the same chunk equals (2)."""
     held: list[tuple] = []
     total, mean = 0, int(rarity.mean())
+    rank = np.empty(COUNTERS, dtype=np.int64)
+    rank[np.argsort(rarity, kind="stable")] = np.arange(COUNTERS)
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal held, total
@@ -128,7 +145,7 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         line = np.concatenate([x[1] for x in held])
         docs, numbers = np.concatenate([x[2] for x in held]), np.concatenate([x[3] for x in held])
         held, total = [], 0
-        order = np.lexsort((h, rarity[(h & _U(COUNTERS - 1)).astype(np.int64)], line))
+        order = by_rarity(h, line, rank)
         h, line = h[order], line[order]
         new = np.ones(len(h), dtype=bool)
         new[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
@@ -158,7 +175,7 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         block = mix(tokens["doc"].astype(_U) * _U(_SHINGLE) + tokens["line"]) % blocks
         parts = ((0, tokens[~split], tokens["token"][~split]), (3, tokens[split], mix(tokens["token"] + block)[split]), (1, s[earliest], s["k1"][earliest]))
         for kind, records, key in parts:
-            bucket = ((key >> _U(33)) % _U(buckets)).astype(np.int64)
+            bucket = ((key >> _U(33)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short ones are sorted by digits
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
             rows += [(b, kind, _blob(records[order[cuts[b] : cuts[b + 1]]])) for b in range(buckets) if cuts[b + 1] > cuts[b]]
@@ -214,11 +231,13 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         else:
             s = _records(parts, _TOKEN)
             if kind == 0:
-                s = s[np.argsort(s["token"], kind="stable")]
+                token = np.ascontiguousarray(s["token"])
+                order = np.argsort(token)
+                token = token[order]
                 twice = np.zeros(len(s), dtype=bool)
-                twice[1:] = s["token"][1:] == s["token"][:-1]
+                twice[1:] = token[1:] == token[:-1]
                 twice[:-1] |= twice[1:]
-                s = s[twice]
+                s = s[order[twice]]
             s = s[np.lexsort((s["line"], s["doc"], s["n"], s["set"], s["token"]))]
             one = np.ones(len(s), dtype=bool)  # the earliest of lines with the same set
             one[1:] = (s["token"][1:] != s["token"][:-1]) | (s["set"][1:] != s["set"][:-1]) | (s["n"][1:] != s["n"][:-1])

@@ -184,6 +184,17 @@ def test_line_dedup(spark):
     assert [r.text for r in dedup_lines(spark, frame(spark, "a b", "a b", ids=[None, None])).collect()] == ["a b", "a b"]
 
 
+def test_tokens_by_rarity():
+    r = np.random.default_rng(2)
+    rank = np.argsort(r.integers(0, 9, line_dedup.COUNTERS), kind="stable")
+    for lines, top in ((50, 2**64 - 1), (50, 2**20), (1 << 40, 2**64 - 1)):  # hashes alike in their upper bits, line numbers of many bits
+        h, line = r.integers(0, top, 3000, dtype=np.uint64), r.integers(0, lines, 3000)
+        h = np.concatenate([h, h]) * np.uint64(line_dedup.COUNTERS if top == 2**20 else 1)
+        order = line_dedup.by_rarity(h, np.concatenate([line, line]), rank)
+        want = np.lexsort((h, rank[(h & np.uint64(line_dedup.COUNTERS - 1)).astype(np.int64)], np.concatenate([line, line])))
+        assert (h[order] == h[want]).all()
+
+
 def test_lines_of_a_group_are_told_apart_by_whole_keys(monkeypatch):
     # Keys whose upper 32 bits are nearly always the same: different lines of one size must stay candidates.
     monkeypatch.setattr(line_dedup, "mix", lambda x: mix(x) & np.uint64(2**32 - 1))
