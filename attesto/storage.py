@@ -7,11 +7,15 @@ makes a retried task harmless, and a lost executor takes no intermediate result
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows and bytes of the batches that Python workers get while a table is written.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 512, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 _opened: list[tuple[SparkSession, str]] = []
 
 
@@ -27,6 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """While this holds, Spark hands Python workers small batches, as long texts need; then the session's settings are what
+    they were."""
+    before = {k: spark.conf.get(k) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 class Workspace:
     """A folder of one run below the shared one.  Its tables are read lazily by what the run returns, so they are
     removed when the application ends or by :func:`clean`."""
@@ -38,7 +56,8 @@ class Workspace:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return a reader of what was written: its lineage ends here."""
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        with small_batches(self.spark):
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
     def drop(self, *names: str) -> None:
