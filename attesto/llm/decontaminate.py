@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .shingles import shingle_set, utf8, words_of
-from .workspace import Workspace, slices
+from .workspace import Workspace, slices, small_batches
 
 #: Shingles of the items that are searched for in one pass over the documents (16 MB of hashes); a larger benchmark
 #: takes several passes.
@@ -133,7 +133,8 @@ def contained_items(
     blocks = 0
     for block in _blocks(sets, percent):
         sent = spark.sparkContext.broadcast(block)  # of bounded size
-        rows.mapInArrow(lambda it, b=sent: _search(it, b.value), kind).write.parquet(f"{ws.path}/found/block={blocks}")
+        with small_batches(spark):
+            rows.mapInArrow(lambda it, b=sent: _search(it, b.value), kind).write.parquet(f"{ws.path}/found/block={blocks}")
         sent.destroy()
         blocks += 1
     out = spark.read.schema(kind).parquet(f"{ws.path}/found") if blocks else spark.createDataFrame([], kind)

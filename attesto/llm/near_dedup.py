@@ -24,9 +24,9 @@ _MULTIPLIERS = mix(np.arange(1, HASHES + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
 SLACK = 0.23
 #: Rows and shingles of a block of a bucket's outsiders, and of those they are held against: what is compared in one go.
 X_ROWS, Y_ROWS, LEAST_ROWS = 1 << 12, 1 << 14, 1 << 8
-X_SHINGLES, Y_SHINGLES = 1 << 20, 1 << 22
+X_SHINGLES, Y_SHINGLES = 1 << 19, 1 << 21
 #: Pairs and shared shingles that a worker counts at a time.
-CELLS = 1 << 22
+CELLS = 1 << 20
 _SIGNED = T.StructType([
     T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("set_key", T.BinaryType()),
     T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sig", T.ArrayType(T.LongType())),
@@ -137,6 +137,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
     """Links (a, b) inside blocks; rows of a block follow one another."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
     held: list[pa.RecordBatch] = []
+    size = 0
 
     def links(table: pa.Table) -> pa.RecordBatch:
         cols = {c: table.column(c).to_numpy() for c in ("bucket", "xb", "yb", "id", "root", "main", "as_x", "as_y")}
@@ -147,9 +148,9 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         out = []
         for p, q, both in shared_counts([sets[k] for k in x], [sets[k] for k in y], block[x], block[y]):
             p, q = x[p], y[q]
-            size = np.array([len(v) for v in sets])
+            n = np.array([len(v) for v in sets])
             # Sets of 32-bit hashes may differ from the full ones by a collision.
-            good = 100 * both.astype(np.int64) >= (percent - 1) * (size[p] + size[q] - both)
+            good = 100 * both.astype(np.int64) >= (percent - 1) * (n[p] + n[q] - both)
             good &= (cols["root"][p] != cols["root"][q]) & ((cols["root"][q] == cols["main"][q]) | (cols["id"][p] > cols["id"][q]))
             out.append(np.stack([np.maximum(cols["id"][p], cols["id"][q]), np.minimum(cols["id"][p], cols["id"][q])])[:, good])
         pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
@@ -157,7 +158,8 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
 
     for batch in batches:
         held.append(batch)
-        if sum(b.nbytes for b in held) < 4 * Y_SHINGLES:
+        size += batch.nbytes
+        if size < 4 * Y_SHINGLES:
             continue
         table = pa.Table.from_batches(held).combine_chunks()
         last = [table.column(c)[-1].as_py() for c in ("bucket", "xb", "yb")]
@@ -166,6 +168,7 @@ def _compare(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         if cut:
             yield links(table.slice(0, cut))
             held = table.slice(cut).to_batches()
+            size = sum(b.nbytes for b in held)
     if held and sum(b.num_rows for b in held):
         yield links(pa.Table.from_batches(held).combine_chunks())
 

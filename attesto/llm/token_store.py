@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from ..shipping import ship
 from .encoders import token_ids
 from .shingles import utf8
-from .workspace import slices
+from .workspace import slices, small_batches
 
 #: A shard's file: magic, then as unsigned 64-bit integers the numbers of documents, ids, rules and symbols, the
 #: first nonterminal and the bytes of a symbol; then the arrays in the order of ``Shard``.
@@ -258,7 +258,8 @@ def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
-    dealt.mapInArrow(lambda it: _write(it, tokenizer, end_id), "part int, shard int, n_docs long, n_ids long, blob binary").write.mode("overwrite").parquet(f"{path}/shards")
+    with small_batches(spark):
+        dealt.mapInArrow(lambda it: _write(it, tokenizer, end_id), "part int, shard int, n_docs long, n_ids long, blob binary").write.mode("overwrite").parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards").select("part", "shard", "n_ids")
     # Sums by part first: only one row of each part meets in the last window.
     parts = shards.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))

@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import Workspace, clean, hadoop_fs, remove
+from ..storage import Workspace, clean, hadoop_fs, remove, small_batches
 
-__all__ = ["BROADCAST_IDS", "Workspace", "clean", "fair_share", "hadoop_fs", "join_groups", "remove", "slices", "with_ids"]
+__all__ = ["BROADCAST_IDS", "Workspace", "clean", "fair_share", "hadoop_fs", "join_groups", "remove", "slices", "small_batches", "with_ids"]
 
 #: Ids up to this many are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
