@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,9 +19,13 @@ from .workspace import slices
 
 #: Labelled rows that a model is fitted on at most: those with the smallest hashes of their ids.
 SAMPLE = 8000
-#: A model uses features that toxic texts have more often than chance allows: with FEATURES of them at most, and a
-#: number of CHANCE features of the sample, at most, expected to pass without cause.
-FEATURES, CHANCE = 2000, 0.01
+#: A model uses features that toxic texts have more often than chance allows: FEATURES of them at most, those with the most
+#: evidence, and a number of CHANCE features of the sample, at most, expected to pass without cause.  To these come the
+#: words and longer beginnings that begin like them and stand in LEAST_TEXTS texts of the sample, as many again at
+#: most: some are clean, and get a weight of their own.
+FEATURES, CHANCE, LEAST_TEXTS = 1000, 0.01, 4
+#: How the weights are held down, and how much the grades above the first count for them.
+PENALTY, HIGHER = 2e-4, 0.1
 #: Where labels only tell toxic from clean, a toxic text in which so many words are toxic ones counts as severe.
 SEVERE_WORDS = 8
 BEGINNINGS = (3, 4, 5)
@@ -46,9 +51,10 @@ class Ordinal:
         return [1 / (1 + np.exp(np.clip(c - z, -60, 60))) for c in self.cuts]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6, steps: int = 20000) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6, steps: int = 4000, higher: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts that minimise the mean negative log-likelihood of the binary events grade >= k,
-    plus l1 times the weights' absolute sum, by accelerated proximal gradient steps over distinct rows."""
+    plus l1 times the weights' absolute sum, by accelerated proximal gradient steps over distinct rows.  Events above
+    the first one count ``higher`` times as much for the weights; their cuts are fitted all the same."""
     rows, counts = np.unique(np.column_stack([x, grade.astype(x.dtype)]), axis=0, return_counts=True)
     x, grade, share = rows[:, :-1], rows[:, -1].astype(int), counts / counts.sum()
     d = x.shape[1]
@@ -64,10 +70,11 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6,
         v /= np.linalg.norm(v) + 1e-12
     step = 1 / (0.25 * (grades - 1) * float(share @ (u @ v) ** 2) + 0.3)
     a, b, t = w.copy(), cuts.copy(), 1.0
+    event = np.where(np.arange(grades - 1) == 0, 1.0, higher)
     for _ in range(steps):
         p = 1 / (1 + np.exp(np.clip(b[None, :] - (u @ a)[:, None], -60, 60)))
         r = (p - y) * share[:, None]
-        new_w = a - step * (u.T @ r.sum(axis=1))
+        new_w = a - step * (u.T @ (r @ event))
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
         new_c = np.sort(b + step * r.sum(axis=0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -88,31 +95,6 @@ def evidence(b: np.ndarray, n: np.ndarray, share: float) -> np.ndarray:
     return np.where(p > share, n * kl, 0)
 
 
-#: A toxic text supports further features until it has this many of the selected ones.
-COVER = 3
-
-
-def select_features(x: np.ndarray, bad: np.ndarray, names: list[str], least: float) -> list[int]:
-    """Columns of x that each say something of their own: the one with the most evidence (the longest name on ties), then
-    again among the toxic texts with fewer than COVER selected ones, until none has the least evidence.  Of features
-    that begin alike, as a word and its beginning, one is taken."""
-    clean, cover, out = x[~bad].sum(axis=0, dtype=np.int64), np.zeros(len(x), dtype=int), []
-    stems, free = [n.removesuffix("*") for n in names], np.ones(len(names), dtype=bool)
-    while free.any():
-        open_ = bad & (cover < COVER)
-        if not open_.any():
-            break
-        b = x[open_].sum(axis=0, dtype=np.int64)
-        e = np.where(free, evidence(b, b + clean, open_.sum() / (open_.sum() + (~bad).sum())), 0)
-        best = max(range(len(e)), key=lambda i: (round(float(e[i]), 6), len(names[i])))
-        if e[best] < least:
-            break
-        out.append(best)
-        cover += x[:, best] > 0
-        free &= [not (s.startswith(stems[best]) or stems[best].startswith(s)) for s in stems]
-    return sorted(out)
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         words = pa.array([sorted(features(t)) for t in batch.column(2).to_pylist()], pa.list_(pa.string()))
@@ -175,6 +157,11 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
         least = math.log(max(seen, 1) / CHANCE)
         telling = per.where(p > share).withColumn("evidence", F.col("n") * kl).where(F.col("evidence") >= least).orderBy(F.desc("evidence"), "word").limit(FEATURES)
         vocabulary = sorted(r["word"] for r in telling.select("word").collect())
+        stems = {k: [w[:-1] for w in vocabulary if w.endswith("*") and len(w) == k + 1] for k in BEGINNINGS}
+        alike = reduce(lambda c, k: c | F.substring("word", 1, k).isin(*stems[k]), [k for k in BEGINNINGS if stems[k]], F.lit(False))
+        near = per.where((F.col("n") >= LEAST_TEXTS) & alike & ~F.col("word").isin(*vocabulary)).orderBy(F.desc("n"), "word").limit(FEATURES)
+        telling_n = len(vocabulary)
+        vocabulary += sorted(r["word"] for r in near.select("word").collect()) if any(stems.values()) else []
         number = {w: i for i, w in enumerate(vocabulary)}
         told = F.array_intersect("words", F.array(*map(F.lit, vocabulary)) if vocabulary else F.array().cast("array<string>"))
         known = rows.select("id", "grade", "half", told.alias("words")).orderBy("id").collect()
@@ -182,14 +169,12 @@ def fit(spark: SparkSession, docs: DataFrame, grades: DataFrame, sample: int = S
         for i, r in enumerate(known):
             x[i, [number[w] for w in r["words"]]] = 1
         if top == 2 and vocabulary:
-            severe = _severe(rows, x, y > 0, np.array([r["half"] for r in known]), vocabulary, least)
+            severe = _severe(rows, x[:, :telling_n], y > 0, np.array([r["half"] for r in known]), vocabulary[:telling_n], least)
             y[np.isin([r["id"] for r in known], severe)] = 2
             top = int(y.max()) + 1
     finally:
         rows.unpersist()
-    chosen = select_features(x, y > 0, vocabulary, least)
-    x, vocabulary = x[:, chosen], [vocabulary[i] for i in chosen]
-    w, cuts = fit_ordinal(x, y, top)
+    w, cuts = fit_ordinal(x, y, top, PENALTY, higher=HIGHER)
     return Ordinal({v: float(k) for v, k in zip(vocabulary, w) if k}, tuple(map(float, cuts)))
 
 
