@@ -51,7 +51,7 @@ class Ordinal:
         return [1 / (1 + np.exp(np.clip(c - z, -60, 60))) for c in self.cuts]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6, steps: int = 4000, higher: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6, steps: int = 2000, higher: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ascending cuts that minimise the mean negative log-likelihood of the binary events grade >= k,
     plus l1 times the weights' absolute sum, by accelerated proximal gradient steps over distinct rows.  Events above
     the first one count ``higher`` times as much for the weights; their cuts are fitted all the same."""
@@ -72,9 +72,9 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l1: float = 1e-6,
     a, b, t = w.copy(), cuts.copy(), 1.0
     event = np.where(np.arange(grades - 1) == 0, 1.0, higher)
     for _ in range(steps):
-        p = 1 / (1 + np.exp(np.clip(b[None, :] - (u @ a)[:, None], -60, 60)))
+        p = 1 / (1 + np.exp(np.clip(b[None, :] - (u @ a.astype(np.float32))[:, None], -60, 60)))
         r = (p - y) * share[:, None]
-        new_w = a - step * (u.T @ (r @ event))
+        new_w = a - step * ((r @ event).astype(np.float32) @ u)
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * l1, 0)
         new_c = np.sort(b + step * r.sum(axis=0))
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
