@@ -248,7 +248,7 @@ def _across(ws: Workspace, docs: DataFrame, members: DataFrame, roots: DataFrame
     ids = ws.save(open_.select(F.col("id").alias("pid")).distinct(), "open-ids")
     few = ids.count() <= BROADCAST_IDS
     texts = docs.join(F.broadcast(ids) if few else ids, F.col("id") == F.col("pid"), "left_semi")
-    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s binary").dropDuplicates(["id"]), "open-sets")
+    sets = ws.save(texts.mapInArrow(_small_sets, "id long, s binary").distinct(), "open-sets")  # an id may have several texts
 
     # Each row stands in one block of either side; there it meets every block of the other.
     outside = F.col("root") != F.col("main")
