@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..shipping import ship
 from .shingles import _SHINGLE, STEP, WORDS, _hash, _long_words, mix, shingle_set, utf8
-from .workspace import BROADCAST_IDS, Workspace, slices
+from .workspace import BROADCAST_IDS, Workspace, keyed, slices
 
 _U = np.uint64
 #: Counters of the rarity table: 1 MB, whatever the number of lines.  Tokens that share a counter share its count;
@@ -207,10 +207,19 @@ _FOUND_SQL = "kind int, token long, d1 long, l1 long, n1 long, p1 long, d2 long,
 def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """For each bucket: lines that equal an earlier one (kind 2), candidates of a line and an earlier one (0), and
     the members of large groups and of blocks (4)."""
-    blobs: dict[tuple[int, int], list] = {}
-    for batch in batches:
-        for bucket, kind, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            blobs.setdefault((bucket, kind), []).append(blob)
+
+    def blobs() -> Iterator[tuple[tuple[int, int], list]]:
+        """The blobs of one bucket and kind after the other; rows come in that order."""
+        now, held = None, []
+        for batch in batches:
+            for *of, blob in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                if of != now:
+                    if held:
+                        yield tuple(now), held
+                    now, held = of, []
+                held.append(blob)
+        if held:
+            yield tuple(now), held
 
     def rows(kind: int, token, d1, l1, n1=None, p1=None, d2=None, l2=None) -> Iterator[pa.RecordBatch]:
         for i in range(0, len(d1), 1 << 14):
@@ -219,7 +228,7 @@ def _matches(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
             columns = [np.full(size, kind, np.int32)] + [np.zeros(size, np.int64) if c is None else c[cut].astype(np.int64) for c in (token, d1, l1, n1, p1, d2, l2)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _FOUND)], schema=_FOUND)
 
-    for (_, kind), parts in blobs.items():
+    for (_, kind), parts in blobs():
         if kind == 2:
             s = _records(parts, _CLASS)
             yield from rows(2, None, s["doc"], s["line"])
@@ -333,8 +342,8 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_c
     earliest LEADERS first; those without a match are then held against all earlier ones.  A token that occurs more
     than ``hot`` times is dealt to blocks of lines, each with leaders of its own; what no line of the block removes is
     held against the earlier lines of all blocks, in a join that Spark can split.
-    Lines without words are never removed.  Rows with a null id take no part.  Rows that repeat an id are one
-    document to the order, so equal lines of them, at the same place, stay.
+    Lines without words are never removed.  Rows with a null id take no part.  Ids must tell rows apart;
+    ``dedup_lines`` gives rows keys of their own where they don't.
     """
     ws = Workspace(spark, "line-dedup")
     ship(spark)
@@ -344,7 +353,7 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_c
     shared = spark.sparkContext.broadcast(np.minimum(rarity, 2**31 - 1).astype(np.int32))  # COUNTERS numbers
     buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-int(rarity.sum()) // BUCKET_SHINGLES))
     dealt = texts.mapInArrow(lambda it: _deal(it, shared.value, buckets, percent, hot), "bucket int, kind int, blob binary")
-    found = ws.save(dealt.repartition(buckets, "bucket").mapInArrow(lambda it: _matches(it, percent), _FOUND_SQL), "found")
+    found = ws.save(dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lambda it: _matches(it, percent), _FOUND_SQL), "found")
     equal = found.where("kind = 2").select(F.col("d1").alias("d"), F.col("l1").alias("l"))
     pairs = found.where("kind = 0").select("d1", "l1", "d2", "l2").distinct()
     near = _verified(ws, "near", texts, pairs, percent)
@@ -364,13 +373,17 @@ def repeated_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_c
 def dedup_lines(spark: SparkSession, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, n_lines, n_removed, text (without the lines of ``repeated_lines``).
 
-    Null texts are empty: one line without words.  Rows with a null id keep their text.
+    Null texts are empty: one line without words.  Rows with a null id keep their text.  Rows that repeat an id are
+    judged each by its own text, in an order of hashes of texts; of equal rows, the first keeps its lines.
     """
     ws = Workspace(spark, "line-dedup-texts")
-    gone = repeated_lines(spark, docs, percent, id_col, text_col)
-    gone = ws.save(gone.groupBy(F.col(id_col).alias("gid")).agg(F.collect_set("line").alias("gone")), "gone")
-    rows = docs.select(F.col(id_col).alias("id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("lines"))
-    joined = rows.join(F.broadcast(gone) if _few(gone, "gone") else gone, F.col("id") == F.col("gid"), "left")
+    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows, key = keyed(spark, docs.where("id is not null"), "line-dedup-rows", "id")
+    gone = repeated_lines(spark, rows, percent, key)
+    gone = ws.save(gone.groupBy(F.col(key).alias("gid")).agg(F.collect_set("line").alias("gone")), "gone")
+    rows = rows.select("id", F.col(key).alias("key"), "text").unionByName(docs.where("id is null").select("id", F.lit(None).cast("long").alias("key"), "text"))
+    rows = rows.select("id", "key", F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("lines"))
+    joined = rows.join(F.broadcast(gone) if _few(gone, "gone") else gone, F.col("key") == F.col("gid"), "left")
     # What stands between two removed lines is one slice, so the work is linear in a text's lines.
     bounds = F.concat(F.array(F.lit(-1)), F.transform(F.array_sort("gone"), lambda x: x.cast("int")), F.array(F.size("lines")))
     between = F.transform(F.sequence(F.lit(0), F.size("gone")), lambda k: F.slice("lines", bounds[k] + 2, bounds[k + 1] - bounds[k] - 1))

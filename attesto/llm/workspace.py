@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..storage import Workspace, clean, hadoop_fs, remove, small_batches
 
-__all__ = ["BROADCAST_IDS", "Workspace", "clean", "fair_share", "hadoop_fs", "join_groups", "remove", "slices", "small_batches", "with_ids"]
+__all__ = ["BROADCAST_IDS", "Workspace", "clean", "fair_share", "hadoop_fs", "join_groups", "keyed", "remove", "slices", "small_batches", "with_ids"]
 
 #: Ids up to this many are broadcast (16 MB of longs); more are joined by a shuffle.
 BROADCAST_IDS = 2_000_000
@@ -29,6 +29,21 @@ def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") ->
     return docs.join(ids, docs[key].eqNullSafe(ids["__id"]), how)
 
 
+def keyed(spark: SparkSession, docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, str]:
+    """The documents and the column that tells their rows apart: the id, or a number in the order of ids (null last),
+    then of hashes of texts; rows that are alike in both get different numbers."""
+    ids = docs.agg(F.count("*").alias("rows"), F.count(id_col).alias("known")).first()
+    if ids["rows"] == ids["known"] and docs.groupBy(id_col).agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return docs, id_col
+    key, hash_ = "row_key", F.xxhash64(text_col)
+    while key in docs.columns:
+        key = f"_{key}"
+    order = [F.col(id_col).asc_nulls_last(), hash_.asc()]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return Workspace(spark, name).save(dealt.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+
+
 def fair_share(spark: SparkSession, rows: int) -> float:
     """The rows of a group that make it hot: ``HOT_SHARE`` of what each of the shuffle's tasks gets on average."""
     return HOT_SHARE * rows / int(spark.conf.get("spark.sql.shuffle.partitions"))
