@@ -12,9 +12,10 @@ import re
 import string
 import zlib
 from array import array
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -45,6 +46,9 @@ _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])(?:((?:[A-Za-z0-9+/]{60,76}\r?\n)+)[A
 #: What a run that can't be read whole is tried as: its stretches between / + - and _.
 _STRETCH = re.compile(r"[A-Za-z0-9]{16,}={0,2}")
 _CONTROL = re.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
+#: A stretch of readable text that can hold a secret: the shortest has 14 characters, and none is longer decoded than
+#: encoded.
+_SOME = re.compile(r"[^\x00-\x08\x0e-\x1f\x7f\ufffd]{14}")
 #: Characters of secrets, escapes and base64 runs.
 _INSIDE = string.ascii_letters + string.digits + "+/_.=-\"' :%\\{}&#;\r\n"
 #: A layer that unpacks to more bytes is unpacked and scanned in pieces of about PIECE characters: a bound on what one
@@ -108,10 +112,11 @@ class Places:
 
 
 class Layer:
-    """A decoded text with its places.  A ``piece`` is one of many, to be dealt with before the next is made."""
+    """A decoded text with its places.  A ``piece`` is one of many, to be dealt with before the next is made; a ``rough``
+    one comes from bytes of which only stretches are text."""
 
-    def __init__(self, text: str, places: Places, via: tuple[str, ...], piece: bool = False) -> None:
-        self.text, self.places, self.via, self.piece = text, places, via, piece
+    def __init__(self, text: str, places: Places, via: tuple[str, ...], piece: bool = False, rough: bool = False) -> None:
+        self.text, self.places, self.via, self.piece, self.rough = text, places, via, piece, rough
 
 
 def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], str | None], via: str) -> Layer | None:
@@ -133,7 +138,7 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[re.Match], st
     if not parts:
         return None
     keep(len(layer.text))
-    return Layer("".join(parts), places, (*layer.via, via))
+    return Layer("".join(parts), places, (*layer.via, via), rough=layer.rough)
 
 
 def _url(m: re.Match) -> str:
@@ -148,9 +153,10 @@ def _unicode(m: re.Match) -> str | None:
 
 
 def _bytes(encoded: str) -> bytes | None:
+    """What a base64 run holds; a last character that makes no byte is left out."""
     raw = encoded.replace("\r", "").replace("\n", "").rstrip("=").replace("-", "+").replace("_", "/")
     if len(raw) % 4 == 1:
-        return None
+        raw = raw[:-1]
     try:
         return base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
     except binascii.Error:
@@ -173,7 +179,7 @@ class _Inflate:
 
 
 class _Zstd:
-    """Zstandard likewise; of a frame that is cut off, what came is kept."""
+    """Zstandard likewise."""
 
     def __init__(self) -> None:
         import zstandard
@@ -233,10 +239,11 @@ class Source:
 
 
 class _Feed:
-    """The slices of a source, some of which may be given back; ``at`` counts the bytes taken."""
+    """The slices of a source, some of which may be given back; ``at`` counts the bytes taken, ``last`` of them by the last
+    slice.  From ``single`` on, slices are bytes."""
 
-    def __init__(self, source: Source) -> None:
-        self.slices, self.data, self.at = source(), b"", 0
+    def __init__(self, source: Source, single: int | None = None) -> None:
+        self.slices, self.data, self.at, self.last, self.single = source(), b"", 0, 0, single
 
     def head(self) -> bytes:
         while len(self.data) < 6 and (more := next(self.slices, b"")):
@@ -245,7 +252,12 @@ class _Feed:
 
     def take(self) -> bytes:
         out, self.data = self.data or next(self.slices, b""), b""
+        if self.single is not None and self.at + len(out) > self.single:
+            whole, self.single = out, None
+            self.slices = chain((whole[k : k + 1] for k in range(1, len(whole))), self.slices)
+            out = whole[:1]
         self.at += len(out)
+        self.last = len(out)
         return out
 
     def back(self, data: bytes) -> None:
@@ -262,45 +274,63 @@ def _member(feed: _Feed, make) -> Iterator[bytes]:
     while not tool.eof:
         data = feed.take() if tool.needs_input else b""
         if tool.needs_input and not data:
-            if make is _Zstd:
-                return
             raise EOFError
         if out := tool.decompress(data, SLICE):
             yield out
     feed.back(tool.unused_data)
 
 
-def _members(source: Source, n: int) -> Iterator[bytes]:
-    feed = _Feed(source)
-    for _ in range(n):
-        yield from _member(feed, _tool(feed.head())[1])
-        feed.skip_zeros()
+def _broken(error: Exception) -> bool:
+    """Whether an error says that a member is cut off or damaged."""
+    return isinstance(error, (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError)) or type(error).__name__ == "ZstdError"
+
+
+def _members(source: Source, n: int, single: int | None = None) -> Iterator[bytes]:
+    feed = _Feed(source, single)
+    try:
+        for _ in range(n):
+            yield from _member(feed, _tool(feed.head())[1])
+            feed.skip_zeros()
+    except Exception as error:
+        if not _broken(error):
+            raise
 
 
 def unpack(source: Source) -> tuple[str, Source, Source | None] | None:
     """What the gzip, zlib, bzip2, xz or Zstandard members hold that a source begins with, one after the other, and what
-    follows the last whole one.  More than MOST_BYTES are not held, but unpacked again for each reader."""
-    feed, name, good, used, size, kept = _Feed(source), "", 0, 0, 0, []
+    follows the last whole one.  Of a member that is cut off or damaged, what came of it is kept, and it counts as what
+    follows, too, as its beginning may be a text's.  More than MOST_BYTES are not held, but unpacked again for each reader."""
+    feed, name, good, used, size, kept, single = _Feed(source), "", 0, 0, 0, [], None
     while tool := _tool(feed.head()):
-        n, mine = 0, []
-        try:
-            for out in _member(feed, tool[1]):
+        n, mine, ends, began = 0, [], True, feed.at
+
+        def given(parts: Iterator[bytes]) -> None:
+            nonlocal n
+            for out in parts:
                 n += len(out)
                 if size + n <= MOST_BYTES:
                     mine.append(out)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError, ValueError):
-            break
-        except Exception as error:  # the optional library's own error
-            if type(error).__name__ != "ZstdError":
+
+        try:
+            given(_member(feed, tool[1]))
+        except Exception as error:
+            if not _broken(error):
                 raise
+            ends = False
+            if not isinstance(error, EOFError):  # an error takes what its slice gave with it: again, byte by byte
+                single, n, mine = feed.at - feed.last, 0, []
+                given(_members(source.after(began), 1, single - began))
+        if ends or n:
+            name, good, size = name or tool[0], good + 1, size + n
+            kept = [b"".join([*kept, *mine])] if size <= MOST_BYTES else []
+        if not ends:
             break
         feed.skip_zeros()
-        name, good, used, size = name or tool[0], good + 1, feed.at, size + n
-        kept = [b"".join([*kept, *mine])] if size <= MOST_BYTES else []
+        used = feed.at
     if not good:
         return None
     rest = source.after(used)
-    inner = Source(b"".join(kept)) if size <= MOST_BYTES else Source(None, lambda: _members(source, good))
+    inner = Source(b"".join(kept)) if size <= MOST_BYTES else Source(None, lambda: _members(source, good, single))
     return name, inner, rest if next(rest(), b"") else None
 
 
@@ -316,8 +346,8 @@ def _text(data: bytes) -> str | None:
 def _pieces(source: Source) -> Iterator[str]:
     """The text of a long source in pieces of about PIECE characters.  They end with a character that is in no secret, escape
     or base64 run, nor will be when others are decoded, so nothing stands in two pieces; without such a character, a piece
-    grows."""
-    decoder, held, size = codecs.getincrementaldecoder("utf-8")(), [], 0
+    grows.  What is no UTF-8 becomes replacement characters, which are such."""
+    decoder, held, size = codecs.getincrementaldecoder("utf-8")("replace"), [], 0
     for data in source():
         text = decoder.decode(data)
         if size + len(text) >= PIECE and (cut := len(text.rstrip(_INSIDE))):
@@ -352,41 +382,43 @@ def _opened(layer: Layer) -> Iterator[Layer]:
     at = 0
     while m := _BASE64.search(text, at):
         at = m.end()
-        found, whole = _encoded(layer, m.start(), at)
+        found, rough, whole = _encoded(layer, m.start(), at)
         if m[1] and not whole:  # the last line may be another text below the block
             end = m.start() + len(m[1].rstrip("\r\n"))
-            less, whole = _encoded(layer, m.start(), end)
+            less, parts, whole = _encoded(layer, m.start(), end)
             if whole or not found:
-                found, at = less, end
+                found, rough, at = less, parts, end
         if not found and not m[1]:
             for part in _STRETCH.finditer(text, m.start(), at):
                 if part.span() != m.span():
-                    found += _encoded(layer, *part.span())[0]
-        for source, via, place in found:
-            for inside in (source.data.decode(),) if source.data is not None else _pieces(source):
-                yield Layer(inside, Places.of(*place, False), via, source.data is None)
-
-
-def _encoded(layer: Layer, start: int, end: int) -> tuple[list, bool]:
-    """The readable sources that the base64 run holds, with their ways and place, and whether all of it can be read.
-    Compressed bytes that were opened before on the way aren't opened again, so those that unpack to themselves end."""
-    data, place, found, whole = _bytes(layer.text[start:end]), layer.places.place(start, end), [], True
+                    more, parts, _ = _encoded(layer, *part.span())
+                    found, rough = found + more, rough + parts
+        for k, (source, via, place) in enumerate(found + rough):
+            for inside in (source.data.decode("utf-8", "replace"),) if source.data is not None else _pieces(source):
+                if _SOME.search(inside):
+                    yield Layer(inside, Places.of(*place, False), via, source.data is None, layer.rough or k >= len(found))
+
+
+def _encoded(layer: Layer, start: int, end: int) -> tuple[list, list, bool]:
+    """The sources that the base64 run holds, with their ways and place: those that can be read, those of which only
+    stretches can, and whether all of it can be read.  Compressed bytes that were opened before on the way aren't opened
+    again but read as text, so those that unpack to themselves end."""
+    data, place, found, rough = _bytes(layer.text[start:end]), layer.places.place(start, end), [], []
     todo, seen = deque([(Source(data), (*layer.via, "base64"))] if data else []), set()
+    whole = True
     while todo:
         source, via = todo.popleft()
-        if _tool(next(source(), b"")[:6]):
-            if (key := source.digest()) in seen:
-                continue
+        if _tool(next(source(), b"")[:6]) and (key := source.digest()) not in seen:
             seen.add(key)
             if inner := unpack(source):
                 todo.append((inner[1], (*via, inner[0])))
+                # A damaged member comes again as what follows; then it is looked at as text.
                 todo.extend([(inner[2], via)] if inner[2] else [])
                 continue
-        if _text(source.data) is not None if source.data is not None else _readable(source):
-            found.append((source, via, place))
-        else:
-            whole = False
-    return found, whole and bool(found)
+        readable = _text(source.data) is not None if source.data is not None else _readable(source)
+        (found if readable else rough).append((source, via, place))
+        whole = whole and readable
+    return found, rough, whole and bool(found)
 
 
 def _digest(data) -> bytes:
@@ -399,11 +431,25 @@ def scan(text: str) -> list[tuple[str, int, int, bool, str]]:
     A worklist opens each layer's URL and Unicode escapes (where they stand) and base64 runs, with what compressed
     bytes inside hold, and scans what comes out, until nothing new comes out.  A layer whose text and place were
     seen before isn't opened again, so cycles end; nothing else ends the search, neither depth nor size.  A secret of an inner layer has the place of the characters that
-    it was decoded from; of those found on several ways, the first stays.
+    it was decoded from; of those found on several ways, the first stays.  What stretches of a base64 run give isn't given
+    again at the place of the whole run.
     """
-    found: dict[tuple[str, int, int], tuple[bool, str]] = {}
+    found: dict[tuple[str, int, int], tuple[bool, str, str, bool]] = {}
     _work(Layer(text, Places.of(0, len(text), True), ()), found, set())
-    return [(*k, *v) for k, v in sorted(found.items(), key=lambda x: (x[0][1], KINDS.index(x[0][0]), x[0][2]))]
+    places: dict[tuple[str, str], list[tuple[int, int]]] = {}
+    for (kind, start, end), (_, _, secret, rough) in found.items():
+        if not rough:
+            places.setdefault((kind, secret), []).append((start, end))
+    for of in places.values():
+        of.sort()
+
+    def closer(kind: str, start: int, end: int, secret: str) -> bool:
+        of = places.get((kind, secret), [])
+        k = bisect_left(of, (start,))
+        return k < len(of) and of[k][1] <= end and of[k] != (start, end)
+
+    out = [(*k, *v[:2]) for k, v in found.items() if not (v[3] and closer(*k, v[2]))]
+    return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
 def _work(layer: Layer, found: dict, seen: set) -> None:
@@ -411,7 +457,7 @@ def _work(layer: Layer, found: dict, seen: set) -> None:
     while todo:
         layer = todo.popleft()
         for kind, start, end in find(layer.text):
-            found.setdefault((kind, *layer.places.place(start, end)), (not layer.via, ">".join(layer.via)))
+            found.setdefault((kind, *layer.places.place(start, end)), (not layer.via, ">".join(layer.via), layer.text[start:end], layer.rough))
         for inner in _opened(layer):
             key = (_digest(inner.text.encode()), inner.places.digest())
             if key not in seen:
@@ -435,7 +481,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def find_secrets(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``id_col``, spans (kind, start, end, base, layers), by start, kind and end.
 
-    Base spans stand in the text itself; the others were found in decoded layers, named from the outside in.  Null
+    Base spans stand in the text itself; the others were found in decoded layers, named from the outside in.  Of a layer
+    that holds bytes which are no text, the stretches between them are scanned; of compressed data that are cut off or
+    damaged, what comes out before.  Null
     and empty texts have no spans; rows that repeat an id are scanned each.  Rows stay where they are read.  Other
     columns are not read.
     """

@@ -785,3 +785,96 @@ def test_long_texts(spark):
     ids = TokenIds(name)
     assert got == {i: len(ids._whole(texts[i])) // 4 + 1 for i in (0, 1, 3)}
     assert {r.doc_id: r.n_bytes for r in count_tokens(spark, docs.where("doc_id <> 2"), Q.tokenizer("piece_bpe_32k.model")).collect()} == {i: len(texts[i]) for i in (0, 1, 3)}
+
+
+def test_lines_of_repeated_ids(spark):
+    """Each row of an id is judged by its own text."""
+    a, b = "one two three four five six", "seven eight nine ten eleven twelve"
+    got = dedup_lines(spark, frame(spark, a, b, a, ids=[1, 2, 2])).collect()
+    assert sorted((r.doc_id, r.n_removed, r.text) for r in got) == [(1, 0, a), (2, 0, b), (2, 1, "")]
+    got = dedup_lines(spark, frame(spark, b, b, f"{a}\n{b}", None, a, ids=[3, 3, 4, 4, None])).collect()
+    want = [(3, 0, b), (3, 1, ""), (4, 0, ""), (4, 1, a), (None, 0, a)]
+    assert sorted(((r.doc_id, r.n_removed, r.text) for r in got), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_links_of_repeated_ids(spark, seed):
+    """All texts of an id count, however they are dealt."""
+    r = random.Random(seed)
+    base = [prose(s, 60).split() for s in range(4)]
+    texts, ids = [], []
+    for _ in range(80):
+        w = list(r.choice(base))
+        for _ in range(r.randint(0, 6)):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        texts.append(" ".join(w))
+        ids.append(r.randint(0, 60))
+    sets, root = [shingled(t) for t in texts], {i: i for i in ids}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                x, y = sorted((top(ids[i]), top(ids[j])))
+                root[y] = x
+    got = near_duplicates(spark, frame(spark, *texts, ids=ids).repartition(4)).collect()
+    assert {(x.doc_id, x.component_id) for x in got} == {(i, top(i)) for i in ids} and len(got) == len(texts)
+
+
+LATIN = "password=hunter2hunter2 caf\xe9 more".encode("latin-1")
+
+
+@pytest.mark.parametrize("data", [LATIN, b"password=hunter2hunter2\x00 more", b"\xff\xfe\x00\x01 password=hunter2hunter2", LATIN + base64.b64encode(b"x")], ids=["latin", "nul", "head", "tail"])
+def test_stretches_of_bytes_that_are_no_text(data):
+    run = base64.b64encode(data).decode()
+    assert [x[:3] for x in secret_scan.scan(f"see {run} there")] == [("assign", 4, 4 + len(run))]
+    cut = run.rstrip("=")[:-1]
+    assert [x[0] for x in secret_scan.scan(cut)] == ["assign"]
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, zlib.compress, zstandard.compress, lzma.compress, bz2.compress], ids=["gzip", "zlib", "zstd", "xz", "bzip2"])
+def test_members_that_are_cut_or_damaged(pack):
+    line = "password=hunter2hunter2 and more words\n"
+    whole = pack(line.encode())
+    blocks = pack in (bz2.compress, zstandard.compress)  # these give a block only when all of it is there
+    long = "".join(f"{line}{random.Random(i).random()}\n" for i in range(60_000)).encode() if blocks else line.encode()
+    for data in (pack(long)[: -6 if not blocks else len(pack(long)) // -9], pack(b"first ") + pack(long)[: -6 if not blocks else len(pack(long)) // -9]):
+        assert {x[0] for x in secret_scan.scan(base64.b64encode(data).decode())} == {"assign"}
+    bad = bytearray(pack(long))
+    bad[-5 if not blocks else len(bad) * 8 // 9] ^= 0x55
+    assert "assign" in {x[0] for x in secret_scan.scan(base64.b64encode(bytes(bad)).decode())}
+    # What only begins like a compressed member is a text.
+    assert {x[0] for x in secret_scan.scan(base64.b64encode(b"x^ password=hunter2hunter2").decode())} == {"assign"}
+    assert {x[0] for x in secret_scan.scan(base64.b64encode(whole + b" token=abcdefghij").decode())} == {"assign"}
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_planted_secrets_in_random_layers(seed):
+    """A secret below random layers, made with the encoders alone: its place is the outermost encoded stretch."""
+    r = random.Random(seed)
+    secret = r.choice(["api_key=Abcdefgh12345678", "AKIA" + "Z9" * 8, "0af3" * 8])
+    data = ("left " + secret + " right").encode()
+    steps = [r.choice(["b64", "url", "uni", "gzip", "zlib", "bz2", "xz", "zstd", "junk"]) for _ in range(r.randint(1, 5))]
+    text_now = True
+    for step in steps:
+        if step in ("url", "uni") and not text_now:
+            data, text_now = base64.b64encode(data), True
+        if step == "b64":
+            data = base64.b64encode(data)
+        elif step == "url":
+            data = "".join(f"%{b:02x}" for b in data).encode()
+        elif step == "uni":
+            data = "".join(f"\\u{ord(c):04x}" for c in data.decode()).encode()
+        elif step == "junk":
+            data, text_now = (b"\xff\x01 " + data + b" \xfe\x02", False) if text_now else (data, False)
+        else:
+            data, text_now = {"gzip": gzip.compress, "zlib": zlib.compress, "bz2": bz2.compress, "xz": lzma.compress, "zstd": zstandard.compress}[step](data), False
+    outer = base64.b64encode(data).decode()
+    found = [x for x in secret_scan.scan(f"before {outer} after") if not x[3]]
+    kind = {"a": "assign", "A": "access", "0": "hex"}[secret[0]]
+    assert (kind, 7, 7 + len(outer)) in {x[:3] for x in found}, steps
