@@ -16,22 +16,7 @@ from attesto.llm.exact_dedup import exact_duplicates
 from attesto.llm.near_dedup import near_duplicates
 from attesto.llm.packing import pack_documents
 from attesto.llm.queries import tokenizer
-from attesto.llm.workspace import Workspace, with_ids
-
-
-def _keyed(spark: SparkSession, docs: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """The documents and the column that tells their rows apart: doc_id, or a number in the order of ids (null last),
-    then of hashes of texts; rows that are alike in both get different numbers."""
-    ids = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("known")).first()
-    if ids["rows"] == ids["known"] and docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
-        return docs, "doc_id"
-    key, hash_ = "row_key", F.xxhash64("text")
-    while key in docs.columns:
-        key = f"_{key}"
-    order = [F.col("doc_id").asc_nulls_last(), hash_.asc()]
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return Workspace(spark, name).save(dealt.withColumn(key, F.monotonically_increasing_id()), "keyed"), key
+from attesto.llm.workspace import Workspace, keyed, with_ids
 
 
 def _without(docs: DataFrame, key: str, dropped: DataFrame, name: str) -> DataFrame:
@@ -45,25 +30,25 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose grade, by a model of the labelled ones, is 0.  Empty texts have grade 0; texts of any length are
     judged whole."""
     model = toxicity.fit(spark, docs, toxicity.toxic_grades(spark.read.parquet(f"{sf_dir}/labels.parquet")))
-    rows, key = _keyed(spark, docs, "toxic-rows")
+    rows, key = keyed(spark, docs, "toxic-rows")
     return _without(rows, key, toxicity.score(spark, rows, model, id_col=key).where("toxic"), "toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that are equal without white space; of empty texts, one."""
-    rows, key = _keyed(spark, docs, "copies-rows")
+    rows, key = keyed(spark, docs, "copies-rows")
     return _without(rows, key, exact_duplicates(spark, rows, id_col=key).where("not kept"), "copies")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies; empty texts are near copies of nothing."""
-    rows, key = _keyed(spark, docs, "near-rows")
+    rows, key = keyed(spark, docs, "near-rows")
     return _without(rows, key, near_duplicates(spark, rows, id_col=key).where("not kept"), "near-copies")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that contain no test item of the benchmark; empty texts and items contain, and are contained in, none."""
-    rows, key = _keyed(spark, docs, "contaminated-rows")
+    rows, key = keyed(spark, docs, "contaminated-rows")
     found = contained_items(spark, rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=key)
     return _without(rows, key, found, "contaminated")
 
