@@ -7,14 +7,16 @@ import hashlib
 import html
 import unicodedata
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
 from ..config import CONTENT_STOP_WORDS, HEADER, STOP_WORDS
+from ..shipping import ship
 
 WORD = r"[\p{L}\p{N}]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
@@ -26,6 +28,11 @@ def _c(x: str | Column) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def bound(x: Column, made: Callable[[Column], Column]) -> Column:
+    """``made`` of a value that is worked out once: what a lambda closes over is worked out anew for each element."""
+    return F.transform(F.array(x), made)[0]
+
+
 def fold(x: str | Column) -> Column:
     """Lower case with the full folding of sharp s."""
     return F.replace(F.lower(_c(x)), F.lit("ß"), F.lit("ss"))
@@ -174,8 +181,8 @@ def content_overlap(claim: str | Column, source: str | Column) -> Column:
 def ungroup(x: str | Column) -> Column:
     """Numbers without group separators.  A separator goes if it stands after a first group and before three digits,
     with only groups between."""
-    step = r"(?<![\d.,])(\d{1,3}(?:\d{3})*)[ ,  ](?=\d{3}(?:[ ,  ]\d{3})*(?!\d))"
-    return reduce(lambda t, _: F.regexp_replace(t, step, "$1"), range(6), _c(x))
+    step = r"((?<![\d.,])\d{1,3}(?:\d{3})*|\G\d{3})[ ,  ](?=\d{3}(?:[ ,  ]\d{3})*(?!\d))"
+    return F.regexp_replace(_c(x), step, "$1")
 
 
 def claim_anchors(x: str | Column, enhancements: bool = False) -> Column:
@@ -196,13 +203,12 @@ def is_identifier(a: Column) -> Column:
 
 def anchors_found(anchors: str | Column, text: str | Column) -> Column:
     """The anchors that stand in the text: numbers alone, others anywhere."""
-    hay = fold(ungroup(text))
-
-    def there(a: Column) -> Column:
+    def there(hay: Column, a: Column) -> Column:
         alone = F.rlike(hay, F.concat(F.lit(r"(?<![\p{L}\p{N}_.])"), F.replace(a, F.lit("."), F.lit("\\.")), F.lit(r"(?![\p{L}\p{N}_])")))
         return F.when(a.rlike(r"^[0-9.]*[0-9][0-9.]*$"), alone).otherwise(F.contains(hay, a))
 
-    return F.filter(_c(anchors), there)
+    both = F.struct(fold(ungroup(text)).alias("hay"), _c(anchors).alias("anchors"))
+    return bound(both, lambda x: F.filter(x["anchors"], lambda a: there(x["hay"], a)))
 
 
 def anchors_present(anchors: str | Column, text: str | Column) -> Column:
@@ -299,13 +305,15 @@ def sentences(x: str | Column) -> Column:
 
 def sentence_windows(s: Column, most: int = 2) -> Column:
     """Distinct runs of 1 to ``most`` neighbouring sentences, except the whole."""
-    def of(size: int) -> Column:
+    def of(s: Column, size: int) -> Column:
         n = F.size(s) - (size - 1)
         return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.array_join(F.slice(s, i, size), " "))).otherwise(F.array().cast("array<string>"))
 
-    # The whole is put together once, not for each window.
-    all_ = F.array_distinct(F.concat(*(of(k) for k in range(1, most + 1))))
-    return F.flatten(F.transform(F.array(F.array_join(s, " ")), lambda whole: F.filter(all_, lambda w: w != whole)))
+    def runs(s: Column) -> Column:
+        all_ = F.array_distinct(F.concat(*(of(s, k) for k in range(1, most + 1))))
+        return bound(F.array_join(s, " "), lambda whole: F.filter(all_, lambda w: w != whole))
+
+    return F.when(s.isNotNull(), bound(s, runs))
 
 
 def table_cells(row: str | Column) -> Column:
@@ -433,25 +441,34 @@ def distinct_values(a: str | Column, b: str | Column) -> Column:
 
 
 def _each(kind: str, f) -> object:
+    """An Arrow function of single values."""
     def run(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else f(v))
+        known: dict = {}  # equal values of a batch are worked out once
+        return x.map(lambda v: None if v is None else known[v] if v in known else known.setdefault(v, f(v)))
 
+    ship(SparkSession.active())
     return F.pandas_udf(run, kind)
 
 
+def _ascii(x: Column) -> Column:
+    """Whether a text is ASCII: then normal forms leave it as it is, and it needn't leave the JVM."""
+    return x.rlike(r"^\p{ASCII}*$")
+
+
 def compatible(x: Column, fold: bool = True) -> Column:
     """Compatibility form (NFKC), with full case folding."""
-    return _each("string", lambda v: unicodedata.normalize("NFKC", v).casefold() if fold else unicodedata.normalize("NFKC", v))(x)
+    f = _each("string", lambda v: unicodedata.normalize("NFKC", v).casefold() if fold else unicodedata.normalize("NFKC", v))
+    return F.coalesce(f(F.when(~_ascii(x), x)), F.lower(x) if fold else x)
 
 
 def composed(x: Column) -> Column:
     """Normal form C."""
-    return _each("string", lambda v: unicodedata.normalize("NFC", v))(x)
+    return F.coalesce(_each("string", lambda v: unicodedata.normalize("NFC", v))(F.when(~_ascii(x), x)), x)
 
 
 def unescaped(x: Column) -> Column:
     """All entities of HTML as characters."""
-    return _each("string", html.unescape)(x)
+    return F.coalesce(_each("string", html.unescape)(F.when(F.contains(x, F.lit("&")), x)), x)
 
 
 def blake2b_slot(x: str | Column, slots: int) -> Column:

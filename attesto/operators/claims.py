@@ -11,7 +11,7 @@ import re
 from itertools import pairwise
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 from pyspark.sql.window import Window
@@ -20,6 +20,8 @@ from .. import config
 from ..config import JUDGE_FEATURES, JUDGE_INTERCEPT, JUDGE_WEIGHTS, Judge, Rules
 from ..functions import stats as S
 from ..functions import text as T
+from ..shipping import ship
+from ..storage import Workspace
 from . import tables as B
 
 
@@ -42,9 +44,9 @@ def segment(text: str, old: bool = False) -> list[str]:
     return [piece for a, b in pairwise([0, *ends, len(body)]) if (piece := body[a:b].strip())]
 
 
-@F.pandas_udf(t.ArrayType(t.StringType()))
-def segmented(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: segment(x or ""))
+def segmented(texts: Column | str) -> Column:
+    ship(SparkSession.active())
+    return F.pandas_udf(lambda x: x.map(lambda v: segment(v or "")), t.ArrayType(t.StringType()))(texts)
 
 
 def claims(answers: DataFrame, key: str, text: str) -> DataFrame:
@@ -197,7 +199,12 @@ def by_source(windows: DataFrame, key: str, rules: Rules = Rules()) -> DataFrame
 
 def evidence(cited: DataFrame, contexts: DataFrame, key: str, nli=heuristic_nli, second=None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
     """``by_source`` of claims (``inherit`` with kind) and sources."""
-    return by_source(scored(paired(cited, prepared(contexts, key, rules), key, rules), key, nli, second), key, rules)
+    return evidence_of(cited, prepared(contexts, key, rules), key, nli, second, rules)
+
+
+def evidence_of(cited: DataFrame, sources: DataFrame, key: str, nli=heuristic_nli, second=None, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
+    """The same of sources that are ``prepared``."""
+    return by_source(scored(paired(cited, sources, key, rules), key, nli, second), key, rules)
 
 
 def supports(e: Column, c: Column, supported: Column, rules: Rules) -> Column:
@@ -302,10 +309,9 @@ def ensemble(a: Column, b: Column, how: str) -> Column:
     return F.when(both, joint).when(F.lit(how == "first_veto"), a)
 
 
-def in_document(sources: DataFrame, contexts: DataFrame, key: str) -> DataFrame:
-    """(key, ix): claims whose missing anchors are identifiers (a control with its enhancement being one) that stand in other
+def in_document(sources: DataFrame, p: DataFrame, key: str) -> DataFrame:
+    """(key, ix), of ``prepared`` sources p: claims whose missing anchors are identifiers (a control with its enhancement being one) that stand in other
     sources of the answer from the documents that the claim cites."""
-    p = prepared(contexts, key)
     wide = sources.where("known").withColumn("named", T.claim_anchors("h", enhancements=True))
     own = wide.join(p.select(key, "source_id", F.col("anchor_text").alias("own")), [key, "source_id"])
     own = own.withColumn("there", T.anchors_found("named", "own")).groupBy(key, "ix").agg(F.first("named").alias("named"), F.flatten(F.collect_list("there")).alias("there"), F.collect_set("document_id").alias("documents"), F.collect_set("source_id").alias("cited"))
@@ -321,15 +327,16 @@ def verify(answers: DataFrame, contexts: DataFrame, key: str, text: str, rules:
 
     By rules, or (``decision="judge"``) by the logistic judge on both models' scores.  A claim is held against the sources
     that it cites; all its anchors must stand in them together, or (``anchor_scope="document"``) identifiers in other
-    sources of the same documents.
+    sources of the same documents.  Sources are prepared once, as a table of the workspace.
     """
     c = inherit(claims(answers, key, text), key).withColumn("kind", kind("claim"))
-    sources = evidence(c, contexts, key, nli, second, rules).withColumn("supported", F.col("support").isNotNull())
+    ready = Workspace(answers.sparkSession, "verify").save(prepared(contexts, key, rules), "sources")
+    sources = evidence_of(c, ready, key, nli, second, rules).withColumn("supported", F.col("support").isNotNull())
     sources = sources.withColumn("score", judge({f: F.col(f"features.{f}") for f in JUDGE_FEATURES}))
     held = F.size(F.array_except("anchors", F.coalesce(F.flatten(F.collect_list("found").over(Window.partitionBy(key, "ix"))), F.array().cast("array<string>")))) == 0
     x = sources.withColumn("anchored", held)
     if rules.anchor_scope == "document":
-        wider = in_document(sources, contexts, key).withColumn("wider", F.lit(True))
+        wider = in_document(sources, ready, key).withColumn("wider", F.lit(True))
         x = x.join(wider, [key, "ix"], "left").withColumn("anchored", F.col("anchored") | F.coalesce("wider", F.lit(False))).drop("wider")
     sums, grade = _graded(judged or Judge())
     x = x.withColumns({"a_c_max": F.col("features.a_c_max"), "b_c_max": F.col("features.b_c_max")})
@@ -352,19 +359,19 @@ def verify(answers: DataFrame, contexts: DataFrame, key: str, text: str, rules:
         F.when(checked, F.col("__score")).alias("score"),
         F.when(~checked, reason).when(status == "verified", None).when(~F.col("anchored"), "anchor_not_in_source").otherwise("cited_support_not_established").alias("reason"),
     )
-    out = co_verify(out, contexts, key, rules)
+    out = co_verify(out, ready, key, rules)
     return out.select(*(F.col(f"claim_row.{n}").alias(n) for n in c.columns), "status", "reason", "grade", F.round("score", 6).alias("score"), "co_verified")
 
 
-def co_verify(checked: DataFrame, contexts: DataFrame, key: str, rules: Rules) -> DataFrame:
-    """Verifies facts left unverified for want of support if sources that verified another fact of the answer hold all
+def co_verify(checked: DataFrame, sources: DataFrame, key: str, rules: Rules) -> DataFrame:
+    """With ``prepared`` sources, verifies facts left unverified for want of support if sources that verified another fact of the answer hold all
     their anchors and enough of their words.  Claims verified here don't vouch for others."""
     row = F.col("claim_row")
     vouching = F.when((row["kind"] == "fact") & (F.col("status") == "verified"), row["source_ids"])
     shared = F.array_intersect(row["source_ids"], F.flatten(F.collect_list(vouching).over(Window.partitionBy(key))))
     open_ = F.when((row["kind"] == "fact") & (F.col("reason") == "cited_support_not_established"), shared)
     x = checked.withColumn("shared", open_).select("*", F.posexplode_outer("shared").alias("p", "source_id")).drop("shared")
-    texts = prepared(contexts, key, rules).select(key, "source_id", "premise", "anchor_text")
+    texts = sources.select(key, "source_id", "premise", "anchor_text")
     kept = [c for c in checked.columns if c not in (key, "ix")]
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("p", c)))), lambda s: s[c]), " ")
     g = x.join(texts, [key, "source_id"], "left").groupBy(key, "ix").agg(*(F.first(c).alias(c) for c in kept), joined("premise").alias("premise"), joined("anchor_text").alias("anchor_text"))

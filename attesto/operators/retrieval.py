@@ -40,8 +40,12 @@ def build_index(docs: DataFrame, key: str, text: str, epsilon: float = 0.25, sto
     by broadcast: it is one row.
     """
     p = postings(docs, key, text) if stored is None else stored
-    n = docs.agg(F.count("*").alias("n"))
     df = p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tokens"))
+    return index_of(p, df, docs.agg(F.count("*").alias("n")), epsilon)
+
+
+def index_of(p: DataFrame, df: DataFrame, n: DataFrame, epsilon: float = 0.25) -> Index:
+    """The index of postings, frequencies (term, df, tokens) and one row (n), the number of documents."""
     raw = df.join(F.broadcast(n)).withColumn("idf0", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     sums = raw.agg(F.sum("tokens").alias("tokens"), F.avg("idf0").alias("avg_idf"))
     corpus = n.join(F.broadcast(sums)).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"), "avg_idf")

@@ -14,6 +14,8 @@ from ..operators import runs as N
 from ..operators import summarize as M
 from ..operators import tables as B
 from ..sources import files, store
+from ..sources.derived import LexicalIndex
+from ..sources.keyed import KeyedTable
 from ..storage import Workspace
 from ..streaming import ingest as I
 from .documents import _EVIDENCE, _answers
@@ -351,6 +353,33 @@ def chunk_store(spark, sf):
     return s.read(vectors=True).select("chunk_id", "document_id", F.sha2("text", 256).alias("sha"), F.size("vector").alias("dimension"))
 
 
+@query(f"""WITH d AS (SELECT doc_id, CASE WHEN doc_id % 5 = 1 THEN text || ' changed words' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 3),
+t AS (SELECT term, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS.format("text")}) AS term FROM d) GROUP BY term, doc_id)
+SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens, (SELECT count(*) FROM d) AS n FROM t GROUP BY term""")
+def index_kept_in_step(spark, sf):
+    """Frequencies of terms that followed a table of documents through two changes and a deletion."""
+    ws = Workspace(spark, "kept")
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    source = KeyedTable(spark, f"{ws.path}/documents", "doc_id long, text string", "doc_id")
+    index = LexicalIndex(spark, f"{ws.path}/index", source, "doc_id", "text")
+    source.put(d)
+    index.refresh()
+    source.put(d.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" changed words"))))
+    source.delete(d.where("doc_id % 7 = 3").select("doc_id"))
+    index.refresh()
+    return index.terms.read().withColumn("n", F.lit(index.terms.version().state["documents"]).cast("long"))
+
+
+@query("SELECT doc_id, round(CAST(length(text) AS DOUBLE) / (1 + length(lang)), 6) AS score FROM documents")
+def score_cache(spark, sf):
+    """Scores of documents by way of a cache that had some of them."""
+    path = f"{Workspace(spark, 'scores').path}/cache"
+    d = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    score = F.round(F.length("text").cast("double") / (1 + F.length("lang")), 6)
+    store.scored_once(d.where("doc_id % 3 = 0"), path, score, "text", "lang")
+    return store.scored_once(d, path, score, "text", "lang").select("doc_id", "score")
+
+
 @query("SELECT DISTINCT substr(sha256('[' || sha256(text) || ', ' || '[{\"most\": 600, \"overlap\": 70, \"target\": 420}, \"words\", \"1\"]' || ']'), 1, 20) AS key, len(string_split(text, chr(10))) AS lines FROM documents")
 def parse_cache(spark, sf):
     """Lines of documents by way of a cache that had half of them."""
@@ -367,8 +396,7 @@ def corpus_files(spark, sf):
     path = f"{Workspace(spark, 'corpus').path}/files"
     store.write_corpus(table(spark, sf, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("n"), "text"), path, "n", "text")
     back = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    text = F.regexp_replace(F.decode("content", "UTF-8"), r"\n$", "")
-    return back.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), F.sha2(text, 256).alias("sha")).where("name <> ''")
+    return back.select(F.regexp_extract("path", r"/([^/]+)\.md$", 1).alias("name"), F.sha2("content", 256).alias("sha"))
 
 
 @query("""WITH b AS (SELECT doc_id, doc_id % 100 AS document_id, 1 + doc_id % 4 AS page, 4 AS pages, CASE WHEN doc_id % 5 = 0 THEN 10.0 WHEN doc_id % 5 = 1 THEN 980.0 ELSE 100.0 + doc_id % 700 END AS y0, lang, source, n_chars FROM documents),
@@ -398,12 +426,13 @@ def document_guard(spark, sf):
 @query("""WITH d AS (SELECT doc_id, sha256(text) AS h, doc_id % 3 AS batch FROM documents), f AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY batch, doc_id) = 1 AS first FROM d)
 SELECT batch, count(*) FILTER (first) AS added, count(*) FILTER (NOT first) AS duplicates, max(doc_id) AS last FROM f GROUP BY batch""")
 def commit_report(spark, sf):
-    """What three micro-batches committed."""
-    path = f"{Workspace(spark, 'ledger').path}/ledger"
+    """What three micro-batches committed, by a stream that stops after each and starts again from its state."""
+    ws = Workspace(spark, "ledger")
     d = table(spark, sf, "documents").select("doc_id", "text")
     for batch in range(3):
-        I.ingest_batch(d.where(F.col("doc_id") % 3 == batch), batch, path)
-    return I.commit_report(spark.read.schema(I.LEDGER).option("basePath", path).parquet(path))
+        d.where(F.col("doc_id") % 3 == batch).write.mode("append").parquet(f"{ws.path}/in")
+        I.ingest_stream(spark.readStream.schema(d.schema).parquet(f"{ws.path}/in"), f"{ws.path}/ledger", f"{ws.path}/state").awaitTermination()
+    return I.commit_report(spark.read.schema(I.LEDGER).option("basePath", f"{ws.path}/ledger").parquet(f"{ws.path}/ledger"))
 
 
 @query()

@@ -1,4 +1,4 @@
-"""The stored index: chunks with their vectors as versions of a Parquet table, and what was parsed before."""
+"""The stored index: chunks with their vectors, what was parsed and scored before, and sinks."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..config import Chunking
 from ..functions import text as T
 from ..operators.retrieval import checked_vector
-from ..storage import hadoop_fs
+from ..shipping import ship
+from ..storage import Workspace, hadoop_fs
+from .corpus_sink import CorpusSink
+from .keyed import TRIES, Conflict, KeyedTable
 
 FIELDS = "chunk_id string, document_id string, source string, ordinal int, expected int, text string, section_path array<string>, signature string, point_id string, vector array<float>"
 
@@ -36,66 +40,72 @@ def repeated(chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
 class ChunkStore:
     """Chunks (document_id, source, ordinal, expected, text, section_path) by id, with vectors of one encoder.
 
-    A change writes the next version and then moves a pointer to it, by a rename; a reader keeps the version that it
-    has begun with.  Documents are replaced and deleted whole.  What is derived from chunks, as postings, isn't kept:
-    it is made again from the latest version.  Indexes of other kinds offer the same methods.
+    They are a :class:`KeyedTable` by document: documents are replaced and deleted whole, a change writes files for the
+    buckets of its documents only, and of two writers on one version both are kept, one on top of the other.  A reader
+    keeps the version that it has begun with until that is expired.  What is derived from chunks follows by
+    :meth:`KeyedTable.changes` (see ``derived.LexicalIndex``).  Indexes of other kinds offer the same methods.
     """
 
-    def __init__(self, spark: SparkSession, path: str, encode: Callable[[Column], Column], encoder: str, dimension: int) -> None:
-        self.spark, self.path, self.encode, self.dimension = spark, path.rstrip("/"), encode, dimension
+    def __init__(self, spark: SparkSession, path: str, encode: Callable[[Column], Column], encoder: str, dimension: int, buckets: int = 64) -> None:
+        self.spark, self.encode, self.dimension = spark, encode, dimension
         self.signature = signature(encoder, dimension)
+        self.table = KeyedTable(spark, path, FIELDS, "document_id", "chunk_id", buckets)
 
-    def version(self) -> str | None:
-        fs, p = hadoop_fs(self.spark, f"{self.path}/current")
-        if not fs.exists(p):
-            return None
-        names = sorted(x.getPath().getName() for x in fs.listStatus(p))
-        return names[-1] if names else None
+    def version(self) -> int | None:
+        return self.table.version().number or None
 
     def read(self, vectors: bool = False) -> DataFrame:
         """All chunks; the column of vectors is read only if asked for."""
-        version = self.version()
-        table = self.spark.read.schema(FIELDS).parquet(f"{self.path}/data/{version}") if version else self.spark.createDataFrame([], FIELDS)
-        return table if vectors else table.drop("vector")
+        rows = self.table.read()
+        return rows if vectors else rows.drop("vector")
 
     def check(self) -> None:
         """Raise :class:`SignatureChanged` if the stored vectors are another encoder's."""
-        if not (other := self.read().where(F.col("signature") != self.signature).select("signature").limit(1)).isEmpty():
-            raise SignatureChanged(f"{other.first()[0]} is stored, {self.signature} is asked for")
-
-    def _write(self, chunks: DataFrame) -> None:
-        before = self.version()
-        name = f"{int(before.split('-')[0]) + 1 if before else 1:08d}-{uuid.uuid4().hex}"
-        chunks.write.parquet(f"{self.path}/data/{name}")
-        fs, p = hadoop_fs(self.spark, f"{self.path}/current/{name}")
-        fs.create(p, False).close()
-        if before:
-            _, old = hadoop_fs(self.spark, f"{self.path}/current/{before}")
-            fs.delete(old, False)
+        other = self.table.version().state.get("signature", self.signature)
+        if other != self.signature:
+            raise SignatureChanged(f"{other} is stored, {self.signature} is asked for")
 
     def add(self, chunks: DataFrame) -> int:
         """Put in chunks, whole documents at a time: stored ones of the same documents or ids go.  The whole batch is checked
-        before anything is written: ids once each, vectors of the right length with finite values."""
+        before anything is published: ids once each, vectors of the right length with finite values.  Vectors are made once,
+        whoever writes meanwhile.  Ids that another document has are looked for among the stored ids alone."""
         self.check()
         if not repeated(chunks).isEmpty():
             raise ValueError("a chunk id stands twice in the batch")
+        ws = Workspace(self.spark, "chunks")
         framed = T.with_context("text", F.nullif(F.array_join("section_path", " > "), F.lit("")))
-        names = [f.split(" ")[0] for f in FIELDS.split(", ")]
-        new = chunks.withColumns({"signature": F.lit(self.signature), "point_id": T.url_uuid("chunk_id"), "vector": checked_vector(self.encode(framed), self.dimension).cast("array<float>")}).select(*names)
-        old = self.read(vectors=True)
-        kept = old.join(chunks.select("document_id").distinct(), "document_id", "left_anti").join(chunks.select("chunk_id"), "chunk_id", "left_anti").select(*names)
-        self._write(kept.unionByName(new))
-        return chunks.count()
+        made = {"signature": F.lit(self.signature), "point_id": T.url_uuid("chunk_id"), "vector": checked_vector(self.encode(framed), self.dimension).cast("array<float>")}
+        new = ws.save(chunks.withColumns(made).select(*self.table.schema.names), "new")
+        whole = new.select("document_id", F.lit(None).cast("string").alias("chunk_id")).distinct()
+        ids = new.select("chunk_id", F.col("document_id").alias("now"))
+        for left in reversed(range(TRIES)):
+            base = self.table.version()
+            self.check()
+            moved = self.table.read(base).select("document_id", "chunk_id").join(ids, "chunk_id").where(~F.col("document_id").eqNullSafe(F.col("now"))).select("document_id", "chunk_id")
+            try:
+                self.table.change(new, whole.unionByName(moved), {"signature": self.signature}, base)
+                break
+            except Conflict:
+                if not left:
+                    raise
+        n = new.count()
+        ws.drop("new")
+        return n
 
     def delete(self, documents: DataFrame) -> int:
         """Take out documents (document_id); returns the number of chunks that went."""
-        old = self.read(vectors=True)
-        gone = old.join(documents.select("document_id").distinct(), "document_id", "left_semi").count()
+        keys = documents.select("document_id").distinct()
+        gone = self.table.lookup(keys).count()
         if gone:
-            names = [f.split(" ")[0] for f in FIELDS.split(", ")]
-            self._write(old.join(documents.select("document_id").distinct(), "document_id", "left_anti").select(*names))
+            self.table.delete(keys)
         return gone
 
+    def merge(self) -> int:
+        return self.table.merge().number
+
+    def expire(self, keep: int = 1, age: float = 3600) -> None:
+        self.table.expire(keep, age)
+
     def catalogue(self) -> DataFrame:
         """(document_id, source, chunks) of documents that are stored whole, by name."""
         return catalogue(self.read())
@@ -119,26 +129,30 @@ def parse_key(digest: str | Column, config: Chunking, counter: str, version: str
 
 def parsed_once(docs: DataFrame, path: str, parse: Callable[[DataFrame], DataFrame], digest: str, config: Chunking, counter: str = "words", version: str = "1") -> DataFrame:
     """Chunks of documents (``digest``, ...) from the cache at ``path``, after those that it lacks were parsed and added to it.
-    ``parse`` turns documents with a column ``key`` into chunks with one; the cache is a folder for each setting."""
-    from pyspark.errors import AnalysisException
 
-    spark = docs.sparkSession
+    ``parse`` turns documents with a column ``key`` into chunks with one; the cache is a table for each setting.  Two runs
+    that lack the same document may both parse it, but its chunks are added once."""
     folder = f"{path}/{hashlib.sha256(json.dumps([asdict(config), counter, version], sort_keys=True).encode()).hexdigest()[:20]}"
     keyed = docs.withColumn("key", parse_key(digest, config, counter, version))
+    cache = KeyedTable(docs.sparkSession, folder, parse(keyed).schema, "key")
+    new, base = cache.missing(keyed)
+    cache.insert(parse(new.dropDuplicates(["key"])), base)
+    return cache.lookup(keyed.select("key"))
 
-    def stored() -> DataFrame | None:
-        try:
-            return spark.read.parquet(folder)
-        except AnalysisException as error:
-            if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-                raise
-            return None
 
-    old = stored()
-    new = (keyed if old is None else keyed.join(old.select("key").distinct(), "key", "left_anti")).dropDuplicates(["key"])
-    if not new.isEmpty():
-        parse(new).write.mode("append").parquet(folder)
-    return stored().join(keyed.select("key").distinct(), "key", "left_semi")
+def scored_once(pairs: DataFrame, path: str, score: Column, *columns: str) -> DataFrame:
+    """``pairs`` with ``key``, a hash of the columns, and ``score``: from the cache at ``path``, after pairs that it lacks were
+    scored, once for each key, and added to it.
+
+    The scorer sees no other pairs; the result reads what was stored, so it doesn't run again.  Of two runs that score the
+    same pair, the first one's score stays and is both runs' result.  Null columns count as missing ones.
+    """
+    keyed = pairs.withColumn("key", F.sha1(F.concat_ws("\0", *(F.coalesce(F.col(c).cast("string"), F.lit("\1")) for c in columns))))
+    kind = keyed.select(score.alias("score")).schema["score"].dataType
+    cache = KeyedTable(pairs.sparkSession, path, StructType([StructField("key", StringType()), StructField("score", kind)]), "key")
+    new, base = cache.missing(keyed)
+    cache.insert(new.dropDuplicates(["key"]).select("key", score.alias("score")), base)
+    return keyed.join(cache.lookup(keyed.select("key")), "key")
 
 
 # Sinks.
@@ -167,12 +181,27 @@ def land(spark: SparkSession, folder: str, name: str, data: bytes) -> str:
     return path
 
 
+class NameClash(ValueError):
+    """Two documents would be one file."""
+
+
 def write_corpus(docs: DataFrame, path: str, name: str, text: str) -> None:
-    """One Markdown file for each document, in a folder of its name; what was there before goes, with names that are no
-    longer used."""
-    x = docs.select(F.coalesce(T.safe_filename(name), F.lit("_")).alias("name"), F.col(text).alias("value"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x.repartition(n, "name").write.mode("overwrite").partitionBy("name").text(path, lineSep="\n")
+    """One Markdown file for each document below ``path``, in folders of the tasks that wrote them; what was there before goes.
+
+    Names are cleaned for file systems; if that makes two documents' names one, :class:`NameClash` is raised before
+    anything is written.  Files become visible together when all tasks are done (see ``CorpusWriter``), so a failed or
+    repeated task leaves nothing.  Null names are ``_``, null texts empty.
+    """
+    spark = docs.sparkSession
+    ws = Workspace(spark, "corpus")
+    x = ws.save(docs.select(F.coalesce(T.safe_filename(name), F.lit("_")).alias("name"), F.coalesce(F.col(text), F.lit("")).alias("text")), "named")
+    clash = x.groupBy("name").agg(F.count("*").alias("n")).where("n > 1").limit(5).collect()
+    if clash:
+        raise NameClash(", ".join(f"{r['n']} documents are named {r['name']}" for r in clash))
+    ship(spark)
+    spark.dataSource.register(CorpusSink)
+    x.write.format("attesto_corpus").option("path", path).mode("overwrite").save()
+    ws.drop("named")
 
 
 def write_summary(rows: DataFrame, path: str, how: str = "json") -> None:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..shipping import ship
+
 LEDGER = "doc_id bigint, sha256 string, status string, batch bigint"
 
 
@@ -18,7 +25,8 @@ def ledger(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def ingest_batch(batch: DataFrame, number: int, path: str, key: str = "doc_id", text: str = "text") -> None:
-    """One micro-batch: contents that the ledger has are duplicates, others are added once.
+    """One batch outside of a stream: contents that the ledger has are duplicates, others are added once.  It reads the
+    hashes of the whole ledger; many small batches are ``ingest_stream``'s.
 
     The batch writes its own partition, so repeating it after a failure replaces what it wrote: exactly once in effect.
     """
@@ -42,10 +50,67 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], LEDGER)
 
 
+#: Groups among which rows are spread that need no look at the state.
+SPREAD = 1024
+_MARKED = "doc_id long, sha256 string, status string"
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds ``slot``, by which rows go to the state: the content for the first row of each content in a batch; others are
+    duplicates whatever the state says, and are spread, so a content that many documents have makes no hot group."""
+    for batch in batches:
+        seen: dict[str, int] = {}
+        ids, contents = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+        low = [(i is None, i or 0) for i in ids]
+        for k, content in enumerate(contents):
+            if content not in seen or low[k] < low[seen[content]]:
+                seen[content] = k
+        first = set(seen.values())
+        slots = [c if k in first else f"-{(ids[k] or 0) % SPREAD}" for k, c in enumerate(contents)]
+        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.string()), batch.column(0), batch.column(1)], names=["slot", "doc_id", "sha256"])
+
+
+def _marked(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """Statuses of a content's rows; the state of a content is that it was added."""
+    if key[0].startswith("-"):
+        for part in rows:
+            yield part[["doc_id", "sha256"]].assign(status="duplicate")
+        return
+    found = pd.concat(list(rows)).sort_values("doc_id", kind="stable")[["doc_id", "sha256"]]  # a row for each batch of a worker
+    new = not state.exists
+    found["status"] = ["added" if new and k == 0 else "duplicate" for k in range(len(found))]
+    if new:
+        state.update((True,))
+    yield found
+
+
+def write_batch(rows: DataFrame, number: int, path: str) -> None:
+    """A micro-batch's part of the ledger; written again after a failure, it replaces itself."""
+    rows.select("doc_id", "sha256", "status").write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+
 def ingest_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_id", text: str = "text") -> StreamingQuery:
-    """Ingest a stream of documents into the ledger at ``path``; starts again where its checkpoint ends."""
-    step = lambda batch, number: ingest_batch(batch, number, path, key, text)
-    return docs.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Ingest a stream of documents into the ledger at ``path``; starts again where its checkpoint ends.
+
+    Which contents were added is the query's state, kept by content in RocksDB below the checkpoint: a batch reads and
+    writes the entries of its own contents, however long the ledger is, and never the ledger.  A batch that is repeated
+    after a failure finds the state as it was before, and replaces its part of the ledger.  Of rows with one content that
+    come together, the one with the least id is added (null last).
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    x = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha256"))
+    dealt = x.mapInArrow(_dealt, "slot string, doc_id long, sha256 string")
+    marked = dealt.groupBy("slot").applyInPandasWithState(_marked, _MARKED, "added boolean", "append", GroupStateTimeout.NoTimeout)
+    step = lambda batch, number: write_batch(batch, number, path)
+    query = marked.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        return query.start()
+    finally:
+        spark.conf.set(provider, before)
 
 
 def index_status(chunks: DataFrame) -> DataFrame:
