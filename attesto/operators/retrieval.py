@@ -15,16 +15,19 @@ from ..config import Retrieval
 from ..functions import text as T
 from ..shipping import ship
 from ..storage import Workspace
+from . import postings as P
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings`` (id, term, tf, dl), ``terms`` (term, df, idf), ``corpus`` (n, avgdl, avg_idf).  A posting carries its
-    document's length, so a search joins nothing but its terms."""
+    """``postings`` (id, term, tf, dl), ``terms`` (term, df, idf), ``corpus`` (n, avgdl, avg_idf), and, of an index that was
+    written, ``blocks`` of postings by document.  A posting carries its document's length, so a search joins nothing but
+    its terms; with blocks, no match is shuffled."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    blocks: DataFrame | None = None
 
 
 def postings(docs: DataFrame, key: str, text: str, exact: bool = False) -> DataFrame:
@@ -54,10 +57,11 @@ def index_of(p: DataFrame, df: DataFrame, n: DataFrame, epsilon: float = 0.25) -
 
 
 def write_index(docs: DataFrame, key: str, text: str, ws: Workspace, exact: bool = False) -> Index:
-    """The same as tables in a workspace: what many searches share is made once."""
-    stored = ws.save(postings(docs, key, text, exact), "postings")
-    index = build_index(docs, key, text, stored=stored)
-    return Index(stored, ws.save(index.terms, "terms"), ws.save(index.corpus, "corpus"))
+    """The same as tables in a workspace: what many searches share is made once, by document, without a shuffle of postings."""
+    held = ws.save(P.blocks(docs, key, text, exact), "blocks")
+    n = docs.agg(F.count("*").alias("n"))
+    index = index_of(P.rows_of(held), ws.save(P.frequencies(held), "frequencies"), n)
+    return Index(index.postings, ws.save(index.terms, "terms"), ws.save(index.corpus, "corpus"), held)
 
 
 #: Terms of queries up to this many are broadcast; more are joined by a shuffle.
@@ -77,8 +81,14 @@ def top(df: DataFrame, score: str, k: int, by: str = "query", then: str = "id")
 
 def bm25(index: Index, terms: DataFrame, k: int = 60, k1: float = 1.5, b: float = 0.75, digits: int = 6) -> DataFrame:
     """(query, id, score, rank).  A document is a candidate if it shares a term, whatever the sign of its score; scores
-    are rounded before they are ranked, so that the order of summation can't turn near ties.  Postings that no query
-    asks for drop out where they are read; the sums of the rest are one shuffle."""
+    are rounded before they are ranked, so that the order of summation can't turn near ties.  With blocks, each task keeps
+    its k best of each query; else postings that no query asks for drop out where they are read, and the sums of the
+    rest are one shuffle."""
+    if index.blocks is not None:
+        weighted = terms.join(index.terms, "term").select("query", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        avgdl = index.corpus.first()["avgdl"]
+        hits = P.search(index.blocks, weighted, k, k1, b, avgdl or 1.0)
+        return top(hits.select("query", "id", F.round("score", digits).alias("score")), "score", k)
     asked = terms.join(index.terms, "term").join(F.broadcast(index.corpus.select("avgdl")))
     if terms.count() <= BROADCAST_TERMS:
         asked = F.broadcast(asked)
