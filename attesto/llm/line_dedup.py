@@ -96,10 +96,15 @@ _CLASS = np.dtype([("k1", "<u8"), ("k2", "<u8"), ("doc", "<i8"), ("line", "<u4")
 _BLOBS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
 
 
+#: Bits of a token that travel.  Tokens only make candidates, so a chance meeting costs a comparison and loses nothing.
+TOKEN_BITS = (1 << 48) - 1
+
+
 def _blob(records: np.ndarray) -> bytes:
-    """The number of records, then column after column, compressed; documents as differences."""
-    columns = [np.diff(records[name], prepend=records[name].dtype.type(0)) if name == "doc" else records[name] for name in records.dtype.names]
-    raw = b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+    """The number of records, then column after column, the first bytes of all values before the second ones, compressed;
+    documents as differences."""
+    columns = [np.diff(records[name], prepend=records[name].dtype.type(0)) if name == "doc" else np.ascontiguousarray(records[name]) for name in records.dtype.names]
+    raw = b"".join(c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns)
     return len(records).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
 
@@ -109,9 +114,11 @@ def _records(blobs: list, kind: np.dtype) -> np.ndarray:
         out, at = np.empty(int.from_bytes(blob[:8], "little"), dtype=kind), 0
         raw = pa.decompress(blob[8:], len(out) * kind.itemsize, codec="zstd", asbytes=True)
         for name in kind.names:
-            column = np.frombuffer(raw, dtype=kind[name], count=len(out), offset=at)
+            size = kind[name].itemsize
+            planes = np.frombuffer(raw, np.uint8, count=len(out) * size, offset=at).reshape(size, len(out))
+            column = np.ascontiguousarray(planes.T).view(kind[name]).ravel()
             out[name] = np.cumsum(column) if name == "doc" else column
-            at += column.nbytes
+            at += len(out) * size
         parts.append(out)
     return np.concatenate(parts)
 
@@ -165,15 +172,16 @@ def _deal(batches: Iterator[pa.RecordBatch], rarity: np.ndarray, buckets: int, p
         length = np.where(chosen, n - -(-percent * n // 100) + 1, 0)
         at = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
         tokens = np.zeros(len(at), dtype=_TOKEN)
-        tokens["token"], tokens["at"] = h[np.repeat(first, length) + at], at
+        whole = h[np.repeat(first, length) + at]
+        tokens["token"], tokens["at"] = whole & _U(TOKEN_BITS), at
         for field, column in (("doc", classes["doc"]), ("line", classes["line"]), ("n", n), ("set", classes["k1"])):
             tokens[field] = np.repeat(column, length)
         rows = [(0, 2, _blob(s[~earliest]))] if not earliest.all() else []
-        above = np.maximum(rarity[(tokens["token"] & _U(COUNTERS - 1)).astype(np.int64)] - mean, 1)
+        above = np.maximum(rarity[(whole & _U(COUNTERS - 1)).astype(np.int64)] - mean, 1)
         blocks = (-(-above // hot)).astype(_U)
         split = blocks > 1
         block = mix(tokens["doc"].astype(_U) * _U(_SHINGLE) + tokens["line"]) % blocks
-        parts = ((0, tokens[~split], tokens["token"][~split]), (3, tokens[split], mix(tokens["token"] + block)[split]), (1, s[earliest], s["k1"][earliest]))
+        parts = ((0, tokens[~split], whole[~split]), (3, tokens[split], mix(whole + block)[split]), (1, s[earliest], s["k1"][earliest]))
         for kind, records, key in parts:
             bucket = ((key >> _U(33)) % _U(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)  # short ones are sorted by digits
             order = np.argsort(bucket, kind="stable")
