@@ -438,3 +438,23 @@ def refusal_reason(refused: Column, finish: Column, raw: Column, canonical: str)
     """Why an answer is withheld, first reason first; null where it is published."""
     why = F.when(finish == "context_budget", "context_budget_exceeded").when(F.trim(raw) == "", "empty_generation").when(~finish.isin("stop", "eos_token"), "generation_incomplete").when(F.trim(raw) == canonical, "llm_refusal").otherwise("nli_verification_failed")
     return F.when(refused, why)
+
+
+def co_verification_stress(probes: DataFrame, contexts: DataFrame, key: str, hypothesis: str, rules: Rules = Rules(), nli=heuristic_nli, second=None, least: int = 8) -> DataFrame:  # noqa: B008
+    """(key, leaked, co_verified): what of ``probes`` (key, hypothesis), none of which its text supports, is published beside a
+    supported claim of the same source.
+
+    The draft says the longest sentence of ``least`` words or more of the text (``contexts``: key, text), then the
+    hypothesis, both citing it.  Only drafts of two facts whose first is verified count; texts without such a sentence
+    have none.  Of equally long sentences, the first is said.
+    """
+    words = lambda w: F.size(F.split(F.trim(w), r"\s+"))
+    long = F.filter(T.sentences(T.clean_premise("text")), lambda w: words(w) >= least)
+    best = F.array_max(F.transform(long, lambda w, i: F.struct(F.length(w).alias("n"), (-i).alias("i"), w.alias("w"))))["w"]
+    said = contexts.select(key, best.alias("said")).where("said is not null")
+    draft = F.concat("said", F.lit(" [S1]\n"), T.squeeze(hypothesis), F.lit(" [S1]"))
+    answers = probes.join(said, key).select(key, draft.alias("draft"))
+    checked = verify(answers, contexts.select(key, F.lit("S1").alias("source_id"), "text"), key, "draft", rules, nli, second).where("kind = 'fact'")
+    ok = F.col("status") == "verified"
+    g = checked.groupBy(key).agg(F.count("*").alias("n"), F.min_by(ok, "ix").alias("first"), F.max_by(ok, "ix").alias("leaked"), F.max_by("co_verified", "ix").alias("co_verified"))
+    return g.where("n = 2 and first").select(key, "leaked", "co_verified")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
+from math import factorial
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import stats as S
+from ..shipping import ship
 
 #: Rows up to this many are put in order in one task; more are dealt to ranges first.
 ORDERED_ROWS = 100_000
@@ -185,22 +190,43 @@ def peaks(df: DataFrame, metrics: list[str], *by: str, digits: int = 6) -> DataF
     return df.select(*by, pairs).groupBy("x.metric", *by).agg(F.max("x.v").alias("peak"), F.round(F.avg("x.v"), digits).alias("mean"))
 
 
+#: P(0), P(0) + P(1), ... of a Poisson variable of mean 1.
+POISSON = np.cumsum([np.exp(-1) / factorial(k) for k in range(12)])
+#: Rows whose draws of all rounds are there at once.
+DRAWN = 1024
+
+
+def poisson_draws(keys: np.ndarray, rounds: int) -> np.ndarray:
+    """How often each row (a 64-bit hash) is drawn in each round: rows by rounds, the same wherever it is worked out."""
+    x = keys.astype(np.uint64)[:, None] + np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return np.searchsorted(POISSON, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), side="right")
+
+
+def _resampled(batches: Iterator[pa.RecordBatch], rounds: int) -> Iterator[pa.RecordBatch]:
+    """Of a task's rows (hash, difference): for each round, the sums of draws and of drawn differences."""
+    weights, values = np.zeros(rounds, np.int64), np.zeros(rounds, np.int64)
+    for batch in batches:
+        keys, d = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        for i in range(0, len(keys), DRAWN):
+            w = poisson_draws(keys[i : i + DRAWN], rounds)
+            weights += w.sum(axis=0)
+            values += d[i : i + DRAWN].astype(np.int64) @ w
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds)), pa.array(weights), pa.array(values)], names=["round", "w", "d"])
+
+
 def bootstrap_difference(df: DataFrame, key: str, x: str, y: str, rounds: int = 1000, seed: str = "b", digits: int = 6) -> DataFrame:
     """One row: difference of two runs' shares in percentage points, and the 2.5th and 97.5th percentile of it over resamples.
 
-    A row's weight in a round is a Poisson draw by the hash of its key and the round, so rounds are sums that tasks
-    make of their rows, the same whenever they are run, and no row travels.
+    A row's weight in a round is a Poisson draw by the hash of its key and the round, the same whenever it is made.  A task
+    draws for its rows as a matrix and sends a sum for each round, so no row travels or is copied.  Rows where a run's
+    outcome is null are left out.
     """
-    steps, p, total = [], 0.36787944117144233, 0.36787944117144233  # P(0), P(1), ... of Poisson(1)
-    for k in range(1, 9):
-        steps.append(total)
-        p /= k
-        total += p
-    per = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))
-    d = df.select(key, (F.col(x).cast("int") - F.col(y).cast("int")).alias("d"))
-    u = F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col("round")), F.lit(1 << 53)) / F.lit(float(1 << 53))
-    weight = sum((F.when(F.col("u") >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    r = d.withColumn("round", per).withColumn("u", u).withColumn("w", weight).groupBy("round").agg(F.try_divide(100.0 * F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("points"))
+    ship(df.sparkSession)
+    d = df.select(F.xxhash64(F.lit(seed), F.col(key)).alias("k"), (F.col(x).cast("int") - F.col(y).cast("int")).alias("d")).where("d is not null")
+    sums = d.mapInArrow(lambda it: _resampled(it, rounds), "round long, w long, d long")
+    r = sums.groupBy("round").agg(F.try_divide(100.0 * F.sum("d"), F.sum("w")).alias("points"))
     low, high = F.percentile("points", 0.025), F.percentile("points", 0.975)
     one = d.agg(F.round(100.0 * F.avg("d"), digits).alias("points"))
     return one.crossJoin(F.broadcast(r.agg(F.round(low, digits).alias("low"), F.round(high, digits).alias("high"))))

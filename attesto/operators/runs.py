@@ -337,19 +337,47 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, shares: dict[str, i
     return out
 
 
+#: Answers of each kind and length, the first ones by name, among which a case looks first.
+LEADERS = 4
+
+
 def answer_swaps(cases: DataFrame, key: str, group: str, claim: str, answer: str) -> DataFrame:
     """(key, other, text): claims with their answer replaced by another one of their group: of the same kind (with or without
     digits), neither holding the other, the nearest in length, then the first; only if the claim has the answer and not
-    the other one.  Distinct answers of a group meet, not its cases."""
+    the other one.
+
+    A case first looks at the ``LEADERS`` first distinct answers of each length, which are one row for each group and kind.
+    That settles it unless one holds the other for all leaders of a length as near as the one found, and the length has
+    more answers; such cases alone are held against all answers of those lengths.
+    """
     trimmed_ = F.btrim(answer, F.lit(' "«»'))
+    digits = lambda c: c.rlike(r"\d")
     x = cases.withColumn("__a", trimmed_).withColumn("__n", T.normalize(F.col("__a"))).where(F.length("__a") >= 2)
-    others = cases.select(F.col(group).alias("__g"), trimmed_.alias("other")).distinct()
-    fits = (F.col(group) == F.col("__g")) & same_kind_of_value(F.col("__a"), F.col("other")) & T.distinct_values("__a", "other")
-    pairs = x.join(others, fits)
-    nearest = pairs.groupBy(key).agg(F.min(F.struct(F.abs(F.length("other") - F.length("__a")).alias("d"), F.col("other").alias("other"))).alias("o"), F.first(claim).alias("__c"), F.first("__a").alias("__a"), F.first("__n").alias("__n"))
+    x = x.select(key, F.col(group).alias("__g"), F.col(claim).alias("__c"), "__a", "__n", digits(F.col("__a")).alias("__k"))
+    others = cases.select(F.col(group).alias("__g"), trimmed_.alias("other")).where("other is not null").distinct()
+    others = others.withColumns({"on": T.normalize(F.col("other")), "__k": digits(F.col("other")), "l": F.length("other")}).where("on <> ''")
+    nth = F.row_number().over(Window.partitionBy("__g", "__k", "l").orderBy("other"))
+    length = others.withColumn("nth", nth).groupBy("__g", "__k", "l").agg(F.count("*").alias("n"), F.collect_list(F.when(F.col("nth") <= LEADERS, F.struct("other", "on"))).alias("first"))
+    lengths = length.groupBy("__g", "__k").agg(F.collect_list(F.struct("l", "n", "first")).alias("lengths"))
+    apart = lambda a, b: ~F.contains(a, b) & ~F.contains(b, a)
+
+    def look(n: Column, l: Column) -> Column:
+        fit = F.filter(l["first"], lambda o: apart(n, o["on"]))
+        return F.struct(l["l"].alias("l"), (l["n"] > F.size(l["first"])).alias("more"), F.array_min(F.transform(fit, lambda o: o["other"])).alias("other"))
+
+    y = x.join(lengths, ["__g", "__k"])
+    seen = T.bound(F.struct("__n", F.length("__a").alias("l"), "lengths"), lambda s: F.transform(s["lengths"], lambda l: F.struct(F.abs(l["l"] - s["l"]).alias("d"), look(s["__n"], l).alias("x"))))
+    y = y.select(key, "__g", "__k", "__c", "__a", "__n", seen.alias("seen"))
+    best = F.array_min(F.transform(F.filter("seen", lambda s: s["x"]["other"].isNotNull()), lambda s: F.struct(s["d"].alias("d"), s["x"]["other"].alias("other"))))
+    y = y.withColumn("o", best)
+    open_ = F.transform(F.filter("seen", lambda s: s["x"]["other"].isNull() & s["x"]["more"] & (F.col("o").isNull() | (s["d"] <= F.col("o.d")))), lambda s: s["x"]["l"])
+    y = y.withColumn("open", open_).drop("seen")
+    rest = y.where(F.size("open") > 0).select(key, "__g", "__k", "__n", F.length("__a").alias("la"), F.explode("open").alias("l")).join(others, ["__g", "__k", "l"])
+    rest = rest.where(apart(F.col("__n"), F.col("on"))).groupBy(key).agg(F.min(F.struct(F.abs(F.col("l") - F.col("la")).alias("d"), "other")).alias("r"))
+    y = y.join(rest, key, "left").withColumn("o", F.array_min(F.array("o", "r"))).where("o is not null and __n <> ''")
     at = F.expr("locate(lower(__a), lower(__c))")
     text = F.concat(F.substring("__c", F.lit(1), at - 1), F.col("o.other"), F.substring("__c", at + F.length("__a"), F.length("__c")))
-    return nearest.where((at > 0) & ~F.contains(T.normalize("__c"), T.normalize("o.other"))).select(key, F.col("o.other").alias("other"), text.alias("text"))
+    return y.where((at > 0) & ~F.contains(T.normalize("__c"), T.normalize("o.other"))).select(key, F.col("o.other").alias("other"), text.alias("text"))
 
 
 def table_stress(rows: DataFrame) -> DataFrame:
@@ -398,23 +426,17 @@ def next_of_other(rows: DataFrame, key: str, kind: str, by: str, most: int = RAN
     first = F.min(F.struct(F.col(key).alias("k"), F.col(kind).alias("kind")))
     a = x.groupBy(by, "__r").agg(first.alias("a"))
     b = x.join(a, [by, "__r"]).where(F.col(kind) != F.col("a.kind")).groupBy(by, "__r").agg(first.alias("b"))
-    # A group's ranges, twice round, from the end: what stands after each.  At most RANGE_ROWS ranges are one list.
-    s = a.join(b, [by, "__r"], "left").groupBy(by).agg(F.array_sort(F.collect_list(F.struct("__r", "a", "b"))).alias("s"))
-    item = "struct<k:bigint,kind:string>"
-    null = F.lit(None).cast(item)
-    start = F.struct(null.alias("a"), null.alias("b"), F.array().cast(f"array<struct<r:int,a:{item},b:{item}>>").alias("out"))
-    cast = lambda v: F.struct(v["k"].cast("bigint").alias("k"), v["kind"].cast("string").alias("kind"))
-
-    def step(z, y):
-        na, nb = cast(y["a"]), F.when(y["b"].isNotNull(), cast(y["b"]))
-        # The first row after of a kind that differs from the new first row's.
-        other = F.when(nb.isNotNull(), nb).when(z["a"].isNotNull() & (z["a"]["kind"] != na["kind"]), z["a"]).otherwise(z["b"])
-        out = F.concat(z["out"], F.array(F.struct(y["__r"].alias("r"), z["a"].alias("a"), z["b"].alias("b"))))
-        return F.struct(na.alias("a"), other.alias("b"), out.alias("out"))
-
-    twice = F.reverse(F.concat("s", "s"))
-    last = F.aggregate(twice, start, step, lambda z: F.slice(z["out"], F.size("s") + 1, F.size("s")))
-    follow = s.select(by, F.explode(last).alias("f")).select(by, F.col("f.r").alias("__r"), F.col("f.a").alias("fa"), F.col("f.b").alias("fb"))
+    # Ranges twice round.  Neighbouring ranges that begin with one kind are a stretch, which ends with the first that has
+    # another one; what differs first from a stretch's kind is there, or the next stretch begins with it.
+    s = a.join(b, [by, "__r"], "left")
+    s = s.withColumn("__at", F.col("__r").cast("long")).unionByName(s.withColumn("__at", F.col("__r").cast("long") + ranges))
+    o = Window.partitionBy(by).orderBy("__at")
+    ends = F.lag("b").over(o).isNotNull() | (F.lag("a.kind").over(o) != F.col("a.kind"))
+    s = s.withColumn("__s", F.sum(F.when(ends, 1).otherwise(0)).over(o))
+    last = F.last("b").over(Window.partitionBy(by, "__s").orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    begins = F.min(F.struct("__at", "a")).over(Window.partitionBy(by).orderBy("__s").rangeBetween(1, 1))["a"]
+    s = s.withColumn("other", F.coalesce(last, begins))
+    follow = s.withColumns({"fa": F.lead("a").over(o), "fb": F.lead("other").over(o)}).where(F.col("__at") < ranges).select(by, "__r", "fa", "fb")
     y = x.join(follow, [by, "__r"], "left")
     beyond = F.when(F.col("fa.kind") != F.col(kind), F.col("fa.k")).otherwise(F.when(F.col("fb.kind") != F.col(kind), F.col("fb.k")))
     return y.select(key, F.coalesce("__next", beyond).alias("other")).where("other is not null")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..shipping import ship
 from ..storage import Workspace
 
 
@@ -139,6 +140,63 @@ def map_reduce(items: DataFrame, by: str, order: str, text: str, size: Callable[
             return done
 
 
+#: Windows of a group that meet its claims in one task, and claims whose similarities are there at once.
+WINDOWS, CLAIMS = 1 << 14, 256
+
+
+def _units(vectors: pa.ChunkedArray) -> np.ndarray:
+    m = np.array(vectors.to_pylist(), dtype=np.float64)
+    norm = np.sqrt((m * m).sum(axis=1))
+    return m / np.where(norm > 0, norm, 1)[:, None]
+
+
+def _best_of(claims: pa.Table, windows: pa.Table) -> tuple[list[int], list[int], list[float]]:
+    """(claim, window, similarity): the best window of each claim, the first one on ties."""
+    place: dict[str, list[int]] = {}
+    for i, name in enumerate(windows.column("source_id").to_pylist()):
+        place.setdefault(name, []).append(i)
+    cited, u, v = claims.column("cited").to_pylist(), _units(claims.column("u")), _units(windows.column("v"))
+    rows: list[int] = []
+    best: list[int] = []
+    near: list[float] = []
+    for a in range(0, len(u), CLAIMS):
+        product = np.round(u[a : a + CLAIMS] @ v.T, 9) + 0.0
+        for k, row in enumerate(product, a):
+            at = np.sort(np.array([i for name in {*cited[k]} for i in place.get(name, ())], dtype=np.int64)) if cited[k] else None
+            if at is None or len(at):
+                best.append(int(row.argmax() if at is None else at[row[at].argmax()]))
+                rows.append(k)
+                near.append(float(row[best[-1]]))
+    return rows, best, near
+
+
+def nearest_windows(claims: DataFrame, windows: DataFrame, by: str, order: str) -> DataFrame:
+    """(by, order, s, w, source_id, c): the most similar window of each claim, among the sources that it cites, or among all if
+    it cites none; the earliest on ties, of those the one of the last source by name.
+
+    A group's windows are dealt to parts of some ``WINDOWS``; each part meets all claims of its group as a product of
+    matrices and gives its best window for each claim, so no pair leaves a task, however many windows a group has.
+    """
+    ship(claims.sparkSession)
+    parts = windows.groupBy(by).agg(F.ceil(F.count("*") / WINDOWS).cast("int").alias("parts"))
+    w = windows.select(by, "source_id", "w", "vector", F.col("c").cast("double").alias("c")).join(parts, by)
+    w = w.withColumn("part", F.pmod(F.xxhash64("source_id", "w"), F.col("parts")).cast("int")).drop("parts")
+    c = claims.select(by, order, "vector", "source_ids").join(parts, by).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    # Both sides may come from one table: their columns get names of their own.
+    c, w = c.toDF("g", "o", "u", "cited", "k"), w.toDF("wg", "source_id", "w", "v", "c", "wk")
+
+    def run(claims: pa.Table, windows: pa.Table) -> pa.Table:
+        windows = windows.sort_by([("w", "ascending"), ("source_id", "descending")])
+        rows, best, near = _best_of(claims, windows) if claims.num_rows and windows.num_rows else ([], [], [])
+        of, at = claims.take(pa.array(rows, pa.int64())), windows.take(pa.array(best, pa.int64()))
+        return pa.table({by: of.column("g"), order: of.column("o"), "s": pa.array(near, pa.float64()), "w": at.column("w"), "source_id": at.column("source_id"), "c": at.column("c")})
+
+    kinds = {**dict(claims.dtypes), "w": dict(windows.dtypes)["w"]}
+    found = c.groupBy("g", "k").cogroup(w.groupBy("wg", "wk")).applyInArrow(run, f"{by} {kinds[by]}, {order} {kinds[order]}, s double, w {kinds['w']}, source_id string, c double")
+    best = found.groupBy(by, order).agg(F.max(F.struct("s", (-F.col("w")).alias("n"), "source_id", "w", "c")).alias("b"))
+    return best.select(by, order, "b.s", "b.w", "b.source_id", "b.c")
+
+
 def summary_claims(claims: DataFrame, windows: DataFrame, by: str, order: str, threshold: float = 0.85, contradiction: float = 0.3) -> DataFrame:
     """(by, order, source_id, similarity, status): claims of a summary (vector, source_ids) held against windows of sources
     (source_id, w, vector, c: the contradiction of a claim that is held against it, by ``nli`` of the caller).
@@ -149,9 +207,8 @@ def summary_claims(claims: DataFrame, windows: DataFrame, by: str, order: str, t
     """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     cosine = lambda a, b: F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
-    w = windows.select(by, F.col("source_id"), "w", F.col("vector").alias("wv"), "c")
-    x = claims.join(w, by).where((F.size("source_ids") == 0) | F.array_contains("source_ids", F.col("source_id")))
-    best = x.groupBy(by, order).agg(F.max(F.struct(F.round(cosine("vector", "wv"), 9).alias("s"), (-F.col("w")).alias("w"), "source_id", "c")).alias("b"), F.first("vector").alias("vector"))
+    near = nearest_windows(claims, windows, by, order)
+    best = claims.select(by, order, "vector").join(near, [by, order]).select(by, order, F.struct(F.col("s"), (-F.col("w")).alias("w"), "source_id", "c").alias("b"), "vector")
     best = best.withColumn("ok", F.coalesce(F.col("b.c") <= contradiction, F.lit(False)))
     g = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "vector", "ok", "b"))).alias("s"))
     kind = dict(claims.dtypes)["vector"]

@@ -360,8 +360,8 @@ def index_kept_in_step(spark, sf):
     """Frequencies of terms that followed a table of documents through two changes and a deletion."""
     ws = Workspace(spark, "kept")
     d = table(spark, sf, "documents").select("doc_id", "text")
-    source = KeyedTable(spark, f"{ws.path}/documents", "doc_id long, text string", "doc_id")
-    index = LexicalIndex(spark, f"{ws.path}/index", source, "doc_id", "text")
+    source = KeyedTable(spark, f"{ws.path}/documents", "doc_id long, text string", "doc_id", buckets=16)
+    index = LexicalIndex(spark, f"{ws.path}/index", source, "doc_id", "text", buckets=16)
     source.put(d)
     index.refresh()
     source.put(d.where("doc_id % 5 = 1").withColumn("text", F.concat("text", F.lit(" changed words"))))
