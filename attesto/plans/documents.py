@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import CONTENT_STOP_WORDS, JUDGE_INTERCEPT, JUDGE_WEIGHTS, JUDGE_FEATURES, Judge, Rules
+from ..config import ABBREVIATIONS, CONTENT_STOP_WORDS, JUDGE_INTERCEPT, JUDGE_WEIGHTS, JUDGE_FEATURES, Judge, Rules
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import evaluate as E
@@ -164,8 +166,8 @@ def structure_stats(spark, sf):
     return x.groupBy("bucket").agg(F.count("*").alias("documents"), F.sum(F.coalesce("lines", F.lit(0))).alias("lines"), F.count_if(F.col("t") > 0).alias("with_tables"), F.median("n_chars").alias("median_chars"))
 
 
-_ALWAYS = "пп?|рис|табл|стр|см|им|г|ст|гл|разд|прил|др|пр|т\\.\\s*[едпкч]|e\\.\\s*g|i\\.\\s*e|cf|vs|al|approx|resp|incl|esp|dr|mr|mrs|ms|prof|jr|sr|inc|ltd|corp"
-_BEFORE = "rev|no|nos|sec|sect|secs|fig|figs|vol|ch|pt|pts|art|par|para|p|v|ver|eq|ex|tab"
+#: Abbreviations that never end a sentence, and those that don't before a number.
+_ALWAYS, _BEFORE = re.findall(r"\\b\(\?:(.*?)\)\\\.", ABBREVIATIONS)[:2]
 
 
 def _claims_sql(source: str, key: str, text: str) -> str:
@@ -223,6 +225,7 @@ pairs AS (SELECT k AS item_id, ix, claim, h, x.source_id, premise, s, {_PLAIN.fo
   FROM (SELECT *, unnest(source_ids) AS source_id FROM i) x JOIN src ON src.item_id = x.k AND src.source_id = x.source_id),
 ev AS (SELECT item_id, ix, source_id, contains({_PLAIN.format("premise")}, hp) AS whole,
   len(list_filter(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda j: s[j] || ' ' || s[j + 1])), lambda w: w <> array_to_string(s, ' ') AND contains({_PLAIN.format("w")}, hp))) > 0 AS part,
+  contains({_PLAIN.format("premise")}, hp) AND len(list_filter(list_concat(s, list_transform(range(1, greatest(len(s), 1)), lambda j: s[j] || ' ' || s[j + 1])), lambda w: w <> array_to_string(s, ' ') AND NOT contains({_PLAIN.format("w")}, hp))) = 0 AS every,
   coalesce(len(list_intersect(words, there)) / nullif(len(words), 0), 0) AS overlap FROM pairs)"""
 
 

@@ -52,8 +52,8 @@ ranked AS (SELECT *, CASE WHEN eligible THEN row_number() OVER (PARTITION BY que
 """
 
 
-@query(f"""WITH tok AS (SELECT doc_id AS id, unnest({TOKENS.format("text")}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
-f AS (SELECT term, count(DISTINCT id) AS df FROM tok GROUP BY term), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM f, n), a AS (SELECT avg(idf0) AS m FROM r)
+@query(f"""WITH tok AS MATERIALIZED (SELECT unnest(list_distinct({TOKENS.format("text")})) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents),
+f AS MATERIALIZED (SELECT term, count(*) AS df FROM tok GROUP BY term), r AS (SELECT term, df, ln(n - df + 0.5) - ln(df + 0.5) AS idf0 FROM f, n), a AS (SELECT avg(idf0) AS m FROM r)
 SELECT term, df, round(CASE WHEN idf0 < 0 THEN 0.25 * m ELSE idf0 END, 6) AS idf FROM r, a""")
 def postings_stats(spark, sf):
     """Document frequency and idf of every term."""

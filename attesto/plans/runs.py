@@ -118,16 +118,19 @@ def _attempts(spark, sf):
     return N.attempt_roles(c, "conv_id", "turn")
 
 
-@query(f"""WITH {_ATTEMPTS}, a AS (SELECT *, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS t FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS g FROM a),
+_REPLAYED = f"""{_ATTEMPTS}, a AS (SELECT *, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS t FROM m), g AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - row_number() OVER (PARTITION BY conv_id, t ORDER BY turn) AS g FROM a),
 o AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY conv_id, t, g ORDER BY turn) % 2 = 1 THEN CASE t WHEN 1 THEN 'think' ELSE 'draft' END ELSE CASE t WHEN 1 THEN 'think_repair' ELSE 'repair' END END AS role2 FROM g),
 q AS (SELECT conv_id, list(struct_pack(turn := turn, refused := refused, reason := reason, claims := claims) ORDER BY turn) FILTER (role2 = 'draft') AS d, list(struct_pack(turn := turn, refused := refused, reason := reason, claims := claims) ORDER BY turn) FILTER (role2 = 'repair') AS r,
   list(struct_pack(turn := turn, refused := refused, reason := reason, claims := claims) ORDER BY turn) FILTER (role2 = 'think') AS t, list(struct_pack(turn := turn, refused := refused, reason := reason, claims := claims) ORDER BY turn) FILTER (role2 = 'think_repair') AS tr FROM o GROUP BY conv_id),
 s AS (SELECT conv_id, list_concat(CASE WHEN d[1] IS NULL THEN [] ELSE [d[1]] END, coalesce(r, [])[1:2]) AS x, d[1] IS NULL AS md, list_concat(CASE WHEN t[1] IS NULL THEN [] ELSE [t[1]] END, coalesce(tr, [])[1:2]) AS y, t[1] IS NULL AS mt FROM q),
 n AS (SELECT *, CASE WHEN md THEN 0 ELSE 1 + CASE WHEN len(x) > 1 AND x[1].refused AND x[1].claims > 0 THEN 1 + CASE WHEN len(x) > 2 AND x[2].refused AND x[2].claims > 0 THEN 1 ELSE 0 END ELSE 0 END END AS n1,
   CASE WHEN mt THEN 0 ELSE 1 + CASE WHEN len(y) > 1 AND y[1].refused AND y[1].claims > 0 THEN 1 + CASE WHEN len(y) > 2 AND y[2].refused AND y[2].claims > 0 THEN 1 ELSE 0 END ELSE 0 END END AS n2 FROM s),
-u AS (SELECT *, NOT md AND x[n1].reason IS NOT NULL AS thinks FROM n)
-SELECT conv_id, list_concat(CASE WHEN n1 > 0 THEN ['draft'] ELSE [] END, list_transform(range(1, n1), lambda i: 'repair'), CASE WHEN thinks AND n2 > 0 THEN ['think'] ELSE [] END, CASE WHEN thinks THEN list_transform(range(1, n2), lambda i: 'think_repair') ELSE [] END) AS path,
-  CASE WHEN thinks AND n2 > 0 THEN y[n2].turn ELSE x[n1].turn END AS final, CASE WHEN thinks AND n2 > 0 THEN y[n2].reason ELSE x[n1].reason END AS reason FROM u""")
+u AS (SELECT *, NOT md AND x[n1].reason IS NOT NULL AS thinks FROM n),
+replayed AS (SELECT conv_id, list_concat(CASE WHEN n1 > 0 THEN ['draft'] ELSE [] END, list_transform(range(1, n1), lambda i: 'repair'), CASE WHEN thinks AND n2 > 0 THEN ['think'] ELSE [] END, CASE WHEN thinks THEN list_transform(range(1, n2), lambda i: 'think_repair') ELSE [] END) AS path,
+  CASE WHEN thinks AND n2 > 0 THEN y[n2].turn ELSE x[n1].turn END AS final, CASE WHEN thinks AND n2 > 0 THEN y[n2].reason ELSE x[n1].reason END AS reason FROM u)"""
+
+
+@query(f"WITH {_REPLAYED} SELECT * FROM replayed")
 def case_replay(spark, sf):
     """What logged attempts come to when refusals are repaired twice and thought over."""
     a = _attempts(spark, sf)
@@ -142,11 +145,14 @@ def thoughts_after_publication(spark, sf):
     return N.think_on_trim(_attempts(spark, sf), "conv_id", "turn")
 
 
-@query(f"""WITH {_ATTEMPTS}, f AS (SELECT conv_id, arg_max(turn, turn) AS final, arg_max(reason IS NULL, turn) AS shown FROM m GROUP BY conv_id) SELECT count(*) AS cases, count(*) AS whole, count(*) AS same_result, count(*) AS same_publication FROM f""")
+@query(f"""WITH {_REPLAYED}, f AS (SELECT conv_id, max(turn) AS logged, arg_max(reason IS NULL, turn) AS shown FROM m GROUP BY conv_id), j AS (SELECT * FROM replayed JOIN f USING (conv_id))
+SELECT count(*) AS cases, count(*) AS whole, count(*) FILTER (final IS NOT DISTINCT FROM logged) AS same_result, count(*) FILTER ((reason IS NULL) = shown) AS same_publication FROM j""")
 def replay_agreement(spark, sf):
-    """A replay beside the log that it was made of."""
-    last = _attempts(spark, sf).groupBy("conv_id").agg(F.max_by("turn", "turn").alias("final"), F.max_by("reason", "turn").alias("reason"))
-    return N.replay_agreement(last.withColumn("missing", F.lit(None).cast("string")), last, "conv_id")
+    """A replay under other settings beside the log."""
+    a = _attempts(spark, sf)
+    made = N.replay(a, a.select("conv_id").distinct().withColumn("best", F.lit(0.0)), "conv_id", "turn", samples=0)
+    last = a.groupBy("conv_id").agg(F.max("turn").alias("final"), F.max_by("reason", "turn").alias("reason"))
+    return N.replay_agreement(made.withColumn("missing", F.lit(None).cast("string")), last, "conv_id")
 
 
 @query("""WITH x AS (SELECT conv_id, turn, length(text) % 7 AS score, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 7 DESC, turn) AS place FROM conversations) SELECT conv_id, turn, place FROM x WHERE place <= 2""")

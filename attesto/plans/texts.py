@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import Chunking
+from ..config import JUDGE_FEATURES, RU_ENDINGS, Chunking
 from ..functions import text as T
 from ..operators import claims as C
 from ..operators import experiments as X
@@ -82,17 +82,20 @@ def chunk_bodies(spark, sf):
     return table(spark, sf, "documents").select("doc_id", T.chunk_body(t).alias("body"))
 
 
-_FORMS = ("годов", "москвами", "дом", "армия", "четырьмя", "стали", "красного", "word", "ёлками", "1945")
-_ENDINGS = sorted("ами ями ого его ому ему ыми ими ой ей ый ий ая яя ое ее ые ие ую юю ов ев ам ям ах ях ом ем ы и а я о е у ю ь й".split(), key=len, reverse=True)
+_ENDINGS = sorted(RU_ENDINGS, key=len, reverse=True)
+#: Cyrillic letters in place of Latin ones, as the tables hold no Russian.
+_LATIN, _CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "аывгеоёымийлмнопюрстуяхцья"
 
 
 @query(
-    "SELECT w AS word, CASE WHEN NOT regexp_matches(w, '^[а-яё]+$') THEN w " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {len(e) + 3} THEN substr(w, 1, length(w) - {len(e)})" for e in _ENDINGS)
-    + f" ELSE w END AS stem FROM (SELECT unnest({list(_FORMS)!r}) AS w)"
+    f"WITH f AS (SELECT DISTINCT translate(w, '{_LATIN}', '{_CYRILLIC}') AS w FROM (SELECT unnest({_WORDS.format('text')}) AS w FROM documents)) "
+    "SELECT w AS word, CASE WHEN NOT regexp_matches(w, '^[а-яё]+$') THEN w " + " ".join(f"WHEN ends_with(w, '{e}') AND length(w) >= {len(e) + 3} THEN substr(w, 1, length(w) - {len(e)})" for e in _ENDINGS) + " ELSE w END AS stem FROM f"
 )
 def russian_stems(spark, sf):
-    """Words without their endings."""
-    return spark.createDataFrame([(w,) for w in _FORMS], "word string").select("word", T.ru_stem("word").alias("stem"))
+    """The words of documents, in Cyrillic letters, without their endings."""
+    words = F.explode(F.regexp_extract_all(T.fold("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("w")
+    forms = table(spark, sf, "documents").select(words).select(F.translate("w", _LATIN, _CYRILLIC).alias("word")).distinct()
+    return forms.select("word", T.ru_stem("word").alias("stem"))
 
 
 @query(f"""WITH t AS (SELECT lang, unnest({TOKENS.format("text")}) AS term FROM documents) SELECT lang, count(*) AS tokens, count(DISTINCT term) AS terms FROM t GROUP BY lang""")
@@ -111,24 +114,25 @@ def clean_texts(spark, sf):
 # Tables in chunks.
 
 
-@query("""WITH x AS (SELECT d.doc_id, d.lang, quality, toxic, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS r FROM labels JOIN documents d USING (doc_id)), k AS (SELECT * FROM x WHERE r <= 40)
-SELECT lang, r + 2 AS seq, CASE WHEN lang IN ('de', 'fr') THEN 'Table 1: Labels of ' || lang || ': ' ELSE '' END || 'doc: ' || doc_id || '; quality: ' || quality || '.' AS text FROM k WHERE lang <> 'en'
-UNION ALL SELECT lang, r + 1, 'doc: ' || doc_id || '; quality: ' || quality || '.' FROM k WHERE lang = 'en' AND toxic = 0 UNION ALL SELECT lang, r + 1, 'doc: ' || doc_id || '; quality: ' || toxic || '.' FROM k WHERE lang = 'en' AND toxic = 0
-UNION ALL SELECT lang, r + 1, 'doc: ' || doc_id || '; quality: ' || quality || '.' FROM k WHERE lang = 'en' AND toxic = 1""")
+@query("""WITH k AS (SELECT d.doc_id, d.lang, d.lang || '-' || d.doc_id // 500 AS part, quality, toxic, row_number() OVER (PARTITION BY d.lang, d.doc_id // 500 ORDER BY d.doc_id) AS r FROM labels JOIN documents d USING (doc_id))
+SELECT part, r + 2 AS seq, CASE WHEN lang IN ('de', 'fr') THEN 'Table 1: Labels of ' || part || ': ' ELSE '' END || 'doc: ' || doc_id || '; quality: ' || quality || '.' AS text FROM k WHERE lang <> 'en'
+UNION ALL SELECT part, r + 1, 'doc: ' || doc_id || '; quality: ' || quality || '.' FROM k WHERE lang = 'en' AND toxic = 0 UNION ALL SELECT part, r + 1, 'doc: ' || doc_id || '; quality: ' || toxic || '.' FROM k WHERE lang = 'en' AND toxic = 0
+UNION ALL SELECT part, r + 1, 'doc: ' || doc_id || '; quality: ' || quality || '.' FROM k WHERE lang = 'en' AND toxic = 1""")
 def markdown_row_windows(spark, sf):
-    """Rows of Markdown tables with captions (German, French) and with a header that repeats itself (English)."""
+    """Rows of Markdown tables with captions (German, French) and with a header that repeats itself (English), a table for every
+    five hundred documents."""
     d = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
-    r = F.row_number().over(Window.partitionBy("lang").orderBy("doc_id"))
-    x = d.withColumn("r", r).where("r <= 40")
+    part = F.concat_ws("-", "lang", F.floor(F.col("doc_id") / 500).cast("string"))
+    x = d.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("doc_id")))
     s = lambda c: F.col(c).cast("string")
     row = F.concat(F.lit("| "), s("doc_id"), F.lit(" | *"), s("quality"), F.lit("* |"))
     row = F.when(F.col("lang") == "en", F.concat(F.lit("| "), s("doc_id"), F.lit(" | "), s("quality"), F.lit(" | "), F.when(F.col("toxic") == 0, s("doc_id")).otherwise(""), F.lit(" | "), F.when(F.col("toxic") == 0, s("toxic")).otherwise(""), F.lit(" |"))).otherwise(row)
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", row.alias("row")))), lambda v: v["row"]), "\n")
-    g = x.groupBy("lang").agg(body.alias("body"))
+    g = x.groupBy("lang", "part").agg(body.alias("body"))
     head = F.when(F.col("lang") == "en", "| doc | quality | doc | quality |\n| --- | --- | --- | --- |\n").otherwise("| doc | quality |\n| --- | --- |\n")
-    above = F.when(F.col("lang").isin("de", "fr"), F.concat(F.lit("Table 1: Labels of "), "lang", F.lit("\n"))).when(F.col("lang") == "en", "").otherwise("Some words above\n")
-    chunks = g.select("lang", F.concat(above, head, "body").alias("text"))
-    return B.row_claims(B.markdown_tables(chunks, "lang", "text")).select(F.col("id").alias("lang"), F.col("seq").cast("long").alias("seq"), "text")
+    above = F.when(F.col("lang").isin("de", "fr"), F.concat(F.lit("Table 1: Labels of "), "part", F.lit("\n"))).when(F.col("lang") == "en", "").otherwise("Some words above\n")
+    chunks = g.select("part", F.concat(above, head, "body").alias("text"))
+    return B.row_claims(B.markdown_tables(chunks, "part", "text")).select(F.col("id").alias("part"), F.col("seq").cast("long").alias("seq"), "text")
 
 
 @query("""WITH x AS (SELECT doc_id % 50 AS id, doc_id, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS seq, lang, source, CASE WHEN n_chars > 900 THEN lang END AS maybe FROM documents),
@@ -184,12 +188,12 @@ def long_reranks(spark, sf):
     return R.long_rerank(d, "text", share, 128, 16).select("doc_id", "windows", F.round("rerank", 6).alias("rerank"))
 
 
-@query("""WITH x AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS t, sum(length(text)) AS n FROM conversations GROUP BY conv_id) SELECT conv_id, length(t) AS chars FROM x""")
+@query("""SELECT conv_id, sha256(translate(string_agg(text, chr(10) ORDER BY turn), 'aeiou', '12345')) AS sha FROM conversations GROUP BY conv_id""")
 def map_reduced(spark, sf):
-    """Conversations put together again by rounds of batches, with a writer that joins."""
+    """Conversations put together by rounds of batches, with a writer that changes vowels."""
     c = table(spark, sf, "conversations")
-    made = M.map_reduce(c, "conv_id", "turn", "text", lambda t: F.lit(1), lambda t: t, 4, calls=1000)
-    return made.select("conv_id", F.length("text").cast("long").alias("chars"))
+    made = M.map_reduce(c, "conv_id", "turn", "text", lambda t: F.lit(1), lambda t: F.translate(t, "aeiou", "12345"), 3, calls=1000)
+    return made.select("conv_id", F.sha2("text", 256).alias("sha"))
 
 
 _UNIT = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
@@ -206,11 +210,13 @@ def summary_claims(spark, sf):
     return M.summary_claims(c, w, "label", "vec_id").select("label", "vec_id", "source_id", "status")
 
 
-@query("SELECT label, vec_id FROM embeddings")
+@query("SELECT vec_id // 100 AS pool, vec_id FROM embeddings UNION ALL SELECT vec_id // 100, 20000000 + vec_id FROM embeddings")
 def distinct_vectors(spark, sf):
-    """Vectors of each label without near copies, of which there are none."""
-    e = table(spark, sf, "embeddings").select("label", "vec_id", "embedding")
-    return M.distinct_by_group(e, "vec_id", "embedding", "label", "vec_id")
+    """Vectors of each pool of a hundred, their near copies and their opposites: the near copies go."""
+    e = table(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 100).alias("pool"), "vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    near = e.select("pool", (F.col("vec_id") + 10_000_000).alias("vec_id"), F.transform("v", lambda x, i: x + 0.01 * (i % 3)).alias("v"))
+    opposite = e.select("pool", (F.col("vec_id") + 20_000_000).alias("vec_id"), F.transform("v", lambda x: -x).alias("v"))
+    return M.distinct_by_group(e.unionByName(near).unionByName(opposite), "vec_id", "v", "pool", "vec_id")
 
 
 @query("SELECT vec_id, 'dimension' AS problem FROM embeddings WHERE vec_id % 10 = 3 UNION ALL SELECT vec_id, 'zero_norm' FROM embeddings WHERE vec_id % 10 = 5")
@@ -224,25 +230,33 @@ def vector_problems(spark, sf):
 # Claims.
 
 
-@query(f"""WITH {_EVIDENCE}, w AS (SELECT item_id, ix, bool_or(whole) AS whole, bool_or(part OR whole) AS good FROM ev GROUP BY ALL)
-SELECT item_id, CAST(ix AS INT) AS ix, unnest(['single', 'second_0.05', 'second_0.5']) AS verifier, unnest([whole, good, good]) AS accepted FROM w""")
+def _second(premise, hypothesis):
+    """A weaker model beside the heuristic one, which sees contradictions."""
+    e = C.heuristic_nli(premise, hypothesis)["e"]
+    return F.struct((0.1 + 0.3 * e).alias("e"), (0.65 - 0.1 * e).alias("n"), (0.25 - 0.2 * e).alias("c"))
+
+
+@query(f"""WITH {_EVIDENCE}, w AS (SELECT item_id, ix, bool_or(whole) AS whole, bool_or(part OR whole) AS good FROM ev GROUP BY ALL), v AS (SELECT item_id, ix, unnest(['single', 'second_0.05', 'second_0.3', 'second_0.5']) AS verifier, unnest([whole, true, good, false]) AS accepted FROM w)
+SELECT item_id, CAST(ix AS INT) AS ix, verifier || s AS verifier, accepted FROM v, (SELECT unnest(['', '_anchored']) AS s)""")
 def alternative_verifiers(spark, sf):
-    """Other ways to accept claims."""
+    """Other ways to accept claims, with a second model and thresholds below, between and above what it says; the claims have no
+    anchors that could lack."""
     answers, contexts = _answers(spark, sf)
     c = C.inherit(C.claims(answers, "item_id", "answer"), "item_id").withColumn("kind", C.kind("claim"))
     rules = C.Rules()
-    x = C.scored(C.paired(c, C.prepared(contexts, "item_id", rules), "item_id", rules), "item_id", C.heuristic_nli, C.heuristic_nli).where("known")
-    return C.alternative_verifiers(x, "item_id").where("verifier not like '%anchored'")
+    x = C.scored(C.paired(c, C.prepared(contexts, "item_id", rules), "item_id", rules), "item_id", C.heuristic_nli, _second).where("known")
+    return C.alternative_verifiers(x, "item_id", (0.05, 0.3, 0.5))
 
 
-@query(f"""WITH {_EVIDENCE}, jf AS (SELECT item_id, ix, source_id, CASE WHEN part OR whole THEN 0.9999 ELSE 0.0001 END AS p, CASE WHEN whole THEN 0.9999 ELSE 0.0001 END AS q, overlap FROM ev)
-SELECT item_id, CAST(ix AS INT) AS ix, source_id, round(ln(p / (1 - p)), 6) AS a_e_max, round(ln(q / (1 - q)), 6) AS a_full_e, round(ln(p / (1 - p)), 6) AS b_e_max, round(ln(p / (1 - p)), 6) AS ab_e_max, round(overlap, 6) AS overlap, 0.0::DOUBLE AS a_c_max FROM jf""")
+@query(f"""WITH {_EVIDENCE}, jf AS (SELECT *, CASE WHEN part OR whole THEN 0.9999 ELSE 0.0001 END AS p, CASE WHEN whole THEN 0.9999 ELSE 0.0001 END AS q, CASE WHEN part OR whole THEN 0.4 ELSE 0.1 END AS b, CASE WHEN whole THEN 0.4 ELSE 0.1 END AS bw, CASE WHEN part OR whole THEN 0.7 ELSE 0.05 END AS ab FROM ev)
+SELECT item_id, CAST(ix AS INT) AS ix, source_id, round(ln(p / (1 - p)), 6) AS a_e_max, 0.0::DOUBLE AS a_c_at_a, 0.0::DOUBLE AS a_c_max, round(ln(b / (1 - b)), 6) AS b_e_max, CASE WHEN every THEN 0.05 ELSE 0.25 END::DOUBLE AS b_c_max, round(ln(ab / (1 - ab)), 6) AS ab_e_max,
+  round(ln(q / (1 - q)), 6) AS a_full_e, 0.0::DOUBLE AS a_full_c, round(ln(bw / (1 - bw)), 6) AS b_full_e, round(overlap, 6) AS overlap, 0.0::DOUBLE AS code_span, 1.0::DOUBLE AS anchors_ok, 0.0::DOUBLE AS has_anchors FROM jf""")
 def judge_features(spark, sf):
-    """Features of the judge for claims and their sources, two models being the same."""
+    """All features of the judge for claims and their sources, by two models that differ."""
     answers, contexts = _answers(spark, sf)
     c = C.inherit(C.claims(answers, "item_id", "answer"), "item_id").withColumn("kind", C.kind("claim"))
-    x = C.evidence(c, contexts, "item_id", second=C.heuristic_nli).where("known")
-    return x.select("item_id", "ix", "source_id", *(F.round(f"features.{f}", 6).alias(f) for f in ("a_e_max", "a_full_e", "b_e_max", "ab_e_max", "overlap", "a_c_max")))
+    x = C.evidence(c, contexts, "item_id", second=_second).where("known")
+    return x.select("item_id", "ix", "source_id", *(F.round(f"features.{f}", 6).alias(f) for f in JUDGE_FEATURES))
 
 
 @query("""WITH x AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r, text FROM conversations)
