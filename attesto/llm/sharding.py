@@ -24,6 +24,8 @@ SMALL_BYTES = 1 << 20
 MERGES, JOBS = 256, 4
 #: How often a commit is tried anew after another writer came first.
 TRIES = 20
+#: Names of files up to this many (some 20 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_FILES = 200_000
 
 
 class Conflict(RuntimeError):
@@ -309,8 +311,8 @@ class ShardStore:
             while name.lower() in (shard.lower(), level.lower()):
                 shard, level = f"_{shard}", f"_{level}"
         file, own = f"file_{uuid.uuid4().hex}", f"own_{uuid.uuid4().hex}"
-        # The table has a row for each file, which the driver lists anyway.
+        # The table has a row for each file, which the driver lists anyway; it is sent to all tasks if there are few.
         places = [(s.file, i, tier(s.bytes, self.fanout)) for i, s in enumerate(shards)]
         table = self.spark.createDataFrame(places, f"`{file}` string, `{shard}` int, `{level}` int")
         named = rows.withColumn(own, F.regexp_extract(F.input_file_name(), "^.*/data/(.*)$", 1))
-        return named.join(F.broadcast(table), F.col(own) == F.col(file), "left").drop(own, file)
+        return named.join(F.broadcast(table) if len(places) <= BROADCAST_FILES else table, F.col(own) == F.col(file), "left").drop(own, file)
