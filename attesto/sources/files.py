@@ -111,6 +111,16 @@ def not_done(cases: DataFrame, log: DataFrame, key: str) -> DataFrame:
     return cases.join(log.select(key).distinct(), key, "left_anti")
 
 
+def select_cases(cases: DataFrame, ids: str, key: str = "id") -> DataFrame:
+    """The cases that a list names, apart by commas or white space; ids of other datasets are ignored, but one of this dataset
+    must be among them."""
+    wanted = sorted({x for x in re.split(r"[,\s]+", ids) if x})
+    some = cases.join(cases.sparkSession.createDataFrame([(x,) for x in wanted], "__id string"), F.col(key).cast("string") == F.col("__id"), "left_semi")
+    if some.isEmpty():
+        raise ValueError(f"none of the {len(wanted)} ids is in this dataset")
+    return some
+
+
 def split_failed(log: DataFrame, ok: str = "ok") -> tuple[DataFrame, DataFrame]:
     """Rows that stay, and rows for the archive."""
     good = F.coalesce(F.col(ok), F.lit(False))
