@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -357,25 +359,38 @@ def hybrid(
 QUOTE_BLOCK = 16 << 20
 
 
-def _find(batches: Iterator[pa.RecordBatch], quotes: list[tuple[object, str]]) -> Iterator[pa.RecordBatch]:
-    import ahocorasick
+#: The automaton that a worker made last, by the block it is of.
+_MADE: dict[str, tuple] = {}
 
-    search, names = ahocorasick.Automaton(), {}
-    for name, text in quotes:
-        names.setdefault(text, []).append(name)
-    for text in names:
-        search.add_word(text, text)
-    search.make_automaton()
+
+def _automaton(name: str, quotes: list[tuple[object, str]]) -> tuple:
+    """The automaton of a block of quotes and the names of each text; a worker makes it once for all its tasks."""
+    if name not in _MADE:
+        import ahocorasick
+
+        search, names = ahocorasick.Automaton(), {}
+        for quote, text in quotes:
+            names.setdefault(text, []).append(quote)
+        for text in names:
+            search.add_word(text, text)
+        search.make_automaton()
+        _MADE.clear()
+        _MADE[name] = search, names
+    return _MADE[name]
+
+
+def _find(batches: Iterator[pa.RecordBatch], name: str, sent: Broadcast) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        hits = [(name, key) for key, text in zip(batch.column(0), batch.column(1)) for q in {q for _, q in search.iter(text.as_py())} for name in names[q]]
+        search, names = _automaton(name, sent.value)
+        hits = [(quote, key) for key, text in zip(batch.column(0), batch.column(1)) for q in {q for _, q in search.iter(text.as_py())} for quote in names[q]]
         yield pa.RecordBatch.from_arrays([pa.array([str(h[0]) for h in hits], pa.string()), pa.array([h[1].as_py() for h in hits], batch.column(0).type)], names=["quote", "id"])
 
 
 def containing(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str, text: str) -> DataFrame:
     """(quote, id): documents that hold a quote, both normalised.
 
-    Quotes come in blocks of bounded size, each made into one automaton that reads every text once, whatever the number
-    and the length of the quotes; texts stay where they are read.
+    Quotes come in blocks of bounded size, each sent to the workers once and made into one automaton that reads every text
+    once, whatever the number and the length of the quotes; texts stay where they are read.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -385,7 +400,8 @@ def containing(docs: DataFrame, quotes: DataFrame, key: str, quote_key: str, tex
     ws, found, block, size = None, 0, [], 0
 
     def run(block: list) -> DataFrame:
-        return d.mapInArrow(lambda it, b=block: _find(it, b), schema)
+        sent, made = spark.sparkContext.broadcast(block), uuid.uuid4().hex  # QUOTE_BLOCK characters, or one quote
+        return d.mapInArrow(lambda it: _find(it, made, sent), schema)
 
     last = None
     for name, q in quotes.select(F.col(quote_key).alias("quote"), T.normalize(text).alias("words")).where("words <> ''").toLocalIterator():
