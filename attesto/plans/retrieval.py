@@ -201,3 +201,11 @@ def gate_threshold_sweep(spark, sf):
     grid = q.withColumn("threshold", F.explode(F.array(*(F.lit(t) for t in (0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0)))))
     low = F.col("best") < F.col("threshold")
     return grid.groupBy("threshold").agg(F.count_if(F.col("answerable") & low).alias("answerable_rejected"), F.count_if(~F.col("answerable") & low).alias("unanswerable_rejected"), F.count_if("answerable").alias("answerable"), F.count_if(~F.col("answerable")).alias("unanswerable"))
+
+
+@query(f"WITH {HYBRID_SQL.replace('FROM documents', 'FROM (SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM labels))')} SELECT query AS item_id, id AS doc_id, rrf, final, rank FROM ranked WHERE rank <= 5")
+def complete_search(spark, sf):
+    """The five best documents of each question among those that labels name, as if only they were stored whole."""
+    docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    h = R.hybrid(docs, bench, "doc_id", "item_id", "text", Retrieval(), how="sha1", complete=table(spark, sf, "labels").select("doc_id"))
+    return h.where("rank <= 5").select(F.col("query").alias("item_id"), F.col("id").alias("doc_id"), "rrf", "final", "rank")
