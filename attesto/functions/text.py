@@ -233,7 +233,8 @@ def code_span(claim: str | Column, premise: str | Column, least: int = 12) -> Co
     runs = F.transform(F.regexp_extract_all(quoted(claim), F.lit(rf"[\x20-\x7e]{{{least},}}"), F.lit(0)), lambda r: F.split(squeeze(r), r"(?<=:)\s"))
     ends = F.flatten(F.transform(runs, lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda k: F.array_join(F.slice(r, k, F.size(r)), " "))))
     literals = F.filter(F.transform(ends, lambda e: F.btrim(e, F.lit(" .,;:"))), lambda e: (F.length(e) >= least) & e.rlike(operator) & F.contains(e, F.lit(" ")))
-    return F.exists(literals, lambda e: F.contains(hay, canonical(e)))
+    both = F.struct(hay.alias("hay"), literals.alias("literals"))
+    return bound(both, lambda x: F.exists(x["literals"], lambda e: F.contains(x["hay"], canonical(e))))
 
 
 def is_absence(x: str | Column) -> Column:
