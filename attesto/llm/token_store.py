@@ -249,15 +249,16 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_tokens(spark: SparkSession, docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, each followed by ``end_id``, in ascending order of ids (nulls first, ties by text).
 
-    One shuffle by range of ids; each task encodes its range in order and writes shards of about SHARD_IDS ids as
-    rows (part, shard, n_docs, n_ids, blob) below ``path``/shards, by Spark's committed writes.  ``path``/index gets
+    One shuffle by range of ids, and of texts' beginnings within an id that many rows have; each task encodes its range in
+    order and writes shards of about SHARD_IDS ids as rows (part, shard, n_docs, n_ids, blob) below ``path``/shards, by
+    Spark's committed writes.  ``path``/index gets
     the number of ids before each shard.  Null texts are empty: their only id is ``end_id``.  A document longer than
     a shard is a shard of its own.
     """
     ship(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    dealt = rows.repartitionByRange(n, "id", F.substring("text", 1, 64)).sortWithinPartitions("id", "text")
     with small_batches(spark):
         dealt.mapInArrow(lambda it: _write(it, tokenizer, end_id), "part int, shard int, n_docs long, n_ids long, blob binary").write.mode("overwrite").parquet(f"{path}/shards")
     shards = spark.read.parquet(f"{path}/shards").select("part", "shard", "n_ids")

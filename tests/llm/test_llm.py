@@ -358,6 +358,11 @@ def test_token_store(spark, tmp_path):
     got = sorted(((r.id, r.start, bytes(r.ids)) for r in read_tokens(spark, f"file://{tmp_path}/l").collect()), key=lambda r: r[1])
     assert [x[0] for x in got] == [None, None, 5, 5] and len(got[2][2]) // 4 > SHARD_IDS
     assert [x[2] for x in got] == [ids._whole(t) + b"\x02\0\0\0" for t in ("", "y", long, "x")]
+    # Rows of one id are dealt to several tasks, in the order of their texts.
+    many = [f"{i:03d} words" for i in range(400)]
+    write_tokens(spark, frame(spark, *many[::-1], ids=[7] * 400).repartition(4), f"file://{tmp_path}/m", TOKENIZER)
+    got = sorted(((r.start, bytes(r.ids)) for r in read_tokens(spark, f"file://{tmp_path}/m").collect()))
+    assert [x[1] for x in got] == [ids._whole(t) + b"\x02\0\0\0" for t in many] and spark.read.parquet(f"file://{tmp_path}/m/shards").select("part").distinct().count() > 4
     write_tokens(spark, frame(spark), f"file://{tmp_path}/e", TOKENIZER)
     assert read_tokens(spark, f"file://{tmp_path}/e").collect() == []
 
