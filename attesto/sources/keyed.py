@@ -12,7 +12,7 @@ import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -112,12 +112,10 @@ class KeyedTable:
     def bucket(self, key: Column | str) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, folder: str) -> int:
-        """Rows as files by bucket; returns how many there were.  Adaptive planning splits buckets that are very large."""
-        seen = Observation()
-        dealt = rows.withColumn("__bucket", self.bucket(self.key)).hint("rebalance", "__bucket").observe(seen, F.count(F.lit(1)).alias("n"))
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        """Rows as files by bucket.  Adaptive planning splits buckets that are very large."""
+        dealt = rows.withColumn("__bucket", self.bucket(self.key)).hint("rebalance", "__bucket")
         dealt.write.partitionBy("__bucket").parquet(f"{self.path}/data/{folder}")
-        return seen.get["n"]
 
     def _files(self, folder: str, run: int, gone: bool) -> list[DataFile]:
         fs, top = hadoop_fs(self.spark, f"{self.path}/data/{folder}")
@@ -203,7 +201,10 @@ class KeyedTable:
         try:
             if rows is not None:
                 self._write(rows.select(*names), f"r{folder}")
-            entries = self._write(gone.select(*(f.name for f in self.entry)), f"g{folder}") if gone is not None else 0
+            if gone is not None:
+                self._write(gone.select(*(f.name for f in self.entry)), f"g{folder}")
+            found = self._files(f"g{folder}", 0, True)
+            entries = self._read(found, self.entry, False).count() if found else 0  # by the files' ends alone
             for left in reversed(range(TRIES if base is None else 1)):
                 now = self.version() if base is None else base
                 run = now.number + 1

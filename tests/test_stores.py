@@ -267,3 +267,12 @@ def test_ledger_after_a_failure(spark, tmp_path, monkeypatch):
     assert len(rows) == 208 and sorted(r.doc_id for r in rows if r.status == "added" and r.doc_id) == [2, 3, 8, 9]
     assert Counter(r.status for r in rows if r.batch == 1) == {"duplicate": 202, "added": 1}
     assert [r.batch for r in ingest.commit_report(spark.read.parquet(out)).collect()] == [0, 1]
+
+
+def test_models_can_be_fitted_after_a_change(spark, tmp_path):
+    """A change leaves nothing in the session that other work stumbles over."""
+    from attesto.operators import evaluate as E
+
+    table(spark, tmp_path).put(rows(spark, ("a", "1", 1)))
+    x = spark.createDataFrame([(i / 40, i * 7 % 40 < i) for i in range(1, 40)], "p double, y boolean")
+    assert E.fitted_curve(x, "p", "y", "platt").count() == 39
