@@ -263,6 +263,17 @@ def _across(ws: Workspace, docs: DataFrame, members: DataFrame, roots: DataFrame
     return _confirmed(ws, "cross", docs, links.distinct(), percent)
 
 
+def _same_ids(ws: Workspace, rows: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between an id of several texts and the classes of those texts; None if every id has one text."""
+    several = ws.save(rows.groupBy("id").agg(F.count("*").alias("texts")).where("texts > 1").select(F.col("id").alias("pid")), "repeats")
+    if several.isEmpty():
+        return None
+    few = several.count() <= BROADCAST_IDS
+    own = rows.join(F.broadcast(several) if few else several, F.col("id") == F.col("pid"), "left_semi").select("id", "set_key", "n").distinct()
+    named = own.join(classes.select("set_key", "n", "rep"), ["set_key", "n"]).where("id <> rep")
+    return ws.save(named.select(F.col("id").alias("a"), F.col("rep").alias("b")).distinct(), "repeat-links")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, component_id, kept.
 
@@ -279,7 +290,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
       meets in one task, and no link between different components that share a bucket is lost.
 
     Null or empty texts have an empty set and are linked with nothing.  Rows with a null id come out with a null
-    component_id, kept.  Rows that repeat an id count as further texts of that document.  Other columns are not read.
+    component_id, kept.  Rows that repeat an id count as further texts of that document, so all its rows with words are of
+    one component.  Other columns are not read.
     """
     ws = Workspace(spark, "near-dedup")
     ship(spark)
@@ -301,6 +313,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
 
     stars = members.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     links = _confirmed(ws, "star", docs, likely(stars), percent)
+    if (same := _same_ids(ws, some, classes)) is not None:
+        links = links.union(same)
     roots = ws.save(connected_components(ws, links, "star-cc"), "star-roots")
     if (more := _across(ws, docs, members, roots, percent)) is not None:
         roots = ws.save(connected_components(ws, links.union(more), "all-cc"), "roots")
