@@ -47,3 +47,12 @@ def test_replies_that_are_none(spark, text, finish):
     c = spark.createDataFrame([("a", "S1", "Some text.")], SOURCES)
     with pytest.raises(Exception, match="a backend must give"):
         A.answered(q, c, "k", "t", lambda *_: bad).collect()
+
+
+def test_cases_by_a_list(spark):
+    from attesto.sources.files import select_cases
+
+    cases = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3)], "id string, n int")
+    assert sorted(r.n for r in select_cases(cases, "a, c\nother").collect()) == [1, 3]
+    with pytest.raises(ValueError, match="none of the 2 ids"):
+        select_cases(cases, "x y")
