@@ -87,3 +87,47 @@ def test_bounds_lose_nothing(monkeypatch):
     for got in (cut, whole):
         assert {i for i, s in score.items() if s >= border - 1e-9} <= set(got) and all(abs(score[i] - s) < 1e-9 for i, s in got.items())
     assert max(len(b.column(0)[0].values) for b in made) < 100
+
+
+def test_groups_of_blocks_are_small(spark, tmp_path):
+    """Who reads a block must not get a hundred others with it."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(9000))) for i in range(400)], "id long, t string").coalesce(1)
+    ws = Workspace(spark, "groups")
+    index = R.write_index(docs, "id", "t", ws)
+    assert index.blocks.count() >= 10
+    for f in glob.glob(f"{ws.path.removeprefix('file://')}/blocks/*.parquet"):
+        meta = pq.ParquetFile(f).metadata
+        assert all(meta.row_group(i).total_byte_size < 20 << 20 for i in range(meta.num_row_groups))
+
+
+def test_copies_are_held_k_at_most():
+    """Of documents with the very same score, a task holds those with the least ids only."""
+    best = P._Best(1, 5, pa.int64())
+    for a in range(0, 4000, 400):
+        best.add(0, np.r_[np.full(399, 2.0), 3.0], pa.array(range(a, a + 400)))
+    scores, ids = best.held[0]
+    assert len(ids) <= 10
+    assert sorted(zip(-scores, ids.to_pylist()))[:5] == [(-3.0, 400 * k + 399) for k in range(5)]
+
+
+def test_many_queries_fill_the_matrix_in_parts(spark, monkeypatch):
+    """However few postings there may be at once, the hits are the same."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, " ".join(r.choice("abcdefgh") * 3 for _ in range(20))) for i in range(200)], "id long, t string")
+    index = R.write_index(docs, "id", "t", Workspace(spark, "parts"))
+    row = index.blocks.toArrow().to_batches()
+    terms = [c * 3 for c in "abcdefgh"]
+    q, t = np.repeat(np.arange(30), 4), np.concatenate([np.array(r.sample(range(8), 4)) for _ in range(30)])
+    run = lambda: sorted((x["query"], x["id"], x["score"]) for b in P._search(iter(row), list(range(30)), pa.array(terms), q, t, np.ones(len(q)), 5, 1.5, 0.75, 20.0) for x in b.to_pylist())
+    whole = run()
+    sizes = []
+    real = np.bincount
+    monkeypatch.setattr(P, "POSTINGS", 400)
+    monkeypatch.setattr(P.np, "bincount", lambda x, *a, **k: (sizes.append(len(x)), real(x, *a, **k))[1])
+    assert run() == whole
+    assert max(sizes) < 1200  # one query has four terms of 200 documents at most
