@@ -119,3 +119,21 @@ def test_what_co_verification_lets_through(spark):
     probes = spark.createDataFrame([("a", "Lions eat fresh meat in warm deserts."), ("b", "The clean water plant moves the pump to lions."), ("c", "Anything at all."), ("d", "No text.")], "k string, h string")
     got = {r.k: (r.leaked, r.co_verified) for r in C.co_verification_stress(probes, contexts, "k", "h").collect()}
     assert got == {"a": (False, False), "b": (True, True)}
+
+
+def test_a_task_keeps_its_best_of_all_batches():
+    """Many batches leave k rows for each query, with ties by id; a matrix of scores has a bounded number of cells."""
+    import numpy as np
+    import pyarrow as pa
+
+    from attesto.operators import retrieval as R
+
+    r = np.random.default_rng(5)
+    ids, matrix = np.arange(100, 140), r.integers(-2, 3, (40, 3)).astype(float) + 0.5
+    v = r.integers(-2, 3, (3000, 3)).astype(np.float32)
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 100)), pa.array(v[a : a + 100].tolist(), pa.list_(pa.float32()))], names=["id", "v"]) for a in range(0, 3000, 100)]
+    matrix = R._unit(matrix)
+    got = [tuple(x.values()) for b in R._nearest(iter(batches), ids, matrix, 7, 6) for x in b.to_pylist()]
+    score = np.round(matrix @ R._unit(v.astype(float)).T, 6) + 0.0
+    want = [(int(ids[q]), int(d), float(score[q, d])) for q in range(40) for d in sorted(range(3000), key=lambda d: (-score[q, d], d))[:7]]
+    assert sorted(got) == sorted(want)
