@@ -40,6 +40,15 @@ def test_vectors_that_are_copies(spark, tmp_path, name):
     assert got == want and want
 
 
+def test_abbreviations_beside_letters_that_arent_ascii(spark, tmp_path):
+    """The SQL's word boundaries know ASCII only."""
+    texts = ["Mua ở Mèch. Viêt kể. Xong.", "Bài èch. VI hết. Xong", "See ch. VI there. Ended.", "Das ép. 5 war. Ja.", "На стр. 5 есть. Да.", "xрис. 5 z. Да", "öv. 2 und vs. Ja. ünos. 3 da", "the etc. and öetc. so. A"]
+    turns = {"conv_id": list(range(len(texts))), "turn": [1] * len(texts), "role": ["assistant"] * len(texts), "text": texts}
+    pq.write_table(pa.table(turns), tmp_path / "conversations.parquet")
+    got, want = both(spark, tmp_path, "claim_segments")
+    assert got == want and want
+
+
 def test_sessions_of_a_stream_stay_out_of_the_driver(spark, sf):
     """The result is a table of files, not of a memory sink."""
     got = entry.queries()["stream_user_sessions"](spark, sf)
