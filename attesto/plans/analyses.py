@@ -85,7 +85,7 @@ def ranking_changes(spark, sf):
     """How the first five of two rankings differ."""
     docs, bench = table(spark, sf, "documents"), table(spark, sf, "benchmark")
     index = _index(spark, sf)
-    dense = R.hashed_search(R.hashed_vectors(docs, "doc_id", "text", stored=index.postings, how="sha1"), R.hashed_vectors(bench, "item_id", "text", how="sha1"), 5)
+    dense = R.hashed_search(R.hashed_vectors(docs, "doc_id", "text", stored=index.postings, how="sha1", blocks=index.blocks), R.hashed_vectors(bench, "item_id", "text", how="sha1"), 5)
     d = dense.select("query", "id", F.lit(True).alias("d"))
     s = R.bm25(index, R.query_terms(bench, "item_id", "text"), 5).select("query", "id", F.lit(True).alias("s"))
     j = d.join(s, ["query", "id"], "full")

@@ -131,3 +131,22 @@ def test_many_queries_fill_the_matrix_in_parts(spark, monkeypatch):
     monkeypatch.setattr(P.np, "bincount", lambda x, *a, **k: (sizes.append(len(x)), real(x, *a, **k))[1])
     assert run() == whole
     assert max(sizes) < 1200  # one query has four terms of 200 documents at most
+
+
+def test_vectors_and_reranking_of_blocks_shuffle_no_postings(spark):
+    """Hashed vectors are those of the postings; of these, a search joins its candidates' only."""
+    rng = np.random.default_rng(5)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 30)))) for i in range(300)], "id long, t string")
+    queries = spark.createDataFrame([(q, f"w{q} w{q + 1} w{q + 2}") for q in range(5)], "q long, t string")
+    index = R.write_index(docs, "id", "t", Workspace(spark, "slots"))
+    dense = lambda df: {r.id: tuple(np.bincount(r.slots, r.counts, 40)) for r in df.collect()}
+    for how in ("sha1", "blake2b"):
+        assert dense(R.hashed_vectors(docs, "id", "t", 40, None, how, index.blocks)) == dense(R.hashed_vectors(docs, "id", "t", 40, None, how)) != {}
+    assert "Exchange" not in R.hashed_vectors(docs, "id", "t", 40, None, "sha1", index.blocks)._jdf.queryExecution().executedPlan().toString()
+    terms = R.query_terms(queries.withColumnRenamed("t", "text"), "q", "text")
+    near = spark.createDataFrame([(q, 7 * q + k) for q in range(5) for k in range(6)], "query long, id long")
+    plain = R.Index(R.postings(docs, "id", "t"), index.terms, index.corpus)
+    rows = lambda x: sorted((r.query, r.id, r.rerank) for r in R.lexical_rerank(near, terms, x).collect())
+    assert rows(index) == rows(plain) and any(r[2] for r in rows(index))
+    asked = {r.id for r in near.collect()}
+    assert {r.id for r in P.rows_among(index.blocks, near).collect()} <= asked
