@@ -18,6 +18,8 @@ BROADCAST_IDS = 2_000_000
 HOT_SHARE = 0.1
 #: Rows and bytes that a Python worker handles at once.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of batches after which unused memory is given back.
+RELEASE = 16 << 20
 
 
 def with_ids(docs: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
@@ -67,13 +69,20 @@ def join_groups(rows: DataFrame, groups: DataFrame, on: list[str], size: str, ho
 
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of few texts each: Spark's batches hold up to 10,000 rows or 64 MB, which a worker would
-    hold several times over as Python objects.  The session's settings stay as they are."""
+    hold several times over as Python objects.  The session's settings stay as they are.  What Arrow's pool keeps of batches
+    that are gone is given back every ``RELEASE`` bytes and at the end, as workers outlive their tasks."""
+    pool, read = pa.default_memory_pool(), 0
     for batch in batches:
-        at = 0
+        at, read = 0, read + batch.nbytes
         while at < batch.num_rows:
             part = batch.slice(at, SLICE_ROWS)
             while part.num_rows > 1 and part.nbytes > SLICE_BYTES:
                 part = part.slice(0, part.num_rows // 2)
             yield part
             at += part.num_rows
+        if read >= RELEASE:
+            pool.release_unused()
+            read = 0
+    batch = part = None
+    pool.release_unused()
 
