@@ -49,6 +49,27 @@ def test_abbreviations_beside_letters_that_arent_ascii(spark, tmp_path):
     assert got == want and want
 
 
+def test_near_copies_shuffle_first_words_only(spark, tmp_path):
+    """Words are written once; of these, the join has the first of each set of copies."""
+    texts = [" ".join(f"w{(k // 4) * 50 + i}" for i in range(20)) + (" more" if k % 4 == 3 else "") for k in range(40)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()["near_duplicate_docs"](spark, str(tmp_path))
+    want = Counter((a, b, 1.0 if b % 4 < 3 else round(20 / 21, 6)) for a in range(40) for b in range(a + 1, 40) if a // 4 == b // 4)
+    assert Counter(tuple(r) for r in df.collect()) == want
+    prefixes = [f for f in df.inputFiles() if "/pairs/" in f]
+    assert prefixes and spark.read.parquet(prefixes[0].split("/pairs/")[0] + "/prefixes").count() == 20 * 12
+
+
+def test_memory_of_batches_is_given_back(monkeypatch):
+    """A worker outlives its tasks: what Arrow's pool keeps is released at the end of each."""
+    from attesto.llm import workspace
+
+    released = []
+    monkeypatch.setattr(workspace.pa, "default_memory_pool", lambda: type("Pool", (), {"release_unused": lambda self: released.append(1)})())
+    batches = [pa.RecordBatch.from_arrays([pa.array(["x"] * 700)], names=["t"])] * 2
+    assert sum(b.num_rows for b in workspace.slices(iter(batches))) == 1400 and released == [1]
+
+
 def test_sessions_of_a_stream_stay_out_of_the_driver(spark, sf):
     """The result is a table of files, not of a memory sink."""
     got = entry.queries()["stream_user_sessions"](spark, sf)
