@@ -113,6 +113,22 @@ def test_chunks_that_follow(spark):
     assert [(r.k, r.id) for r in Q.next_chunks(hits, chunks, "k").collect()] == [("q", 3)]
 
 
+def test_texts_are_not_sorted_by_source(spark, sf):
+    """What orders the chunks of a source carries a mark for each, not its text."""
+    from attesto import plans
+
+    df = plans.QUERIES["following_chunks"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan()
+
+    def outputs(node):
+        own = [node.child().output().mkString(",")] if node.nodeName() == "Window" and "source" in node.partitionSpec().mkString(",") else []
+        children = node.children()
+        return own + [x for i in range(children.size()) for x in outputs(children.apply(i))]
+
+    found = outputs(plan)
+    assert found and not any("text#" in x for x in found)
+
+
 def test_what_co_verification_lets_through(spark):
     true = "the long pump of the plant moves clean water to the upper tank every day"
     contexts = spark.createDataFrame([("a", f"Short one. {true}. Another short one."), ("b", f"{true}. The upper tank feeds the plant."), ("c", "Too short. None here.")], "k string, text string")
