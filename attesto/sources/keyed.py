@@ -186,8 +186,29 @@ class KeyedTable:
         those are named.  Only buckets whose files differ are read."""
         after = self.version() if after is None else after
         touched = {f.bucket for f in {*before.files} ^ {*after.files}}
-        old, new = (self.read(v, touched).select(*(columns or self.schema.names)) for v in (before, after))
-        return new.exceptAll(old), old.exceptAll(new)
+        merged = {f.bucket for f in {*before.files} - {*after.files}}
+        old, new = [], []
+        if touched - merged:  # what both versions have in a file stays, unless a later list names it
+            added = [f for f in after.files if f.bucket in touched - merged and f not in {*before.files}]
+            new.append(self.read(Version(after.number, tuple(added), after.gone, {})))
+            if gone := [f for f in added if f.gone]:
+                old.append(self._named(self.read(before, {f.bucket for f in gone}), self._read(gone, self.entry, False), after.gone))
+        if merged:
+            old.append(self.read(before, merged))
+            new.append(self.read(after, merged))
+        if not old:
+            old.append(self.spark.createDataFrame([], self.schema))
+        old, new = (reduce(DataFrame.unionByName, x).select(*(columns or self.schema.names)) for x in (old, new))
+        return (new.exceptAll(old), old.exceptAll(new)) if before.files else (new, old)
+
+    def _named(self, rows: DataFrame, gone: DataFrame, entries: int) -> DataFrame:
+        """Rows that a list names."""
+        names = [f.name for f in self.entry]
+        listed = gone.distinct().select(*(F.col(n).alias(f"__{i}") for i, n in enumerate(names)))
+        on = F.col(self.key).eqNullSafe(F.col("__0"))
+        if self.member:
+            on = on & (F.col("__1").isNull() | (F.col(self.member) == F.col("__1")))
+        return rows.join(F.broadcast(listed) if entries <= BROADCAST_GONE else listed, on, "left_semi")
 
     # Writers.
 

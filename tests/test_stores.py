@@ -174,6 +174,22 @@ def test_index_follows_its_source(spark, tmp_path):
     assert plain(index.index().postings.select("id", "term", "tf", "dl")) == plain(want.postings.select("id", "term", "tf", "dl"))
 
 
+def test_postings_of_a_change_are_made_once(spark, tmp_path, monkeypatch):
+    """Both tables of an index follow from the same blocks, written once for what came and once for what went."""
+    from attesto.operators import postings as P
+
+    made, blocks = [], P.blocks
+    monkeypatch.setattr(P, "blocks", lambda *a, **k: made.append(1) or blocks(*a, **k))
+    source = KeyedTable(spark, f"file://{tmp_path}/d", "id long, text string", "id", buckets=2)
+    index = LexicalIndex(spark, f"file://{tmp_path}/i", source, "id", "text", buckets=2)
+    source.put(spark.createDataFrame([(1, "alpha beta alpha"), (2, "beta"), (3, None)], "id long, text string"))
+    index.refresh()
+    source.put(spark.createDataFrame([(1, "gamma")], "id long, text string"))
+    index.refresh()
+    assert len(made) == 4
+    assert sorted(map(tuple, index.terms.read().collect())) == [("beta", 1, 1), ("gamma", 1, 1)] and index.terms.version().state["documents"] == 3
+
+
 def test_scores_are_made_once(spark, tmp_path):
     calls = spark.sparkContext.accumulator(0)
 
