@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..shipping import ship
@@ -52,7 +50,6 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 #: Groups among which rows are spread that need no look at the state.
 SPREAD = 1024
-_MARKED = "doc_id long, sha256 string, status string"
 
 
 def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,18 +67,14 @@ def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(slots, pa.string()), batch.column(0), batch.column(1)], names=["slot", "doc_id", "sha256"])
 
 
-def _marked(key: tuple, rows: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Statuses of a content's rows; the state of a content is that it was added."""
-    if key[0].startswith("-"):
-        for part in rows:
-            yield part[["doc_id", "sha256"]].assign(status="duplicate")
-        return
-    found = pd.concat(list(rows)).sort_values("doc_id", kind="stable")[["doc_id", "sha256"]]  # a row for each batch of a worker
-    new = not state.exists
-    found["status"] = ["added" if new and k == 0 else "duplicate" for k in range(len(found))]
-    if new:
-        state.update((True,))
-    yield found
+def _statuses(rows: DataFrame) -> DataFrame:
+    """Statuses of a batch's rows (doc_id, sha256, first, new): with a row that says a content is new, the least of its ids is
+    added.  One pass over rows as ``_dealt`` spread them."""
+    key = F.when(F.col("first") | F.col("new"), F.col("sha256")).otherwise(F.concat(F.lit("-"), F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(SPREAD)).cast("string")))
+    w = Window.partitionBy("slot").orderBy(F.col("new").desc(), F.col("doc_id").asc_nulls_last())
+    x = rows.withColumn("slot", key)
+    x = x.withColumns({"n": F.row_number().over(w), "fresh": F.max("new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))}).where(~F.col("new"))
+    return x.select("doc_id", "sha256", F.when(F.col("first") & F.col("fresh") & (F.col("n") == 2), "added").otherwise("duplicate").alias("status"))
 
 
 def write_batch(rows: DataFrame, number: int, path: str) -> None:
@@ -95,15 +88,18 @@ def ingest_stream(docs: DataFrame, path: str, checkpoint: str, key: str = "doc_i
     Which contents were added is the query's state, kept by content in RocksDB below the checkpoint: a batch reads and
     writes the entries of its own contents, however long the ledger is, and never the ledger.  A batch that is repeated
     after a failure finds the state as it was before, and replaces its part of the ledger.  Of rows with one content that
-    come together, the one with the least id is added (null last).
+    come together, the one with the least id is added (null last).  The state is Spark's own for distinct rows, so no content is a
+    call of Python; a row for each content that is new goes beside the batch's rows, which are read for both.
     """
     spark = docs.sparkSession
     ship(spark)
     x = docs.select(F.col(key).cast("long").alias("doc_id"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("sha256"))
     dealt = x.mapInArrow(_dealt, "slot string, doc_id long, sha256 string")
-    marked = dealt.groupBy("slot").applyInPandasWithState(_marked, _MARKED, "added boolean", "append", GroupStateTimeout.NoTimeout)
-    step = lambda batch, number: write_batch(batch, number, path)
-    query = marked.writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    first, yes, no = F.col("slot") == F.col("sha256"), F.lit(True), F.lit(False)
+    rows = dealt.select("doc_id", "sha256", first.alias("first"), no.alias("new"))
+    new = dealt.where(first).select("sha256").dropDuplicates(["sha256"]).select(F.lit(None).cast("long").alias("doc_id"), "sha256", no.alias("first"), yes.alias("new"))
+    step = lambda batch, number: write_batch(_statuses(batch), number, path)
+    query = rows.unionByName(new).writeStream.foreachBatch(step).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

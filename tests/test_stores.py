@@ -285,6 +285,19 @@ def test_ledger_after_a_failure(spark, tmp_path, monkeypatch):
     assert [r.batch for r in ingest.commit_report(spark.read.parquet(out)).collect()] == [0, 1]
 
 
+def test_state_of_contents_is_no_call_of_python(spark, tmp_path):
+    """Contents are looked up in the state by Spark itself; repeats of an id with its content are added once."""
+    from attesto.streaming import ingest
+
+    kind, src, out = "doc_id long, text string", f"file://{tmp_path}/in", f"file://{tmp_path}/ledger"
+    spark.createDataFrame([(2, "a"), (2, "a"), (None, "b"), (7, "b"), (None, "c")], kind).repartition(2).write.parquet(src)
+    q = ingest.ingest_stream(spark.readStream.schema(kind).parquet(src), out, f"file://{tmp_path}/c")
+    q.awaitTermination()
+    assert q.lastProgress["stateOperators"][0]["operatorName"] == "dedupe"
+    rows = spark.read.parquet(out).collect()
+    assert Counter((r.doc_id, r.status) for r in rows) == {(2, "added"): 1, (2, "duplicate"): 1, (7, "added"): 1, (None, "duplicate"): 1, (None, "added"): 1}
+
+
 def test_models_can_be_fitted_after_a_change(spark, tmp_path):
     """A change leaves nothing in the session that other work stumbles over."""
     from attesto.operators import evaluate as E
