@@ -1,4 +1,4 @@
-"""A sink of many small files: one for each row, in folders of the tasks that wrote them."""
+"""A sink of many small files: one for each row, in folders of the tasks that wrote them, and what reads them again."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as files
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 
 @dataclass
@@ -58,13 +58,58 @@ class CorpusWriter(DataSourceArrowWriter):
             found.delete_dir(f"{top}/.{self.run}")
 
 
+@dataclass
+class Folder(InputPartition):
+    """The files of one task that wrote."""
+
+    path: str
+
+
+#: Bytes of files that are there at once, or a single file's.
+READ = 4 << 20
+
+
+class CorpusReader(DataSourceReader):
+    """A task for each folder: the driver knows folders, not files.  Spark's own reader of files leaves out empty ones."""
+
+    def __init__(self, path: str) -> None:
+        self.uri = path
+
+    def partitions(self) -> list[Folder]:
+        found, top = files.FileSystem.from_uri(self.uri)
+        within = lambda p: [f.path for f in found.get_file_info(files.FileSelector(p)) if f.type == files.FileType.Directory and not f.base_name.startswith(".")]
+        return [Folder(p) for run in within(top.rstrip("/")) for p in within(run)]
+
+    def read(self, partition: Folder | None) -> Iterator[pa.RecordBatch]:
+        found, _ = files.FileSystem.from_uri(self.uri)
+        names: list[str] = []
+        contents: list[bytes] = []
+        size = 0
+        for f in found.get_file_info(files.FileSelector(partition.path)) if partition else ():
+            with found.open_input_stream(f.path) as data:
+                names.append(f.base_name.removesuffix(".md"))
+                contents.append(data.read())
+            size += len(contents[-1])
+            if size >= READ or len(names) == 1 << 13:
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+                names, contents, size = [], [], 0
+        if names:
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["name", "content"])
+
+
 class CorpusSink(DataSource):
-    """Rows (name, text) as files name.md; ``path`` is a URI that all executors reach."""
+    """Rows (name, text) as files name.md, read as (name, content); ``path`` is a URI that all executors reach."""
 
     @classmethod
     def name(cls) -> str:
         return "attesto_corpus"
 
+    def schema(self) -> str:
+        return "name string, content binary"
+
+    def reader(self, schema) -> CorpusReader:
+        return CorpusReader(self.options["path"])
+
     def writer(self, schema, overwrite: bool) -> CorpusWriter:
         if schema.names != ["name", "text"]:
             raise ValueError(f"rows must be (name, text), not {schema.names}")

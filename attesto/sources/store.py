@@ -204,6 +204,13 @@ def write_corpus(docs: DataFrame, path: str, name: str, text: str) -> None:
     ws.drop("named")
 
 
+def read_corpus(spark: SparkSession, path: str) -> DataFrame:
+    """(name, content) of the files that :func:`write_corpus` wrote, empty ones too."""
+    ship(spark)
+    spark.dataSource.register(CorpusSink)
+    return spark.read.format("attesto_corpus").option("path", path).load()
+
+
 def write_summary(rows: DataFrame, path: str, how: str = "json") -> None:
     """A report as one file of JSON lines or CSV with a header."""
     if how not in ("json", "csv"):

@@ -40,6 +40,13 @@ def test_vectors_that_are_copies(spark, tmp_path, name):
     assert got == want and want
 
 
+def test_files_of_rows_without_ids_or_texts(spark, tmp_path):
+    docs = {"doc_id": pa.array([1, 2, 2, None, None, 3, 4], pa.int64()), "text": ["a", "b", "b", "c", None, None, ""]}
+    pq.write_table(pa.table(docs), tmp_path / "documents.parquet")
+    got, want = both(spark, tmp_path, "corpus_files")
+    assert got == want and len(want) == 6
+
+
 def test_abbreviations_beside_letters_that_arent_ascii(spark, tmp_path):
     """The SQL's word boundaries know ASCII only."""
     texts = ["Mua ở Mèch. Viêt kể. Xong.", "Bài èch. VI hết. Xong", "See ch. VI there. Ended.", "Das ép. 5 war. Ja.", "На стр. 5 есть. Да.", "xрис. 5 z. Да", "öv. 2 und vs. Ja. ünos. 3 da", "the etc. and öetc. so. A"]
