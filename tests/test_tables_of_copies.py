@@ -47,6 +47,14 @@ def test_files_of_rows_without_ids_or_texts(spark, tmp_path):
     assert got == want and len(want) == 6
 
 
+def test_all_vectors_are_asked_for(spark, tmp_path):
+    vectors = [[float((i * 7 + k * k) % 11 - 5) for i in range(8)] for k in range(120)] + [[1.0] * 8] * 20
+    columns = {"vec_id": pa.array(range(1, 141)), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([k % 3 for k in range(140)], pa.int32())}
+    pq.write_table(pa.table(columns), tmp_path / "embeddings.parquet")
+    got, want = both(spark, tmp_path, "label_knn_vote")
+    assert got == want and len(want) == 140
+
+
 def test_abbreviations_beside_letters_that_arent_ascii(spark, tmp_path):
     """The SQL's word boundaries know ASCII only."""
     texts = ["Mua ở Mèch. Viêt kể. Xong.", "Bài èch. VI hết. Xong", "See ch. VI there. Ended.", "Das ép. 5 war. Ja.", "На стр. 5 есть. Да.", "xрис. 5 z. Да", "öv. 2 und vs. Ja. ünos. 3 da", "the etc. and öetc. so. A"]
