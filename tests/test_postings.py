@@ -150,3 +150,33 @@ def test_vectors_and_reranking_of_blocks_shuffle_no_postings(spark):
     assert rows(index) == rows(plain) and any(r[2] for r in rows(index))
     asked = {r.id for r in near.collect()}
     assert {r.id for r in P.rows_among(index.blocks, near).collect()} <= asked
+
+
+def test_common_terms_are_multiplied_and_hits_of_a_block_added_at_once(monkeypatch):
+    """All queries' hits in a block are a few additions, not one for each query, whatever share of the terms is common."""
+    r = random.Random(5)
+    tokens = [[f"t{min(int(r.expovariate(0.08)), 90)}" for _ in range(r.randint(0, 40))] for _ in range(300)] + [["t1", "t2"]] * 40
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(tokens))), pa.array(tokens, pa.list_(pa.string()))], names=["id", "tokens"])
+    entries = [(q, t, (q * 7 + t) % 5 + 0.5 - 4 * (q == 9)) for q in range(64) for t in sorted(r.sample(range(91), r.randint(1, 12)))]
+    query, term, weight = (np.array(x) for x in zip(*entries))
+    mean = sum(map(len, tokens)) / len(tokens)
+    want = {}
+    for q, t, w in entries:
+        for d, words in enumerate(tokens):
+            tf = words.count(f"t{t}")
+            if tf:
+                want.setdefault(q, {}).setdefault(d, 0.0)
+                want[q][d] += w * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+    for sparse in (0, P.SPARSE, 1 << 40):
+        calls = []
+        monkeypatch.setattr(P, "SPARSE", sparse)
+        add = P._BestRows.add
+        monkeypatch.setattr(P._BestRows, "add", lambda *x: (calls.append(1), add(*x))[1])
+        blocks = [b for i in range(0, 340, 100) for b in P._blocks(iter([batch.slice(i, 100)]))]
+        got = {}
+        for b in P._search(iter(blocks), list(range(64)), pa.array([f"t{t}" for t in range(91)]), query, term, weight, 4, 1.5, 0.75, mean):
+            for q, d, s in zip(*(c.to_pylist() for c in b.columns)):
+                got.setdefault(q, []).append((-round(s, 6), d))
+        monkeypatch.undo()
+        assert {q: sorted(x)[:4] for q, x in got.items()} == {q: sorted((-round(s, 6), d) for d, s in x.items())[:4] for q, x in want.items()}
+        assert len(calls) == len(blocks)
