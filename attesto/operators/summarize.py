@@ -197,28 +197,58 @@ def nearest_windows(claims: DataFrame, windows: DataFrame, by: str, order: str)
     return best.select(by, order, "b.s", "b.w", "b.source_id", "b.c")
 
 
+#: Claims that are held against the accepted ones at once, and accepted ones that they meet at once.
+FOLD, ACCEPTED = 256, 1 << 13
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of rows; 0 for those without direction."""
+    size = np.sqrt(np.outer((a * a).sum(axis=1), (b * b).sum(axis=1)))
+    return np.divide(a @ b.T, size, out=np.zeros(size.shape), where=size != 0)
+
+
+def _fold(vectors: np.ndarray, ok: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(near, accepted) of claims in their order: the largest similarity to an accepted one before, 0 for none, and whether a
+    claim that is ``ok`` is accepted itself, as it isn't nearer than the threshold."""
+    near, accepted = np.full(len(vectors), -np.inf), np.zeros(len(vectors), bool)
+    kept, n = np.empty(vectors.shape), 0
+    for a in range(0, len(vectors), FOLD):
+        block = vectors[a : a + FOLD]
+        best = near[a : a + FOLD]
+        for k in range(0, n, ACCEPTED):
+            best[:] = np.maximum(best, _cosines(block, kept[k : min(k + ACCEPTED, n)]).max(axis=1))
+        inner = _cosines(block, block)
+        for i in range(len(block)):
+            best[i] = 0.0 if best[i] == -np.inf else best[i]
+            if ok[a + i] and best[i] <= threshold:
+                accepted[a + i] = True
+                kept[n], n = block[i], n + 1
+                best[i + 1 :] = np.maximum(best[i + 1 :], inner[i, i + 1 :])
+    return near, accepted
+
+
 def summary_claims(claims: DataFrame, windows: DataFrame, by: str, order: str, threshold: float = 0.85, contradiction: float = 0.3) -> DataFrame:
     """(by, order, source_id, similarity, status): claims of a summary (vector, source_ids) held against windows of sources
     (source_id, w, vector, c: the contradiction of a claim that is held against it, by ``nli`` of the caller).
 
     A claim's premise is its most similar window among the sources that it cites, or among all if it cites none, the
-    earliest on ties.  Contradicted claims come first out, then those that repeat an accepted one; a claim is one of at
-    most a page, so the fold over a summary's claims is short.
+    earliest on ties.  Contradicted claims come first out, then those that repeat an accepted one.  The fold over a summary's
+    claims holds blocks of them against the accepted ones as products of matrices.
     """
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    cosine = lambda a, b: F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b))), F.lit(0.0))
     near = nearest_windows(claims, windows, by, order)
-    best = claims.select(by, order, "vector").join(near, [by, order]).select(by, order, F.struct(F.col("s"), (-F.col("w")).alias("w"), "source_id", "c").alias("b"), "vector")
-    best = best.withColumn("ok", F.coalesce(F.col("b.c") <= contradiction, F.lit(False)))
-    g = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), "vector", "ok", "b"))).alias("s"))
-    kind = dict(claims.dtypes)["vector"]
-    start = F.struct(F.array().cast(f"array<{kind}>").alias("kept"), F.array().cast("array<struct<near:double,status:string>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        near = F.coalesce(F.array_max(F.transform(a["kept"], lambda v: cosine(v, x["vector"]))), F.lit(0.0))
-        status = F.when(~x["ok"], "contradiction").when(near > threshold, "duplicate").otherwise("accepted")
-        kept = F.when(status == "accepted", F.concat(a["kept"], F.array(x["vector"]))).otherwise(a["kept"])
-        return F.struct(kept.alias("kept"), F.concat(a["out"], F.array(F.struct(near.alias("near"), status.alias("status")))).alias("out"))
-
-    z = g.select(by, F.explode(F.arrays_zip("s", F.aggregate("s", start, step, lambda a: a["out"]).alias("r"))).alias("z"))
-    return z.select(by, F.col("z.s.o").alias(order), F.col("z.s.b.source_id").alias("source_id"), F.round("z.r.near", 6).alias("similarity"), F.col("z.r.status").alias("status"))
+    ok = F.coalesce(F.col("c") <= contradiction, F.lit(False))
+    best = claims.select(by, order, "vector").join(near, [by, order]).select(F.col(by).alias("g"), F.col(order).alias("o"), "source_id", "vector", ok.alias("ok"))
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("o")
+        held = rows.column("vector").to_pylist()
+        vectors = np.array(held, dtype=np.float64)
+        vectors[[None in v for v in held]] = 0
+        good = rows.column("ok").to_numpy()
+        similar, accepted = _fold(vectors, good, threshold)
+        status = np.where(accepted, "accepted", np.where(good, "duplicate", "contradiction"))
+        return pa.table({by: rows.column("g"), order: rows.column("o"), "source_id": rows.column("source_id"), "similarity": similar, "status": pa.array(status.tolist(), pa.string())})
+
+    kinds = dict(claims.dtypes)
+    out = best.groupBy("g").applyInArrow(run, f"{by} {kinds[by]}, {order} {kinds[order]}, source_id string, similarity double, status string")
+    return out.withColumn("similarity", F.round("similarity", 6))

@@ -190,3 +190,22 @@ def test_a_claim_travels_once(spark):
     assert {(r.k, r.ix, r.support, r.e) for r in g.collect()} == {(1, 0, "window", 1.0), (1, 1, "window", 1.0), (2, 0, None, None)}
     x.unpersist()
     assert sorted((r.k, r.ix, len(r.source_ids), r.status) for r in C.verify(answers, contexts, "k", "answer").collect()) == [(1, 0, 30, "verified"), (1, 1, 30, "verified"), (2, 0, 0, "unverified")]
+
+
+def test_fold_over_many_claims(spark, monkeypatch):
+    """A summary of several blocks of claims, held one by one against those accepted before."""
+    monkeypatch.setattr(M, "FOLD", 7)
+    monkeypatch.setattr(M, "ACCEPTED", 5)
+    r = np.random.default_rng(4)
+    v = r.normal(size=(90, 3)).round(2)
+    v[40] = 0
+    ok = r.random(90) > 0.2
+    near, accepted = M._fold(v, ok, 0.85)
+    kept = []
+    for i, x in enumerate(v):
+        size = lambda y: np.sqrt((x @ x) * (y @ y))
+        best = max((x @ y / size(y) if size(y) else 0.0 for y in kept), default=0.0)
+        assert abs(best - near[i]) < 1e-9 and accepted[i] == (ok[i] and best <= 0.85)
+        if accepted[i]:
+            kept.append(x)
+    assert 5 < len(kept) < 60
