@@ -75,6 +75,20 @@ def test_near_copies_shuffle_first_words_only(spark, tmp_path):
     assert prefixes and spark.read.parquet(prefixes[0].split("/pairs/")[0] + "/prefixes").count() == 20 * 12
 
 
+def test_sets_that_are_far_apart_drop_out_by_their_signatures(spark, tmp_path):
+    """Documents that share their rare words and not the rest aren't a pair that is shuffled."""
+    texts = [" ".join([*(f"rare{i}" for i in range(12)), *(f"d{k}w{i}" for i in range(40))] * (1 + k % 2)) for k in range(6)] + ["d0w1 " + " ".join(f"c{i}" for i in range(300))] * 2
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = entry.queries()["near_duplicate_docs"](spark, str(tmp_path))
+    assert [tuple(r) for r in df.collect()] == [(6, 7, 1.0)]
+    where = next(f for f in df.inputFiles() if "/pairs/" in f).split("/pairs/")[0]
+    x = spark.read.parquet(where + "/prefixes")
+    signs = [c for c in x.columns if c[0] == "s"]
+    rows = {r.doc_id: r for r in x.dropDuplicates(["doc_id"]).collect()}
+    differ = lambda a, b: sum((rows[a][c] ^ rows[b][c]).bit_count() if rows[a][c] ^ rows[b][c] >= 0 else 64 - (~(rows[a][c] ^ rows[b][c])).bit_count() for c in signs)
+    assert signs and all(9 * differ(a, b) > rows[a].n + rows[b].n for a in range(6) for b in range(a))
+
+
 def test_memory_of_batches_is_given_back(monkeypatch):
     """A worker outlives its tasks: what Arrow's pool keeps is released at the end of each."""
     from attesto.llm import workspace
